@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 from basketlab.plans.oracle_aggregates import ORACLE as _AGG
+from basketlab.plans.oracle_reco import ORACLE as _RECO
 
 ORACLE: dict[str, str] = {}
-ORACLE.update(_AGG)
+for _part in (_AGG, _RECO):
+    ORACLE.update(_part)

@@ -92,3 +92,98 @@ def _(s):
 def _(s):
     """D10 (C2, C3, E1, B10–B13)."""
     return agg.session_features(s.sessions, s.interactions, s.users)
+
+
+# --- recommender ------------------------------------------------------------
+from basketlab.operators import recommender as rec  # noqa: E402
+from basketlab.operators.joins import materialize  # noqa: E402
+
+
+class RecoModel:
+    """The three recommender tables (weights, neighbours, bestsellers) of one
+    folder; weights and neighbours are checkpointed since every job reuses them."""
+
+    def __init__(self, s: Shop):
+        self.shop = s
+        self.ui = materialize(rec.user_item_weights(s.interactions, s.purchases))
+        self.neighbors = materialize(rec.top_neighbors(rec.item_similarity(self.ui)))
+        self.best = rec.bestsellers(product_stats_of(s))
+
+
+@register("feedback_events")
+def _(s):
+    """G1, B16."""
+    return rec.feedback_events(s.interactions, s.purchases)
+
+
+@register("user_item_weights")
+def _(s):
+    """D17 (B15, B17)."""
+    return rec.user_item_weights(s.interactions, s.purchases)
+
+
+@register("item_norms")
+def _(s):
+    """D18."""
+    return rec.item_norms(rec.user_item_weights(s.interactions, s.purchases))
+
+
+@register("item_cooccurrence")
+def _(s):
+    """Blocked Mᵀ·M."""
+    return rec.item_cooccurrence(materialize(rec.user_item_weights(s.interactions,
+                                                                   s.purchases)))
+
+
+@register("item_similarity")
+def _(s):
+    """C9 + D18: cosine."""
+    return rec.item_similarity(materialize(rec.user_item_weights(s.interactions,
+                                                                 s.purchases)))
+
+
+@register("top_neighbors")
+def _(s):
+    """E2."""
+    return RecoModel(s).neighbors
+
+
+@register("bestsellers")
+def _(s):
+    """F8."""
+    return rec.bestsellers(product_stats_of(s))
+
+
+@register("score_candidates")
+def _(s):
+    """C10, C11, E4."""
+    m = RecoModel(s)
+    return rec.score_candidates(m.ui, m.neighbors)
+
+
+@register("recommendations")
+def _(s):
+    """F9 (C12, C13, E3, B26) for every user."""
+    m = RecoModel(s)
+    return rec.recommend_all(s.users, m.ui, m.neighbors, m.best, s.products, n=5)
+
+
+@register("user_history")
+def _(s):
+    """E5."""
+    return rec.user_history(rec.user_item_weights(s.interactions, s.purchases), s.products)
+
+
+@register("matrix_density")
+def _(s):
+    """D19."""
+    return rec.matrix_density(rec.user_item_weights(s.interactions, s.purchases), s.products)
+
+
+@register("catalog_coverage")
+def _(s):
+    """Top-10 lists of a seeded 500-user sample."""
+    m = RecoModel(s)
+    sample = rec.coverage_sample(m.ui, 500)
+    recs = rec.recommend_all(sample, m.ui, m.neighbors, m.best, s.products, n=10)
+    return rec.catalog_coverage(recs, sample, s.products)
