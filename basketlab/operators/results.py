@@ -1,7 +1,7 @@
 """Result sets read by dashboards and reports (F rows)."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,3 +12,199 @@ def leaky_products(pstats: DataFrame, min_views: int = 100, n: int = 10) -> Data
             .limit(n)
             .select("product_id", "product_name", "category", "n_view", "n_purchases",
                     "view_to_purchase"))
+
+
+# ---------------------------------------------------------------------------
+from basketlab.functions.scalars import bubble_size, month_key, pct, short_name  # noqa: E402
+
+CATALOG_COLS = ["product_id", "product_name", "category", "brand", "price", "rating_avg",
+                "review_count", "n_view", "n_purchases", "revenue", "view_to_purchase"]
+
+
+def catalog(pstats: DataFrame, category: str | None = None, limit: int = 20) -> DataFrame:
+    """F1 (+ B19): products by revenue, then views; optional category filter (an
+    unknown category gives an empty result). ``limit`` is capped at 200."""
+    limit = max(1, min(int(limit), 200))
+    df = pstats.where(F.col("category") == F.lit(category)) if category else pstats
+    return (df.select(*[c for c in CATALOG_COLS if c in pstats.columns])
+            .orderBy(F.col("revenue").desc(), F.col("n_view").desc(), F.col("product_id"))
+            .limit(limit))
+
+
+def top_viewed(pstats: DataFrame, n: int = 12) -> DataFrame:
+    """most viewed products; purchases scaled x20 for the shared chart axis."""
+    return (pstats.orderBy(F.col("n_view").desc(), F.col("product_id")).limit(n)
+            .select("product_id", "product_name", "category", "n_view", "n_purchases",
+                    (F.col("n_purchases") * 20).alias("purchases_x20"),
+                    short_name("product_name", 22).alias("label")))
+
+
+def low_rated(pstats: DataFrame, max_rating: float = 3, min_views: int = 50,
+              n: int = 10) -> DataFrame:
+    """rated at most ``max_rating`` yet viewed at least ``min_views`` times."""
+    return (pstats.where(F.col("rating_avg").isNotNull() & (F.col("rating_avg") <= max_rating)
+                         & (F.col("n_view") >= min_views))
+            .orderBy(F.col("n_view").desc(), F.col("product_id")).limit(n)
+            .select("product_id", "product_name", "category", "rating_avg", "review_count",
+                    "n_view"))
+
+
+def funnel_points(pstats: DataFrame, min_views: int = 20) -> DataFrame:
+    """F5 (+ B21): scatter points with bubble size and colour from revenue."""
+    return (pstats.where((F.col("n_view") >= min_views) & F.col("view_to_purchase").isNotNull())
+            .select("product_id", "product_name", "n_view", "view_to_purchase", "revenue",
+                    bubble_size("revenue").alias("size"),
+                    F.coalesce(F.col("revenue"), F.lit(0.0)).alias("color")))
+
+
+def category_ranking(cstats: DataFrame) -> DataFrame:
+    """categories by revenue (rank), with the conversion percent for the chart,
+    flags for the best-revenue and worst-converting category."""
+    best = cstats.agg(F.max_by("category", F.struct("revenue", F.col("category")))
+                      .alias("_best"))
+    worst = (cstats.where(F.col("view_to_purchase").isNotNull())
+             .agg(F.min_by("category", F.struct("view_to_purchase", F.col("category")))
+                  .alias("_worst")))
+    w = Window.orderBy(F.col("revenue").desc(), F.col("category"))  # catalog categories
+    return (cstats.join(F.broadcast(best), how="inner", on=F.lit(True))
+            .join(F.broadcast(worst), how="left", on=F.lit(True))
+            .select(F.row_number().over(w).cast("bigint").alias("rank"), "category",
+                    F.round("revenue", 2).alias("revenue"), "views",
+                    pct("view_to_purchase", 3).alias("conversion_pct"),
+                    (F.col("category") == F.col("_best")).alias("is_best_revenue"),
+                    F.coalesce(F.col("category") == F.col("_worst"), F.lit(False))
+                    .alias("is_worst_conversion")))
+
+
+def trend(mtrend: DataFrame) -> DataFrame:
+    """F7 (+ B21): month key text and conversion percent, in month order."""
+    return (mtrend.orderBy("month")
+            .select(month_key("month").alias("month_key"), "sessions", "orders", "revenue",
+                    pct("conversion_rate", 2).alias("conversion_pct")))
+
+
+def rated_products(ov: DataFrame) -> DataFrame:
+    """rated vs unrated catalog products."""
+    return ov.select("rated_products", "total_products",
+                     (F.col("total_products") - F.col("rated_products")).alias("unrated_products"))
+
+
+# KPI card labels and sub-labels.
+KPI_CARDS = [
+    ("Shoppers", "total_users", "signed up"),
+    ("Products", "total_products", "in the catalog"),
+    ("Store visits", "total_sessions", "in the last year"),
+    ("Shopper actions", "total_interactions", "views, clicks, cart adds"),
+    ("Items bought", "total_purchases", "across all orders"),
+    ("Visits that buy", "conversion_rate", "of all store visits"),
+    ("Average order", "avg_order_value", "spent per order"),
+    ("Average rating", "avg_rating", "out of 5 stars"),
+]
+
+
+def kpi_cards(ov: DataFrame) -> DataFrame:
+    """the overview row unpivoted to (position, label, value, sub) with the
+    percent card scaled to percent and all values rounded to two places."""
+    parts = []
+    for i, (label, col, sub) in enumerate(KPI_CARDS, start=1):
+        v = F.col(col).cast("double")
+        if col == "conversion_rate":
+            v = v * 100
+        parts += [F.lit(i), F.lit(label), F.round(v, 2), F.lit(sub)]
+    return ov.select(F.inline(F.array(*[F.struct(
+        parts[k].alias("position"), parts[k + 1].alias("label"), parts[k + 2].alias("value"),
+        parts[k + 3].alias("sub")) for k in range(0, len(parts), 4)])))
+
+
+def relative_to_max(df: DataFrame, col: str, out: str, scale: float = 100.0,
+                    digits: int = 1) -> DataFrame:
+    """Value as a share of the column maximum (a zero maximum divides by 1).
+    The maximum is one global aggregate joined back as a one-row broadcast."""
+    mx = df.agg(F.max(col).alias("_mx"))
+    denom = F.coalesce(F.when(F.col("_mx") != 0, F.col("_mx")), F.lit(1))
+    return (df.join(F.broadcast(mx), how="inner", on=F.lit(True))
+            .withColumn(out, F.round(F.col(col) / denom * scale, digits)).drop("_mx"))
+
+
+def share_of_total(df: DataFrame, col: str, out: str) -> DataFrame:
+    """Value / column total (one global aggregate, broadcast back)."""
+    tot = df.agg(F.sum(col).alias("_tot"))
+    return (df.join(F.broadcast(tot), how="inner", on=F.lit(True))
+            .withColumn(out, F.try_divide(F.col(col).cast("double"),
+                                          F.col("_tot").cast("double")))
+            .drop("_tot"))
+
+
+def option_lists(sessions: DataFrame, users: DataFrame) -> DataFrame:
+    """Sorted distinct values of the four categorical model inputs."""
+    parts = [sessions.select(F.lit(c).alias("field"), F.col(c).alias("value"))
+             for c in ("device_type", "referrer_source")]
+    parts += [users.select(F.lit(c).alias("field"), F.col(c).alias("value"))
+              for c in ("loyalty_tier", "income_level")]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    return u.where(F.col("value").isNotNull()).distinct().orderBy("field", "value")
+
+
+def cold_users(users: DataFrame, interactions: DataFrame) -> DataFrame:
+    """Users with no interactions (anti join, NULL-safe unlike NOT IN)."""
+    return users.select("user_id").join(interactions.select("user_id"), "user_id", "left_anti")
+
+
+def known_ids(ids: DataFrame, users: DataFrame) -> DataFrame:
+    """Requested ids that exist."""
+    return ids.join(users.select("user_id"), "user_id", "left_semi")
+
+
+def unknown_ids(ids: DataFrame, users: DataFrame) -> DataFrame:
+    """C8 side output: requested ids with no user row."""
+    return ids.join(users.select("user_id"), "user_id", "left_anti")
+
+
+def active_users(interactions: DataFrame, min_events: int = 12, n: int = 8) -> DataFrame:
+    """Most active users with at least ``min_events`` interactions."""
+    return (interactions.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+            .where(F.col("n") >= min_events)
+            .orderBy(F.col("n").desc(), F.col("user_id")).limit(n))
+
+
+def _thousands(c) -> F.Column:
+    return F.format_number(c, 0)
+
+
+def insights(ov: DataFrame, cstats: DataFrame, pstats: DataFrame,
+             min_views: int = 100) -> DataFrame:
+    """F11, data rows: (position, kind, headline, detail) for overall conversion,
+    the best/worst category and the three leakiest high-traffic products. All
+    inputs are one-row or catalog-sized; the texts are fixed templates."""
+    conv = ov.select(
+        F.lit(1).alias("position"), F.lit("conversion").alias("kind"),
+        F.concat(F.lit("Overall conversion sits at "),
+                 F.format_string("%.2f%%", F.col("conversion_rate") * 100)).alias("headline"),
+        F.concat(_thousands("total_purchases"), F.lit(" purchases across "),
+                 _thousands("total_sessions"), F.lit(" sessions, generating $"),
+                 _thousands("total_revenue"), F.lit(".")).alias("detail"))
+    best = cstats.agg(F.max_by(F.struct("category", "revenue"),
+                               F.struct("revenue", F.col("category"))).alias("b"))
+    worst = (cstats.where(F.col("view_to_purchase").isNotNull())
+             .agg(F.min_by(F.struct("category", "view_to_purchase"),
+                           F.struct("view_to_purchase", F.col("category"))).alias("w")))
+    cat = best.join(worst, how="inner", on=F.lit(True)).select(
+        F.lit(2).alias("position"), F.lit("category").alias("kind"),
+        F.concat(F.col("b.category"), F.lit(" leads revenue at $"),
+                 _thousands(F.col("b.revenue"))).alias("headline"),
+        F.concat(F.lit("Lowest view-to-purchase category is "), F.col("w.category"),
+                 F.lit(" at "),
+                 F.format_string("%.3f%%", F.col("w.view_to_purchase") * 100),
+                 F.lit(".")).alias("detail"))
+    leaky = leaky_products(pstats, min_views=min_views, n=3).select(
+        F.struct("view_to_purchase", "product_id",
+                 F.concat(F.col("product_name"), F.lit(" ("), _thousands("n_view"),
+                          F.lit(" views → "), F.col("n_purchases").cast("string"),
+                          F.lit(" purchases)")).alias("t")).alias("s"))
+    leak = leaky.agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")),
+                                              lambda x: x["t"]), "; ").alias("detail")).select(
+        F.lit(3).alias("position"), F.lit("funnel_leak").alias("kind"),
+        F.lit("High-traffic products converting near zero").alias("headline"), "detail")
+    return conv.unionByName(cat).unionByName(leak)

@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 from basketlab.plans.oracle_aggregates import ORACLE as _AGG
+from basketlab.plans.oracle_audit import ORACLE as _AUDIT
 from basketlab.plans.oracle_reco import ORACLE as _RECO
 
 ORACLE: dict[str, str] = {}
-for _part in (_AGG, _RECO):
+for _part in (_AGG, _RECO, _AUDIT):
     ORACLE.update(_part)

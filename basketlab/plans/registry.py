@@ -187,3 +187,219 @@ def _(s):
     sample = rec.coverage_sample(m.ui, 500)
     recs = rec.recommend_all(sample, m.ui, m.neighbors, m.best, s.products, n=10)
     return rec.catalog_coverage(recs, sample, s.products)
+
+
+# --- audit ------------------------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from basketlab.operators import audit  # noqa: E402
+from basketlab.operators import results as res  # noqa: E402
+from basketlab.sources import sinks  # noqa: E402
+
+# Thresholds used on the fixture tables (FIXTURES.md §4: the reference's defaults
+# of 100/50/20 views select nothing below sf0.1).
+MIN_VIEWS = 15
+
+
+@register("null_profile")
+def _(s):
+    """D20."""
+    return audit.null_profile(s.all())
+
+
+@register("event_vocabulary")
+def _(s):
+    """D21."""
+    return audit.event_vocabulary(s.interactions)
+
+
+@register("base_rate")
+def _(s):
+    """D22."""
+    return audit.base_rate(s.sessions)
+
+
+@register("conversion_by_cart_bucket")
+def _(s):
+    """D23 (C14, B18)."""
+    return audit.conversion_by_cart_bucket(s.sessions, s.interactions)
+
+
+@register("conversion_by_channel")
+def _(s):
+    """D24."""
+    return audit.conversion_by(s.sessions)
+
+
+@register("dwell_by_outcome")
+def _(s):
+    """D25 (C14)."""
+    return audit.dwell_by_outcome(s.sessions, s.interactions)
+
+
+@register("event_spread")
+def _(s):
+    """D26."""
+    return audit.event_spread(s.interactions)
+
+
+@register("coverage")
+def _(s):
+    """D27."""
+    return audit.coverage(s.users, s.products, s.interactions)
+
+
+@register("engagement_by_outcome")
+def _(s):
+    """D31."""
+    return audit.engagement_by_outcome(s.sessions, s.interactions)
+
+
+@register("column_ranges")
+def _(s):
+    """D32."""
+    return audit.column_ranges(s.products, s.sessions, s.interactions)
+
+
+@register("fk_orphans")
+def _(s):
+    """G2 (11 edges)."""
+    return audit.fk_orphans(s.all())
+
+
+@register("leak_check")
+def _(s):
+    """G3."""
+    return audit.leak_check(s.sessions, s.purchases)
+
+
+@register("reconcile_counts")
+def _(s):
+    """A3 + A4: write the six tables, read them back, compare row counts."""
+    src = s.all()
+    dst = sinks.write_tables(src, sinks.scratch_table_dir(s.spark, "shop"))
+    return audit.reconcile_counts(src, dst)
+
+
+# --- result sets --------------------------------------------------------------
+@register("catalog")
+def _(s):
+    """F1."""
+    return res.catalog(product_stats_of(s), limit=20)
+
+
+@register("catalog_in_category")
+def _(s):
+    """F1 + B19 (category filter)."""
+    return res.catalog(product_stats_of(s), category="SMALL", limit=15)
+
+
+@register("top_viewed")
+def _(s):
+    """F2 (B21)."""
+    return res.top_viewed(product_stats_of(s))
+
+
+@register("leaky_products")
+def _(s):
+    """F3."""
+    return res.leaky_products(product_stats_of(s), min_views=MIN_VIEWS, n=10)
+
+
+@register("low_rated")
+def _(s):
+    """F4."""
+    return res.low_rated(product_stats_of(s), max_rating=3, min_views=MIN_VIEWS, n=10)
+
+
+@register("funnel_points")
+def _(s):
+    """F5 (B21)."""
+    return res.funnel_points(product_stats_of(s), min_views=MIN_VIEWS)
+
+
+@register("category_ranking")
+def _(s):
+    """F6."""
+    return res.category_ranking(agg.category_stats(product_stats_of(s)))
+
+
+@register("trend")
+def _(s):
+    """F7 (B21)."""
+    return res.trend(agg.monthly_trend(s.sessions, s.purchases))
+
+
+def overview_of(s):
+    return agg.overview(s.users, s.products, s.sessions, s.interactions, s.purchases,
+                        s.reviews)
+
+
+@register("rated_products")
+def _(s):
+    """F10."""
+    return res.rated_products(overview_of(s))
+
+
+@register("kpi_cards")
+def _(s):
+    """F15."""
+    return res.kpi_cards(overview_of(s))
+
+
+@register("insights")
+def _(s):
+    """F11 (data rows)."""
+    ps = product_stats_of(s)
+    return res.insights(overview_of(s), agg.category_stats(ps), ps, min_views=MIN_VIEWS)
+
+
+@register("product_view_bars")
+def _(s):
+    """E6 over the F1 table."""
+    return res.relative_to_max(res.catalog(product_stats_of(s), limit=15), "n_view",
+                               "view_bar")
+
+
+@register("category_shares")
+def _(s):
+    """Share of views and revenue per category."""
+    c = agg.category_stats(product_stats_of(s)).select("category", "views", "revenue")
+    c = res.share_of_total(c, "views", "view_share")
+    c = res.share_of_total(c, "revenue", "revenue_share")
+    return c.withColumns({"view_share": F.round("view_share", 9),
+                          "revenue_share": F.round("revenue_share", 9)})
+
+
+@register("option_lists")
+def _(s):
+    """B22."""
+    return res.option_lists(s.sessions, s.users)
+
+
+@register("cold_users")
+def _(s):
+    """C7."""
+    return res.cold_users(s.users, s.interactions)
+
+
+def _review_user_ids(s):
+    return s.reviews.select("user_id").distinct()
+
+
+@register("known_review_users")
+def _(s):
+    """reviewers' ids checked against users (semi join)."""
+    return res.known_ids(_review_user_ids(s), s.users)
+
+
+@register("unknown_review_users")
+def _(s):
+    """C8 side output (anti join)."""
+    return res.unknown_ids(_review_user_ids(s), s.users)
+
+
+@register("active_users")
+def _(s):
+    """D28."""
+    return res.active_users(s.interactions, min_events=12, n=8)
