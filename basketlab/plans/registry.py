@@ -403,3 +403,42 @@ def _(s):
 def _(s):
     """D28."""
     return res.active_users(s.interactions, min_events=12, n=8)
+
+
+# --- segmentation -------------------------------------------------------------
+from basketlab.operators import segmentation as seg  # noqa: E402
+from basketlab.sources.fixtures import LOYALTY_TIERS  # noqa: E402
+
+
+def user_features_of(s):
+    return seg.user_features(s.users, s.interactions, s.products, s.purchases, s.reviews,
+                             s.sessions)
+
+
+def tier_labels(s):
+    """Given labels for the label-driven operators: loyalty tier as 0..3."""
+    tiers = F.array(*[F.lit(t) for t in LOYALTY_TIERS])
+    return s.users.select("user_id", (F.array_position(tiers, F.col("loyalty_tier")) - 1)
+                          .cast("bigint").alias("cluster"))
+
+
+@register("user_features")
+def _(s):
+    """D16 (D3, D11–D15, C5, C6)."""
+    return user_features_of(s)
+
+
+@register("profile_by_loyalty_tier")
+def _(s):
+    """D29 + H20 on given labels (loyalty tier)."""
+    f = user_features_of(s)
+    prof = seg.segment_profiles(f, tier_labels(s))
+    return seg.name_segments(prof, seg.population_means(f))
+
+
+@register("silhouette_by_tier")
+def _(s):
+    """H17 on given labels: Euclidean silhouette of the standardized features,
+    labelled by loyalty tier, on the seeded 5,000-user sample."""
+    z = seg.standardize(user_features_of(s)).join(tier_labels(s), "user_id")
+    return seg.silhouette(seg.seeded_sample(z, size=seg.SILHOUETTE_SAMPLE))
