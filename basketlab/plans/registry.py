@@ -442,3 +442,130 @@ def _(s):
     labelled by loyalty tier, on the seeded 5,000-user sample."""
     z = seg.standardize(user_features_of(s)).join(tier_labels(s), "user_id")
     return seg.silhouette(seg.seeded_sample(z, size=seg.SILHOUETTE_SAMPLE))
+
+
+# --- conversion model -----------------------------------------------------------
+from basketlab.operators import conversion as conv  # noqa: E402
+
+# Forest size used by the registered jobs (the function defaults keep the
+# reference's 300 trees); one fitted run is reused by every model query of a
+# folder within a process ("load artifacts once").
+MODEL_TREES, MODEL_DEPTH = 100, 10
+_RUNS: dict = {}
+
+
+def session_features_of(s):
+    return agg.session_features(s.sessions, s.interactions, s.users)
+
+
+def conversion_run(s) -> conv.ConversionRun:
+    key = (id(s.spark), s.sf_dir)
+    if key not in _RUNS:
+        _RUNS[key] = conv.train_conversion(session_features_of(s), trees=MODEL_TREES,
+                                           max_depth=MODEL_DEPTH)
+    return _RUNS[key]
+
+
+REQUEST_FIELDS = ["n_view", "n_click", "n_add_to_cart", "n_remove_from_cart",
+                  "n_add_to_wishlist", "n_remove_from_wishlist", "n_products",
+                  "mean_dwell_ms", "max_dwell_ms", "duration_s", "hour", "day_of_week",
+                  "prior_sessions", "tenure_days", "age", "device_type", "referrer_source",
+                  "loyalty_tier", "income_level"]
+
+
+def request_rows(s):
+    """Each session's observable fields shaped like a scoring request (sessions
+    without interactions leave their counts missing)."""
+    return session_features_of(s).select("session_id", *REQUEST_FIELDS)
+
+
+@register("conversion_split")
+def _(s):
+    """H1 (B14): split sizes per class."""
+    d = conv.split(conv.model_input(session_features_of(s)))
+    return d.groupBy("is_test", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("class_weights")
+def _(s):
+    """H7."""
+    d = conv.split(conv.model_input(session_features_of(s)))
+    return conv.class_weights(d.where(~F.col("is_test")))
+
+
+@register("repaired_features")
+def _(s):
+    """H15 + B24 defaults on request-shaped rows."""
+    valid, _rejected = conv.validate_sessions(request_rows(s))
+    return conv.repair_features(valid)
+
+
+@register("feature_row_validation")
+def _(s):
+    """Valid vs rejected request rows."""
+    valid, rejected = conv.validate_sessions(request_rows(s))
+    return (valid.select(F.lit("valid").alias("status"))
+            .unionByName(rejected.select(F.lit("rejected").alias("status")))
+            .groupBy("status").agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("feature_labels")
+def _(s):
+    """B23 over the model's input names (numeric names and one-hot names built
+    from the categorical values present in the data)."""
+    sf = session_features_of(s)
+    onehot = None
+    for c in conv.CATEGORICAL:
+        part = sf.select(F.concat(F.lit(c + "_"), F.col(c)).alias("feature")).where(
+            F.col(c).isNotNull())
+        onehot = part if onehot is None else onehot.unionByName(part)
+    numeric = s.spark.createDataFrame([(c,) for c in conv.NUMERIC], "feature string")
+    names = onehot.unionByName(numeric).distinct()
+    return names.select("feature", conv.feature_label("feature").alias("label"))
+
+
+@register("conversion_metrics")
+def _(s):
+    """Contenders and ablation on the held-out split."""
+    return conv.metrics_table(conversion_run(s))
+
+
+@register("classification_report")
+def _(s):
+    """H8: per-class scorecard of the chosen model."""
+    r = conversion_run(s)
+    return conv.classification_report(conv.confusion(conv.scored(r.best_model, r.test)))
+
+
+@register("roc_points")
+def _(s):
+    """H9: every 5th ROC point of the chosen model."""
+    r = conversion_run(s)
+    return conv.roc_points(conv.scored(r.best_model, r.test))
+
+
+@register("feature_importance")
+def _(s):
+    """Top 15 importances of the chosen model, with labels."""
+    r = conversion_run(s)
+    imp = conv.importances(r.best_model, r.train)
+    return (imp.where(F.col("rank") <= 15)
+            .withColumn("label", conv.feature_label("feature")))
+
+
+@register("conversion_scores")
+def _(s):
+    """H13 (+ H15): batch scoring of every session's repaired request row."""
+    r = conversion_run(s)
+    valid, _ = conv.validate_sessions(request_rows(s))
+    return conv.score_sessions(conv.repair_features(valid), r.best_model, r.base_rate,
+                               r.best_name)
+
+
+@register("top_factors")
+def _(s):
+    """Five global factors with each session's values."""
+    r = conversion_run(s)
+    imp = conv.importances(r.best_model, r.train)
+    valid, _ = conv.validate_sessions(request_rows(s))
+    return conv.top_factors(conv.repair_features(valid), imp)
