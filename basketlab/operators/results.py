@@ -208,3 +208,75 @@ def insights(ov: DataFrame, cstats: DataFrame, pstats: DataFrame,
         F.lit(3).alias("position"), F.lit("funnel_leak").alias("kind"),
         F.lit("High-traffic products converting near zero").alias("headline"), "detail")
     return conv.unionByName(cat).unionByName(leak)
+
+
+def recommendation_bundle(recs: DataFrame, history: DataFrame, segments: DataFrame) -> DataFrame:
+    """per user, the ordered recommendation list, history list (both at most
+    n entries) and segment name, as one row."""
+    r = recs.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(
+        "rank", "product_id", "product_name", "score", "reason"))).alias("recommendations"),
+        F.first("strategy").alias("strategy"))
+    h = history.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(
+        "rank", "product_id", "product_name", "weight"))).alias("history"))
+    seg = segments.select("user_id", F.col("name").alias("segment"))
+    return r.join(h, "user_id", "left").join(seg, "user_id", "left")
+
+
+def model_insights(metrics: DataFrame, segments: DataFrame) -> DataFrame:
+    """F11, model rows: the cart-signal finding and, when present, the Heavy
+    Browsers segment (fixed templates over one-row inputs)."""
+    best = metrics.where(F.col("chosen")).select(
+        F.col("roc_auc").alias("auc"), F.col("f1").alias("f1"))
+    abl = metrics.where(F.col("role") == "ablation").select(F.col("f1").alias("abl_f1"))
+    model = best.join(abl, how="inner", on=F.lit(True)).select(
+        F.lit(4).alias("position"), F.lit("model").alias("kind"),
+        F.concat(F.lit("Cart activity drives conversion prediction (ROC-AUC "),
+                 F.format_string("%.3f", "auc"), F.lit(")")).alias("headline"),
+        F.concat(F.lit("Removing cart features drops F1 from "), F.format_string("%.3f", "f1"),
+                 F.lit(" to "), F.format_string("%.3f", "abl_f1"),
+                 F.lit(" — the signal is concentrated in add-to-cart behaviour.")).alias("detail"))
+    hb = segments.where(F.col("name") == "Heavy Browsers").limit(1).select(
+        F.lit(5).alias("position"), F.lit("segment").alias("kind"),
+        F.concat(F.format_number("size", 0), F.lit(" users are Heavy Browsers ("),
+                 F.format_string("%.1f%%", F.col("share") * 100), F.lit(" of base)"))
+        .alias("headline"),
+        F.concat(F.lit("They average "), F.format_string("%.1f", "n_views"),
+                 F.lit(" views but only "), F.format_string("%.2f", "n_purchases"),
+                 F.lit(" purchases — the largest untapped conversion pool.")).alias("detail"))
+    return model.unionByName(hb)
+
+
+def model_report(metrics: DataFrame, importances: DataFrame, density: DataFrame,
+                 coverage: DataFrame) -> DataFrame:
+    """F14 as a long (section, item, value, label) table: full vs ablated
+    metrics, right/wrong totals, top-12 importances, recommender coverage."""
+    rows = []
+    for role, section in [("contender", "full"), ("ablation", "ablated")]:
+        src = metrics.where(F.col("chosen")) if role == "contender" else metrics.where(
+            F.col("role") == "ablation")
+        for m in ["roc_auc", "precision", "recall", "f1"]:
+            rows.append(src.select(F.lit(section).alias("section"), F.lit(m).alias("item"),
+                                   F.col(m).cast("double").alias("value"),
+                                   F.col("name").alias("label")))
+    best = metrics.where(F.col("chosen"))
+    rows.append(best.select(F.lit("matrix").alias("section"), F.lit("right").alias("item"),
+                            (F.col("tn") + F.col("tp")).cast("double").alias("value"),
+                            F.lit("correct predictions").alias("label")))
+    rows.append(best.select(F.lit("matrix").alias("section"), F.lit("wrong").alias("item"),
+                            (F.col("fp") + F.col("fn")).cast("double").alias("value"),
+                            F.lit("wrong predictions").alias("label")))
+    rows.append(importances.where(F.col("rank") <= 12).select(
+        F.lit("importance").alias("section"), F.col("feature").alias("item"),
+        F.col("importance").alias("value"), F.col("label")))
+    rows.append(density.select(F.lit("coverage").alias("section"),
+                               F.lit("users_with_history").alias("item"),
+                               F.col("n_users").cast("double").alias("value"),
+                               F.lit("users in the matrix").alias("label")))
+    rows.append(coverage.select(F.lit("coverage").alias("section"),
+                                F.lit("catalog_share").alias("item"),
+                                F.col("catalog_share").alias("value"),
+                                F.lit("catalog reachable in top-10 lists").alias("label")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out

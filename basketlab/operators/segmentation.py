@@ -163,15 +163,20 @@ def silhouette(points: DataFrame, label: str = "cluster", features: str = "featu
 
 # H16 / H18 / H19 ---------------------------------------------------------------
 def fit_best_of(data: DataFrame, k: int, restarts: int = 10, seed: int = 42,
-                max_iter: int = 100):
-    best = None
-    for r in range(restarts):
+                max_iter: int = 100, parallel: int = 4):
+    """Best (least training cost) of ``restarts`` seeded k-means fits. Fits are
+    independent Spark jobs, submitted from a small thread pool so they share the
+    cluster; each fit is itself distributed."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def fit(r):
         m = KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="features",
                    predictionCol="cluster").fit(data)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (m, cost)
-    return best
+        return m, m.summary.trainingCost
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, restarts))) as pool:
+        fits = list(pool.map(fit, range(restarts)))
+    return min(fits, key=lambda mc: mc[1])
 
 
 def k_sweep(scaled: DataFrame, ks=K_RANGE, restarts: int = 10, seed: int = 42,

@@ -569,3 +569,89 @@ def _(s):
     imp = conv.importances(r.best_model, r.train)
     valid, _ = conv.validate_sessions(request_rows(s))
     return conv.top_factors(conv.repair_features(valid), imp)
+
+
+# --- segmentation model --------------------------------------------------------
+# Restarts per k for the registered jobs (function default: 10, the reference's).
+SEG_RESTARTS = 4
+_SEG: dict = {}
+
+
+class SegmentationRun:
+    def __init__(self, s: Shop):
+        self.features = materialize(user_features_of(s))
+        self.scaled = seg.standardize(self.features).cache()
+        self.sweep, self.models = seg.k_sweep(self.scaled, restarts=SEG_RESTARTS)
+        self.choice = seg.choose_k(self.sweep).first()
+        model = self.models[self.choice["k"]]
+        self.assign = model.transform(self.scaled).select("user_id", "cluster").cache()
+        prof = seg.segment_profiles(self.features, self.assign)
+        self.segments = seg.name_segments(prof, seg.population_means(self.features)).cache()
+
+
+def segmentation_run(s) -> SegmentationRun:
+    key = (id(s.spark), s.sf_dir)
+    if key not in _SEG:
+        _SEG[key] = SegmentationRun(s)
+    return _SEG[key]
+
+
+@register("segment_sweep")
+def _(s):
+    """Inertia and silhouette per k, chosen and rejected flags."""
+    r = segmentation_run(s)
+    return r.sweep.select(
+        "k", "inertia", "silhouette",
+        (F.col("k") == F.lit(r.choice["k"])).alias("chosen"),
+        ((F.col("k") == F.lit(r.choice["global_k"])) & F.lit(r.choice["global_rejected"]))
+        .alias("rejected"))
+
+
+@register("segments")
+def _(s):
+    """Named segments by size."""
+    return segmentation_run(s).segments.orderBy(F.col("size").desc(), "cluster")
+
+
+@register("user_segments")
+def _(s):
+    """Every user's segment record."""
+    r = segmentation_run(s)
+    return seg.user_segments(r.assign, r.segments.select("cluster", "name", "description",
+                                                         "size", "share"))
+
+
+@register("segment_radar")
+def _(s):
+    """Radar axes divided by their maximum over segments."""
+    return seg.radar(segmentation_run(s).segments)
+
+
+@register("model_insights")
+def _(s):
+    """F11, model rows (needs both trained models)."""
+    return res.model_insights(conv.metrics_table(conversion_run(s)),
+                              segmentation_run(s).segments)
+
+
+@register("model_report")
+def _(s):
+    """F14."""
+    r = conversion_run(s)
+    m = RecoModel(s)
+    sample = rec.coverage_sample(m.ui, 500)
+    recs10 = rec.recommend_all(sample, m.ui, m.neighbors, m.best, s.products, n=10)
+    return res.model_report(conv.metrics_table(r), conv.importances(r.best_model, r.train)
+                            .withColumn("label", conv.feature_label("feature")),
+                            rec.matrix_density(m.ui, s.products),
+                            rec.catalog_coverage(recs10, sample, s.products))
+
+
+@register("recommendation_bundle")
+def _(s):
+    """recommendations + history + segment per user."""
+    m = RecoModel(s)
+    recs = rec.recommend_all(s.users, m.ui, m.neighbors, m.best, s.products, n=5)
+    hist = rec.user_history(m.ui, s.products)
+    segs = seg.user_segments(segmentation_run(s).assign, segmentation_run(s).segments)
+    return res.recommendation_bundle(recs, hist, segs)
