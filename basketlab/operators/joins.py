@@ -20,9 +20,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return F.broadcast(df) if n <= max_rows else df
 
 
-def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the cluster's checkpoint folder: cuts lineage for a
-    frame reused several times, and survives executor loss (never a local
-    checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def materialize(df: DataFrame, name: str = "frame") -> DataFrame:
+    """Cut lineage by writing the frame as a Parquet table into the cluster's
+    checkpoint folder (shared storage, survives executor loss; never a local
+    checkpoint) and reading it back. One computation, columnar storage, and the
+    planner gets real file-size statistics for its join choices."""
+    import uuid
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

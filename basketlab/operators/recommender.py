@@ -152,25 +152,39 @@ def bestsellers(pstats: DataFrame, n: int = BESTSELLERS_N) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
-# C10 / C11 / E4 --------------------------------------------------------------
+# C10 / C11 ------------------------------------------------------------------
+def _neighbor_side(neighbors: DataFrame) -> DataFrame:
+    return broadcast_if_small(neighbors.select(F.col("item").alias("product_id"),
+                                               F.col("neighbor").alias("rec_id"), "sim"))
+
+
 def score_candidates(ui: DataFrame, neighbors: DataFrame) -> DataFrame:
     """score(u, j) = Σ_i w_ui · sim(i, j) over the user's items i whose top-k
     neighbour list holds j; items the user already engaged with are excluded.
-    ``seed_id`` is the user's item contributing most (smallest id on ties)."""
-    nb = broadcast_if_small(neighbors.select(F.col("item").alias("product_id"),
-                                             "neighbor", "sim"))
-    contrib = (ui.join(nb, "product_id")
-               .select("user_id", "neighbor", "product_id",
-                       (F.col("w") * F.col("sim")).alias("c")))
-    scored = (contrib.groupBy("user_id", F.col("neighbor").alias("rec_id"))
-              .agg(F.round(F.sum("c"), 9).alias("score"),
-                   F.min_by("product_id", F.struct((-F.col("c")).alias("nc"),
-                                                   F.col("product_id"))).alias("seed_id")))
+    Fan-out is at most k rows per (user, item); the sum is a hash aggregate with
+    map-side combine, keyed by (user, candidate) so a hot user spreads over
+    candidates."""
+    contrib = ui.join(_neighbor_side(neighbors), "product_id")
+    scored = (contrib.groupBy("user_id", "rec_id")
+              .agg(F.round(F.sum(F.col("w") * F.col("sim")), 9).alias("score")))
     seen = ui.select("user_id", F.col("product_id").alias("rec_id"))
     return (scored.join(seen, ["user_id", "rec_id"], "left_anti")
             .where(F.col("score") > 0))
 
 
+# E4 --------------------------------------------------------------------------
+def seed_items(pairs: DataFrame, ui: DataFrame, neighbors: DataFrame) -> DataFrame:
+    """For each (user_id, rec_id) pair, the user's item contributing most to the
+    score (largest w·sim; the smallest id on exact ties). Computed only for the
+    pairs asked for (the final top-n lists), so the struct-ordered aggregate sees
+    n x |items of the user| rows per user instead of every candidate."""
+    x = (pairs.select("user_id", "rec_id").join(ui, "user_id")
+         .join(_neighbor_side(neighbors), ["product_id", "rec_id"]))
+    c = F.col("w") * F.col("sim")
+    return x.groupBy("user_id", "rec_id").agg(
+        F.min_by("product_id", F.struct((-c).alias("nc"), F.col("product_id"))).alias("seed_id"))
+
+
 # F9 (C12, C13, E3, B26) -------------------------------------------------------
 def recommend_all(users: DataFrame, ui: DataFrame, neighbors: DataFrame,
                   best: DataFrame, products: DataFrame, n: int = 5) -> DataFrame:
@@ -178,6 +192,7 @@ def recommend_all(users: DataFrame, ui: DataFrame, neighbors: DataFrame,
     scores above 0, otherwise the bestseller list (with the reason why)."""
     cand = score_candidates(ui, neighbors).join(users.select("user_id"), "user_id", "left_semi")
     cf = top_n_per(cand, "user_id", [F.col("score").desc(), F.col("rec_id").asc()], n)
+    cf = cf.join(seed_items(cf, ui, neighbors), ["user_id", "rec_id"], "left")
     names = broadcast_if_small(products.select(F.col("product_id").alias("seed_id"),
                                                F.col("product_name").alias("seed_name")))
     cf_rows = (cf.join(names, "seed_id", "left")

@@ -97,7 +97,7 @@ ORACLE = {
     "item_similarity": q("SELECT * FROM sims"),
     "top_neighbors": q("SELECT item, neighbor, sim, rank FROM nbrs"),
     "bestsellers": q("SELECT * FROM best"),
-    "score_candidates": q("SELECT user_id, rec_id, score, seed_id FROM cand"),
+    "score_candidates": q("SELECT user_id, rec_id, score FROM cand"),
     "recommendations": q("SELECT * FROM recs",
                          reco_sql(5, "SELECT user_id FROM fx_users")),
     "user_history": q("""

@@ -105,8 +105,9 @@ class RecoModel:
 
     def __init__(self, s: Shop):
         self.shop = s
-        self.ui = materialize(rec.user_item_weights(s.interactions, s.purchases))
-        self.neighbors = materialize(rec.top_neighbors(rec.item_similarity(self.ui)))
+        self.ui = materialize(rec.user_item_weights(s.interactions, s.purchases), "ui")
+        self.neighbors = materialize(rec.top_neighbors(rec.item_similarity(self.ui)),
+                                     "neighbors")
         self.best = rec.bestsellers(product_stats_of(s))
 
 
@@ -156,7 +157,7 @@ def _(s):
 
 @register("score_candidates")
 def _(s):
-    """C10, C11, E4."""
+    """C10, C11."""
     m = RecoModel(s)
     return rec.score_candidates(m.ui, m.neighbors)
 
