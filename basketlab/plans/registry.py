@@ -656,3 +656,112 @@ def _(s):
     hist = rec.user_history(m.ui, s.products)
     segs = seg.user_segments(segmentation_run(s).assign, segmentation_run(s).segments)
     return res.recommendation_bundle(recs, hist, segs)
+
+
+# --- sources, sinks, streaming, scalar functions --------------------------------
+from basketlab.functions import scalars as fn  # noqa: E402
+from basketlab.sources import raw as raw_src  # noqa: E402
+from basketlab.streaming import scoring as stream_scoring  # noqa: E402
+
+DATE_OF = {"users": "signup_date", "sessions": "start_time", "interactions": "timestamp",
+           "purchases": "order_date", "reviews": "review_date"}
+
+
+@register("csv_roundtrip")
+def _(s):
+    """A1 (+ B1): export the tables as CSV with timestamps as text, read them back
+    with explicit schemas, clean, and report rows and time span per table."""
+    folder = sinks.scratch_table_dir(s.spark, "csv")
+    tables = {n: df for n, df in s.all().items() if n in DATE_OF}
+    text = {n: df.withColumn(DATE_OF[n], F.date_format(DATE_OF[n], "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+            for n, df in tables.items()}
+    raw_src.write_csv(text, folder)
+    schemas = {n: [(f.name, T_STRING if f.name == DATE_OF[n] else f.dataType)
+                   for f in df.schema.fields] for n, df in tables.items()}
+    back = raw_src.clean_tables(raw_src.read_raw(s.spark, folder, schemas))
+    parts = [df.agg(F.count(F.lit(1)).alias("rows"), F.min(DATE_OF[n]).alias("first_ts"),
+                    F.max(DATE_OF[n]).alias("last_ts")).select(F.lit(n).alias("table"), "*")
+             for n, df in back.items()]
+    return audit.union_all(parts)
+
+
+from pyspark.sql.types import StringType as _StringType  # noqa: E402
+
+T_STRING = _StringType()
+
+
+@register("streamed_scores")
+def _(s):
+    """H13 on a stream: request rows land as Parquet files, a Structured Streaming
+    query (availableNow trigger, checkpointed) scores them into a Parquet sink."""
+    r = conversion_run(s)
+    base = sinks.scratch_table_dir(s.spark, "stream")
+    rows = request_rows(s)
+    rows.repartition(4).write.mode("overwrite").parquet(f"{base}/in")
+    q = stream_scoring.start_scoring(s.spark, f"{base}/in", rows.schema, r.best_model,
+                                     r.base_rate, r.best_name, f"{base}/out",
+                                     f"{base}/checkpoint")
+    q.awaitTermination()
+    return s.spark.read.parquet(f"{base}/out")
+
+
+@register("persisted_model_scores")
+def _(s):
+    """A5 + A6: save the chosen pipeline and the metrics document, reload the
+    pipeline, and score every session with the reloaded model."""
+    r = conversion_run(s)
+    base = sinks.scratch_table_dir(s.spark, "models")
+    sinks.save_pipeline(r.best_model, f"{base}/conversion")
+    sinks.write_metrics(conv.metrics_table(r), f"{base}/conversion_metrics")
+    model = sinks.load_pipeline(f"{base}/conversion")
+    valid, _ = conv.validate_sessions(request_rows(s))
+    return conv.score_sessions(conv.repair_features(valid), model, r.base_rate, r.best_name)
+
+
+@register("text_functions")
+def _(s):
+    """B4, B6, B21 (short names), B25 (trim) over product names."""
+    p = s.products
+    return p.select("product_id", fn.first_line("product_name", 180).alias("blurb"),
+                    fn.truncate("product_name", 6).alias("name_6"),
+                    fn.short_name("product_name", 22).alias("name_22"),
+                    fn.short_name("product_name", 34).alias("name_34"),
+                    F.trim(F.concat(F.lit("  "), F.col("brand"), F.lit(" "))).alias("brand_key"))
+
+
+@register("time_functions")
+def _(s):
+    """B1 (text -> timestamp, floored), B10, B11, B12, B21 month key over sessions."""
+    text = F.date_format("start_time", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return s.sessions.join(s.users.select("user_id", "signup_date"), "user_id", "left").select(
+        "session_id", fn.parse_ts(text).alias("parsed"), fn.month_key("start_time").alias("month"),
+        fn.hour_of("start_time").alias("hour"), fn.day_of_week("start_time").alias("dow"),
+        fn.is_weekend(fn.day_of_week("start_time")).alias("weekend"),
+        fn.seconds_between("signup_date", "start_time").alias("secs_since_signup"),
+        fn.tenure_days("start_time", "signup_date").alias("tenure_days"))
+
+
+@register("numeric_functions")
+def _(s):
+    """B9, B14, B15, B17, B18 over interactions."""
+    i = s.interactions
+    w = fn.event_weight("interaction_type")
+    return i.select("interaction_id", w.alias("weight"),
+                    fn.clip_low(w, 0.0).alias("weight_clipped"),
+                    fn.to_number("interaction_type").alias("type_as_number"),
+                    fn.clip(F.floor(F.col("dwell_time_ms") / 60000), 0, 4).cast("bigint")
+                    .alias("dwell_bucket"),
+                    fn.safe_ratio("dwell_time_ms", F.col("dwell_time_ms") - 500)
+                    .alias("dwell_ratio"))
+
+
+@register("review_functions")
+def _(s):
+    """B3, B7, B13, B16, B21 (percent) over reviews."""
+    r = s.reviews
+    return r.select("user_id", "product_id", "purchase_id", "rating",
+                    fn.is_verified("purchase_id").alias("is_verified"),
+                    fn.flag(F.col("rating") >= 4).alias("is_positive"),
+                    fn.net("rating", F.lit(3)).alias("rating_vs_mid"),
+                    fn.pct(F.col("rating") / 5.0, 1).alias("rating_pct"),
+                    F.lit("purchase").alias("tag"))
