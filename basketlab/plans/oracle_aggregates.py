@@ -26,7 +26,8 @@ EXTRA = {
          p.review_count, p.stock_quantity,
          {zero_filled(N_COLS + ['n_purchases', 'units_sold'])},
          coalesce(pc.revenue, 0.0) AS revenue,
-         CAST(pc.n_purchases AS DOUBLE) / CAST(nullif(coalesce(ic.n_view, 0), 0) AS DOUBLE)
+         CAST(coalesce(pc.n_purchases, 0) AS DOUBLE)
+           / CAST(nullif(coalesce(ic.n_view, 0), 0) AS DOUBLE)
            AS view_to_purchase
   FROM fx_products p
   LEFT JOIN (SELECT product_id, {type_counts_sql()} FROM fx_interactions

@@ -275,9 +275,9 @@ FROM (SELECT category, revenue FROM category_stats
       WHERE view_to_purchase IS NOT NULL ORDER BY view_to_purchase, category LIMIT 1) w
 UNION ALL
 SELECT 3, 'funnel_leak', 'High-traffic products converting near zero',
-       string_agg(product_name || ' (' || format('{{:,}}', n_view) || ' views → ' ||
-                  CAST(n_purchases AS VARCHAR) || ' purchases)', '; '
-                  ORDER BY view_to_purchase, product_id)
+       coalesce(string_agg(product_name || ' (' || format('{{:,}}', n_view) || ' views → ' ||
+                           CAST(n_purchases AS VARCHAR) || ' purchases)', '; '
+                           ORDER BY view_to_purchase, product_id), '')
 FROM ({LEAKY.format(mv=MIN_VIEWS, n=3)})""", "category_stats", "overview_row"),
     "product_view_bars": q(f"""
 SELECT *, round(n_view / coalesce(nullif(max(n_view) OVER (), 0), 1) * 100, 1) AS view_bar
