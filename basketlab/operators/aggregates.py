@@ -157,13 +157,30 @@ def session_interaction_stats(interactions: DataFrame) -> DataFrame:
                 F.max("timestamp").alias("last_ts")))
 
 
-def with_prior_sessions(sessions: DataFrame) -> DataFrame:
+def with_prior_sessions(sessions: DataFrame, bucket: str = "hour") -> DataFrame:
     """Number of the user's earlier sessions (time order, session_id breaks ties)
-    and the returning flag."""
-    w = Window.partitionBy("user_id").orderBy("start_time", "session_id")
-    prior = (F.row_number().over(w) - 1).cast("bigint")
-    return (sessions.withColumn("prior_sessions", prior)
-            .withColumn("is_returning", flag(F.col("prior_sessions") > 0)))
+    and the returning flag.
+
+    Skew-safe two-level rank: a single window over ``user_id`` would put a bot-like
+    user's whole history into one task. Instead sessions are numbered within
+    (user, time bucket) groups, and each bucket's offset is the count of the user's
+    sessions in earlier buckets, from a window over the small per-(user, bucket)
+    count table (one row per active bucket). The big window and the offset join
+    share the (user_id, bucket) partitioning, so the sessions are shuffled once."""
+    b = F.date_trunc(bucket, F.col("start_time"))
+    s = sessions.withColumn("_b", b)
+    counts = s.groupBy("user_id", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    w_off = (Window.partitionBy("user_id").orderBy("_b")
+             .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("user_id", "_b",
+                            F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
+    w_local = Window.partitionBy("user_id", "_b").orderBy("start_time", "session_id")
+    local = s.withColumn("_rn", F.row_number().over(w_local))
+    out = local.join(offsets, ["user_id", "_b"], "left")
+    prior = (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_rn") - 1).cast("bigint")
+    return (out.withColumn("prior_sessions", prior)
+            .withColumn("is_returning", flag(F.col("prior_sessions") > 0))
+            .drop("_b", "_rn", "_off"))
 
 
 SESSION_FEATURE_COLS = [

@@ -219,11 +219,12 @@ def classification_report(cm: DataFrame) -> DataFrame:
 
 
 # H9 --------------------------------------------------------------------------
-def roc_points(scored_df: DataFrame, step: int = 5) -> DataFrame:
-    """ROC curve points (one per distinct score threshold, descending), every
-    ``step``-th kept. Cumulative counts come from a window over the distinct
-    thresholds of the test set."""
-    per_t = scored_df.groupBy(F.col("p").alias("t")).agg(
+def roc_points(scored_df: DataFrame, step: int = 5, bins: int = 10000) -> DataFrame:
+    """ROC curve points, every ``step``-th kept. Scores are snapped to a grid of
+    ``bins`` thresholds first (as MLlib's binary metrics do), so the cumulative
+    window runs over at most ``bins`` + 1 rows whatever the size of the test set."""
+    t = F.floor(F.col("p") * bins) / bins
+    per_t = scored_df.groupBy(t.alias("t")).agg(
         F.count_if(F.col("label") == 1).alias("pos"),
         F.count_if(F.col("label") == 0).alias("neg"))
     w = Window.orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, 0)

@@ -21,6 +21,21 @@ DEFAULT_CONF = {
 }
 
 
+# Starting points for a large cluster (100 TB inputs): big initial shuffle
+# partition count that AQE coalesces to ~256 MB per task, 256 MB scan splits,
+# runtime broadcast only under a measured 64 MB, skew splitting of any shuffle
+# partition 5x the median and above 512 MB.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.parquet.filterPushdown": "true",
+}
+
+
 def build_session(master: str | None = None, app: str = "basketlab",
                   shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:

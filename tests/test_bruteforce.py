@@ -115,3 +115,20 @@ def test_kmeans_restarts_keep_least_cost(spark):
     df = spark.createDataFrame([(i, Vectors.dense(p)) for i, p in enumerate(pts)], schema)
     model, cost = seg.fit_best_of(df, 2, restarts=3)
     assert cost < 1.0 and F is not None
+
+
+def test_prior_sessions_two_level_rank_matches_plain_rank(spark):
+    import datetime as dt
+    from basketlab.operators.aggregates import with_prior_sessions
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(300):
+        user = 0 if k < 200 else int(rng.integers(1, 5))  # user 0 is the hot one
+        minute = int(rng.integers(0, 60 * 30))            # spans many hour buckets
+        rows.append((f"s{k:03d}", user, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute)))
+    df = spark.createDataFrame(rows, "session_id string, user_id long, start_time timestamp")
+    got = {r.session_id: r.prior_sessions for r in with_prior_sessions(df).collect()}
+    pdf = pd.DataFrame(rows, columns=["session_id", "user_id", "start_time"])
+    pdf = pdf.sort_values(["user_id", "start_time", "session_id"])
+    pdf["want"] = pdf.groupby("user_id").cumcount()
+    assert got == dict(zip(pdf.session_id, pdf.want))
