@@ -65,19 +65,61 @@ def item_norms(ui: DataFrame) -> DataFrame:
 
 
 # C9 --------------------------------------------------------------------------
-def _block_counts(ui: DataFrame, items_per_block: int, users_per_block: int):
-    stats = ui.agg(F.approx_count_distinct("product_id").alias("i"),
-                   F.approx_count_distinct("user_id").alias("u")).first()
-    nbi = max(1, math.ceil((stats["i"] or 0) / items_per_block))
-    nbu = max(1, math.ceil((stats["u"] or 0) / users_per_block))
+CELL_ROWS = 2_000_000    # rows of one cogroup cell (both sides), held by one task
+USER_CHUNK = 4096        # users per dense product inside a cell
+
+
+def _block_counts(ui: DataFrame, items_per_block: int, cell_rows: int):
+    """Item blocks from the catalog size; user blocks so a cell holds about
+    ``cell_rows`` rows, and at least one cell per core."""
+    stats = ui.agg(F.count(F.lit(1)).alias("nnz"),
+                   F.approx_count_distinct("product_id").alias("i")).first()
+    nnz, n_items = stats["nnz"] or 0, stats["i"] or 0
+    nbi = max(1, math.ceil(n_items / items_per_block))
+    pairs = nbi * (nbi + 1) // 2
+    par = ui.sparkSession.sparkContext.defaultParallelism
+    nbu = max(1, math.ceil(2 * nnz / (nbi * cell_rows)), math.ceil(par / pairs))
     return nbi, nbu
 
 
+def _cell_gram(key, lpdf: pd.DataFrame, rpdf: pd.DataFrame,
+               user_chunk: int = USER_CHUNK) -> pd.DataFrame:
+    """Partial Gram block of one (user block, item block p, item block q) cell:
+    dense products over chunks of users, accumulated into |items_p| x |items_q|."""
+    if lpdf.empty or rpdf.empty:
+        return pd.DataFrame({"item": lpdf.product_id.iloc[:0],
+                             "neighbor": lpdf.product_id.iloc[:0], "dot": np.zeros(0)})
+    li, litems = pd.factorize(lpdf.product_id)
+    ri, ritems = pd.factorize(rpdf.product_id)
+    users = pd.Index(pd.unique(np.concatenate([lpdf.user_id.to_numpy(),
+                                               rpdf.user_id.to_numpy()])))
+    lu, ru = users.get_indexer(lpdf.user_id), users.get_indexer(rpdf.user_id)
+    lw, rw = lpdf.w.to_numpy(), rpdf.w.to_numpy()
+    g = np.zeros((len(litems), len(ritems)))
+    for lo in range(0, len(users), user_chunk):
+        hi = min(lo + user_chunk, len(users))
+        lm, rm = (lu >= lo) & (lu < hi), (ru >= lo) & (ru < hi)
+        if not lm.any() or not rm.any():
+            continue
+        a = np.zeros((hi - lo, len(litems)))
+        b = np.zeros((hi - lo, len(ritems)))
+        np.add.at(a, (lu[lm] - lo, li[lm]), lw[lm])
+        np.add.at(b, (ru[rm] - lo, ri[rm]), rw[rm])
+        g += a.T @ b
+    ii, jj = np.nonzero(g)
+    out = pd.DataFrame({"item": np.asarray(litems)[ii], "neighbor": np.asarray(ritems)[jj],
+                        "dot": g[ii, jj]})
+    if key[1] == key[2]:
+        return out[out["item"] != out["neighbor"]]
+    mirror = out.rename(columns={"item": "neighbor", "neighbor": "item"})
+    return pd.concat([out, mirror[["item", "neighbor", "dot"]]], ignore_index=True)
+
+
 def item_cooccurrence(ui: DataFrame, items_per_block: int = 512,
-                      users_per_block: int = 2048) -> DataFrame:
+                      cell_rows: int = CELL_ROWS, user_chunk: int = USER_CHUNK) -> DataFrame:
     """Σ_u w_ui · w_uj for every item pair i != j sharing a user, as
     ``(item, neighbor, dot)`` (both directions)."""
-    nbi, nbu = _block_counts(ui, items_per_block, users_per_block)
+    nbi, nbu = _block_counts(ui, items_per_block, cell_rows)
     key_t = ui.schema["product_id"].dataType.simpleString()
     cells = ui.select(
         "user_id", "product_id", F.col("w").cast("double").alias("w"),
@@ -88,33 +130,10 @@ def item_cooccurrence(ui: DataFrame, items_per_block: int = 512,
             .withColumnRenamed("ib", "p"))
     right = (cells.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("ib"))))
              .withColumnRenamed("ib", "q"))
-
-    def gram(key, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"item": lpdf.product_id.iloc[:0], "neighbor":
-                              lpdf.product_id.iloc[:0], "dot": np.zeros(0)})
-        if lpdf.empty or rpdf.empty:
-            return empty
-        same_block = key[1] == key[2]
-        users = pd.Index(pd.unique(np.concatenate([lpdf.user_id.to_numpy(),
-                                                   rpdf.user_id.to_numpy()])))
-        li, litems = pd.factorize(lpdf.product_id)
-        ri, ritems = pd.factorize(rpdf.product_id)
-        a = np.zeros((len(users), len(litems)))
-        b = np.zeros((len(users), len(ritems)))
-        np.add.at(a, (users.get_indexer(lpdf.user_id), li), lpdf.w.to_numpy())
-        np.add.at(b, (users.get_indexer(rpdf.user_id), ri), rpdf.w.to_numpy())
-        g = a.T @ b
-        ii, jj = np.nonzero(g)
-        out = pd.DataFrame({"item": np.asarray(litems)[ii],
-                            "neighbor": np.asarray(ritems)[jj], "dot": g[ii, jj]})
-        if same_block:
-            return out[out["item"] != out["neighbor"]]
-        mirror = out.rename(columns={"item": "neighbor", "neighbor": "item"})
-        return pd.concat([out, mirror[["item", "neighbor", "dot"]]], ignore_index=True)
-
     partial = (left.groupBy("ub", "p", "q")
                .cogroup(right.groupBy("ub", "p", "q"))
-               .applyInPandas(gram, schema=f"item {key_t}, neighbor {key_t}, dot double"))
+               .applyInPandas(lambda k, a, b: _cell_gram(k, a, b, user_chunk),
+                              schema=f"item {key_t}, neighbor {key_t}, dot double"))
     return partial.groupBy("item", "neighbor").agg(F.sum("dot").alias("dot"))
 
 

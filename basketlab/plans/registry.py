@@ -99,9 +99,10 @@ from basketlab.operators import recommender as rec  # noqa: E402
 from basketlab.operators.joins import materialize  # noqa: E402
 
 
-class RecoModel:
+class _RecoModel:
     """The three recommender tables (weights, neighbours, bestsellers) of one
-    folder; weights and neighbours are checkpointed since every job reuses them."""
+    folder; weights and neighbours are written as Parquet since every job reuses
+    them. Trained once per folder and process, like a loaded model artifact."""
 
     def __init__(self, s: Shop):
         self.shop = s
@@ -111,6 +112,16 @@ class RecoModel:
         self.best = rec.bestsellers(product_stats_of(s))
 
 
+_RECO: dict = {}
+
+
+def RecoModel(s: Shop) -> _RecoModel:  # noqa: N802
+    key = (id(s.spark), s.sf_dir)
+    if key not in _RECO:
+        _RECO[key] = _RecoModel(s)
+    return _RECO[key]
+
+
 @register("feedback_events")
 def _(s):
     """G1, B16."""

@@ -22,7 +22,7 @@ def test_blocked_cooccurrence_equals_self_join(spark):
     rng = np.random.default_rng(7)
     sdf, pdf = _ui(spark, rng)
     # tiny blocks force several user and item blocks, including p < q cells
-    got = rec.item_cooccurrence(sdf, items_per_block=2, users_per_block=3).toPandas()
+    got = rec.item_cooccurrence(sdf, items_per_block=2, cell_rows=20).toPandas()
     j = pdf.merge(pdf, on="user_id")
     j = j[j.product_id_x != j.product_id_y]
     want = (j.assign(dot=j.w_x * j.w_y).groupby(["product_id_x", "product_id_y"]).dot.sum()
@@ -34,13 +34,24 @@ def test_blocked_cooccurrence_equals_self_join(spark):
     assert np.array_equal(a["dot"].values, b["dot"].values)
 
 
+def test_cooccurrence_user_chunks(spark):
+    rng = np.random.default_rng(9)
+    sdf, pdf = _ui(spark, rng, users=30, items=5)
+    got = rec.item_cooccurrence(sdf, items_per_block=512, user_chunk=4).toPandas()
+    j = pdf.merge(pdf, on="user_id")
+    j = j[j.product_id_x != j.product_id_y]
+    want = j.assign(d=j.w_x * j.w_y).groupby(["product_id_x", "product_id_y"]).d.sum()
+    got = got.set_index(["item", "neighbor"])["dot"].sort_index()
+    assert np.array_equal(got.values, want.sort_index().values)
+
+
 def test_cosine_matches_dense(spark):
     rng = np.random.default_rng(3)
     sdf, pdf = _ui(spark, rng, users=10, items=6)
     m = pdf.pivot_table(index="user_id", columns="product_id", values="w", fill_value=0.0)
     mn = m / np.sqrt((m ** 2).sum(0))
     dense = mn.T @ mn
-    got = rec.item_similarity(sdf, items_per_block=2, users_per_block=4).toPandas()
+    got = rec.item_similarity(sdf, items_per_block=2, cell_rows=16).toPandas()
     for r in got.itertuples():
         assert abs(dense.loc[r.item, r.neighbor] - r.sim) < 1e-12
 
