@@ -26,15 +26,15 @@ SELECT s.session_id, date_trunc('second', s.start_time) AS parsed,
          AS tenure_days
 FROM fx_sessions s LEFT JOIN fx_users u USING (user_id)"""),
     "numeric_functions": with_fixtures("""
-SELECT interaction_id, w AS weight, greatest(w, 0.0) AS weight_clipped,
+SELECT interaction_id, w AS weight, greatest(w, CAST(0.0 AS DOUBLE)) AS weight_clipped,
        coalesce(TRY_CAST(interaction_type AS DOUBLE), 0.0) AS type_as_number,
        CAST(least(greatest(floor(dwell_time_ms / 60000), 0), 4) AS BIGINT) AS dwell_bucket,
        CAST(dwell_time_ms AS DOUBLE) / CAST(nullif(dwell_time_ms - 500, 0) AS DOUBLE)
          AS dwell_ratio
-FROM (SELECT *, CASE interaction_type WHEN 'view' THEN 1.0 WHEN 'click' THEN 2.0
+FROM (SELECT *, CAST(CASE interaction_type WHEN 'view' THEN 1.0 WHEN 'click' THEN 2.0
                      WHEN 'add_to_wishlist' THEN 3.0 WHEN 'add_to_cart' THEN 4.0
                      WHEN 'purchase' THEN 5.0 WHEN 'remove_from_cart' THEN -2.0
-                     WHEN 'remove_from_wishlist' THEN -1.0 END AS w
+                     WHEN 'remove_from_wishlist' THEN -1.0 END AS DOUBLE) AS w
       FROM fx_interactions)"""),
     "review_functions": with_fixtures("""
 SELECT user_id, product_id, purchase_id, rating,

@@ -14,14 +14,14 @@ RECO_CTES = {
   SELECT user_id, product_id, interaction_type FROM fx_interactions
   UNION ALL SELECT user_id, product_id, 'purchase' FROM fx_purchases""",
     "ui": """
-  SELECT user_id, product_id, greatest(sum(w), 0.0) AS w FROM (
+  SELECT user_id, product_id, greatest(sum(w), CAST(0.0 AS DOUBLE)) AS w FROM (
     SELECT user_id, product_id,
-           CASE interaction_type WHEN 'view' THEN 1.0 WHEN 'click' THEN 2.0
+           CAST(CASE interaction_type WHEN 'view' THEN 1.0 WHEN 'click' THEN 2.0
                 WHEN 'add_to_wishlist' THEN 3.0 WHEN 'add_to_cart' THEN 4.0
                 WHEN 'purchase' THEN 5.0 WHEN 'remove_from_cart' THEN -2.0
-                WHEN 'remove_from_wishlist' THEN -1.0 END AS w
+                WHEN 'remove_from_wishlist' THEN -1.0 END AS DOUBLE) AS w
     FROM fb WHERE user_id IS NOT NULL AND product_id IS NOT NULL)
-  GROUP BY user_id, product_id HAVING greatest(sum(w), 0.0) > 0""",
+  GROUP BY user_id, product_id HAVING greatest(sum(w), CAST(0.0 AS DOUBLE)) > 0""",
     "norms": "SELECT product_id, sqrt(sum(w * w)) AS norm FROM ui GROUP BY product_id",
     "dots": """
   SELECT a.product_id AS item, b.product_id AS neighbor, sum(a.w * b.w) AS dot
