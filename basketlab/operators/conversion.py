@@ -327,17 +327,23 @@ def score_sessions(rows: DataFrame, model: PipelineModel, base_rate: float,
 
 def top_factors(rows: DataFrame, imp: DataFrame, pool: int = 8, n: int = 5) -> DataFrame:
     """The first ``pool`` global importances that are numeric inputs, first ``n``
-    of them, with each row's value and label (global ranking, row values)."""
+    of them, with each row's value and label (global ranking, row values). The
+    chosen names (at most ``n``) are read once; each row is unpivoted to just
+    those columns, so a row yields at most ``n`` output rows and no join."""
     top = (imp.where(F.col("rank") <= pool).where(F.col("feature").isin(NUMERIC))
-           .withColumn("k", F.row_number().over(Window.orderBy("rank")))
-           .where(F.col("k") <= n))  # at most `pool` rows
-    stacked = rows.select("session_id", F.explode(F.create_map(*[
-        x for c in NUMERIC for x in (F.lit(c), F.col(c).cast("double"))])).alias(
-        "feature", "value"))
-    return (stacked.join(F.broadcast(top.select("feature", "importance", "k")), "feature")
-            .select("session_id", F.col("k").cast("bigint").alias("position"), "feature",
-                    feature_label("feature").alias("label"), "value",
-                    F.round("importance", 4).alias("importance")))
+           .orderBy("rank").limit(n).collect())  # <= n rows by construction
+    if not top:
+        return rows.sparkSession.createDataFrame(
+            [], "session_id string, position bigint, feature string, label string, "
+                "value double, importance double")
+    entries = [F.struct(F.lit(k).cast("bigint").alias("position"),
+                        F.lit(r["feature"]).alias("feature"),
+                        F.col(r["feature"]).cast("double").alias("value"),
+                        F.lit(round(float(r["importance"]), 4)).alias("importance"))
+               for k, r in enumerate(top, start=1)]
+    out = rows.select("session_id", F.inline(F.array(*entries)))
+    return out.select("session_id", "position", "feature",
+                      feature_label("feature").alias("label"), "value", "importance")
 
 
 # The training job ----------------------------------------------------
