@@ -192,16 +192,35 @@ def column_ranges(products: DataFrame, sessions: DataFrame,
 
 # G2 --------------------------------------------------------------------------
 def fk_orphans(tables: dict[str, DataFrame], edges=FK_EDGES) -> DataFrame:
-    """Distinct non-null child keys with no parent row, per edge (anti joins)."""
-    out = []
-    for child, ck, parent, pk in edges:
-        keys = tables[child].select(F.col(ck).alias("k")).where(F.col("k").isNotNull()).distinct()
-        parents = tables[parent].select(F.col(pk).alias("k"))
-        out.append(keys.join(parents, "k", "left_anti").agg(F.count(F.lit(1)).alias("orphans"))
-                   .select(F.lit(child).alias("child"), F.lit(ck).alias("child_key"),
-                           F.lit(parent).alias("parent"), F.lit(pk).alias("parent_key"),
-                           "orphans"))
-    return union_all(out)
+    """Distinct non-null child keys with no parent row, per edge.
+
+    Each table is scanned once: a child emits (edge, parent, key) rows for all its
+    foreign keys, a parent emits (parent, key) rows for its primary key; keys are
+    compared as text. One distinct, one anti join on (parent, key) and one count by
+    edge replace a pipeline per edge."""
+    spark = next(iter(tables.values())).sparkSession
+    by_child: dict[str, list] = {}
+    for i, (child, ck, parent, _pk) in enumerate(edges):
+        by_child.setdefault(child, []).append((i, ck, parent))
+    kids = []
+    for child, fks in by_child.items():
+        arr = F.array(*[F.struct(F.lit(i).alias("edge"), F.lit(parent).alias("parent"),
+                                 F.col(ck).cast("string").alias("k"))
+                        for i, ck, parent in fks])
+        kids.append(tables[child].select(F.inline(arr)))
+    child_keys = union_all(kids).where(F.col("k").isNotNull()).distinct()
+    parent_cols = {(parent, pk) for _c, _ck, parent, pk in edges}
+    parents = union_all([tables[p].select(F.lit(p).alias("parent"),
+                                          F.col(pk).cast("string").alias("k"))
+                         for p, pk in sorted(parent_cols)])
+    orphans = (child_keys.join(parents, ["parent", "k"], "left_anti")
+               .groupBy("edge").agg(F.count(F.lit(1)).alias("orphans")))
+    meta = spark.createDataFrame(
+        [(i, c, ck, p, pk) for i, (c, ck, p, pk) in enumerate(edges)],
+        "edge int, child string, child_key string, parent string, parent_key string")
+    return (meta.join(F.broadcast(orphans), "edge", "left")
+            .select("child", "child_key", "parent", "parent_key",
+                    F.coalesce(F.col("orphans"), F.lit(0)).cast("bigint").alias("orphans")))
 
 
 # G3 --------------------------------------------------------------------------
