@@ -289,7 +289,7 @@ def _(s):
 def _(s):
     """A3 + A4: write the six tables, read them back, compare row counts."""
     src = s.all()
-    dst = sinks.write_tables(src, sinks.scratch_table_dir(s.spark, "shop"))
+    dst = sinks.land_tables(src, sinks.scratch_table_dir(s.spark, "shop"))
     return audit.reconcile_counts(src, dst)
 
 
