@@ -66,19 +66,23 @@ def item_norms(ui: DataFrame) -> DataFrame:
 
 # C9 --------------------------------------------------------------------------
 CELL_ROWS = 2_000_000    # rows of one cogroup cell (both sides), held by one task
+MIN_SPLIT_ROWS = 50_000  # split for parallelism only down to this many rows per cell
 USER_CHUNK = 4096        # users per dense product inside a cell
 
 
 def _block_counts(ui: DataFrame, items_per_block: int, cell_rows: int):
-    """Item blocks from the catalog size; user blocks so a cell holds about
-    ``cell_rows`` rows, and at least one cell per core."""
+    """Item blocks from the catalog size; user blocks so a cell holds at most about
+    ``cell_rows`` rows, split further (up to one cell per core) while a cell keeps
+    at least ``MIN_SPLIT_ROWS`` rows: tiny inputs are not worth a Python task each."""
     stats = ui.agg(F.count(F.lit(1)).alias("nnz"),
                    F.approx_count_distinct("product_id").alias("i")).first()
     nnz, n_items = stats["nnz"] or 0, stats["i"] or 0
     nbi = max(1, math.ceil(n_items / items_per_block))
     pairs = nbi * (nbi + 1) // 2
     par = ui.sparkSession.sparkContext.defaultParallelism
-    nbu = max(1, math.ceil(2 * nnz / (nbi * cell_rows)), math.ceil(par / pairs))
+    by_size = math.ceil(2 * nnz / (nbi * cell_rows))
+    by_cores = min(math.ceil(par / pairs), math.ceil(2 * nnz / (nbi * MIN_SPLIT_ROWS)))
+    nbu = max(1, by_size, by_cores)
     return nbi, nbu
 
 
