@@ -165,8 +165,9 @@ def with_prior_sessions(sessions: DataFrame, bucket: str = "hour") -> DataFrame:
     user's whole history into one task. Instead sessions are numbered within
     (user, time bucket) groups, and each bucket's offset is the count of the user's
     sessions in earlier buckets, from a window over the small per-(user, bucket)
-    count table (one row per active bucket). The big window and the offset join
-    share the (user_id, bucket) partitioning, so the sessions are shuffled once."""
+    count table (one row per active bucket). Session rows are shuffled once, by
+    (user_id, bucket), for the window; the offset branch only moves the
+    map-side-combined per-(user, bucket) counts."""
     b = F.date_trunc(bucket, F.col("start_time"))
     s = sessions.withColumn("_b", b)
     counts = s.groupBy("user_id", "_b").agg(F.count(F.lit(1)).alias("_n"))
