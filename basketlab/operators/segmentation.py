@@ -78,7 +78,11 @@ def user_features(users: DataFrame, interactions: DataFrame, products: DataFrame
         F.count_if(t == "s").alias("n_sessions"),
         F.avg("is_converted").alias("conversion_rate")))
     f = users.select(F.col("user_id").cast(key_t)).join(per, "user_id", "left")
-    fill = f.agg(F.avg("avg_rating_given").alias("_fill"))
+    # mean of the users' own average ratings, from the reviews branch alone
+    fill = (reviews.where(F.col("user_id").isNotNull()).groupBy("user_id")
+            .agg(F.avg("rating").alias("r"))
+            .join(users.select("user_id"), "user_id", "left_semi")
+            .agg(F.avg("r").alias("_fill")))
     f = f.join(F.broadcast(fill), how="inner", on=F.lit(True))
     counts = ["n_views", "n_clicks", "n_cart_adds", "n_wishlist_adds", "n_purchases",
               "n_reviews", "category_diversity", "n_sessions"]

@@ -452,7 +452,8 @@ def _(s):
 def _(s):
     """H17 on given labels: Euclidean silhouette of the standardized features,
     labelled by loyalty tier, on the seeded 5,000-user sample."""
-    z = seg.standardize(user_features_of(s)).join(tier_labels(s), "user_id")
+    feats = materialize(user_features_of(s), "user_features")  # read twice by scaling
+    z = seg.standardize(feats).join(tier_labels(s), "user_id")
     return seg.silhouette(seg.seeded_sample(z, size=seg.SILHOUETTE_SAMPLE))
 
 
