@@ -30,6 +30,11 @@ def register(name: str):
     return deco
 
 
+def _cache_key(s: Shop):
+    """Trained artifacts are reused per Spark application and data folder."""
+    return (s.spark.sparkContext.applicationId, s.sf_dir)
+
+
 def product_stats_of(s: Shop) -> DataFrame:
     return agg.product_stats(s.products, s.interactions, s.purchases)
 
@@ -116,7 +121,7 @@ _RECO: dict = {}
 
 
 def RecoModel(s: Shop) -> _RecoModel:  # noqa: N802
-    key = (id(s.spark), s.sf_dir)
+    key = _cache_key(s)
     if key not in _RECO:
         _RECO[key] = _RecoModel(s)
     return _RECO[key]
@@ -472,7 +477,7 @@ def session_features_of(s):
 
 
 def conversion_run(s) -> conv.ConversionRun:
-    key = (id(s.spark), s.sf_dir)
+    key = _cache_key(s)
     if key not in _RUNS:
         _RUNS[key] = conv.train_conversion(session_features_of(s), trees=MODEL_TREES,
                                            max_depth=MODEL_DEPTH)
@@ -603,7 +608,7 @@ class SegmentationRun:
 
 
 def segmentation_run(s) -> SegmentationRun:
-    key = (id(s.spark), s.sf_dir)
+    key = _cache_key(s)
     if key not in _SEG:
         _SEG[key] = SegmentationRun(s)
     return _SEG[key]
