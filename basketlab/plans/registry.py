@@ -679,6 +679,7 @@ def _(s):
 from basketlab.functions import scalars as fn  # noqa: E402
 from basketlab.sources import raw as raw_src  # noqa: E402
 from basketlab.streaming import scoring as stream_scoring  # noqa: E402
+from pyspark.sql.types import StringType  # noqa: E402
 
 DATE_OF = {"users": "signup_date", "sessions": "start_time", "interactions": "timestamp",
            "purchases": "order_date", "reviews": "review_date"}
@@ -693,7 +694,7 @@ def _(s):
     text = {n: df.withColumn(DATE_OF[n], F.date_format(DATE_OF[n], "yyyy-MM-dd HH:mm:ss.SSSSSS"))
             for n, df in tables.items()}
     raw_src.write_csv(text, folder)
-    schemas = {n: [(f.name, T_STRING if f.name == DATE_OF[n] else f.dataType)
+    schemas = {n: [(f.name, StringType() if f.name == DATE_OF[n] else f.dataType)
                    for f in df.schema.fields] for n, df in tables.items()}
     back = raw_src.clean_tables(raw_src.read_raw(s.spark, folder, schemas))
     parts = [df.agg(F.count(F.lit(1)).alias("rows"), F.min(DATE_OF[n]).alias("first_ts"),
@@ -702,10 +703,6 @@ def _(s):
     return audit.union_all(parts)
 
 
-from pyspark.sql.types import StringType as _StringType  # noqa: E402
-
-T_STRING = _StringType()
-
 
 @register("streamed_scores")
 def _(s):
