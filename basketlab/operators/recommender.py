@@ -181,13 +181,15 @@ def _neighbor_side(neighbors: DataFrame) -> DataFrame:
                                                F.col("neighbor").alias("rec_id"), "sim"))
 
 
-def score_candidates(ui: DataFrame, neighbors: DataFrame) -> DataFrame:
+def score_candidates(ui: DataFrame, neighbors: DataFrame, nb_side: DataFrame | None = None
+                     ) -> DataFrame:
     """score(u, j) = Σ_i w_ui · sim(i, j) over the user's items i whose top-k
     neighbour list holds j; items the user already engaged with are excluded.
     Fan-out is at most k rows per (user, item); the sum is a hash aggregate with
     map-side combine, keyed by (user, candidate) so a hot user spreads over
     candidates."""
-    contrib = ui.join(_neighbor_side(neighbors), "product_id")
+    nb = nb_side if nb_side is not None else _neighbor_side(neighbors)
+    contrib = ui.join(nb, "product_id")
     scored = (contrib.groupBy("user_id", "rec_id")
               .agg(F.round(F.sum(F.col("w") * F.col("sim")), 9).alias("score")))
     seen = ui.select("user_id", F.col("product_id").alias("rec_id"))
@@ -196,13 +198,14 @@ def score_candidates(ui: DataFrame, neighbors: DataFrame) -> DataFrame:
 
 
 # E4 --------------------------------------------------------------------------
-def seed_items(pairs: DataFrame, ui: DataFrame, neighbors: DataFrame) -> DataFrame:
+def seed_items(pairs: DataFrame, ui: DataFrame, neighbors: DataFrame,
+               nb_side: DataFrame | None = None) -> DataFrame:
     """For each (user_id, rec_id) pair, the user's item contributing most to the
     score (largest w·sim; the smallest id on exact ties). Computed only for the
     pairs asked for (the final top-n lists), so the struct-ordered aggregate sees
     n x |items of the user| rows per user instead of every candidate."""
-    x = (pairs.select("user_id", "rec_id").join(ui, "user_id")
-         .join(_neighbor_side(neighbors), ["product_id", "rec_id"]))
+    nb = nb_side if nb_side is not None else _neighbor_side(neighbors)
+    x = pairs.select("user_id", "rec_id").join(ui, "user_id").join(nb, ["product_id", "rec_id"])
     c = F.col("w") * F.col("sim")
     return x.groupBy("user_id", "rec_id").agg(
         F.min_by("product_id", F.struct((-c).alias("nc"), F.col("product_id"))).alias("seed_id"))
@@ -213,11 +216,15 @@ def recommend_all(users: DataFrame, ui: DataFrame, neighbors: DataFrame,
                   best: DataFrame, products: DataFrame, n: int = 5) -> DataFrame:
     """Top-n recommendations for every user: item-based CF where any candidate
     scores above 0, otherwise the bestseller list (with the reason why)."""
-    cand = score_candidates(ui, neighbors).join(users.select("user_id"), "user_id", "left_semi")
+    nb = _neighbor_side(neighbors)  # size-checked once, used twice
+    attrs = broadcast_if_small(products.select("product_id", "product_name", "category",
+                                               "brand", "price"))
+    cand = score_candidates(ui, neighbors, nb).join(users.select("user_id"), "user_id",
+                                                    "left_semi")
     cf = top_n_per(cand, "user_id", [F.col("score").desc(), F.col("rec_id").asc()], n)
-    cf = cf.join(seed_items(cf, ui, neighbors), ["user_id", "rec_id"], "left")
-    names = broadcast_if_small(products.select(F.col("product_id").alias("seed_id"),
-                                               F.col("product_name").alias("seed_name")))
+    cf = cf.join(seed_items(cf, ui, neighbors, nb), ["user_id", "rec_id"], "left")
+    names = attrs.select(F.col("product_id").alias("seed_id"),
+                         F.col("product_name").alias("seed_name"))
     cf_rows = (cf.join(names, "seed_id", "left")
                .select("user_id", "rank", F.col("rec_id").alias("product_id"), "score",
                        F.lit(False).alias("cold_start"),
@@ -242,8 +249,6 @@ def recommend_all(users: DataFrame, ui: DataFrame, neighbors: DataFrame,
                        F.lit(True).alias("cold_start"),
                        F.lit(STRATEGY_FALLBACK).alias("strategy"), "reason",
                        F.lit(None).cast(ui.schema["product_id"].dataType).alias("seed_id")))
-    attrs = broadcast_if_small(products.select("product_id", "product_name", "category",
-                                               "brand", "price"))
     return cf_rows.unionByName(fb_rows).join(attrs, "product_id", "left").select(
         "user_id", "rank", "product_id", "score", "cold_start", "strategy", "reason",
         "seed_id", "product_name", "category", "brand", "price")
