@@ -129,11 +129,26 @@ def item_cooccurrence(ui: DataFrame, items_per_block: int = 512,
         "user_id", "product_id", F.col("w").cast("double").alias("w"),
         F.pmod(F.xxhash64("user_id"), F.lit(nbu)).alias("ub"),
         F.pmod(F.xxhash64("product_id"), F.lit(nbi)).alias("ib"))
+    if nbi > 1:
+        # Route each row only to partner blocks its own user touches: replication
+        # is min(items of the user, nbi), not nbi. The block set per user has at
+        # most nbi entries (an aggregate, then a join on user_id).
+        touched = (ui.select(F.col("user_id").alias("_u"),
+                             F.pmod(F.xxhash64("product_id"), F.lit(nbi)).alias("_ib"))
+                   .groupBy("_u").agg(F.collect_set("_ib").alias("_blocks"))
+                   .withColumnRenamed("_u", "user_id"))
+        cells = cells.join(touched, "user_id")
+        partners_hi = F.filter("_blocks", lambda b: b >= F.col("ib"))
+        partners_lo = F.filter("_blocks", lambda b: b <= F.col("ib"))
+    else:
+        partners_hi = partners_lo = F.array(F.lit(0).cast("bigint"))
     # Left copy of block p meets right copies of blocks q >= p; mirrored after.
-    left = (cells.withColumn("q", F.explode(F.sequence(F.col("ib"), F.lit(nbi - 1))))
-            .withColumnRenamed("ib", "p"))
-    right = (cells.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("ib"))))
-             .withColumnRenamed("ib", "q"))
+    side_cols = ["ub", "p", "q", "user_id", "product_id", "w"]
+    # fresh aliases give each side its own attribute ids for the cogroup
+    left = (cells.withColumn("q", F.explode(partners_hi)).withColumnRenamed("ib", "p")
+            .select(*[F.col(c).alias(c) for c in side_cols]))
+    right = (cells.withColumn("p", F.explode(partners_lo)).withColumnRenamed("ib", "q")
+             .select(*[F.col(c).alias(c) for c in side_cols]))
     partial = (left.groupBy("ub", "p", "q")
                .cogroup(right.groupBy("ub", "p", "q"))
                .applyInPandas(lambda k, a, b: _cell_gram(k, a, b, user_chunk),
