@@ -1,10 +1,10 @@
 """The registered queries of this folder and their DuckDB twins."""
 from __future__ import annotations
 
-from basketlab.llm import op5_exact_dedup, op9_warc
+from basketlab.llm import op4_mixing, op5_exact_dedup, op9_warc
 from basketlab.session import apply_job_conf
 
-MODULES = [op5_exact_dedup, op9_warc]
+MODULES = [op4_mixing, op5_exact_dedup, op9_warc]
 
 
 def _query(fn):
