@@ -20,7 +20,13 @@ from pyspark.sql import functions as F
 
 from basketlab.llm.common import scratch_path, staged
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# The stores sit on disk and are let go once a batch is committed: the state lives on in
+# the shared folder, and executors keep no open store (and its files) per partition.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 LOCATOR = F.struct(F.col("_metadata.file_path").alias("file"),
                    F.col("_metadata.row_index").alias("row"))
 
@@ -36,7 +42,7 @@ def digest(text):
 
 
 def digest_state(spark: SparkSession, path: str, id_col: str, text_col: str,
-                 max_bytes_per_batch: int = 1 << 36, partitions: int | None = None) -> DataFrame:
+                 max_bytes_per_batch: int = 1 << 36) -> DataFrame:
     """Stream the Parquet table at path once through the keyed state and return the
     final state: (digest, keep struct<missing, id, file, row>, group_size)."""
     schema = spark.read.parquet(path).schema
@@ -51,15 +57,16 @@ def digest_state(spark: SparkSession, path: str, id_col: str, text_col: str,
     groups = rows.groupBy("digest").agg(F.min("keep").alias("keep"),
                                         F.count(F.lit(1)).alias("group_size"))
     place = scratch_path(spark, "digest-state")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, ROCKSDB)
+    before = {k: spark.conf.get(k) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         (groups.writeStream.format("noop").outputMode("update")
          .option("checkpointLocation", place).trigger(availableNow=True)
          .start().awaitTermination())
     finally:
-        spark.conf.set(provider, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.format("statestore").load(place).select(
         F.col("key.digest").alias("digest"), F.col("value.*")).toDF("digest", "keep", "group_size")
 
