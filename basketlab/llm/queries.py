@@ -1,10 +1,10 @@
 """The registered queries of this folder and their DuckDB twins."""
 from __future__ import annotations
 
-from basketlab.llm import op1_decontaminate, op4_mixing, op5_exact_dedup, op9_warc
+from basketlab.llm import op1_decontaminate, op2_quality, op4_mixing, op5_exact_dedup, op9_warc
 from basketlab.session import apply_job_conf
 
-MODULES = [op1_decontaminate, op4_mixing, op5_exact_dedup, op9_warc]
+MODULES = [op1_decontaminate, op2_quality, op4_mixing, op5_exact_dedup, op9_warc]
 
 
 def _query(fn):
