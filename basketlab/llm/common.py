@@ -117,25 +117,21 @@ def histogram_rows(counts: np.ndarray):
 def summed_histogram(rows: DataFrame, size: int) -> np.ndarray:
     """Add up histogram_rows of all tasks slice by slice; the driver gets the one
     total, whose size is the constant the caller chose, whatever the input."""
-    def add(key, batches):
+    def add(key, table):
         import pyarrow as pa
-        total = None
-        for b in batches:
-            for blob in b.column("counts"):
-                part = np.frombuffer(blob.as_py(), "<i8")
-                total = part.copy() if total is None else total + part
-        yield pa.RecordBatch.from_pydict({"slice": [key[0].as_py()], "counts": [total.tobytes()]})
+        blobs = table.column("counts").to_pylist()
+        total = np.frombuffer(blobs[0], "<i8").copy()
+        for blob in blobs[1:]:
+            total += np.frombuffer(blob, "<i8")
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()),
+                         "counts": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros(size, np.int64)
     parts = np.array_split(out, SLICES)
-    # a first sum over (slice, part of the tasks) keeps each group small
-    salted = rows.withColumn("salt", F.spark_partition_id() % 64)
-    for keys in (["slice", "salt"], ["slice"]):
-        def one(key, batches):
-            yield from add(key, batches)
-        salted = salted.groupBy(*keys).applyInArrow(one, "slice int, counts binary")
-        if "salt" in keys:
-            salted = salted.withColumn("salt", F.lit(0))
+    # a first sum over (slice, a share of the tasks) keeps each group small
+    salted = (rows.withColumn("salt", F.spark_partition_id() % 64).groupBy("slice", "salt")
+              .applyInArrow(add, "slice int, counts binary")
+              .groupBy("slice").applyInArrow(add, "slice int, counts binary"))
     for r in salted.collect():
         parts[r["slice"]] += np.frombuffer(r["counts"], "<i8")
     return out
