@@ -87,18 +87,21 @@ def random_words(seed: int, n: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 2**63, n, dtype=np.uint64) | np.uint64(1)
 
 
+WORD_TABLE = random_words(11, 256)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """One 64-bit hash of the bytes of each word [start, end)."""
     if not len(starts):
         return np.empty(0, np.uint64)
-    table, base = random_words(11, 256), 0x9E3779B97F4A7C15
+    base = 0x9E3779B97F4A7C15
     # sum of table[byte] * base^(distance to the word's start), modulo 2^64
     lengths = ends - starts
     total = int(lengths.sum())
     first = np.cumsum(lengths) - lengths
     where = np.arange(total) - np.repeat(first, lengths)
     powers = np.cumprod(np.full(int(lengths.max()), base, np.uint64))
-    values = table[data[where + np.repeat(starts, lengths)]] * powers[where]
+    values = WORD_TABLE[data[where + np.repeat(starts, lengths)]] * powers[where]
     return mix(np.add.reduceat(values, first) ^ lengths.astype(np.uint64))
 
 
