@@ -1,12 +1,12 @@
 """The registered queries of this folder and their DuckDB twins."""
 from __future__ import annotations
 
-from basketlab.llm import (op10_langid, op1_decontaminate, op2_quality, op3_line_dedup, op4_mixing,
-                           op5_exact_dedup, op7_licenses, op9_warc)
+from basketlab.llm import (op1_decontaminate, op2_quality, op3_line_dedup, op4_mixing,
+                           op5_exact_dedup, op7_licenses, op8_jaccard, op9_warc, op10_langid)
 from basketlab.session import apply_job_conf
 
 MODULES = [op1_decontaminate, op2_quality, op3_line_dedup, op4_mixing, op5_exact_dedup,
-           op7_licenses, op9_warc, op10_langid]
+           op7_licenses, op8_jaccard, op9_warc, op10_langid]
 
 
 def _query(fn):
