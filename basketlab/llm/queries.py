@@ -2,11 +2,12 @@
 from __future__ import annotations
 
 from basketlab.llm import (op1_decontaminate, op2_quality, op3_line_dedup, op4_mixing,
-                           op5_exact_dedup, op7_licenses, op8_jaccard, op9_warc, op10_langid)
+                           op5_exact_dedup, op6_suffix_dedup, op7_licenses, op8_jaccard,
+                           op9_warc, op10_langid)
 from basketlab.session import apply_job_conf
 
 MODULES = [op1_decontaminate, op2_quality, op3_line_dedup, op4_mixing, op5_exact_dedup,
-           op7_licenses, op8_jaccard, op9_warc, op10_langid]
+           op6_suffix_dedup, op7_licenses, op8_jaccard, op9_warc, op10_langid]
 
 
 def _query(fn):
