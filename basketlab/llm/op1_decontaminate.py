@@ -22,10 +22,11 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from basketlab.llm.common import read_columns, staged
 
+HITS = {"n_words": "long", "n_hit": "long", "items": "array<string>",
+        "runs": "array<array<bigint>>", "spans": "array<array<bigint>>"}
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
@@ -58,10 +59,10 @@ def patterns(benchmark: DataFrame, item_col: str, text_col: str, window: int) ->
     return cuts.groupBy("pattern").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str, found: list[tuple[str, list[str]]],
-         earlier: str | None = None) -> DataFrame:
-    """One pass over the documents with one automaton. Adds to the hits of earlier
-    passes (column ``earlier``) and returns id, text, n_words, hits (word runs) and items."""
+def scan(docs: DataFrame, text_col: str, found: list[tuple[str, list[str]]],
+         earlier: bool = False) -> DataFrame:
+    """One pass over the documents with one automaton: the frame with n_words, n_hit,
+    items, runs and spans added, or replaced and added to if there are earlier hits."""
     shared = docs.sparkSession.sparkContext.broadcast(found)
 
     def run(batches):
@@ -78,14 +79,15 @@ def scan(docs: DataFrame, id_col: str, text_col: str, found: list[tuple[str, lis
             ("runs", pa.list_(pa.list_(pa.int64()))), ("spans", pa.list_(pa.list_(pa.int64())))])
         for batch in batches:
             more = []
-            known = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * len(batch)
-            for text, before in zip(batch.column(1).to_pylist(), known):
+            known = zip(*(batch.column(c).to_pylist() for c in ("runs", "items"))) if earlier \
+                else [None] * len(batch)
+            for text, before in zip(batch.column(text_col).to_pylist(), known):
                 low = lowered(text)
                 words = WORD.findall(low)
                 line = f" {' '.join(words)} "
                 hits, items = [], set()
                 if before:
-                    hits, items = [tuple(r) for r in before["runs"]], set(before["items"])
+                    hits, items = [tuple(r) for r in before[0]], set(before[1])
                 if words and len(automaton):
                     ends = None
                     for end, (k, n) in automaton.iter(line):
@@ -103,16 +105,13 @@ def scan(docs: DataFrame, id_col: str, text_col: str, found: list[tuple[str, lis
                              "items": sorted(items), "runs": [list(r) for r in runs],
                              "spans": spans})
             out = pa.RecordBatch.from_pylist(more, schema)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *out.columns],
-                                             ["id", "text", *schema.names])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in kept), *out.columns], [*kept, *schema.names])
 
-    cols = [F.col(id_col).alias("id"), F.col(text_col).alias("text")]
-    if earlier:
-        cols.append(F.col(earlier).alias("before"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(*cols).mapInArrow(
-        run, f"id {kind}, text string, n_words long, n_hit long, items array<string>, "
-             "runs array<array<bigint>>, spans array<array<bigint>>")
+    kept = [c for c in docs.columns if c not in HITS]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
+                      for f in docs.schema.fields if f.name in kept)
+    return docs.mapInArrow(run, kinds + "".join(f", {c} {t}" for c, t in HITS.items()))
 
 
 def _ends(words: list[str]) -> dict[int, int]:
@@ -135,23 +134,20 @@ def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
-                  text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-                  window: int = 13, max_pattern_bytes: int = 64 << 20) -> DataFrame:
-    """One row per document: id, text, n_words, n_hit, items (sorted as strings),
-    runs (hit words, [from, to)) and spans (the same in characters of the text)."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
+                  item_col: str = "item_id", item_text: str = "text", window: int = 13,
+                  max_pattern_bytes: int = 64 << 20) -> DataFrame:
+    """The documents with n_words, n_hit, items (sorted as strings), runs (hit words,
+    [from, to)) and spans (the same in characters of the text) added; columns of these
+    names are replaced."""
     found = staged(patterns(benchmark, item_col, item_text, window), "patterns")
     total = found.agg(F.sum(F.length("pattern") + 8 * F.size("items"))).first()[0] or 0
     shards = -(-total // max_pattern_bytes) or 1
-    out = None
+    out = docs.drop(*HITS)
     for i in range(shards):
         mine = [(r["pattern"], r["items"]) for r in found.where(
             F.pmod(F.xxhash64("pattern"), F.lit(shards)) == i).toLocalIterator()]
-        if out is None:
-            out = scan(docs, id_col, text_col, mine)
-        else:
-            out = staged(out, "hits").select("id", "text", F.struct("runs", "items").alias("before"))
-            out = scan(out, "id", "text", mine, "before")
+        out = scan(staged(out, "hits") if i else out, text_col, mine, earlier=i > 0)
     return out
 
 
@@ -165,7 +161,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_columns(spark, sf_dir, "documents", "doc_id", "text")
     items = read_columns(spark, sf_dir, "benchmark", "item_id", "text")
     return decontaminate(docs, items).select(
-        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
         contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
