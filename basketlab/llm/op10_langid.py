@@ -172,7 +172,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predict(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
-    """The frame with lang_pred and score added; one pass, no shuffle."""
+    """The frame with lang_pred and score added (columns of these names are replaced);
+    one pass, no shuffle."""
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

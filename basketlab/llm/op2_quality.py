@@ -147,7 +147,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text",
           out: str = "score") -> DataFrame:
-    """The frame with the probability of label 1 added; one pass, no shuffle."""
+    """The frame with the probability of label 1 added (a column of that name is
+    replaced); one pass, no shuffle."""
+    docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -80,19 +80,22 @@ def dropped_lines(lines: DataFrame, similarity: float, min_docs: int) -> DataFra
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3,
                similarity: float = 0.8, min_docs: int = 5) -> DataFrame:
-    """The frame with the text deduplicated and n_lines, n_dropped added."""
+    """The frame with the text deduplicated and n_lines, n_dropped added (columns of
+    these names are replaced)."""
+    docs = docs.drop("n_lines", "n_dropped")
     lines = staged(line_rows(docs, id_col, text_col, depth), "lines")
     drops = dropped_lines(lines, similarity, min_docs)
-    parts = F.split(F.col(text_col), "\n")
-    kept = F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1),
-                                                   F.col("_drop.lines"))), lambda i: parts[i])
-    drops = drops.select(F.col("at").alias("_at"), F.struct("lines").alias("_drop"))
-    joined = docs.withColumn("_at", row_key(id_col, text_col)).join(drops, "_at", "left")
-    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    whole = docs.select(row_key(id_col, text_col).alias("at"), F.struct(*docs.columns).alias("row"))
+    joined = whole.join(drops, "at", "left")
+    old = F.col("row")[text_col]
+    parts = F.split(old, "\n")
+    kept = F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "lines")),
+                       lambda i: parts[i])
+    new = F.when(F.col("lines").isNull(), old).otherwise(F.array_join(kept, "\n"))
     return joined.select(
-        *[text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop.lines"), F.lit(0)).cast("long").alias("n_dropped"))
+        *[(new if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns],
+        F.when(old.isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
+        F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_dropped"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

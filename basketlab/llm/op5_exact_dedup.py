@@ -27,8 +27,10 @@ STORE = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
-LOCATOR = F.struct(F.col("_metadata.file_path").alias("file"),
-                   F.col("_metadata.row_index").alias("row"))
+def locator():
+    """Where a row's content is: file and row in it."""
+    return F.struct(F.col("_metadata.file_path").alias("file"),
+                    F.col("_metadata.row_index").alias("row"))
 
 
 def normalised(text):
@@ -76,7 +78,7 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     """One row per input row: id, keep_id, group_size, kept, text_sha256."""
     state = digest_state(spark, path, id_col, text_col, max_bytes_per_batch)
     table = spark.read.parquet(path)
-    rows = table.select(F.col(id_col).alias("id"), LOCATOR.alias("at"),
+    rows = table.select(F.col(id_col).alias("id"), locator().alias("at"),
                         digest(F.col(text_col)).alias("digest"))
     found = staged(rows.join(state, "digest").select(
         "id", "at", "digest", "keep", "group_size",
@@ -84,7 +86,7 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
 
     # full-byte check of the hits: only rows of groups of two and more meet their text
     hits = found.where("group_size > 1").select("at", "keep_at", "digest")
-    texts = table.select(LOCATOR.alias("at"), F.col(text_col).alias("text"))
+    texts = table.select(locator().alias("at"), F.col(text_col).alias("text"))
     with_text = staged(texts.join(hits, "at").withColumn("text", normalised(F.col("text"))), "hits")
     held = with_text.where("at = keep_at").select(
         "keep_at", F.col("text").alias("held_text"))

@@ -2,8 +2,8 @@
 
 Each stage is one operator of ``basketlab.llm`` with production parameters; it takes
 (spark, docs, sf_dir), works on every row its predecessor kept, and returns a DataFrame.
-All but the last return the columns of ``documents``; the last adds ``repeats``, how often
-the mix takes a document (rows it doesn't take are gone). ``run`` writes each stage's
+All but the last return the columns of ``documents`` (extra columns pass through); the
+last adds ``repeats``, how often the mix takes a document, and drops those it doesn't take. ``run`` writes each stage's
 rows to the shared folder and reads them again for the next one.
 """
 from __future__ import annotations
@@ -16,49 +16,48 @@ from basketlab.llm import op2_quality as quality
 from basketlab.llm import op3_line_dedup as lines
 from basketlab.llm import op4_mixing as mixing
 from basketlab.llm import op8_jaccard as jaccard
-from basketlab.llm.common import read_columns, staged
+from basketlab.llm.common import fresh_name, read_columns, staged
 from basketlab.session import apply_job_conf
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier rejects (score under 0.3) go."""
-    docs = docs.select(*COLUMNS)
     model = quality.fit(docs, read_columns(spark, sf_dir, "labels", "doc_id", "quality"))
-    return quality.score(docs, model, out="_score").where("_score >= 0.3").select(*COLUMNS)
+    name = fresh_name(docs, "score")
+    scored = quality.score(docs, model, out=name)
+    return scored.where(F.col(name) >= 0.3).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go; every document stays."""
-    out = lines.line_dedup(docs.select(*COLUMNS))
-    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long"))
-                          .otherwise(F.col("n_chars"))).select(*COLUMNS)
+    out = lines.line_dedup(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(
+            F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: the one with the smallest id."""
-    docs = docs.select(*COLUMNS)
     found = jaccard.jaccard_components(docs).where("id != component_id")
     gone = staged(found.select(F.col("id").alias("doc_id")).distinct(), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with benchmark passages in a twentieth of their words or more go."""
     items = read_columns(spark, sf_dir, "benchmark", "item_id", "text")
-    return decontamination.decontaminate(docs.select(*COLUMNS), items).where(
-        ~decontamination.contaminated(F.col("n_hit"), F.col("n_words"))).select(*COLUMNS)
+    return decontamination.decontaminate(docs, items).where(
+        ~decontamination.contaminated(F.col("n_hit"), F.col("n_words"))).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents taken at least once, with how often."""
-    docs = docs.select(*COLUMNS)
+    docs = docs.drop("repeats")
     picked, _ = mixing.by_source(docs)
     taken = picked.where("repeats > 0").groupBy("id", "size").agg(F.max("repeats").alias("repeats"))
     same = docs["doc_id"].eqNullSafe(taken["id"]) & (
         mixing.size_of(docs["text"]) == taken["size"])
-    return docs.join(taken, same).select(*COLUMNS, "repeats")
+    return docs.join(taken, same).select(*[docs[c] for c in docs.columns], "repeats")
 
 
 STAGES = [
