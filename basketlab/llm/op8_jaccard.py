@@ -12,11 +12,13 @@ A document's set is its distinct 5-word shingles (64-bit hashes; A-Z lower-cased
    document takes the l with the least estimated cost (tokens to look up plus candidates
    to verify, from the histogram). Tokens go, packed by numpy, to their bucket, and those
    of one document only end there.
-3. First every document is verified against one pivot for each of its tokens (at most one
-   pair per document and token, however many share it). What links forms components.
+3. First every document is verified against one other: each token has a pivot, and the
+   pivot of most of the document's tokens is taken, if it is that of a tenth of the set,
+   so a group of any size gives one pair per document. What links forms components.
 4. Then all pairs across different components that share the required number of prefix
    tokens are verified, so no link between components is lost; pairs inside a component
-   can't change it and are never made. Components of all links follow by min-label
+   can't change it and are never made. The required number is the smaller l, or what the
+   shingles after the prefixes can't make up for of the overlap a link needs. Components of all links follow by min-label
    rounds with pointer jumping.
 
 Verification counts the two whole sets. Odd cases: null text and texts without words
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from basketlab.llm.common import (LOWER, NOT_SPACE, histogram_rows, mix, random_words, read_columns,
                                   staged, summed_histogram, text_slices, word_bounds, word_hashes)
 
-CELLS = 1 << 19
+CELLS = 1 << 20
 NUMERATOR, DENOMINATOR = 75, 100
 SALT = random_words(23, 8)
 
@@ -92,13 +94,13 @@ def prefix_length(n: int, matches: int) -> int:
     return min(n, n - -(-NUMERATOR * n // DENOMINATOR) + matches)
 
 
-def adaptive_prefix(tokens: np.ndarray, often: np.ndarray, most: int = 6,
+def adaptive_prefix(tokens: np.ndarray, counts: np.ndarray, usual: float, most: int = 6,
                     verify_cost: float = 40.0) -> tuple[np.ndarray, int]:
-    """(prefix in global order, number of matches asked for). `often` estimates for each
-    cell how many documents beyond the ordinary share a token of it."""
-    weight = often[cells_of(tokens)]
-    order = np.lexsort((tokens, weight))
-    reach = np.cumsum(weight[order])
+    """(prefix in global order, number of matches asked for). What a cell counts beyond
+    the usual estimates how many documents share a token of it."""
+    often = counts[cells_of(tokens)]
+    order = np.lexsort((tokens, often))
+    reach = np.cumsum(np.maximum(often[order] - usual, 0.0))
     n, best, least = len(tokens), 1, None
     for l in range(1, min(most, -(-NUMERATOR * n // DENOMINATOR)) + 1):  # no more than linked sets share
         p = prefix_length(n, l)
@@ -112,10 +114,12 @@ RECORD = np.dtype([("token", "<u8"), ("doc", "<u4")])
 OWNER = np.dtype([("id", "<i8"), ("n", "<u4"), ("l", "<u4")])
 
 
-def prefix_blobs(docs: DataFrame, often: np.ndarray, buckets: int,
+def prefix_blobs(docs: DataFrame, counts: np.ndarray, buckets: int,
                  flush: int = 1_500_000) -> DataFrame:
     """(bucket, tokens, owners): prefix tokens by bucket, packed per task."""
-    shared = docs.sparkSession.sparkContext.broadcast(often)
+    middle = float(np.median(counts))
+    usual = middle + 4 * middle ** 0.5  # four deviations of a cell's ordinary load
+    shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.float32))
 
     def run(batches):
         import pyarrow as pa
@@ -145,7 +149,7 @@ def prefix_blobs(docs: DataFrame, often: np.ndarray, buckets: int,
             for k, data in zip(batch.column(0).to_pylist(), text_slices(batch.column(1))):
                 tokens = shingles(data)
                 if len(tokens) and k is not None:
-                    prefix, l = adaptive_prefix(tokens, shared.value)
+                    prefix, l = adaptive_prefix(tokens, shared.value, usual)
                     held.append((prefix, len(owners)))
                     owners.append((k, len(tokens), l))
                     size += len(prefix)
@@ -256,6 +260,18 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return label.select(F.col("v").alias("id"), F.col("c").alias("comp"))
 
 
+def asked(n, m, l, k):
+    """How many prefix tokens two documents of n and m shingles must share to be worth
+    verifying: the smaller number of matches, and what the tokens after the shorter-reaching
+    prefix can't supply of the overlap that a link needs."""
+    n, m, l, k = (F.col(c) for c in (n, m, l, k))
+
+    def rest(size, matches):  # shingles after the prefix
+        return F.greatest(F.floor((NUMERATOR * size + DENOMINATOR - 1) / DENOMINATOR) - matches, F.lit(0))
+    overlap = F.ceil(NUMERATOR * (n + m) / (NUMERATOR + DENOMINATOR))
+    return F.greatest(F.least(l, k), overlap - F.greatest(rest(n, l), rest(m, k)))
+
+
 def length_filter(n, m):
     return DENOMINATOR * F.least(n, m) >= NUMERATOR * F.greatest(n, m)
 
@@ -268,11 +284,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = made.where("slice is null").select("id", "n", "s1", "s2")
     counts = summed_histogram(made.where("slice is not null").select("slice", "counts"), CELLS)
 
-    # what stands out over an ordinary cell is how often documents share its tokens
-    often = np.maximum(counts - np.median(counts) - 4 * np.sqrt(counts), 0).astype(np.float32)
     total = int(counts.sum()) // 4
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 1_500_000))
-    tokens = staged(shared_tokens(prefix_blobs(docs, often, buckets)), "tokens")
+    tokens = staged(shared_tokens(prefix_blobs(docs, counts, buckets)), "tokens")
 
     # classes of equal sets
     classes = rows.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(
@@ -282,9 +296,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = staged(packed_texts(docs, tokens.select("id").distinct()
                                 .join(copies.select("id"), "id", "left_anti")), "texts")
 
-    # one pair per document and token's pivot, between classes
-    star = (tokens.where("id != pivot").select("id", "pivot").distinct()
-            .join(copies, "id", "left").select(F.coalesce("rep", "id").alias("a"), "pivot")
+    # of each document's pivots the one with which it shares most tokens, between classes
+    near = (tokens.where("id != pivot").groupBy("id", "n", "pivot").agg(F.count(F.lit(1)).alias("c"))
+            .where("10 * c >= n").groupBy("id").agg(F.max(F.struct("c", "pivot")).alias("best"))
+            .select("id", F.col("best.pivot").alias("pivot")))
+    star = (near.join(copies, "id", "left").select(F.coalesce("rep", "id").alias("a"), "pivot")
             .join(copies.withColumnRenamed("id", "pivot"), "pivot", "left")
             .select("a", F.coalesce("rep", "pivot").alias("b")).where("a != b"))
     star = staged(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -306,9 +322,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                       F.col("n").alias("ny"), F.col("l").alias("ly"))
     pairs = (meet.join(one, ["token", "comp"]).join(two, ["token", "other"])
              .where(length_filter(F.col("nx"), F.col("ny")))
-             .groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"),
-                                    F.min(F.least("lx", "ly")).alias("asked"))
-             .where("shared >= asked")
+             .groupBy("x", "y", "nx", "ny", "lx", "ly").agg(F.count(F.lit(1)).alias("shared"))
+             .where(F.col("shared") >= asked("nx", "ny", "lx", "ly"))
              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
     pairs = staged(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
     more = staged(verified(pairs, texts), "more")
