@@ -4,7 +4,7 @@ A line's tokens are its blank-separated words, those with a digit being variable
 (``<*>``). The tree's levels are the number of tokens and the leading ``depth`` tokens;
 a leaf holds the lines that share them. Within a leaf the most frequent line is the
 template, and a line that agrees with it in at least ``similarity`` of its places (tokens,
-or 16 equal stretches of tokens in longer lines) is an instance of it, so that the places
+or 8 equal stretches of tokens in longer lines) is an instance of it, so that the places
 that differ are variable fields too; any other line is a template of its own.
 
 A template that recurs in at least ``min_docs`` documents of different text is dropped
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from basketlab.llm.common import read_columns, staged
 
-STRETCHES = 16
+STRETCHES = 8
 
 
 def row_key(id_col: str, text_col: str):
@@ -39,16 +39,17 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFr
     """(at, line, leaf, sig, places) of each line that isn't blank."""
     lines = docs.select(row_key(id_col, text_col).alias("at"),
                         F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "raw"))
+    blank = F.translate("raw", "\t\r", "  ")
     masked = F.when(F.col("raw").rlike("[0-9]"),
-                    F.regexp_replace("raw", r"[^ \t\r]*[0-9][^ \t\r]*", "<*>")).otherwise(F.col("raw"))
-    tokens = F.filter(F.split(masked, r"[ \t\r]+"), lambda t: t != "")
-    lines = lines.select("at", "line", tokens.alias("t")).where("size(t) > 0")
+                    F.regexp_replace(blank, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(blank)
+    lines = lines.select("at", "line", F.filter(F.split(masked, " "), lambda t: t != "").alias("t")
+                         ).where("size(t) > 0")
     n = F.size("t")
-    s = F.least(n, F.lit(STRETCHES))
-    places = F.transform(
-        F.sequence(F.lit(0), s - 1),
-        lambda i: F.hash(F.slice("t", (F.floor(i * n / s) + 1).cast("int"),
-                                 (F.floor((i + 1) * n / s) - F.floor(i * n / s)).cast("int"))))
+    places = F.expr(
+        "transform(sequence(0, least(size(t), {0}) - 1), i -> hash(slice(t, "
+        "int(i * size(t) div least(size(t), {0})) + 1, "
+        "int((i + 1) * size(t) div least(size(t), {0})) - int(i * size(t) div least(size(t), {0})))))"
+        .format(STRETCHES))
     return lines.select("at", "line", F.xxhash64(n, F.slice("t", 1, depth)).alias("leaf"),
                         F.xxhash64("t").alias("sig"), places.alias("places"))
 
@@ -62,17 +63,18 @@ def dropped_lines(lines: DataFrame, similarity: float, min_docs: int) -> DataFra
     heads = heads.where(F.col("all") >= min_docs).select(
         "leaf", F.col("head.sig").alias("head_sig"), F.col("head.places").alias("head_places"))
     alike = F.size(F.filter(F.zip_with("places", "head_places", lambda a, b: a == b), lambda x: x))
-    kinds = kinds.join(heads, "leaf").select(
+    kinds = staged(kinds.join(heads, "leaf").select(
         "leaf", "sig",
         F.when(alike >= similarity * F.size("places"), F.col("head_sig"))
-        .otherwise(F.col("sig")).alias("template"))
+        .otherwise(F.col("sig")).alias("template")), "line-kinds")
     placed = staged(lines.select("at", "line", "leaf", "sig").join(kinds, ["leaf", "sig"]).select(
         "at", "line", F.xxhash64("leaf", "template").alias("template")), "template-lines")
     by_text = placed.groupBy("template", F.col("at.hash").alias("hash")).agg(
         F.min(F.struct("at", "line")).alias("first"))
-    recurring = by_text.groupBy("template").agg(
+    # written out, so that the join below has plain sides and may split a hot template
+    recurring = staged(by_text.groupBy("template").agg(
         F.count(F.lit(1)).alias("docs"), F.min("first").alias("first")).where(
-        F.col("docs") >= min_docs)
+        F.col("docs") >= min_docs).select("template", "first"), "recurring")
     return (placed.join(recurring, "template")
             .where(F.struct("at", "line") != F.col("first"))
             .groupBy("at").agg(F.collect_set("line").alias("lines")))
