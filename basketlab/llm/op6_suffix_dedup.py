@@ -10,13 +10,14 @@ least-hashed 16-byte string (leftmost of equals), which depends on the window's
 alone; equal windows therefore have equal anchors, and neighbouring windows mostly share
 theirs. The passes are:
 
-1. digit one, the anchor's 16 bytes: anchors of one document only end here;
-2. digit two, the whole run (all bytes that the windows of one anchor cover): of equal runs the
-   smallest id stays in the sort, and the others are covered by it as a whole;
-3. the windows of the runs left, by two more digits of half a window each.
-
-Digits are compared as 64-bit hashes (a run by anchor and run, a window by its two
-halves). Records are packed by numpy per task and bucket and combined before they move:
+1. the whole run (all bytes that the windows of one anchor cover): of equal runs the smallest
+   id stays in the sort, and the others are covered by it as a whole;
+2. the anchor's 16 bytes with the 17 to its right, or to its left: runs that share neither
+   with another document end here, as equal windows share one of the two;
+3. the windows of the runs left, by two digits of half a window each.
+
+What removes bytes is compared as two hashes: a run by its anchor (40 bits and the bucket)
+and all its bytes (64 bits), a window by its two halves (64 bits each). Records are packed by numpy per task and bucket and combined before they move:
 of equal records of a task only the smallest id travels. Results of each step go to the
 shared folder; nothing unbounded passes the driver.
 
@@ -43,7 +44,11 @@ BYTES = random_words(31, 256)
 BASE = 0x9E3779B97F4A7C15
 BACK = pow(BASE, -1, 1 << 64)
 
-RUN = [("anchor", "<u8"), ("run", "<u8"), ("doc", "<u4"), ("lo", "<u4"), ("hi", "<u4")]
+RUN = [("anchor", "<u8"), ("run", "<u8"), ("right", "<u2"), ("left", "<u2"), ("doc", "<u4"),
+       ("lo", "<u4"), ("hi", "<u4")]
+# Of a window's bytes beside its anchor, half stand on one side at least: so equal windows
+# share the anchor and SIDE bytes to its right, or to its left.
+SIDE = (DEPTH - ANCHOR) // 2
 WINDOW = [("anchor", "<u8"), ("run", "<u8"), ("doc", "<u4"), ("lo", "<u4")]
 OWNER = np.dtype([("id", "<i8"), ("hash", "<i4")])
 
@@ -113,6 +118,12 @@ def text_runs(data: np.ndarray, powers: Powers) -> np.ndarray:
         shape = ((place - first) * 64 + (last - first)).astype(np.uint64)
         rec["run"] = mix(hash_of(sums, first, last + DEPTH, powers) + shape)
         rec["lo"], rec["hi"] = first + at, last + at
+        # 0 where no window of the run has that many bytes on that side
+        right, left = place - last <= SIDE, place - first >= SIDE
+        a = place[right]
+        rec["right"][right] = hash_of(sums, a, a + ANCHOR + SIDE, powers) % np.uint64(65535) + np.uint64(1)
+        a = place[left]
+        rec["left"][left] = hash_of(sums, a - SIDE, a + ANCHOR, powers) % np.uint64(65535) + np.uint64(1)
         out.append(rec)
     return np.concatenate(out) if out else np.empty(0, RUN)
 
@@ -220,7 +231,7 @@ class Packer:
                 out["records"].append(row[3])
                 out["owners"].append(np.array([row[:2]], OWNER).tobytes())
             rec = rec[~over]
-            bucket = (rec["anchor"] % np.uint64(self.buckets)).astype(np.int64)
+            bucket = ((rec["anchor"] >> np.uint64(40)) % np.uint64(self.buckets)).astype(np.int64)
             order = np.lexsort((rec["lo"], rec["doc"], bucket))
             rec, bucket = rec[order], bucket[order]
             edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=self.buckets))
@@ -229,8 +240,12 @@ class Packer:
                 mine = rec[i:j]
                 who, local = np.unique(mine["doc"], return_inverse=True)
                 # field by field and byte by byte: places and documents shrink to little
-                planes = [mine["anchor"].tobytes(), mine["run"].tobytes()]
-                for x in (local, mine["lo"], *([mine["hi"] - mine["lo"]] if "hi" in rec.dtype.names else [])):
+                runs = "hi" in rec.dtype.names
+                head = mine["anchor"].copy().view(np.uint8).reshape(-1, 8)[:, :5 if runs else 8]
+                planes = [head.tobytes(), mine["run"].tobytes()]
+                if runs:
+                    planes += [mine["right"].tobytes(), mine["left"].tobytes()]
+                for x in (local, mine["lo"], *([mine["hi"] - mine["lo"]] if runs else [])):
                     flat = x.astype("<u4").view(np.uint8).reshape(-1, 4).T
                     planes.append(press.compress(flat.tobytes()))
                 out["bucket"].append(int(bucket[i]))
@@ -250,19 +265,37 @@ def unpack(records: bytes, owners: bytes, n: int, dtype) -> tuple[np.ndarray, np
         size = int.from_bytes(records[at:at + 4], "little")
         parts.append(records[at + 4:at + 4 + size])
         at += 4 + size
-    rec["anchor"], rec["run"] = np.frombuffer(parts[0], "<u8"), np.frombuffer(parts[1], "<u8")
+    head = np.zeros((n, 8), np.uint8)
+    head[:, :len(parts[0]) // n] = np.frombuffer(parts[0], np.uint8).reshape(n, -1)
+    rec["anchor"], rec["run"] = head.view("<u8")[:, 0], np.frombuffer(parts[1], "<u8")
+    runs = "hi" in rec.dtype.names
+    if runs:
+        rec["right"], rec["left"] = np.frombuffer(parts[2], "<u2"), np.frombuffer(parts[3], "<u2")
     press = zstandard.ZstdDecompressor()
-    for name, part in zip(("doc", "lo", "hi"), parts[2:]):
+    for name, part in zip(("doc", "lo", "hi"), parts[4 if runs else 2:]):
         flat = np.frombuffer(press.decompress(part), np.uint8).reshape(4, n)
         rec[name] = np.ascontiguousarray(flat.T).view("<u4")[:, 0]
-    if len(parts) > 4:
+    if runs:
         rec["hi"] += rec["lo"]
     return rec, own
 
 
+def shared(rec: np.ndarray, ids: np.ndarray, side: str) -> np.ndarray:
+    """Which records have another document's record with the same anchor and side."""
+    out = np.zeros(len(rec), bool)
+    at = np.flatnonzero(rec[side])
+    if len(at):
+        at = at[np.lexsort((rec[side][at], rec["anchor"][at]))]
+        anchor, other = rec["anchor"][at], rec[side][at]
+        new = np.append(True, (anchor[1:] != anchor[:-1]) | (other[1:] != other[:-1]))
+        start, group = np.flatnonzero(new), np.cumsum(new) - 1
+        out[at] = (np.minimum.reduceat(ids[at], start) != np.maximum.reduceat(ids[at], start))[group]
+    return out
+
+
 def digit_pass(packed: DataFrame, dtype, last: bool) -> DataFrame:
     """Sort each bucket: SPANS rows of kind 0 (covered) and, before the last pass, of
-    kind 1 (runs whose anchor two documents hold and that stay in the sort)."""
+    kind 1 (runs that stay in the sort)."""
     def run(key, table):
         import pyarrow as pa
         rows, recs, ids, hashes = [], [], [], []
@@ -285,11 +318,7 @@ def digit_pass(packed: DataFrame, dtype, last: bool) -> DataFrame:
             rows += span_rows(0, ids[over], hashes[over], rec["lo"][over].astype(np.int64), end[over])
             if not last:
                 rec, ids, hashes = rec[~over], ids[~over], hashes[~over]
-                new = np.append(True, rec["anchor"][1:] != rec["anchor"][:-1])
-                start, group = np.flatnonzero(new), np.cumsum(new) - 1
-                low = np.minimum.reduceat(ids, start)[group]
-                high = np.maximum.reduceat(ids, start)[group]
-                stay = low != high
+                stay = shared(rec, ids, "right") | shared(rec, ids, "left")
                 rows += span_rows(1, ids[stay], hashes[stay], rec["lo"][stay].astype(np.int64),
                                   rec["hi"][stay].astype(np.int64))
         return pa.table(span_batch(rows))
