@@ -47,8 +47,18 @@ def floor_second(c) -> Column:
 
 
 # B2 / B25 ------------------------------------------------------------------
+# Every character that counts as white space in text (Unicode).
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+               "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
+def trim(c) -> Column:
+    """Text without white space of any kind at either end."""
+    return F.btrim(_c(c), F.lit(WHITE_SPACE))
+
+
 def trim_cols(df: DataFrame, cols: Iterable[str]) -> DataFrame:
-    return df.withColumns({c: F.trim(F.col(c)) for c in cols if c in df.columns})
+    return df.withColumns({c: trim(c) for c in cols if c in df.columns})
 
 
 # B3 / B7 -------------------------------------------------------------------
@@ -76,8 +86,9 @@ def zero_fill_long(df: DataFrame, cols: Iterable[str]) -> DataFrame:
 
 
 def to_number(c) -> Column:
-    """Coerce to a number; text that is not numeric, and NULL, become 0."""
-    return F.coalesce(F.expr(f"try_cast({_sql(c)} as double)"), F.lit(0.0))
+    """Coerce to a number; text that is not numeric, NaN and NULL become 0."""
+    number = F.expr(f"try_cast({_sql(c)} as double)")
+    return F.nanvl(F.coalesce(number, F.lit(0.0)), F.lit(0.0))
 
 
 def _sql(c) -> str:
@@ -145,11 +156,6 @@ def clip(c, lo, hi) -> Column:
     return F.least(F.greatest(_c(c), F.lit(lo)), F.lit(hi))
 
 
-# B19 / B20 -----------------------------------------------------------------
-def filter_category(df: DataFrame, category: str | None) -> DataFrame:
-    return df.where(F.col("category") == F.lit(category)) if category else df
-
-
 # B21 -----------------------------------------------------------------------
 def month_key(ts) -> Column:
     """'YYYY-MM' text of a timestamp or date."""
@@ -168,7 +174,3 @@ def short_name(c, n: int) -> Column:
 def bubble_size(revenue) -> Column:
     return F.least(F.lit(24.0), F.lit(6.0) + F.coalesce(_c(revenue), F.lit(0.0)) / 260)
 
-
-# B26 -----------------------------------------------------------------------
-def quoted_reason(prefix: str, name, suffix: str) -> Column:
-    return F.concat(F.lit(prefix), _c(name), F.lit(suffix))

@@ -52,7 +52,8 @@ def null_profile(tables: dict[str, DataFrame]) -> DataFrame:
 
 # D21 -------------------------------------------------------------------------
 def event_vocabulary(interactions: DataFrame) -> DataFrame:
-    return (interactions.groupBy("interaction_type").agg(F.count(F.lit(1)).alias("n"))
+    return (interactions.where(F.col("interaction_type").isNotNull())
+            .groupBy("interaction_type").agg(F.count(F.lit(1)).alias("n"))
             .orderBy(F.col("n").desc(), F.col("interaction_type")))
 
 
@@ -94,7 +95,8 @@ def conversion_by(sessions: DataFrame, cols=("device_type", "referrer_source"))
         feature = F.when(cond, F.lit(c)) if feature is None else feature.when(cond, F.lit(c))
         value = (F.when(cond, F.col(c).cast("string")) if value is None
                  else value.when(cond, F.col(c).cast("string")))
-    return g.select(feature.alias("feature"), value.alias("value"), "rate", "n")
+    return (g.select(feature.alias("feature"), value.alias("value"), "rate", "n")
+            .where(F.col("value").isNotNull()))  # rows without a value form no group
 
 
 # C14 / D25 -------------------------------------------------------------------

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlab.functions.scalars import flag, to_number
+from basketlab.operators.joins import materialize
 
 # Model inputs.
 NUMERIC = ["n_interactions", "n_products", "n_view", "n_click", "n_add_to_cart",
@@ -111,8 +112,10 @@ def split(df: DataFrame, key: str = "session_id", test_share_hex: int = 4) -> Da
 
 
 def class_weights(train: DataFrame, label: str = "label") -> DataFrame:
-    """Balanced weights n / (2 * n_class), from one small aggregate."""
-    c = train.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
+    """Balanced weights n / (2 * n_class), from one small aggregate. Rows without a
+    label form no class (and train nothing; ``unlabelled_sessions`` counts them)."""
+    c = train.where(F.col(label).isNotNull()).groupBy(label).agg(
+        F.count(F.lit(1)).alias("n_class"))
     tot = c.agg(F.sum("n_class").alias("n"))
     return (c.join(F.broadcast(tot), how="inner", on=F.lit(True))
             .select(label, "n_class", (F.col("n") / (2.0 * F.col("n_class"))).alias("weight")))
@@ -139,21 +142,29 @@ def conversion_pipeline(numeric, categorical, estimator) -> Pipeline:
     return Pipeline(stages=[*idx, ohe, num, scaler, feats, estimator])
 
 
-def contenders(n_train: int, trees: int = 300, max_depth: int = 12,
-               with_boosting: bool = False, seed: int = 42) -> list:
-    out = [
-        ("LogisticRegression (baseline)",
+# The forest's depth is unlimited in principle; 30 is the most that Spark grows.
+MAX_DEPTH = 30
+
+# Contender and ablation names.
+BASELINE, FOREST, BOOSTED = ("LogisticRegression (baseline)", "RandomForest",
+                             "GradientBoostedTrees")
+ABLATION = "RandomForest (no cart features)"
+
+
+def forest(trees: int, max_depth: int, seed: int) -> RandomForestClassifier:
+    return RandomForestClassifier(numTrees=trees, minInstancesPerNode=5, maxDepth=max_depth,
+                                  maxMemoryInMB=1024, weightCol="weight", seed=seed)
+
+
+def contenders(n_train: int, trees: int = 300, max_depth: int = MAX_DEPTH,
+               seed: int = 42) -> list:
+    return [
+        (BASELINE,
          LogisticRegression(maxIter=2000, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
                             standardization=False, weightCol="weight")),
-        ("RandomForest",
-         RandomForestClassifier(numTrees=trees, minInstancesPerNode=5, maxDepth=max_depth,
-                                weightCol="weight", seed=seed)),
+        (FOREST, forest(trees, max_depth, seed)),
+        (BOOSTED, GBTClassifier(maxIter=trees, stepSize=0.05, weightCol="weight", seed=seed)),
     ]
-    if with_boosting:
-        out.append(("GradientBoostedTrees",
-                    GBTClassifier(maxIter=trees, stepSize=0.05, weightCol="weight",
-                                  seed=seed)))
-    return out
 
 
 # H8 --------------------------------------------------------------------------
@@ -185,9 +196,9 @@ def metrics_from_confusion(cm: DataFrame) -> DataFrame:
 
 def evaluate(model: PipelineModel, test: DataFrame, name: str) -> DataFrame:
     """AUC + precision/recall/F1 at 0.5 + confusion counts, one row."""
-    s = scored(model, test).cache()
+    s = materialize(scored(model, test).select("probability", "p", "pred", "label"), "scored")
     auc = BinaryClassificationEvaluator(rawPredictionCol="probability", labelCol="label",
-                                        metricName="areaUnderROC").evaluate(s)
+                                        metricName="areaUnderROC", numBins=0).evaluate(s)
     m = metrics_from_confusion(confusion(s))
     return m.select(F.lit(name).alias("name"), F.lit(float(auc)).alias("roc_auc"),
                     "precision", "recall", "f1", "tn", "fp", "fn", "tp")
@@ -219,25 +230,49 @@ def classification_report(cm: DataFrame) -> DataFrame:
 
 
 # H9 --------------------------------------------------------------------------
-def roc_points(scored_df: DataFrame, step: int = 5, bins: int = 10000) -> DataFrame:
-    """ROC curve points, every ``step``-th kept. Scores are snapped to a grid of
-    ``bins`` thresholds first (as MLlib's binary metrics do), so the cumulative
-    window runs over at most ``bins`` + 1 rows whatever the size of the test set."""
-    t = F.floor(F.col("p") * bins) / bins
-    per_t = scored_df.groupBy(t.alias("t")).agg(
-        F.count_if(F.col("label") == 1).alias("pos"),
-        F.count_if(F.col("label") == 0).alias("neg"))
-    w = Window.orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, 0)
+def roc_points(scored_df: DataFrame, step: int = 5, ranges: int = 4096) -> DataFrame:
+    """ROC points at every distinct score, without the collinear ones, every
+    ``step``-th kept, after the origin: (i, fpr, tpr).
+
+    Running totals over all thresholds are made in two levels, so that no task holds
+    them all: inside each of ``ranges`` ranges of the score, and over the ranges'
+    totals (one row for each range)."""
+    per_t = scored_df.groupBy(F.col("p").alias("t")).agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    per_t = materialize(per_t.withColumn(
+        "r", F.least(F.floor(F.col("t") * ranges), F.lit(ranges - 1))), "thresholds")
+    down = Window.orderBy(F.col("r").desc())
+    inside = Window.partitionBy("r").orderBy(F.col("t").desc())
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    above = down.rowsBetween(Window.unboundedPreceding, -1)
+
+    heads = per_t.groupBy("r").agg(
+        F.sum("pos").alias("rp"), F.sum("neg").alias("rn"),
+        F.max_by(F.struct("pos", "neg"), "t").alias("first"))
+    heads = heads.select(
+        "r", F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("p0"),
+        F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("n0"),
+        F.lead("first").over(down).alias("after"), F.row_number().over(down).alias("nth"))
     tot = per_t.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    c = (per_t.withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w))
-         .join(F.broadcast(tot), how="inner", on=F.lit(True)))
-    pts = c.select("t", F.coalesce(F.try_divide(F.col("fp"), F.col("N")), F.lit(0.0)).alias("fpr"),
-                   F.coalesce(F.try_divide(F.col("tp"), F.col("P")), F.lit(0.0)).alias("tpr"))
-    origin = pts.limit(1).select(F.lit(float("inf")).alias("t"), F.lit(0.0).alias("fpr"),
-                                 F.lit(0.0).alias("tpr"))
-    allp = origin.unionByName(pts).withColumn(
-        "i", F.row_number().over(Window.orderBy(F.col("t").desc())) - 1)
-    return allp.where(F.col("i") % step == 0).select("i", "fpr", "tpr")
+    c = per_t.join(F.broadcast(heads), "r").join(F.broadcast(tot), how="inner", on=F.lit(True))
+    c = c.select(
+        "r", "t", "P", "N", (F.col("p0") + F.sum("pos").over(upto)).alias("tp"),
+        (F.col("n0") + F.sum("neg").over(upto)).alias("fp"), "pos", "neg",
+        F.coalesce(F.lead(F.struct("pos", "neg")).over(inside), F.col("after")).alias("next"),
+        ((F.col("nth") == 1) & (F.row_number().over(inside) == 1)).alias("is_first"))
+    # a point lies on the line through its neighbours if both steps are the same
+    bend = (F.col("is_first") | F.col("next").isNull() | (F.col("pos") != F.col("next.pos"))
+            | (F.col("neg") != F.col("next.neg")))
+    kept = materialize(c.where(bend).select("r", "t", "tp", "fp", "P", "N"), "roc")
+    before = kept.groupBy("r").agg(F.count(F.lit(1)).alias("k")).select(
+        "r", F.coalesce(F.sum("k").over(above), F.lit(0)).alias("k0"))
+    pts = kept.join(F.broadcast(before), "r").select(
+        (F.col("k0") + F.row_number().over(inside)).cast("bigint").alias("i"),
+        F.coalesce(F.try_divide(F.col("fp"), F.col("N")), F.lit(0.0)).alias("fpr"),
+        F.coalesce(F.try_divide(F.col("tp"), F.col("P")), F.lit(0.0)).alias("tpr"))
+    origin = scored_df.limit(1).select(
+        F.lit(0).cast("bigint").alias("i"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return origin.unionByName(pts).where(F.col("i") % step == 0)
 
 
 # H12 -------------------------------------------------------------------------
@@ -364,25 +399,22 @@ class ConversionRun:
         return self.best[0]
 
 
-def train_conversion(features: DataFrame, trees: int = 300, max_depth: int = 12,
-                     with_boosting: bool = False, seed: int = 42) -> ConversionRun:
+def train_conversion(features: DataFrame, trees: int = 300, max_depth: int = MAX_DEPTH,
+                     seed: int = 42) -> ConversionRun:
     """Fit every contender on the hash split, keep the best AUC, and fit the
     ablation (forest without the cart features) on the same split."""
-    data = split(model_input(features)).cache()
-    train = with_weights(data.where(~F.col("is_test"))).cache()
-    test = data.where(F.col("is_test")).cache()
+    data = materialize(split(model_input(features)), "conversion")
+    train = materialize(with_weights(data.where(~F.col("is_test"))), "train")
+    test = data.where(F.col("is_test"))
     n_train = train.count()
     results = []
-    for name, est in contenders(n_train, trees, max_depth, with_boosting, seed):
+    for name, est in contenders(n_train, trees, max_depth, seed):
         m = conversion_pipeline(NUMERIC, CATEGORICAL, est).fit(train)
         results.append((name, m, evaluate(m, test, name).first().asDict()))
     best = max(results, key=lambda r: r[2]["roc_auc"])
     num_abl = [c for c in NUMERIC if c not in CART_FEATURES]
-    abl_est = RandomForestClassifier(numTrees=trees, minInstancesPerNode=5, maxDepth=max_depth,
-                                     weightCol="weight", seed=seed)
-    abl_model = conversion_pipeline(num_abl, CATEGORICAL, abl_est).fit(train)
-    abl = ("RandomForest (no cart features)", abl_model,
-           evaluate(abl_model, test, "RandomForest (no cart features)").first().asDict())
+    abl_model = conversion_pipeline(num_abl, CATEGORICAL, forest(trees, max_depth, seed)).fit(train)
+    abl = (ABLATION, abl_model, evaluate(abl_model, test, ABLATION).first().asDict())
     base_rate = data.agg(F.avg("label")).first()[0] or 0.0
     return ConversionRun(data, train, test, results, best, abl, float(base_rate))
 

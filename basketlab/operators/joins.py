@@ -1,25 +1,11 @@
-"""Join helpers: size-checked broadcast and lineage cuts."""
+"""Lineage cuts. Broadcasts are left to the planner, which knows sizes in bytes
+(``spark.sql.autoBroadcastJoinThreshold`` and its adaptive twin)."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from basketlab.session import ensure_checkpoint_dir
 
-# A side is broadcast only when its row count is known to be under this bound.
-# Catalog-grained tables (products, neighbours = products x 50) stay far below it
-# for realistic catalogs; beyond it the plan falls back to a shuffle join, where
-# AQE's skew-join splitting handles hot keys.
-BROADCAST_MAX_ROWS = 5_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint behind an explicit row-count check (bounded scan of a
-    catalog-sized frame; only the count reaches the driver)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def materialize(df: DataFrame, name: str = "frame") -> DataFrame:
     """Cut lineage by writing the frame as a Parquet table into the cluster's
     checkpoint folder (shared storage, survives executor loss; never a local

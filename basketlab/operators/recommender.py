@@ -14,8 +14,8 @@ Scale notes
 * Integer event weights make every dot product an exact integer in float64, so
   the similarity is bit-identical regardless of summation order.
 * Scoring joins the user rows to the top-k neighbour table (catalog x k rows):
-  fan-out is bounded by k per user-item pair; the neighbour table is broadcast
-  only behind a row-count check, otherwise AQE's skew join splits hot items.
+  fan-out is bounded by k per user-item pair; whether the neighbour table is
+  broadcast is the planner's choice by bytes, and AQE's skew join splits hot items.
 """
 from __future__ import annotations
 
@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlab.functions.scalars import clip_low, event_weight, tag_purchases
-from basketlab.operators.joins import broadcast_if_small
 
 # Recommendation reasons shown to shoppers.
 REASON_CF_PREFIX = "Shoppers who liked “"
@@ -65,25 +64,8 @@ def item_norms(ui: DataFrame) -> DataFrame:
 
 
 # C9 --------------------------------------------------------------------------
-CELL_ROWS = 2_000_000    # rows of one cogroup cell (both sides), held by one task
-MIN_SPLIT_ROWS = 50_000  # split for parallelism only down to this many rows per cell
-USER_CHUNK = 4096        # users per dense product inside a cell
-
-
-def _block_counts(ui: DataFrame, items_per_block: int, cell_rows: int):
-    """Item blocks from the catalog size; user blocks so a cell holds at most about
-    ``cell_rows`` rows, split further (up to one cell per core) while a cell keeps
-    at least ``MIN_SPLIT_ROWS`` rows: tiny inputs are not worth a Python task each."""
-    stats = ui.agg(F.count(F.lit(1)).alias("nnz"),
-                   F.approx_count_distinct("product_id").alias("i")).first()
-    nnz, n_items = stats["nnz"] or 0, stats["i"] or 0
-    nbi = max(1, math.ceil(n_items / items_per_block))
-    pairs = nbi * (nbi + 1) // 2
-    par = ui.sparkSession.sparkContext.defaultParallelism
-    by_size = math.ceil(2 * nnz / (nbi * cell_rows))
-    by_cores = min(math.ceil(par / pairs), math.ceil(2 * nnz / (nbi * MIN_SPLIT_ROWS)))
-    nbu = max(1, by_size, by_cores)
-    return nbi, nbu
+CELL_ROWS = 200_000  # rows of one cogroup cell (both sides), held by one task
+USER_CHUNK = 4096    # users per dense product inside a cell
 
 
 def _cell_gram(key, lpdf: pd.DataFrame, rpdf: pd.DataFrame,
@@ -123,18 +105,18 @@ def item_cooccurrence(ui: DataFrame, items_per_block: int = 512,
                       cell_rows: int = CELL_ROWS, user_chunk: int = USER_CHUNK) -> DataFrame:
     """Σ_u w_ui · w_uj for every item pair i != j sharing a user, as
     ``(item, neighbor, dot)`` (both directions)."""
-    nbi, nbu = _block_counts(ui, items_per_block, cell_rows)
+    n_items = ui.agg(F.approx_count_distinct("product_id").alias("i")).first()["i"] or 0
+    nbi = max(1, math.ceil(n_items / items_per_block))
     key_t = ui.schema["product_id"].dataType.simpleString()
-    cells = ui.select(
-        "user_id", "product_id", F.col("w").cast("double").alias("w"),
-        F.pmod(F.xxhash64("user_id"), F.lit(nbu)).alias("ub"),
-        F.pmod(F.xxhash64("product_id"), F.lit(nbi)).alias("ib"))
+    block = F.pmod(F.xxhash64("product_id"), F.lit(nbi))
+    cells = ui.select("user_id", "product_id", F.col("w").cast("double").alias("w"),
+                      block.alias("ib"))
+    rows_of = cells.groupBy("ib").agg(F.count(F.lit(1)).alias("rows"))
     if nbi > 1:
         # Route each row only to partner blocks its own user touches: replication
         # is min(items of the user, nbi), not nbi. The block set per user has at
         # most nbi entries (an aggregate, then a join on user_id).
-        touched = (ui.select(F.col("user_id").alias("_u"),
-                             F.pmod(F.xxhash64("product_id"), F.lit(nbi)).alias("_ib"))
+        touched = (ui.select(F.col("user_id").alias("_u"), block.alias("_ib"))
                    .groupBy("_u").agg(F.collect_set("_ib").alias("_blocks"))
                    .withColumnRenamed("_u", "user_id"))
         cells = cells.join(touched, "user_id")
@@ -142,13 +124,22 @@ def item_cooccurrence(ui: DataFrame, items_per_block: int = 512,
         partners_lo = F.filter("_blocks", lambda b: b <= F.col("ib"))
     else:
         partners_hi = partners_lo = F.array(F.lit(0).cast("bigint"))
+    # Each pair of blocks is split by users into as many cells as its own rows ask
+    # for, so a block with a hot item is cut into more cells, never a larger one.
+    n_p = rows_of.select(F.col("ib").alias("p"), F.col("rows").alias("_rp"))
+    n_q = rows_of.select(F.col("ib").alias("q"), F.col("rows").alias("_rq"))
+    splits = F.ceil((F.col("_rp") + F.col("_rq")) / F.lit(cell_rows))
     # Left copy of block p meets right copies of blocks q >= p; mirrored after.
     side_cols = ["ub", "p", "q", "user_id", "product_id", "w"]
-    # fresh aliases give each side its own attribute ids for the cogroup
-    left = (cells.withColumn("q", F.explode(partners_hi)).withColumnRenamed("ib", "p")
-            .select(*[F.col(c).alias(c) for c in side_cols]))
-    right = (cells.withColumn("p", F.explode(partners_lo)).withColumnRenamed("ib", "q")
-             .select(*[F.col(c).alias(c) for c in side_cols]))
+
+    def side(df: DataFrame) -> DataFrame:
+        df = df.join(n_p, "p").join(n_q, "q").withColumn(
+            "ub", F.pmod(F.xxhash64("user_id"), splits))
+        # fresh aliases give each side its own attribute ids for the cogroup
+        return df.select(*[F.col(c).alias(c) for c in side_cols])
+
+    left = side(cells.withColumn("q", F.explode(partners_hi)).withColumnRenamed("ib", "p"))
+    right = side(cells.withColumn("p", F.explode(partners_lo)).withColumnRenamed("ib", "q"))
     partial = (left.groupBy("ub", "p", "q")
                .cogroup(right.groupBy("ub", "p", "q"))
                .applyInPandas(lambda k, a, b: _cell_gram(k, a, b, user_chunk),
@@ -158,7 +149,7 @@ def item_cooccurrence(ui: DataFrame, items_per_block: int = 512,
 
 def item_similarity(ui: DataFrame, **block_kw) -> DataFrame:
     """Cosine similarity of item columns, pairs with sim > 0, no diagonal."""
-    norms = broadcast_if_small(item_norms(ui))
+    norms = item_norms(ui)
     ni = norms.select(F.col("product_id").alias("item"), F.col("norm").alias("norm_i"))
     nj = norms.select(F.col("product_id").alias("neighbor"), F.col("norm").alias("norm_j"))
     d = item_cooccurrence(ui, **block_kw).join(ni, "item").join(nj, "neighbor")
@@ -192,8 +183,8 @@ def bestsellers(pstats: DataFrame, n: int = BESTSELLERS_N) -> DataFrame:
 
 # C10 / C11 ------------------------------------------------------------------
 def _neighbor_side(neighbors: DataFrame) -> DataFrame:
-    return broadcast_if_small(neighbors.select(F.col("item").alias("product_id"),
-                                               F.col("neighbor").alias("rec_id"), "sim"))
+    return neighbors.select(F.col("item").alias("product_id"),
+                            F.col("neighbor").alias("rec_id"), "sim")
 
 
 def score_candidates(ui: DataFrame, neighbors: DataFrame, nb_side: DataFrame | None = None
@@ -202,11 +193,11 @@ def score_candidates(ui: DataFrame, neighbors: DataFrame, nb_side: DataFrame | N
     neighbour list holds j; items the user already engaged with are excluded.
     Fan-out is at most k rows per (user, item); the sum is a hash aggregate with
     map-side combine, keyed by (user, candidate) so a hot user spreads over
-    candidates."""
+    candidates. The score is unrounded (18 places)."""
     nb = nb_side if nb_side is not None else _neighbor_side(neighbors)
-    contrib = ui.join(nb, "product_id")
-    scored = (contrib.groupBy("user_id", "rec_id")
-              .agg(F.round(F.sum(F.col("w") * F.col("sim")), 9).alias("score")))
+    # summed as decimals: exact, so the order of rows can't swap close candidates
+    part = (F.col("w") * F.col("sim")).cast("decimal(38,18)")
+    scored = ui.join(nb, "product_id").groupBy("user_id", "rec_id").agg(F.sum(part).alias("score"))
     seen = ui.select("user_id", F.col("product_id").alias("rec_id"))
     return (scored.join(seen, ["user_id", "rec_id"], "left_anti")
             .where(F.col("score") > 0))
@@ -231,9 +222,8 @@ def recommend_all(users: DataFrame, ui: DataFrame, neighbors: DataFrame,
                   best: DataFrame, products: DataFrame, n: int = 5) -> DataFrame:
     """Top-n recommendations for every user: item-based CF where any candidate
     scores above 0, otherwise the bestseller list (with the reason why)."""
-    nb = _neighbor_side(neighbors)  # size-checked once, used twice
-    attrs = broadcast_if_small(products.select("product_id", "product_name", "category",
-                                               "brand", "price"))
+    nb = _neighbor_side(neighbors)
+    attrs = products.select("product_id", "product_name", "category", "brand", "price")
     cand = score_candidates(ui, neighbors, nb).join(users.select("user_id"), "user_id",
                                                     "left_semi")
     cf = top_n_per(cand, "user_id", [F.col("score").desc(), F.col("rec_id").asc()], n)
@@ -241,7 +231,8 @@ def recommend_all(users: DataFrame, ui: DataFrame, neighbors: DataFrame,
     names = attrs.select(F.col("product_id").alias("seed_id"),
                          F.col("product_name").alias("seed_name"))
     cf_rows = (cf.join(names, "seed_id", "left")
-               .select("user_id", "rank", F.col("rec_id").alias("product_id"), "score",
+               .select("user_id", "rank", F.col("rec_id").alias("product_id"),
+                       F.round(F.col("score").cast("double"), 9).alias("score"),
                        F.lit(False).alias("cold_start"),
                        F.lit(STRATEGY_CF).alias("strategy"),
                        F.concat(F.lit(REASON_CF_PREFIX), F.col("seed_name"),
@@ -272,7 +263,7 @@ def recommend_all(users: DataFrame, ui: DataFrame, neighbors: DataFrame,
 # E5 --------------------------------------------------------------------------
 def user_history(ui: DataFrame, products: DataFrame, n: int = 5) -> DataFrame:
     h = top_n_per(ui, "user_id", [F.col("w").desc(), F.col("product_id").asc()], n)
-    attrs = broadcast_if_small(products.select("product_id", "product_name", "category"))
+    attrs = products.select("product_id", "product_name", "category")
     return h.join(attrs, "product_id", "left").select(
         "user_id", "rank", "product_id", F.col("w").alias("weight"), "product_name",
         "category")

@@ -23,8 +23,9 @@ CATALOG_COLS = ["product_id", "product_name", "category", "brand", "price", "rat
 
 def catalog(pstats: DataFrame, category: str | None = None, limit: int = 20) -> DataFrame:
     """F1 (+ B19): products by revenue, then views; optional category filter (an
-    unknown category gives an empty result). ``limit`` is capped at 200."""
-    limit = max(1, min(int(limit), 200))
+    unknown category gives an empty result). A limit outside 1..200 is an error."""
+    if not 1 <= int(limit) <= 200:
+        raise ValueError(f"limit must be between 1 and 200, not {limit}")
     df = pstats.where(F.col("category") == F.lit(category)) if category else pstats
     return (df.select(*[c for c in CATALOG_COLS if c in pstats.columns])
             .orderBy(F.col("revenue").desc(), F.col("n_view").desc(), F.col("product_id"))

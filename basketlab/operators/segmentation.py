@@ -20,6 +20,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketlab.operators.joins import materialize
+
 # The twelve segmentation inputs, in order.
 FEATURES = ["n_views", "n_clicks", "n_cart_adds", "n_wishlist_adds", "n_purchases",
             "total_spend", "avg_order_value", "n_reviews", "avg_rating_given",
@@ -44,8 +46,7 @@ def user_features(users: DataFrame, interactions: DataFrame, products: DataFrame
                   purchases: DataFrame, reviews: DataFrame, sessions: DataFrame) -> DataFrame:
     """The 12 per-user features for every user. Missing activity is 0; a user
     without reviews gets the mean of the reviewers' average ratings."""
-    from basketlab.operators.joins import broadcast_if_small
-    cats = broadcast_if_small(products.select("product_id", "category"))
+    cats = products.select("product_id", "category")
     key_t = users.schema["user_id"].dataType
     it = interactions.join(cats, "product_id", "left").select(
         "user_id", F.lit("i").alias("_t"), "interaction_type", "category")
@@ -188,14 +189,15 @@ def k_sweep(scaled: DataFrame, ks=K_RANGE, restarts: int = 10, seed: int = 42,
     """Fit every k (best of ``restarts`` seeds), inertia + silhouette on the seeded
     sample. Returns (sweep DataFrame, {k: model})."""
     spark = scaled.sparkSession
-    data = scaled.select("user_id", "features").cache()
-    sample = seeded_sample(data, size=sample_size).cache()
+    data = scaled.select("user_id", "features").persist()  # each fit iterates over it
+    sample = materialize(seeded_sample(data, size=sample_size), "sample")
     rows, models = [], {}
     for k in ks:
         model, cost = fit_best_of(data, k, restarts, seed)
         models[k] = model
         sil = silhouette(model.transform(sample), max_points=sample_size).first()
         rows.append((k, float(cost), sil["silhouette"]))
+    data.unpersist()
     sweep = spark.createDataFrame(rows, "k int, inertia double, silhouette double")
     return sweep, models
 

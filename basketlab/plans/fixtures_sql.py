@@ -52,7 +52,7 @@ FIXTURE_CTES = {
          CAST(1 + CAST(l_quantity AS BIGINT) % 5 AS BIGINT) AS rating,
          date_trunc('second', l_shipdate) AS review_date
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE l_partkey % 2 = 0 AND l_linenumber = 1""",
+  WHERE l_partkey % 2 = 0""",
     "fx_products": """
   SELECT p_partkey AS product_id, p_name AS product_name, trim(p_type) AS category,
          trim(p_brand) AS brand, p_retailprice AS price, r.rating_avg,

@@ -31,6 +31,7 @@ SCHEMAS = {
                 ("review_date", "timestamp")],
 }
 
+# The eleven foreign-key edges of the shop schema.
 FK_EDGES = [
     ("sessions", "user_id", "users", "user_id"),
     ("interactions", "user_id", "users", "user_id"),
@@ -139,7 +140,8 @@ ORDER BY view_to_purchase, product_id LIMIT {{n}}"""
 ORACLE = {
     "null_profile": q(_null_profile()),
     "event_vocabulary": q("""
-SELECT interaction_type, count(*) AS n FROM fx_interactions GROUP BY interaction_type"""),
+SELECT interaction_type, count(*) AS n FROM fx_interactions
+WHERE interaction_type IS NOT NULL GROUP BY interaction_type"""),
     "base_rate": q("""
 SELECT avg(is_converted) AS base_rate, CAST(sum(is_converted) AS BIGINT) AS positives,
        count(*) AS sessions FROM fx_sessions"""),
@@ -152,10 +154,10 @@ FROM fx_sessions s LEFT JOIN (SELECT session_id, count(*) AS carts FROM fx_inter
 GROUP BY 1"""),
     "conversion_by_channel": q("""
 SELECT 'device_type' AS feature, device_type AS value, avg(is_converted) AS rate,
-       count(*) AS n FROM fx_sessions GROUP BY device_type
+       count(*) AS n FROM fx_sessions WHERE device_type IS NOT NULL GROUP BY device_type
 UNION ALL
 SELECT 'referrer_source', referrer_source, avg(is_converted), count(*) FROM fx_sessions
-GROUP BY referrer_source"""),
+WHERE referrer_source IS NOT NULL GROUP BY referrer_source"""),
     "dwell_by_outcome": q("""
 SELECT s.is_converted, round(avg(d.dwell), 6) AS mean_dwell_ms
 FROM fx_sessions s LEFT JOIN (SELECT session_id, avg(dwell_time_ms) AS dwell

@@ -13,7 +13,8 @@ ORACLE = {
     "text_functions": with_fixtures("""
 SELECT product_id, substring(split_part(product_name, chr(10), 1), 1, 180) AS blurb,
        substring(product_name, 1, 6) AS name_6, substring(product_name, 1, 22) AS name_22,
-       substring(product_name, 1, 34) AS name_34, trim('  ' || brand || ' ') AS brand_key
+       substring(product_name, 1, 34) AS name_34, regexp_replace(chr(32) || chr(9) || brand || chr(10) || chr(32),
+                                                     '^[[:space:]]+|[[:space:]]+$', '', 'g') AS brand_key
 FROM fx_products"""),
     "time_functions": with_fixtures("""
 SELECT s.session_id, date_trunc('second', s.start_time) AS parsed,

@@ -31,8 +31,15 @@ def register(name: str):
 
 
 def _cache_key(s: Shop):
-    """Trained artifacts are reused per Spark application and data folder."""
-    return (s.spark.sparkContext.applicationId, s.sf_dir)
+    """Trained artifacts are reused per Spark application and input files: a file that
+    is added, overwritten or gone (path, size or time) makes a new key."""
+    path = s.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.sf_dir)
+    fs = path.getFileSystem(s.spark.sparkContext._jsc.hadoopConfiguration())
+    listed, it = [], fs.listFiles(path, True)
+    while it.hasNext():
+        f = it.next()
+        listed.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return (s.spark.sparkContext.applicationId, s.sf_dir, tuple(sorted(listed)))
 
 
 def product_stats_of(s: Shop) -> DataFrame:
@@ -175,7 +182,8 @@ def _(s):
 def _(s):
     """C10, C11."""
     m = RecoModel(s)
-    return rec.score_candidates(m.ui, m.neighbors)
+    return rec.score_candidates(m.ui, m.neighbors).withColumn(
+        "score", F.round(F.col("score").cast("double"), 9))
 
 
 @register("recommendations")
@@ -465,10 +473,8 @@ def _(s):
 # --- conversion model -----------------------------------------------------------
 from basketlab.operators import conversion as conv  # noqa: E402
 
-# Forest size used by the registered jobs (the function defaults keep the
-# reference's 300 trees); one fitted run is reused by every model query of a
-# folder within a process ("load artifacts once").
-MODEL_TREES, MODEL_DEPTH = 100, 10
+# One fitted run is reused by every model query of the same input files ("load
+# artifacts once").
 _RUNS: dict = {}
 
 
@@ -479,8 +485,7 @@ def session_features_of(s):
 def conversion_run(s) -> conv.ConversionRun:
     key = _cache_key(s)
     if key not in _RUNS:
-        _RUNS[key] = conv.train_conversion(session_features_of(s), trees=MODEL_TREES,
-                                           max_depth=MODEL_DEPTH)
+        _RUNS[key] = conv.train_conversion(session_features_of(s))
     return _RUNS[key]
 
 
@@ -590,21 +595,21 @@ def _(s):
 
 
 # --- segmentation model --------------------------------------------------------
-# Restarts per k for the registered jobs (function default: 10, the reference's).
-SEG_RESTARTS = 4
 _SEG: dict = {}
 
 
 class SegmentationRun:
     def __init__(self, s: Shop):
         self.features = materialize(user_features_of(s))
-        self.scaled = seg.standardize(self.features).cache()
-        self.sweep, self.models = seg.k_sweep(self.scaled, restarts=SEG_RESTARTS)
+        self.scaled = materialize(seg.standardize(self.features), "scaled")
+        self.sweep, self.models = seg.k_sweep(self.scaled)
         self.choice = seg.choose_k(self.sweep).first()
         model = self.models[self.choice["k"]]
-        self.assign = model.transform(self.scaled).select("user_id", "cluster").cache()
+        self.assign = materialize(model.transform(self.scaled).select("user_id", "cluster"),
+                                  "assignments")
         prof = seg.segment_profiles(self.features, self.assign)
-        self.segments = seg.name_segments(prof, seg.population_means(self.features)).cache()
+        self.segments = materialize(
+            seg.name_segments(prof, seg.population_means(self.features)), "segments")
 
 
 def segmentation_run(s) -> SegmentationRun:
@@ -740,7 +745,7 @@ def _(s):
                     fn.truncate("product_name", 6).alias("name_6"),
                     fn.short_name("product_name", 22).alias("name_22"),
                     fn.short_name("product_name", 34).alias("name_34"),
-                    F.trim(F.concat(F.lit("  "), F.col("brand"), F.lit(" "))).alias("brand_key"))
+                    fn.trim(F.concat(F.lit(" \t"), F.col("brand"), F.lit("\n "))).alias("brand_key"))
 
 
 @register("time_functions")
