@@ -109,53 +109,52 @@ def dwell_by_outcome(sessions: DataFrame, interactions: DataFrame) -> DataFrame:
 
 
 # D26 -------------------------------------------------------------------------
-def spread(counts: DataFrame, col: str, level: str) -> DataFrame:
-    """mean / exact median / max / sample std of an integer column. The median
-    comes from the histogram of values (rows = distinct values only)."""
-    hist = counts.groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("f"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = hist.withColumn("cum", F.sum("f").over(w))
-    tot = hist.agg(F.sum("f").alias("N"))
-    c = cum.join(F.broadcast(tot), how="inner", on=F.lit(True))
-    lo_pos = F.floor((F.col("N") + 1) / 2)
-    hi_pos = F.floor(F.col("N") / 2) + 1
-    med = c.agg(
-        F.min(F.when(F.col("cum") >= lo_pos, F.col("v"))).alias("lo"),
-        F.min(F.when(F.col("cum") >= hi_pos, F.col("v"))).alias("hi"))
-    stats = counts.agg(
-        F.avg(col).alias("mean"), F.max(col).cast("bigint").alias("max"),
-        F.round(F.stddev_samp(col), 6).alias("std"))
-    return stats.join(med, how="inner", on=F.lit(True)).select(
-        F.lit(level).alias("level"), "mean",
-        ((F.col("lo") + F.col("hi")) / 2).cast("double").alias("median"), "max", "std")
+def spread(hist: DataFrame) -> DataFrame:
+    """mean / exact median / max / sample std per level from a histogram of counts
+    (level, v, f): one row per distinct count value, so the running totals and the
+    sums below see that many rows, not the data."""
+    w = Window.partitionBy("level").orderBy("v")
+    total = Window.partitionBy("level")
+    c = hist.withColumns({
+        "cum": F.sum("f").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "N": F.sum("f").over(total), "S": F.sum(F.col("v") * F.col("f")).over(total)})
+    mean = F.col("S") / F.col("N")
+    lo = F.min(F.when(F.col("cum") >= F.floor((F.col("N") + 1) / 2), F.col("v")))
+    hi = F.min(F.when(F.col("cum") >= F.floor(F.col("N") / 2) + 1, F.col("v")))
+    square = F.sum(F.col("f") * (F.col("v") - mean) * (F.col("v") - mean))
+    return c.groupBy("level").agg(
+        F.first(mean).alias("mean"), ((lo + hi) / 2).cast("double").alias("median"),
+        F.max("v").cast("bigint").alias("max"),
+        F.round(F.sqrt(F.try_divide(square, F.first("N") - 1)), 6).alias("std"))
 
 
 def event_spread(interactions: DataFrame) -> DataFrame:
-    out = []
-    for key, level in [("session_id", "per session"), ("user_id", "per user"),
-                       ("product_id", "per product")]:
-        counts = (interactions.where(F.col(key).isNotNull())
-                  .groupBy(key).agg(F.count(F.lit(1)).alias("n")))
-        out.append(spread(counts, "n", level))
-    return union_all(out)
+    """Events per session, user and product: one grouping-sets aggregate counts all
+    three keys in one scan and shuffle; the rest runs on the histogram of counts."""
+    levels = {"session_id": "per session", "user_id": "per user", "product_id": "per product"}
+    keys = list(levels)
+    counts = interactions.groupingSets([[k] for k in keys], *keys).agg(
+        F.count(F.lit(1)).alias("v"), *[F.grouping(k).alias(f"_g_{k}") for k in keys])
+    level = F.coalesce(*[F.when((F.col(f"_g_{k}") == 0) & F.col(k).isNotNull(), F.lit(name))
+                         for k, name in levels.items()])
+    hist = (counts.select(level.alias("level"), "v").where(F.col("level").isNotNull())
+            .groupBy("level", "v").agg(F.count(F.lit(1)).alias("f")))
+    return spread(hist)
 
 
 # D27 -------------------------------------------------------------------------
 def coverage(users: DataFrame, products: DataFrame, interactions: DataFrame) -> DataFrame:
     """Products and users with any interaction vs. totals, and the cold share."""
-    t = F.col("_t")
-    u = union_all([
-        interactions.select(F.lit("i").alias("_t"), "user_id", "product_id"),
-        users.select(F.lit("u").alias("_t"), "user_id", F.lit(None).cast(
-            interactions.schema["product_id"].dataType).alias("product_id")),
-        products.select(F.lit("p").alias("_t"), F.lit(None).cast(
-            interactions.schema["user_id"].dataType).alias("user_id"), "product_id"),
-    ])
-    a = u.agg(
-        F.countDistinct(F.when(t == "i", F.col("product_id"))).alias("products_with_events"),
-        F.count_if(t == "p").alias("products_total"),
-        F.countDistinct(F.when(t == "i", F.col("user_id"))).alias("users_with_events"),
-        F.count_if(t == "u").alias("users_total"))
+    def distinct(key, name):  # the distinct keys first: no row is multiplied per key
+        return (interactions.select(key).where(F.col(key).isNotNull()).distinct()
+                .agg(F.count(F.lit(1)).alias(name)))
+
+    def total(df, name):
+        return df.agg(F.count(F.lit(1)).alias(name))
+    a = distinct("product_id", "products_with_events")
+    for one in (total(products, "products_total"), distinct("user_id", "users_with_events"),
+                total(users, "users_total")):
+        a = a.join(F.broadcast(one), how="inner", on=F.lit(True))  # one row each
     return a.withColumn("cold_share", F.lit(1.0) - F.try_divide(
         F.col("users_with_events").cast("double"), F.col("users_total").cast("double")))
 
@@ -173,56 +172,83 @@ def engagement_by_outcome(sessions: DataFrame, interactions: DataFrame) -> DataF
 
 
 # D32 -------------------------------------------------------------------------
-def column_ranges(products: DataFrame, sessions: DataFrame,
-                  interactions: DataFrame) -> DataFrame:
-    """Ranges and cardinalities in one aggregate over the three tagged inputs.
-    The price median runs over the catalog (catalog-sized)."""
-    u = (products.select("price", "brand", "category")
-         .unionByName(sessions.select("referrer_source", "start_time"),
-                      allowMissingColumns=True)
-         .unionByName(interactions.select(F.col("timestamp").alias("event_time")),
-                      allowMissingColumns=True))
-    return u.agg(
-        F.min("price").alias("price_min"), F.median("price").alias("price_median"),
-        F.max("price").alias("price_max"),
-        F.countDistinct("brand").alias("brands"),
-        F.countDistinct("category").alias("categories"),
-        F.countDistinct("referrer_source").alias("referrers"),
-        F.min("start_time").alias("first_session"), F.max("start_time").alias("last_session"),
-        F.min("event_time").alias("first_event"), F.max("event_time").alias("last_event"))
+def median_of(df: DataFrame, col: str, name: str) -> DataFrame:
+    """Exact median from the histogram of values. Running totals are made inside
+    ranges of the value and over the ranges' totals, so no task holds all values."""
+    v = F.col(col)
+    hist = df.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("f"))
+    edge = df.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"), F.count(col).alias("_n"))
+    part = F.floor(F.coalesce(F.try_divide(F.col("v") - F.col("_lo"), F.col("_hi") - F.col("_lo")),
+                              F.lit(0.0)) * 4095)
+    hist = hist.join(F.broadcast(edge), how="inner", on=F.lit(True)).withColumn("r", part)
+    before = hist.groupBy("r").agg(F.sum("f").alias("n")).select("r", F.coalesce(F.sum("n").over(
+        Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n0"))
+    cum = F.col("n0") + F.sum("f").over(
+        Window.partitionBy("r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    c = hist.join(F.broadcast(before), "r").withColumn("cum", cum)
+    return c.agg(((F.min(F.when(F.col("cum") >= F.floor((F.col("_n") + 1) / 2), F.col("v")))
+                   + F.min(F.when(F.col("cum") >= F.floor(F.col("_n") / 2) + 1, F.col("v"))))
+                  / 2).alias(name))
+
+
+def column_ranges(tables: dict[str, DataFrame]) -> DataFrame:
+    """Ranges and cardinalities of the six tables: each table is aggregated alone,
+    and the one-row results stand side by side."""
+    products, sessions, interactions = (tables[t] for t in ("products", "sessions", "interactions"))
+    users, purchases, reviews = (tables[t] for t in ("users", "purchases", "reviews"))
+
+    def ends(df, col, low, high):
+        return df.agg(F.min(col).alias(low), F.max(col).alias(high))
+
+    def kinds(df, col, name):
+        return df.select(col).where(F.col(col).isNotNull()).distinct().agg(
+            F.count(F.lit(1)).alias(name))
+    ones = [
+        ends(products, "price", "price_min", "price_max"),
+        median_of(products, "price", "price_median"),
+        kinds(products, "brand", "brands"), kinds(products, "category", "categories"),
+        kinds(sessions, "referrer_source", "referrers"),
+        ends(sessions, "start_time", "first_session", "last_session"),
+        interactions.agg(F.min("timestamp").alias("first_event"),
+                         F.max("timestamp").alias("last_event"),
+                         F.min("dwell_time_ms").alias("dwell_min"),
+                         F.max("dwell_time_ms").alias("dwell_max")),
+        ends(users, "age", "age_min", "age_max"),
+        ends(purchases, "order_date", "first_order", "last_order"),
+        reviews.agg(F.min("rating").alias("rating_min"), F.max("rating").alias("rating_max"),
+                    F.min("review_date").alias("first_review"),
+                    F.max("review_date").alias("last_review")),
+    ]
+    return reduce(lambda a, b: a.join(F.broadcast(b), how="inner", on=F.lit(True)), ones)
 
 
 # G2 --------------------------------------------------------------------------
 def fk_orphans(tables: dict[str, DataFrame], edges=FK_EDGES) -> DataFrame:
     """Distinct non-null child keys with no parent row, per edge.
 
-    Each table is scanned once: a child emits (edge, parent, key) rows for all its
-    foreign keys, a parent emits (parent, key) rows for its primary key; keys are
-    compared as text. One distinct, one anti join on (parent, key) and one count by
-    edge replace a pipeline per edge."""
-    spark = next(iter(tables.values())).sparkSession
-    by_child: dict[str, list] = {}
-    for i, (child, ck, parent, _pk) in enumerate(edges):
-        by_child.setdefault(child, []).append((i, ck, parent))
-    kids = []
-    for child, fks in by_child.items():
-        arr = F.array(*[F.struct(F.lit(i).alias("edge"), F.lit(parent).alias("parent"),
-                                 F.col(ck).cast("string").alias("k"))
-                        for i, ck, parent in fks])
-        kids.append(tables[child].select(F.inline(arr)))
-    child_keys = union_all(kids).where(F.col("k").isNotNull()).distinct()
-    parent_cols = {(parent, pk) for _c, _ck, parent, pk in edges}
-    parents = union_all([tables[p].select(F.lit(p).alias("parent"),
-                                          F.col(pk).cast("string").alias("k"))
-                         for p, pk in sorted(parent_cols)])
-    orphans = (child_keys.join(parents, ["parent", "k"], "left_anti")
-               .groupBy("edge").agg(F.count(F.lit(1)).alias("orphans")))
-    meta = spark.createDataFrame(
-        [(i, c, ck, p, pk) for i, (c, ck, p, pk) in enumerate(edges)],
-        "edge int, child string, child_key string, parent string, parent_key string")
-    return (meta.join(F.broadcast(orphans), "edge", "left")
-            .select("child", "child_key", "parent", "parent_key",
-                    F.coalesce(F.col("orphans"), F.lit(0)).cast("bigint").alias("orphans")))
+    Each table is scanned once and emits one row per key it holds: (parent table, key,
+    which edges' child it is, whether it is the parent). One aggregate by (parent, key)
+    ors the edges together, so a key is one row however often it occurs, and keys
+    without a parent are counted per edge. One keyed shuffle, no join, no distinct."""
+    emitted = {}
+    for i, (child, ck, parent, pk) in enumerate(edges):
+        emitted.setdefault(child, {}).setdefault((parent, ck, False), 0)
+        emitted[child][(parent, ck, False)] |= 1 << i
+        emitted.setdefault(parent, {})[(parent, pk, True)] = 0
+    parts = []
+    for name, keys in emitted.items():
+        arr = F.array(*[F.struct(F.lit(parent).alias("parent"), F.col(k).cast("string").alias("k"),
+                                 F.lit(mask).cast("long").alias("mask"), F.lit(own).alias("own"))
+                        for (parent, k, own), mask in keys.items()])
+        parts.append(tables[name].select(F.inline(arr)))
+    keyed = (union_all(parts).where(F.col("k").isNotNull()).groupBy("parent", "k")
+             .agg(F.bit_or("mask").alias("mask"), F.max("own").alias("own")).where(~F.col("own")))
+    counts = keyed.agg(*[F.count_if(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0).alias(f"e{i}")
+                         for i in range(len(edges))])
+    rows = [F.struct(*[F.lit(x).alias(n) for n, x in zip(
+        ("child", "child_key", "parent", "parent_key"), e)],
+        F.col(f"e{i}").cast("bigint").alias("orphans")) for i, e in enumerate(edges)]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 # G3 --------------------------------------------------------------------------
@@ -249,3 +275,13 @@ def reconcile_counts(src: dict[str, DataFrame], dst: dict[str, DataFrame]) -> Da
                     .select(F.lit(name).alias("table"), "src_rows", "dst_rows"))
     out = union_all(rows)
     return out.withColumn("ok", F.col("src_rows") == F.col("dst_rows"))
+
+
+def assert_reconciled(report: DataFrame) -> DataFrame:
+    """The report itself, or an error that names the tables whose counts differ (one
+    row per table reaches the driver)."""
+    bad = [f"{r['table']}: {r['src_rows']} read, {r['dst_rows']} written"
+           for r in report.where(~F.col("ok")).collect()]
+    if bad:
+        raise ValueError("row counts differ after landing: " + "; ".join(bad))
+    return report

@@ -191,7 +191,16 @@ SELECT (SELECT min(price) FROM fx_products) AS price_min,
        (SELECT min(start_time) FROM fx_sessions) AS first_session,
        (SELECT max(start_time) FROM fx_sessions) AS last_session,
        (SELECT min("timestamp") FROM fx_interactions) AS first_event,
-       (SELECT max("timestamp") FROM fx_interactions) AS last_event"""),
+       (SELECT max("timestamp") FROM fx_interactions) AS last_event,
+       (SELECT min(dwell_time_ms) FROM fx_interactions) AS dwell_min,
+       (SELECT max(dwell_time_ms) FROM fx_interactions) AS dwell_max,
+       (SELECT min(age) FROM fx_users) AS age_min, (SELECT max(age) FROM fx_users) AS age_max,
+       (SELECT min(order_date) FROM fx_purchases) AS first_order,
+       (SELECT max(order_date) FROM fx_purchases) AS last_order,
+       (SELECT min(rating) FROM fx_reviews) AS rating_min,
+       (SELECT max(rating) FROM fx_reviews) AS rating_max,
+       (SELECT min(review_date) FROM fx_reviews) AS first_review,
+       (SELECT max(review_date) FROM fx_reviews) AS last_review"""),
     "fk_orphans": q(_fk_orphans()),
     "leak_check": q("""
 SELECT a.n AS purchase_not_converted, b.n AS converted_without_purchase,

@@ -283,7 +283,7 @@ def _(s):
 @register("column_ranges")
 def _(s):
     """D32."""
-    return audit.column_ranges(s.products, s.sessions, s.interactions)
+    return audit.column_ranges(s.all())
 
 
 @register("fk_orphans")
@@ -303,7 +303,7 @@ def _(s):
     """A3 + A4: write the six tables, read them back, compare row counts."""
     src = s.all()
     dst = sinks.land_tables(src, sinks.scratch_table_dir(s.spark, "shop"))
-    return audit.reconcile_counts(src, dst)
+    return audit.assert_reconciled(audit.reconcile_counts(src, dst))
 
 
 # --- result sets --------------------------------------------------------------
