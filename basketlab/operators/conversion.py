@@ -308,18 +308,18 @@ def importances(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 # H15 / B24 ------------------------------------------------------------------------
 def validate_sessions(rows: DataFrame):
-    """Split request rows into (valid, rejected) by the accepted ranges."""
-    ok = F.lit(True)
+    """Split request rows into (valid, rejected) by the accepted ranges; rejected rows
+    carry ``reason``, one clause for each field out of range."""
+    faults = []
     for c, (lo, hi) in RANGES.items():
-        if c not in rows.columns:
-            continue
-        v = F.col(c)
-        cond = v.isNull() | (v >= lo) if lo is not None else F.lit(True)
-        if hi is not None:
-            cond = cond & (v.isNull() | (v <= hi))
-        ok = ok & cond
-    tagged = rows.withColumn("_ok", ok)
-    return tagged.where("_ok").drop("_ok"), tagged.where(~F.col("_ok")).drop("_ok")
+        if c in rows.columns:
+            v = F.col(c)
+            bad = v < lo if hi is None else (v < lo) | (v > hi)
+            text = f"{c} must be at least {lo}" if hi is None else f"{c} must be {lo} to {hi}"
+            faults.append(F.when(bad, F.lit(text)))
+    reason = F.concat_ws("; ", *faults) if faults else F.lit("")
+    tagged = rows.withColumn("reason", reason)
+    return tagged.where("reason = ''").drop("reason"), tagged.where("reason != ''")
 
 
 def repair_features(rows: DataFrame) -> DataFrame:

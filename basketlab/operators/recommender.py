@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlab.functions.scalars import clip_low, event_weight, tag_purchases
+from basketlab.functions.scalars import clip_low, event_weight, tag_purchases, trim
 
 # Recommendation reasons shown to shoppers.
 REASON_CF_PREFIX = "Shoppers who liked “"
@@ -260,6 +260,31 @@ def recommend_all(users: DataFrame, ui: DataFrame, neighbors: DataFrame,
         "seed_id", "product_name", "category", "brand", "price")
 
 
+# F12 / C8 / B25 ---------------------------------------------------------------
+def recommend_for(ids: DataFrame, users: DataFrame, ui: DataFrame, neighbors: DataFrame,
+                  best: DataFrame, products: DataFrame, n: int = 5) -> DataFrame:
+    """Top-n lists for the requested ids (a text column ``requested``, white space at
+    its ends ignored): a row per recommendation with status ``found``, and one row
+    with status ``unknown`` for each id that no user has."""
+    if not 1 <= int(n) <= 20:
+        raise ValueError(f"n must be between 1 and 20, not {n}")
+    key = users.schema["user_id"].dataType.simpleString()
+    asked = ids.select("requested").distinct().select(
+        "requested", trim("requested").alias("_id"))
+    known = users.select(F.col("user_id").cast("string").alias("_id"), "user_id")
+    asked = asked.join(known, "_id", "left")
+    found = asked.where(F.col("user_id").isNotNull()).select("requested", "user_id")
+    recs = recommend_all(found.select(F.col("user_id").cast(key)).distinct(), ui, neighbors,
+                         best, products, n)
+    rows = found.join(recs, "user_id").select(
+        "requested", F.lit("found").alias("status"), "rank", "product_id", "score", "strategy")
+    missing = asked.where(F.col("user_id").isNull()).select(
+        "requested", F.lit("unknown").alias("status"),
+        *[F.lit(None).cast(rows.schema[c].dataType).alias(c)
+          for c in ("rank", "product_id", "score", "strategy")])
+    return rows.unionByName(missing)
+
+
 # E5 --------------------------------------------------------------------------
 def user_history(ui: DataFrame, products: DataFrame, n: int = 5) -> DataFrame:
     h = top_n_per(ui, "user_id", [F.col("w").desc(), F.col("product_id").asc()], n)

@@ -721,7 +721,7 @@ def _(s):
                                      r.base_rate, r.best_name, f"{base}/out",
                                      f"{base}/checkpoint")
     q.awaitTermination()
-    return s.spark.read.parquet(f"{base}/out")
+    return s.spark.read.parquet(f"{base}/out").drop("batch")
 
 
 @register("persisted_model_scores")
@@ -784,3 +784,99 @@ def _(s):
                     fn.net("rating", F.lit(3)).alias("rating_vs_mid"),
                     fn.pct(F.col("rating") / 5.0, 1).alias("rating_pct"),
                     F.lit("purchase").alias("tag"))
+
+
+# --- operators on given labels, scores and ids ---------------------------------
+def given_scores(s):
+    """Every session with its label and, as a given score, a hash of its id."""
+    h = F.conv(F.substring(F.md5("session_id"), 1, 3), 16, 10).cast("double") / 4096
+    return s.sessions.select("session_id", F.col("is_converted").cast("double").alias("label"),
+                             h.alias("p")).withColumn(
+        "pred", (F.col("p") >= conv.THRESHOLD).cast("double"))
+
+
+@register("scorecard_on_given_scores")
+def _(s):
+    """H8: confusion counts, precision, recall and F1 of the given scores."""
+    cm = conv.metrics_from_confusion(conv.confusion(given_scores(s)))
+    return cm.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
+
+
+@register("report_on_given_scores")
+def _(s):
+    """H8: the per-class scorecard of the given scores."""
+    rep = conv.classification_report(conv.confusion(given_scores(s)))
+    return rep.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
+
+
+@register("roc_on_given_scores")
+def _(s):
+    """H9: ROC points of the given scores."""
+    return conv.roc_points(given_scores(s)).withColumns(
+        {c: F.round(c, 9) for c in ("fpr", "tpr")})
+
+
+@register("chosen_k_on_given_sweep")
+def _(s):
+    """H18 on a given sweep: the share of each k's users older than 40 stands for its
+    silhouette (users dealt to k = 2..8 by id)."""
+    sweep = s.users.groupBy((F.col("user_id") % 7 + 2).cast("int").alias("k")).agg(
+        F.round(F.avg((F.col("age") > 40).cast("int")), 6).alias("silhouette"))
+    return seg.choose_k(sweep)
+
+
+@register("segments_by_tier")
+def _(s):
+    """C15 + F13 on given labels: every user's segment record, by loyalty tier."""
+    f = user_features_of(s)
+    named = seg.name_segments(seg.segment_profiles(f, tier_labels(s)), seg.population_means(f))
+    return seg.user_segments(tier_labels(s), named.select("cluster", "name", "size"))
+
+
+def requests_with_faults(s):
+    """Request rows of which some are out of range: by the first hex digit of the
+    session id's hash, f gets a day more, e a negative age, d both."""
+    h = F.substring(F.md5("session_id"), 1, 1)
+    return request_rows(s).withColumns({
+        "hour": F.when(h.isin("f", "d"), F.col("hour") + 24).otherwise(F.col("hour")),
+        "age": F.when(h.isin("e", "d"), F.lit(-1)).otherwise(F.col("age")).cast("bigint")})
+
+
+@register("rejected_sessions")
+def _(s):
+    """Rejected request rows with their reasons."""
+    return conv.validate_sessions(requests_with_faults(s))[1].select("session_id", "reason")
+
+
+@register("recommendations_for_ids")
+def _(s):
+    """Lists for requested ids with white space around them, every tenth
+    of them unknown."""
+    u = F.col("user_id")
+    ids = s.users.select(F.concat(
+        F.lit(" \t"), F.when(u % 10 == 0, u + 1_000_000_000).otherwise(u).cast("string"),
+        F.lit("\n")).alias("requested"))
+    m = RecoModel(s)
+    return rec.recommend_for(ids, s.users, m.ui, m.neighbors, m.best, s.products, n=5).select(
+        fn.trim("requested").alias("requested"), "status", "rank", "product_id", "score",
+        "strategy")
+
+
+@register("reloaded_recommendations")
+def _(s):
+    """A5: save the recommender, load it again, and recommend with the loaded one."""
+    m = RecoModel(s)
+    base = sinks.scratch_table_dir(s.spark, "recommender")
+    sinks.save_recommender(m.ui, m.neighbors, m.best, base)
+    back = sinks.load_recommender(s.spark, base)
+    return rec.recommend_all(s.users, back["weights"], back["neighbors"], back["bestsellers"],
+                             s.products, n=5)
+
+
+@register("reloaded_segments")
+def _(s):
+    """A5: save the chosen k-means model, load it again, and assign every user."""
+    r = segmentation_run(s)
+    base = sinks.scratch_table_dir(s.spark, "segments")
+    r.models[r.choice["k"]].write().overwrite().save(base)
+    return sinks.load_kmeans(base).transform(r.scaled).select("user_id", "cluster")
