@@ -15,10 +15,10 @@ A document's set is its distinct 5-word shingles (64-bit hashes; A-Z lower-cased
 3. First every document is verified against one other: each token has a pivot, and the
    pivot of most of the document's tokens is taken, if it is that of a tenth of the set,
    so a group of any size gives one pair per document. What links forms components.
-4. Then all pairs across different components that share the required number of prefix
-   tokens are verified, so no link between components is lost; pairs inside a component
-   can't change it and are never made. The required number is the smaller l, or what the
-   shingles after the prefixes can't make up for of the overlap a link needs. Components of all links follow by min-label
+4. Then all pairs across different components that share the smaller l of prefix tokens
+   are verified, so no link between components is lost; pairs inside a component can't
+   change it and are never made. What counts as prefix depends on both sizes here (the
+   overlap that a link of these sizes needs), and common tokens are dealt by size bands. Components of all links follow by min-label
    rounds with pointer jumping.
 
 Verification counts the two whole sets. Odd cases: null text and texts without words
@@ -110,8 +110,8 @@ def adaptive_prefix(tokens: np.ndarray, counts: np.ndarray, usual: float, most:
     return tokens[order[:prefix_length(n, best)]], best
 
 
-RECORD = np.dtype([("token", "<u8"), ("doc", "<u4")])
-OWNER = np.dtype([("id", "<i8"), ("n", "<u4"), ("l", "<u4")])
+RECORD = [("token", "<u8"), ("doc", "<u4"), ("low", "<u2"), ("high", "<u2")]  # place = high, low
+OWNER = np.dtype([("id", "<i8"), ("n", "<u4"), ("l", "<u2"), ("common", "<u2")])
 
 
 def prefix_blobs(docs: DataFrame, counts: np.ndarray, buckets: int,
@@ -127,6 +127,7 @@ def prefix_blobs(docs: DataFrame, counts: np.ndarray, buckets: int,
 
         def packed():
             tokens = np.concatenate([t for t, _ in held])
+            place = np.concatenate([np.arange(len(t)) for t, _ in held])
             doc = np.concatenate([np.full(len(t), i, np.uint32) for t, i in held])
             own = np.array(owners, OWNER)
             bucket = (tokens % np.uint64(buckets)).astype(np.int64)
@@ -136,11 +137,11 @@ def prefix_blobs(docs: DataFrame, counts: np.ndarray, buckets: int,
             for a, b in zip(edges, edges[1:]):
                 mine = order[a:b]
                 who, local = np.unique(doc[mine], return_inverse=True)
-                rec = np.empty(len(mine), RECORD)
-                rec["token"], rec["doc"] = tokens[mine], local
+                fields = (tokens[mine], local, place[mine] & 0xFFFF, place[mine] >> 16)
                 rows["bucket"].append(int(bucket[mine[0]]))
                 # by field, so that the shuffle's compression finds the runs
-                rows["tokens"].append(rec["token"].tobytes() + rec["doc"].tobytes())
+                rows["tokens"].append(b"".join(
+                    x.astype(t).tobytes() for x, (_, t) in zip(fields, RECORD)))
                 rows["owners"].append(own[who].tobytes())
             return pa.RecordBatch.from_pydict(rows, pa.schema([
                 ("bucket", pa.int32()), ("tokens", pa.binary()), ("owners", pa.binary())]))
@@ -150,8 +151,9 @@ def prefix_blobs(docs: DataFrame, counts: np.ndarray, buckets: int,
                 tokens = shingles(data)
                 if len(tokens) and k is not None:
                     prefix, l = adaptive_prefix(tokens, shared.value, usual)
+                    common = (shared.value[cells_of(tokens)] > usual).mean()
                     held.append((prefix, len(owners)))
-                    owners.append((k, len(tokens), l))
+                    owners.append((k, len(tokens), l, round(1000 * common)))
                     size += len(prefix)
                 if size >= flush:
                     yield packed()
@@ -163,22 +165,27 @@ def prefix_blobs(docs: DataFrame, counts: np.ndarray, buckets: int,
 
 
 def shared_tokens(blobs: DataFrame) -> DataFrame:
-    """(token, id, n, l, pivot) of the tokens that at least two documents hold; the pivot
-    is the token's document with the smallest id hash."""
+    """(token, id, n, l, place, pivot) of the tokens that at least two documents hold; the pivot
+    is the token's document with the largest share of common shingles, and of these the
+    one with the smallest id hash: in a group of near copies the one changed least, to
+    which most of the others link."""
     def run(key, table):
         import pyarrow as pa
-        tokens, ids, n, l = [], [], [], []
+        tokens, places, ids, n, l, common = [], [], [], [], [], []
         for t, o in zip(table.column("tokens").to_pylist(), table.column("owners").to_pylist()):
             own = np.frombuffer(o, OWNER)
-            count = len(t) // 12
+            count = len(t) // 16
             tokens.append(np.frombuffer(t, "<u8", count))
             who = np.frombuffer(t, "<u4", count, 8 * count)
-            for out, field in ((ids, "id"), (n, "n"), (l, "l")):
+            places.append(np.frombuffer(t, "<u2", count, 12 * count)
+                          + 65536 * np.frombuffer(t, "<u2", count, 14 * count).astype(np.int32))
+            for out, field in ((ids, "id"), (n, "n"), (l, "l"), (common, "common")):
                 out.append(own[field][who])
-        tokens, ids, n, l = (np.concatenate(x) for x in (tokens, ids, n, l))
+        tokens, places, ids, n, l, common = (
+            np.concatenate(x) for x in (tokens, places, ids, n, l, common))
         rank = mix(ids.astype(np.uint64) + SALT[3])
-        order = np.lexsort((rank, tokens))
-        tokens, ids, n, l = tokens[order], ids[order], n[order], l[order]
+        order = np.lexsort((rank, -common.astype(np.int64), tokens))
+        tokens, places, ids, n, l = tokens[order], places[order], ids[order], n[order], l[order]
         new = np.concatenate(([True], tokens[1:] != tokens[:-1]))
         start = np.flatnonzero(new)
         group = np.cumsum(new) - 1
@@ -187,10 +194,11 @@ def shared_tokens(blobs: DataFrame) -> DataFrame:
         keep = many[group]
         return pa.table({"token": tokens[keep].view(np.int64), "id": ids[keep],
                          "n": n[keep].astype(np.int32), "l": l[keep].astype(np.int32),
+                         "place": places[keep].astype(np.int32),
                          "pivot": ids[start[group[keep]]]})
 
     return blobs.groupBy("bucket").applyInArrow(
-        run, "token long, id long, n int, l int, pivot long")
+        run, "token long, id long, n int, l int, place int, pivot long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -260,20 +268,62 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return label.select(F.col("v").alias("id"), F.col("c").alias("comp"))
 
 
-def asked(n, m, l, k):
-    """How many prefix tokens two documents of n and m shingles must share to be worth
-    verifying: the smaller number of matches, and what the tokens after the shorter-reaching
-    prefix can't supply of the overlap that a link needs."""
-    n, m, l, k = (F.col(c) for c in (n, m, l, k))
-
-    def rest(size, matches):  # shingles after the prefix
-        return F.greatest(F.floor((NUMERATOR * size + DENOMINATOR - 1) / DENOMINATOR) - matches, F.lit(0))
+def within(place, n, m, matches):
+    """Whether a token at this place of a document of n shingles lies in its prefix for
+    `matches` matches with a document of m: both must share the overlap that a link of
+    these sizes needs, so that many tokens come after the first ones shared."""
     overlap = F.ceil(NUMERATOR * (n + m) / (NUMERATOR + DENOMINATOR))
-    return F.greatest(F.least(l, k), overlap - F.greatest(rest(n, l), rest(m, k)))
-
-
-def length_filter(n, m):
-    return DENOMINATOR * F.least(n, m) >= NUMERATOR * F.greatest(n, m)
+    return place <= n - overlap + matches - 1
+
+
+BAND = 1.06  # sizes of one band differ by this factor at most
+FEW = 8      # documents of a token up to which sizes needn't be told apart first
+
+
+def band_of(n):
+    return F.floor(F.log(n) / F.log(F.lit(BAND)) + 1e-9)
+
+
+def pairs_across(held: DataFrame) -> DataFrame:
+    """(a, b): documents of different components that share as many tokens of their
+    prefixes as the smaller of their numbers of matches.
+
+    A token of many documents is first dealt by the pair of size bands: with partners
+    of a given size a prefix is shorter than for any size, and most documents leave a
+    common token's group that way. Components meet before their documents do, so pairs
+    inside a component are never made."""
+    held = held.withColumn("own", band_of(F.col("n")))
+    few = held.where(F.col("docs") <= FEW).select(
+        "token", F.lit(-1).cast("long").alias("b1"), F.lit(-1).cast("long").alias("b2"),
+        "comp", "id", "n", "l", "place")
+    n, partner = F.col("n"), F.col("partner")
+    least = F.greatest(F.floor(F.pow(F.lit(BAND), partner)), F.ceil(NUMERATOR * n / DENOMINATOR))
+    many = (held.where(F.col("docs") > FEW)
+            .withColumn("partner", F.explode(F.sequence(
+                band_of(F.ceil(NUMERATOR * n / DENOMINATOR)) - 1,
+                band_of(F.floor(DENOMINATOR * n / NUMERATOR)) + 1)))
+            .where(within(F.col("place"), n, least, F.col("l"))))
+
+    def side(df, b1, b2):
+        return df.select("token", F.col(b1).alias("b1"), F.col(b2).alias("b2"), "comp", "id", "n",
+                         "l", "place").unionByName(few)
+    low = side(many.where("own <= partner"), "own", "partner")
+    high = side(many.where("own >= partner"), "partner", "own")
+    keys = ["token", "b1", "b2"]
+    meet = (low.select(*keys, "comp").distinct()
+            .join(high.select(*keys, F.col("comp").alias("other")).distinct(), keys)
+            .where("comp < other or (comp > other and b1 < b2)"))
+    one = low.select(*keys, "comp", *[F.col(c).alias(f"{c}1") for c in ("id", "n", "l", "place")])
+    two = high.select(*keys, F.col("comp").alias("other"),
+                      *[F.col(c).alias(f"{c}2") for c in ("id", "n", "l", "place")])
+    matches = F.least("l1", "l2")
+    met = meet.join(one, [*keys, "comp"]).join(two, [*keys, "other"]).where(
+        (DENOMINATOR * F.least("n1", "n2") >= NUMERATOR * F.greatest("n1", "n2"))
+        & within(F.col("place1"), F.col("n1"), F.col("n2"), matches)
+        & within(F.col("place2"), F.col("n2"), F.col("n1"), matches))
+    return (met.groupBy(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"),
+                        matches.alias("asked")).agg(F.count(F.lit(1)).alias("shared"))
+            .where("shared >= asked").select("a", "b"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,23 +359,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comp = components(edges)
 
     # all further pairs across components
-    held = tokens.select("token", "id", "n", "l").distinct().join(
+    held = tokens.drop("pivot").distinct().join(
         copies.select("id"), "id", "left_anti").join(comp, "id", "left").withColumn(
         "comp", F.coalesce("comp", "id"))
-    apart = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(
-        "lo != hi").select("token")
-    held = staged(held.join(apart, "token"), "apart")
-    kinds = held.select("token", "comp").distinct()
-    meet = kinds.join(kinds.withColumnRenamed("comp", "other"), "token").where("comp < other")
-    one = held.select("token", "comp", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("l").alias("lx"))
-    two = held.select("token", F.col("comp").alias("other"), F.col("id").alias("y"),
-                      F.col("n").alias("ny"), F.col("l").alias("ly"))
-    pairs = (meet.join(one, ["token", "comp"]).join(two, ["token", "other"])
-             .where(length_filter(F.col("nx"), F.col("ny")))
-             .groupBy("x", "y", "nx", "ny", "lx", "ly").agg(F.count(F.lit(1)).alias("shared"))
-             .where(F.col("shared") >= asked("nx", "ny", "lx", "ly"))
-             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    pairs = staged(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
+    apart = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                      F.count(F.lit(1)).alias("docs")).where("lo != hi")
+    held = staged(held.join(apart.select("token", "docs"), "token"), "apart")
+    pairs = staged(pairs_across(held).join(star, ["a", "b"], "left_anti"), "pairs")
     more = staged(verified(pairs, texts), "more")
     if not more.isEmpty():
         comp = components(edges.union(more))
