@@ -31,19 +31,17 @@ def register(name: str):
 
 
 def _cache_key(s: Shop):
-    """Trained artifacts are reused per Spark application and input files: a file that
-    is added, overwritten or gone (path, size or time) makes a new key."""
-    path = s.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.sf_dir)
-    fs = path.getFileSystem(s.spark.sparkContext._jsc.hadoopConfiguration())
-    listed, it = [], fs.listFiles(path, True)
-    while it.hasNext():
-        f = it.next()
-        listed.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
-    return (s.spark.sparkContext.applicationId, s.sf_dir, tuple(sorted(listed)))
+    """Trained artifacts are reused per Spark application and input files."""
+    return s.key
 
 
 def product_stats_of(s: Shop) -> DataFrame:
-    return agg.product_stats(s.products, s.interactions, s.purchases)
+    return s.landed("product_stats",
+                    lambda: agg.product_stats(s.products, s.interactions, s.purchases))
+
+
+def category_stats_of(s: Shop) -> DataFrame:
+    return s.landed("category_stats", lambda: agg.category_stats(product_stats_of(s)))
 
 
 # --- table layer ------------------------------------------------------------
@@ -346,7 +344,7 @@ def _(s):
 @register("category_ranking")
 def _(s):
     """F6."""
-    return res.category_ranking(agg.category_stats(product_stats_of(s)))
+    return res.category_ranking(category_stats_of(s))
 
 
 @register("trend")
@@ -356,8 +354,8 @@ def _(s):
 
 
 def overview_of(s):
-    return agg.overview(s.users, s.products, s.sessions, s.interactions, s.purchases,
-                        s.reviews)
+    return s.landed("overview", lambda: agg.overview(
+        s.users, s.products, s.sessions, s.interactions, s.purchases, s.reviews))
 
 
 @register("rated_products")
@@ -375,8 +373,8 @@ def _(s):
 @register("insights")
 def _(s):
     """F11 (data rows)."""
-    ps = product_stats_of(s)
-    return res.insights(overview_of(s), agg.category_stats(ps), ps, min_views=MIN_VIEWS)
+    return res.insights(overview_of(s), category_stats_of(s), product_stats_of(s),
+                        min_views=MIN_VIEWS)
 
 
 @register("product_view_bars")
@@ -389,7 +387,7 @@ def _(s):
 @register("category_shares")
 def _(s):
     """Share of views and revenue per category."""
-    c = agg.category_stats(product_stats_of(s)).select("category", "views", "revenue")
+    c = category_stats_of(s).select("category", "views", "revenue")
     c = res.share_of_total(c, "views", "view_share")
     c = res.share_of_total(c, "revenue", "revenue_share")
     return c.withColumns({"view_share": F.round("view_share", 9),
@@ -436,8 +434,8 @@ from basketlab.sources.fixtures import LOYALTY_TIERS  # noqa: E402
 
 
 def user_features_of(s):
-    return seg.user_features(s.users, s.interactions, s.products, s.purchases, s.reviews,
-                             s.sessions)
+    return s.landed("user_features", lambda: seg.user_features(
+        s.users, s.interactions, s.products, s.purchases, s.reviews, s.sessions))
 
 
 def tier_labels(s):
@@ -465,8 +463,7 @@ def _(s):
 def _(s):
     """H17 on given labels: Euclidean silhouette of the standardized features,
     labelled by loyalty tier, on the seeded 5,000-user sample."""
-    feats = materialize(user_features_of(s), "user_features")  # read twice by scaling
-    z = seg.standardize(feats).join(tier_labels(s), "user_id")
+    z = seg.standardize(user_features_of(s)).join(tier_labels(s), "user_id")
     return seg.silhouette(seg.seeded_sample(z, size=seg.SILHOUETTE_SAMPLE))
 
 
@@ -479,7 +476,8 @@ _RUNS: dict = {}
 
 
 def session_features_of(s):
-    return agg.session_features(s.sessions, s.interactions, s.users)
+    return s.landed("session_features", lambda: agg.session_features(
+        s.sessions, s.interactions, s.users))
 
 
 def conversion_run(s) -> conv.ConversionRun:
@@ -600,7 +598,7 @@ _SEG: dict = {}
 
 class SegmentationRun:
     def __init__(self, s: Shop):
-        self.features = materialize(user_features_of(s))
+        self.features = user_features_of(s)
         self.scaled = materialize(seg.standardize(self.features), "scaled")
         self.sweep, self.models = seg.k_sweep(self.scaled)
         self.choice = seg.choose_k(self.sweep).first()

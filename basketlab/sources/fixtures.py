@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlab.functions.scalars import floor_second, trim_cols
+from basketlab.operators.joins import materialize
 
 # Fixed values of the view mapping (must match the oracle SQL).
 LOYALTY_TIERS = ["bronze", "silver", "gold", "platinum"]
@@ -161,16 +162,47 @@ TABLES = {
 }
 
 
+# --- landing: each table is derived once per input ------------------------------
+_LANDED: dict = {}
+
+
+def input_key(spark: SparkSession, sf_dir: str) -> tuple:
+    """Application, folder and its files: a file that is added, overwritten or gone
+    (path, size or time) makes a new key."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listed, it = [], fs.listFiles(path, True)
+    while it.hasNext():
+        f = it.next()
+        listed.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return (spark.sparkContext.applicationId, sf_dir, tuple(sorted(listed)))
+
+
 class Shop:
-    """Lazy accessor for the six views of one data folder."""
+    """The six clean tables of one data folder. Each is derived from the raw tables
+    once, landed as Parquet in the shared folder, and read from there by every job."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._key: tuple | None = None
+
+    @property
+    def key(self) -> tuple:
+        if self._key is None:
+            self._key = input_key(self.spark, self.sf_dir)
+        return self._key
+
+    def landed(self, name: str, build) -> DataFrame:
+        """The table `name`, built and written on first use."""
+        at = (self.key, name)
+        if at not in _LANDED:
+            _LANDED[at] = materialize(build(), name)
+        return _LANDED[at]
 
     def __getattr__(self, name):
         if name in TABLES:
-            return TABLES[name](self.spark, self.sf_dir)
+            return self.landed(name, lambda: TABLES[name](self.spark, self.sf_dir))
         raise AttributeError(name)
 
     def all(self) -> dict[str, DataFrame]:
-        return {n: f(self.spark, self.sf_dir) for n, f in TABLES.items()}
+        return {n: getattr(self, n) for n in TABLES}
