@@ -101,13 +101,12 @@ def _cell_gram(key, lpdf: pd.DataFrame, rpdf: pd.DataFrame,
     return pd.concat([out, mirror[["item", "neighbor", "dot"]]], ignore_index=True)
 
 
-def item_cooccurrence(ui: DataFrame, items_per_block: int = 512,
-                      cell_rows: int = CELL_ROWS, user_chunk: int = USER_CHUNK) -> DataFrame:
-    """Σ_u w_ui · w_uj for every item pair i != j sharing a user, as
-    ``(item, neighbor, dot)`` (both directions)."""
+def cooccurrence_cells(ui: DataFrame, items_per_block: int = 512,
+                       cell_rows: int = CELL_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The rows of the cells (user block, item block p, item block q), for p's and for
+    q's items; a cell holds about ``cell_rows`` rows of both sides."""
     n_items = ui.agg(F.approx_count_distinct("product_id").alias("i")).first()["i"] or 0
     nbi = max(1, math.ceil(n_items / items_per_block))
-    key_t = ui.schema["product_id"].dataType.simpleString()
     block = F.pmod(F.xxhash64("product_id"), F.lit(nbi))
     cells = ui.select("user_id", "product_id", F.col("w").cast("double").alias("w"),
                       block.alias("ib"))
@@ -140,6 +139,15 @@ def item_cooccurrence(ui: DataFrame, items_per_block: int = 512,
 
     left = side(cells.withColumn("q", F.explode(partners_hi)).withColumnRenamed("ib", "p"))
     right = side(cells.withColumn("p", F.explode(partners_lo)).withColumnRenamed("ib", "q"))
+    return left, right
+
+
+def item_cooccurrence(ui: DataFrame, items_per_block: int = 512,
+                      cell_rows: int = CELL_ROWS, user_chunk: int = USER_CHUNK) -> DataFrame:
+    """Σ_u w_ui · w_uj for every item pair i != j sharing a user, as
+    ``(item, neighbor, dot)`` (both directions)."""
+    key_t = ui.schema["product_id"].dataType.simpleString()
+    left, right = cooccurrence_cells(ui, items_per_block, cell_rows)
     partial = (left.groupBy("ub", "p", "q")
                .cogroup(right.groupBy("ub", "p", "q"))
                .applyInPandas(lambda k, a, b: _cell_gram(k, a, b, user_chunk),
