@@ -72,9 +72,7 @@ def profile(docs: DataFrame, kind: str) -> DataFrame:
             rows = np.zeros((len(batch), 3), np.int64)
             for i, data in enumerate(text_slices(batch.column(1))):
                 tokens = shingles(data)
-                total += np.bincount(cells_of(tokens), minlength=CELLS) if len(tokens) > 20_000 else 0
-                if len(tokens) <= 20_000:
-                    np.add.at(total, cells_of(tokens), 1)
+                np.add.at(total, cells_of(tokens), 1)
                 rows[i] = (len(tokens), mix(tokens + SALT[1]).sum(dtype=np.uint64).astype(np.int64),
                            mix(tokens * SALT[2]).sum(dtype=np.uint64).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -302,7 +300,7 @@ def pairs_across(held: DataFrame) -> DataFrame:
             .withColumn("partner", F.explode(F.sequence(
                 band_of(F.ceil(NUMERATOR * n / DENOMINATOR)) - 1,
                 band_of(F.floor(DENOMINATOR * n / NUMERATOR)) + 1)))
-            .where(within(F.col("place"), n, least, F.col("l"))))
+            .where(within(F.col("place"), n, least, 1)))
 
     def side(df, b1, b2):
         return df.select("token", F.col(b1).alias("b1"), F.col(b2).alias("b2"), "comp", "id", "n",
@@ -316,14 +314,21 @@ def pairs_across(held: DataFrame) -> DataFrame:
     one = low.select(*keys, "comp", *[F.col(c).alias(f"{c}1") for c in ("id", "n", "l", "place")])
     two = high.select(*keys, F.col("comp").alias("other"),
                       *[F.col(c).alias(f"{c}2") for c in ("id", "n", "l", "place")])
-    matches = F.least("l1", "l2")
+
+    def inside(matches):
+        return (within(F.col("place1"), F.col("n1"), F.col("n2"), matches)
+                & within(F.col("place2"), F.col("n2"), F.col("n1"), matches))
+    # l shared tokens among the prefixes for l matches include one of those for one match
     met = meet.join(one, [*keys, "comp"]).join(two, [*keys, "other"]).where(
-        (DENOMINATOR * F.least("n1", "n2") >= NUMERATOR * F.greatest("n1", "n2"))
-        & within(F.col("place1"), F.col("n1"), F.col("n2"), matches)
-        & within(F.col("place2"), F.col("n2"), F.col("n1"), matches))
-    return (met.groupBy(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"),
-                        matches.alias("asked")).agg(F.count(F.lit(1)).alias("shared"))
-            .where("shared >= asked").select("a", "b"))
+        (DENOMINATOR * F.least("n1", "n2") >= NUMERATOR * F.greatest("n1", "n2")) & inside(1))
+    met = staged(met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
+                 .distinct(), "met")
+    matches = F.least("l1", "l2")
+    first, second = ([F.col("id").alias(e), "token", *[F.col(c).alias(f"{c}{i}") for c in (
+        "n", "l", "place")]] for i, e in ((1, "a"), (2, "b")))
+    return (met.join(held.select(*first), "a").join(held.select(*second), ["b", "token"])
+            .where(inside(matches)).groupBy("a", "b", matches.alias("asked"))
+            .agg(F.count(F.lit(1)).alias("shared")).where("shared >= asked").select("a", "b"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
