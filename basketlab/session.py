@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -81,3 +82,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                                       dir=os.environ.get("BASKETLAB_SCRATCH"))
     sc.setCheckpointDir(configured)
     return configured
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path of that name in the checkpoint folder, removed when the session ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.deleteOnExit(hadoop_path)
+    return path
