@@ -431,3 +431,38 @@ def metrics_table(run: ConversionRun) -> DataFrame:
     return spark.createDataFrame(rows, "role string, name string, roc_auc double, "
                                  "precision double, recall double, f1 double, tn bigint, "
                                  "fp bigint, fn bigint, tp bigint, chosen boolean")
+
+
+def metrics_document(run: ConversionRun) -> DataFrame:
+    """One nested row with everything the training run measured: best model, sizes,
+    base rate, metrics, 2x2 matrix, per-class report, importances, contenders, ablation
+    and inputs. Every list has a fixed number of entries."""
+    spark = run.data.sparkSession
+    best = next(ev for name, _, ev in run.results if name == run.best_name)
+    sizes = run.data.agg(F.count_if(~F.col("is_test")).alias("n_train"),
+                         F.count_if(F.col("is_test")).alias("n_test"))
+    report = classification_report(confusion(scored(run.best_model, run.test))).agg(
+        F.collect_list(F.struct("class", "precision", "recall", "f1", "support")).alias("report"))
+    imp = importances(run.best_model, run.train).where(F.col("rank") <= 15).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "feature", "importance")))
+        .alias("feature_importance"))
+    names = ("name", "roc_auc", "precision", "recall", "f1")
+    entry = "struct<name: string, roc_auc: double, precision: double, recall: double, f1: double>"
+    fixed = spark.createDataFrame([(
+        run.best_name, run.base_rate, *[best[c] for c in names[1:]],
+        [[best["tn"], best["fp"]], [best["fn"], best["tp"]]],
+        [tuple(ev[c] for c in names) for _, _, ev in run.results],
+        tuple(run.ablation[2][c] for c in names), list(NUMERIC), list(CATEGORICAL))],
+        "best_model string, base_rate double, roc_auc double, precision double, recall double, "
+        f"f1 double, confusion_matrix array<array<bigint>>, contenders array<{entry}>, "
+        f"ablation {entry}, numeric_features array<string>, categorical_features array<string>")
+    for one in (sizes, report, imp):
+        fixed = fixed.join(F.broadcast(one), how="inner", on=F.lit(True))
+    return fixed
+
+
+def unlabelled_sessions(data: DataFrame) -> DataFrame:
+    """How many rows train nothing because their label or their id is missing."""
+    return data.agg(F.count_if(F.col("label").isNull()).alias("no_label"),
+                    F.count_if(F.col("session_id").isNull()).alias("no_id"),
+                    F.count(F.lit(1)).alias("sessions"))

@@ -247,37 +247,52 @@ def model_insights(metrics: DataFrame, segments: DataFrame) -> DataFrame:
     return model.unionByName(hb)
 
 
-def model_report(metrics: DataFrame, importances: DataFrame, density: DataFrame,
-                 coverage: DataFrame) -> DataFrame:
-    """F14 as a long (section, item, value, label) table: full vs ablated
-    metrics, right/wrong totals, top-12 importances, recommender coverage."""
-    rows = []
-    for role, section in [("contender", "full"), ("ablation", "ablated")]:
-        src = metrics.where(F.col("chosen")) if role == "contender" else metrics.where(
-            F.col("role") == "ablation")
-        for m in ["roc_auc", "precision", "recall", "f1"]:
-            rows.append(src.select(F.lit(section).alias("section"), F.lit(m).alias("item"),
-                                   F.col(m).cast("double").alias("value"),
-                                   F.col("name").alias("label")))
+def _long(df: DataFrame, section: str, items: list[tuple[str, str]]) -> DataFrame:
+    """One (section, item, value, label) row per listed column of a one-row frame."""
+    return df.select(F.inline(F.array(*[F.struct(
+        F.lit(section).alias("section"), F.lit(c).alias("item"),
+        F.col(c).cast("double").alias("value"), F.lit(label).alias("label"))
+        for c, label in items])))
+
+
+def model_report(metrics: DataFrame, importances: DataFrame, scorecard: DataFrame,
+                 density: DataFrame, coverage: DataFrame, overview: DataFrame) -> DataFrame:
+    """F14 as a long (section, item, value, label) table: full vs ablated metrics,
+    right/wrong totals, per-class scorecard, top-12 importances, and what the
+    recommender covers (users with history and cold users with their shares, items,
+    catalog share)."""
     best = metrics.where(F.col("chosen"))
-    rows.append(best.select(F.lit("matrix").alias("section"), F.lit("right").alias("item"),
-                            (F.col("tn") + F.col("tp")).cast("double").alias("value"),
-                            F.lit("correct predictions").alias("label")))
-    rows.append(best.select(F.lit("matrix").alias("section"), F.lit("wrong").alias("item"),
-                            (F.col("fp") + F.col("fn")).cast("double").alias("value"),
-                            F.lit("wrong predictions").alias("label")))
-    rows.append(importances.where(F.col("rank") <= 12).select(
-        F.lit("importance").alias("section"), F.col("feature").alias("item"),
-        F.col("importance").alias("value"), F.col("label")))
-    rows.append(density.select(F.lit("coverage").alias("section"),
-                               F.lit("users_with_history").alias("item"),
-                               F.col("n_users").cast("double").alias("value"),
-                               F.lit("users in the matrix").alias("label")))
-    rows.append(coverage.select(F.lit("coverage").alias("section"),
-                                F.lit("catalog_share").alias("item"),
-                                F.col("catalog_share").alias("value"),
-                                F.lit("catalog reachable in top-10 lists").alias("label")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
+    names = [("roc_auc", "ROC-AUC"), ("precision", "precision"), ("recall", "recall"), ("f1", "F1")]
+    matrix = best.select((F.col("tn") + F.col("tp")).alias("right"),
+                         (F.col("fp") + F.col("fn")).alias("wrong"))
+    cards = scorecard.where(F.col("class").isin("converted", "not converted")).select(
+        F.explode(F.array(*[F.struct(
+            F.lit("scorecard").alias("section"),
+            F.concat_ws(": ", "class", F.lit(c)).alias("item"),
+            F.col(c).cast("double").alias("value"), F.col("class").alias("label"))
+            for c in ("precision", "recall", "f1", "support")])).alias("x")).select("x.*")
+    users = density.select(F.col("n_users").alias("users_with_history"), F.col("n_items").alias("items")
+                           ).join(F.broadcast(overview.select("total_users")), how="inner", on=F.lit(True))
+    cold = F.col("total_users") - F.col("users_with_history")
+    users = users.withColumns({
+        "user_share": F.try_divide(F.col("users_with_history").cast("double"),
+                                   F.col("total_users").cast("double")),
+        "cold_users": cold,
+        "cold_share": F.try_divide(cold.cast("double"), F.col("total_users").cast("double"))})
+    parts = [
+        _long(best, "full", names), _long(metrics.where(F.col("role") == "ablation"), "ablated", names),
+        _long(matrix, "matrix", [("right", "correct predictions"), ("wrong", "wrong predictions")]),
+        cards,
+        importances.where(F.col("rank") <= 12).select(
+            F.lit("importance").alias("section"), F.col("feature").alias("item"),
+            F.col("importance").alias("value"), "label"),
+        _long(users, "coverage", [
+            ("users_with_history", "users in the matrix"), ("user_share", "share of all users"),
+            ("cold_users", "users without history"), ("cold_share", "share of all users"),
+            ("items", "items in the catalog")]),
+        _long(coverage, "coverage", [("catalog_share", "catalog reachable in top-10 lists")]),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out

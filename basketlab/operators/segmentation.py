@@ -274,3 +274,14 @@ def radar(segments: DataFrame) -> DataFrame:
     return j.select("cluster", "name", *[
         F.round(F.col(c) / F.coalesce(F.when(F.col(f"_x_{c}") != 0, F.col(f"_x_{c}")),
                                        F.lit(1.0)), 3).alias(c) for c in RADAR_AXES])
+
+
+# A6 ----------------------------------------------------------------------------
+def segmentation_document(sweep: DataFrame, choice: DataFrame, segments: DataFrame) -> DataFrame:
+    """One nested row: chosen and rejected k, the sweep and the named segments (each
+    list has one entry per k or cluster)."""
+    sw = sweep.agg(F.array_sort(F.collect_list(F.struct("k", "inertia", "silhouette"))).alias("sweep"))
+    sg = segments.agg(F.array_sort(F.collect_list(F.struct(
+        "cluster", "name", "description", "size", "share"))).alias("segments"))
+    return (choice.join(F.broadcast(sw), how="inner", on=F.lit(True))
+            .join(F.broadcast(sg), how="inner", on=F.lit(True)))

@@ -1,10 +1,75 @@
 """DuckDB oracle SQL for the SQL-expressible parts of the conversion job."""
 from __future__ import annotations
 
-from basketlab.operators.conversion import (CATEGORICAL, DEFAULTS, FEATURE_LABELS, NUMERIC,
-                                            PREFIX_LABELS)
 from basketlab.plans.oracle_aggregates import q as agg_q
 
+# Stated here again, so that a wrong value in the operator shows.
+NUMERIC = [
+    "n_interactions", "n_products", "n_view", "n_click", "n_add_to_cart", "n_remove_from_cart",
+    "n_add_to_wishlist", "n_remove_from_wishlist", "net_cart", "net_wishlist",
+    "total_dwell_ms", "mean_dwell_ms", "max_dwell_ms", "duration_s", "hour", "day_of_week",
+    "is_weekend", "prior_sessions", "is_returning", "tenure_days", "age",
+]
+CATEGORICAL = [
+    "device_type", "referrer_source", "loyalty_tier", "income_level",
+]
+DEFAULTS = {
+    "n_interactions": 5,
+    "n_products": 3,
+    "n_view": 3,
+    "n_click": 1,
+    "n_add_to_cart": 0,
+    "n_remove_from_cart": 0,
+    "n_add_to_wishlist": 0,
+    "n_remove_from_wishlist": 0,
+    "net_cart": 0,
+    "net_wishlist": 0,
+    "total_dwell_ms": 60000,
+    "mean_dwell_ms": 12000,
+    "max_dwell_ms": 30000,
+    "duration_s": 300,
+    "hour": 14,
+    "day_of_week": 2,
+    "is_weekend": 0,
+    "prior_sessions": 0,
+    "is_returning": 0,
+    "tenure_days": 180,
+    "age": 35,
+    "device_type": "desktop",
+    "referrer_source": "organic_search",
+    "loyalty_tier": "bronze",
+    "income_level": "medium",
+}
+FEATURE_LABELS = {
+    "net_cart": "Items still in cart",
+    "n_add_to_cart": "Times added to cart",
+    "n_remove_from_cart": "Times removed from cart",
+    "n_add_to_wishlist": "Items saved to wishlist",
+    "n_remove_from_wishlist": "Items removed from wishlist",
+    "net_wishlist": "Items still on wishlist",
+    "n_view": "Products viewed",
+    "n_click": "Products clicked",
+    "n_products": "Different products seen",
+    "n_interactions": "Total actions taken",
+    "total_dwell_ms": "Total time on products",
+    "mean_dwell_ms": "Average time per product",
+    "max_dwell_ms": "Longest time on one product",
+    "duration_s": "Visit length",
+    "hour": "Time of day",
+    "day_of_week": "Day of week",
+    "is_weekend": "Weekend visit",
+    "prior_sessions": "Previous visits",
+    "is_returning": "Returning shopper",
+    "tenure_days": "Days since signing up",
+    "age": "Shopper age",
+}
+PREFIX_LABELS = {
+    "device_type": "Device",
+    "referrer_source": "Came from",
+    "loyalty_tier": "Loyalty tier",
+    "income_level": "Income bracket",
+}
+
 REQUEST_FIELDS = ["n_view", "n_click", "n_add_to_cart", "n_remove_from_cart",
                   "n_add_to_wishlist", "n_remove_from_wishlist", "n_products",
                   "mean_dwell_ms", "max_dwell_ms", "duration_s", "hour", "day_of_week",
@@ -52,6 +117,10 @@ FROM (SELECT DISTINCT feature FROM ({onehot} UNION ALL {numeric}))"""
 
 
 ORACLE = {
+    "unlabelled_sessions": agg_q("""
+SELECT count(*) FILTER (WHERE is_converted IS NULL) AS no_label,
+       count(*) FILTER (WHERE session_id IS NULL) AS no_id, count(*) AS sessions
+FROM session_features""", "session_features"),
     "conversion_split": agg_q(SPLIT + """
 SELECT is_test, label, count(*) AS n FROM mi GROUP BY is_test, label""", "session_features"),
     "class_weights": agg_q(SPLIT + """

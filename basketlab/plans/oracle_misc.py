@@ -16,6 +16,13 @@ SELECT product_id, substring(split_part(product_name, chr(10), 1), 1, 180) AS bl
        substring(product_name, 1, 34) AS name_34, regexp_replace(chr(32) || chr(9) || brand || chr(10) || chr(32),
                                                      '^[[:space:]]+|[[:space:]]+$', '', 'g') AS brand_key
 FROM fx_products"""),
+    "document_text_functions": """
+SELECT doc_id, substring(split_part(text, chr(10), 1), 1, 180) AS blurb,
+       substring(text, 1, 400) AS review_text FROM documents""",
+    "csv_free_text": """
+SELECT doc_id AS product_id, source AS category,
+       substring(split_part(text, chr(10), 1), 1, 180) AS blurb,
+       substring(text, 1, 400) AS review_text FROM documents""",
     "time_functions": with_fixtures("""
 SELECT s.session_id, date_trunc('second', s.start_time) AS parsed,
        strftime(s.start_time, '%Y-%m') AS month,

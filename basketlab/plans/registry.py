@@ -507,6 +507,12 @@ def _(s):
     return d.groupBy("is_test", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("unlabelled_sessions")
+def _(s):
+    """Rows that train nothing: without a label or an id."""
+    return conv.unlabelled_sessions(conv.model_input(session_features_of(s)))
+
+
 @register("class_weights")
 def _(s):
     """H7."""
@@ -664,8 +670,10 @@ def _(s):
     recs10 = rec.recommend_all(sample, m.ui, m.neighbors, m.best, s.products, n=10)
     return res.model_report(conv.metrics_table(r), conv.importances(r.best_model, r.train)
                             .withColumn("label", conv.feature_label("feature")),
+                            conv.classification_report(conv.confusion(
+                                conv.scored(r.best_model, r.test))),
                             rec.matrix_density(m.ui, s.products),
-                            rec.catalog_coverage(recs10, sample, s.products))
+                            rec.catalog_coverage(recs10, sample, s.products), overview_of(s))
 
 
 @register("recommendation_bundle")
@@ -878,3 +886,56 @@ def _(s):
     base = sinks.scratch_table_dir(s.spark, "segments")
     r.models[r.choice["k"]].write().overwrite().save(base)
     return sinks.load_kmeans(base).transform(r.scaled).select("user_id", "cluster")
+
+
+@register("conversion_document")
+def _(s):
+    """The nested metrics document of the conversion model, written as JSON and
+    read back (its ROC points are the table ``roc_points``)."""
+    r = conversion_run(s)
+    base = sinks.scratch_table_dir(s.spark, "document")
+    sinks.write_metrics(conv.metrics_document(r), base)
+    return s.spark.read.schema(conv.metrics_document(r).schema).json(base).select(
+        F.to_json(F.struct("*")).alias("document"))
+
+
+@register("segmentation_document")
+def _(s):
+    """The nested document of the segmentation (sweep, chosen and rejected k,
+    segments), written as JSON and read back."""
+    r = segmentation_run(s)
+    base = sinks.scratch_table_dir(s.spark, "document")
+    doc = seg.segmentation_document(r.sweep, seg.choose_k(r.sweep), r.segments)
+    sinks.write_metrics(doc, base)
+    return s.spark.read.schema(doc.schema).json(base).select(
+        F.to_json(F.struct("*")).alias("document"))
+
+
+@register("document_text_functions")
+def _(s):
+    """B4, B6 over real multi-line text: first line (180 characters) and the first 400
+    characters of every document."""
+    d = s.spark.read.parquet(f"{s.sf_dir}/documents.parquet").select("doc_id", "text")
+    return d.select("doc_id", fn.first_line("text", 180).alias("blurb"),
+                    fn.truncate("text", 400).alias("review_text"))
+
+
+@register("csv_free_text")
+def _(s):
+    """A1, B4-B6 on free text: every document as a product description and a review,
+    exported as CSV with line breaks in the fields, read back and cleaned."""
+    d = s.spark.read.parquet(f"{s.sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    folder = sinks.scratch_table_dir(s.spark, "csv-text")
+    raw_src.write_csv({
+        "products": d.select(F.col("doc_id").cast("string").alias("product_id"),
+                             F.col("text").alias("product_description"),
+                             F.concat(F.lit(" \t"), F.col("source")).alias("category")),
+        "reviews": d.select(F.col("doc_id").cast("string").alias("review_id"),
+                            F.col("text").alias("review_text"))}, folder)
+    schemas = {"products": [(c, StringType()) for c in
+                            ("product_id", "product_description", "category")],
+               "reviews": [(c, StringType()) for c in ("review_id", "review_text")]}
+    back = raw_src.clean_tables(raw_src.read_raw(s.spark, folder, schemas))
+    return back["products"].join(back["reviews"],
+                                 F.col("product_id") == F.col("review_id")).select(
+        F.col("product_id").cast("bigint").alias("product_id"), "category", "blurb", "review_text")

@@ -39,11 +39,12 @@ CLUSTER_CONF = {
 
 def build_session(master: str | None = None, app: str = "basketlab",
                   shuffle_partitions: int | None = None,
-                  extra: dict | None = None) -> SparkSession:
+                  extra: dict | None = None, cluster: bool = False) -> SparkSession:
+    """A session with the jobs' settings; ``cluster`` adds the large-cluster profile."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    conf = dict(DEFAULT_CONF)
+    conf = dict(DEFAULT_CONF) | (CLUSTER_CONF if cluster else {})
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
