@@ -21,11 +21,15 @@ CATALOG_COLS = ["product_id", "product_name", "category", "brand", "price", "rat
                 "review_count", "n_view", "n_purchases", "revenue", "view_to_purchase"]
 
 
-def catalog(pstats: DataFrame, category: str | None = None, limit: int = 20) -> DataFrame:
-    """F1 (+ B19): products by revenue, then views; optional category filter (an
-    unknown category gives an empty result). A limit outside 1..200 is an error."""
+def catalog(pstats: DataFrame, category: str | None = None, limit: int = 20,
+            must_exist: bool = False) -> DataFrame:
+    """F1 (+ B19): products by revenue, then views; optional category filter. An
+    unknown category gives an empty result, or with ``must_exist`` an error (one row is
+    looked for). A limit outside 1..200 is an error."""
     if not 1 <= int(limit) <= 200:
         raise ValueError(f"limit must be between 1 and 200, not {limit}")
+    if category and must_exist and pstats.where(F.col("category") == F.lit(category)).isEmpty():
+        raise LookupError(f"no products in category {category!r}")
     df = pstats.where(F.col("category") == F.lit(category)) if category else pstats
     return (df.select(*[c for c in CATALOG_COLS if c in pstats.columns])
             .orderBy(F.col("revenue").desc(), F.col("n_view").desc(), F.col("product_id"))

@@ -317,3 +317,8 @@ WHERE NOT EXISTS (SELECT 1 FROM fx_users u WHERE u.user_id = r.user_id)"""),
 SELECT user_id, count(*) AS n FROM fx_interactions GROUP BY user_id HAVING count(*) >= 12
 ORDER BY n DESC, user_id LIMIT 8"""),
 }
+# the same result sets at the reference's own thresholds
+ORACLE["leaky_products_100"] = q(LEAKY.format(mv=100, n=10), "product_stats")
+for _name, _own, _views in (("low_rated_50", "low_rated", 50),
+                            ("funnel_points_20", "funnel_points", 20)):
+    ORACLE[_name] = ORACLE[_own].replace(f"n_view >= {MIN_VIEWS}", f"n_view >= {_views}")

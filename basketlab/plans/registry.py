@@ -341,6 +341,24 @@ def _(s):
     return res.funnel_points(product_stats_of(s), min_views=MIN_VIEWS)
 
 
+@register("leaky_products_100")
+def _(s):
+    """F3 at the reference's own threshold."""
+    return res.leaky_products(product_stats_of(s))
+
+
+@register("low_rated_50")
+def _(s):
+    """F4 at the reference's own threshold."""
+    return res.low_rated(product_stats_of(s), max_rating=3, min_views=50, n=10)
+
+
+@register("funnel_points_20")
+def _(s):
+    """F5 at the reference's own threshold."""
+    return res.funnel_points(product_stats_of(s), min_views=20)
+
+
 @register("category_ranking")
 def _(s):
     """F6."""

@@ -35,6 +35,9 @@ def test_catalog_limit_out_of_range_raises(spark, limit):
     with pytest.raises(ValueError, match="between 1 and 200"):
         res.catalog(df, limit=limit)
     assert res.catalog(df, limit=200).count() == 1
+    assert res.catalog(df, category="b").count() == 0
+    with pytest.raises(LookupError, match="no products in category 'b'"):
+        res.catalog(df, category="b", must_exist=True)
 
 
 def test_tiny_scores_stay_and_rank(spark):
