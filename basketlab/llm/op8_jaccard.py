@@ -28,6 +28,8 @@ and has no component; empty tables give no rows.
 """
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -291,22 +293,23 @@ def pairs_across(held: DataFrame) -> DataFrame:
     common token's group that way. Components meet before their documents do, so pairs
     inside a component are never made."""
     held = held.withColumn("own", band_of(F.col("n")))
+    cols = ["comp", "id", "n", "l", "place"]
     few = held.where(F.col("docs") <= FEW).select(
-        "token", F.lit(-1).cast("long").alias("b1"), F.lit(-1).cast("long").alias("b2"),
-        "comp", "id", "n", "l", "place")
-    n, partner = F.col("n"), F.col("partner")
-    least = F.greatest(F.floor(F.pow(F.lit(BAND), partner)), F.ceil(NUMERATOR * n / DENOMINATOR))
-    many = (held.where(F.col("docs") > FEW)
-            .withColumn("partner", F.explode(F.sequence(
-                band_of(F.ceil(NUMERATOR * n / DENOMINATOR)) - 1,
-                band_of(F.floor(DENOMINATOR * n / NUMERATOR)) + 1)))
-            .where(within(F.col("place"), n, least, 1)))
-
-    def side(df, b1, b2):
-        return df.select("token", F.col(b1).alias("b1"), F.col(b2).alias("b2"), "comp", "id", "n",
-                         "l", "place").unionByName(few)
-    low = side(many.where("own <= partner"), "own", "partner")
-    high = side(many.where("own >= partner"), "partner", "own")
+        "token", F.lit(-1).cast("long").alias("b1"), F.lit(-1).cast("long").alias("b2"), *cols)
+    many, n = held.where(F.col("docs") > FEW), F.col("n")
+
+    def side(step: int) -> DataFrame:
+        """The rows whose token stands in the prefix for partners in each band of the
+        sizes that can link, upwards (step 1) or downwards (step -1) from their own."""
+        out = few
+        for k in range(int(math.log(DENOMINATOR / NUMERATOR) / math.log(BAND)) + 2):
+            partner = F.col("own") + step * k
+            least = F.greatest(F.floor(F.pow(F.lit(BAND), partner)), F.ceil(NUMERATOR * n / DENOMINATOR))
+            out = out.unionByName(many.where(within(F.col("place"), n, least, 1)).select(
+                "token", F.least("own", partner).alias("b1"), F.greatest("own", partner).alias("b2"),
+                *cols))
+        return out
+    low, high = side(1), side(-1)
     keys = ["token", "b1", "b2"]
     meet = (low.select(*keys, "comp").distinct()
             .join(high.select(*keys, F.col("comp").alias("other")).distinct(), keys)
