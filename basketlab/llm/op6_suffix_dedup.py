@@ -399,3 +399,25 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read_columns(spark, sf_dir, "documents", "doc_id", "text")).select(
         F.col("id").alias("doc_id"), "n_bytes", "n_removed",
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h,
+                  octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS MATERIALIZED (SELECT rid, doc_id, p, substr(h, 2 * p + 1, 100) AS s
+                   FROM (SELECT rid, doc_id, h, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50)),
+f AS MATERIALIZED (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s),
+c AS (SELECT rid, p FROM w JOIN f USING (s) WHERE first_id < doc_id),
+g AS (SELECT rid, p, sum(new) OVER (PARTITION BY rid ORDER BY p) AS run
+      FROM (SELECT rid, p, CASE WHEN p - lag(p) OVER (PARTITION BY rid ORDER BY p) <= 50
+                                THEN 0 ELSE 1 END AS new FROM c)),
+r AS (SELECT rid, run, min(p) AS a, max(p) + 50 AS b FROM g GROUP BY rid, run),
+k AS (SELECT d.rid, count(*) AS n_spans, sum(b - a) AS n_removed,
+             substr(any_value(h), 1, 2 * min(a)) ||
+             string_agg(substr(h, 2 * b + 1, 2 * (coalesce(next_a, n) - b)), '' ORDER BY a) AS kept
+      FROM (SELECT *, lead(a) OVER (PARTITION BY rid ORDER BY a) AS next_a FROM r)
+      JOIN d USING (rid) GROUP BY d.rid)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)
+"""

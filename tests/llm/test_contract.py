@@ -38,7 +38,9 @@ def test_rows_and_columns(spark, request, name, tables):
     assert len(rows) == EXPECTED_ROWS[tables][name == "op9_warc"]
 
 
-@pytest.mark.parametrize("name", ORACLES)
+# the SQL of op6 cuts every window of a text by place, too slow for the very long one;
+# test_suffix_dedup_is_exact has these rows
+@pytest.mark.parametrize("name", [n for n in ORACLES if n != "op6_suffix_dedup"])
 def test_odd_rows_match_sql(spark, odd, name):
     assert rows_of(llm.queries()[name](spark, odd)) == oracle_rows(llm.oracle_sql()[name], odd)
 
