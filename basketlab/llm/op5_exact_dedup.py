@@ -27,6 +27,8 @@ STORE = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
+
+
 def locator():
     """Where a row's content is: file and row in it."""
     return F.struct(F.col("_metadata.file_path").alias("file"),
@@ -95,7 +97,7 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
 
     good = found.join(wrong.select("at"), "at", "left_anti")
     if wrong.isEmpty():
-        return _decide(found.select("*"))
+        return _decide(found)
     # colliding digests: those rows form groups by their text; the others lose them
     lost = wrong.groupBy("digest").agg(F.count(F.lit(1)).alias("lost"))
     rest = (found.select("id", "at", "group_size", "digest", "keep").join(wrong, ["at", "digest"]))

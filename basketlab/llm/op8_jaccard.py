@@ -23,8 +23,8 @@ A document's set is its distinct 5-word shingles (64-bit hashes; A-Z lower-cased
 
 Verification counts the two whole sets. Odd cases: null text and texts without words
 have no shingles and link with nothing; texts of 1 to 4 words have one shingle, the whole
-sequence; rows with the same id are one document for links; a null id links with nothing
-and has no component; empty tables give no rows.
+sequence; rows with the same id are one document, of whose texts one is verified; a null
+id links with nothing and has no component; empty tables give no rows.
 """
 from __future__ import annotations
 
