@@ -74,7 +74,7 @@ def feature_counts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
                   folds: int, sample_rows: int, sample_features: int):
-    """[(ids, weights, label)] of the bounded sample, in a fixed order."""
+    """[(ids, counts, label)] of the bounded sample, in a fixed order."""
     chosen = (labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y"))
               .where(F.col("k").isNotNull() & F.col("y").isNotNull() & learnable("k", folds, 0))
               .groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample_rows))
@@ -95,15 +95,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
               .join(F.broadcast(chosen), "k").select("k", "y", "text")
               .mapInArrow(count, "k string, y int, ids binary, n binary")
               .orderBy(F.xxhash64("k"), "k", "ids", "n"))
-    out, total = [], 0
+    # two growing buffers, not thousands of small arrays: the driver gives them back whole
+    ids, counts, ends, labels_of = bytearray(), bytearray(), [0], []
     for r in sample.toLocalIterator():
-        ids = np.frombuffer(r["ids"], "<i4")
-        total += len(ids)
-        if out and total > sample_features:
+        if labels_of and len(ids) + len(r["ids"]) > 4 * sample_features:
             break
-        n = np.frombuffer(r["n"], "<i4").astype(np.float32)
-        out.append((ids, n / max(1.0, float(n.sum())), r["y"]))
-    return out
+        ids += r["ids"]
+        counts += r["n"]
+        ends.append(len(ids) // 4)
+        labels_of.append(r["y"])
+    ids, counts = np.frombuffer(ids, "<i4"), np.frombuffer(counts, "<i4")
+    return [(ids[a:b], counts[a:b], y) for a, b, y in zip(ends, ends[1:], labels_of)]
 
 
 def train(rows, classes: int = 2, dim: int = 12, epochs: int = 6, rate: float = 4.0,
@@ -116,7 +118,8 @@ def train(rows, classes: int = 2, dim: int = 12, epochs: int = 6, rate: float =
     step, steps = 0, max(1, epochs * len(rows))
     for _ in range(epochs):
         for j in rng.permutation(len(rows)):
-            ids, share, y = rows[j]
+            ids, counts, y = rows[j]
+            share = (counts / max(1, counts.sum())).astype(np.float32)
             now = rate * (1 - step / steps)
             step += 1
             mean = share @ vectors[ids]
@@ -137,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         sample_features: int = 12_000_000) -> tuple[np.ndarray, float]:
     """(score of each bucket, bias) of the two-class model: label 1 against label 0."""
     rows = training_rows(docs, labels, id_col, text_col, label_col, folds, sample_rows, sample_features)
-    rows = [(ids, share, int(y == 1)) for ids, share, y in rows]
+    rows = [(ids, counts, int(y == 1)) for ids, counts, y in rows]
     ones = sum(y for *_, y in rows)
     if ones in (0, len(rows)):
         return np.zeros(BUCKETS, np.float32), float(np.log((ones + 1) / (len(rows) - ones + 1)))

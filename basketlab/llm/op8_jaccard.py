@@ -309,7 +309,7 @@ def pairs_across(held: DataFrame) -> DataFrame:
                 "token", F.least("own", partner).alias("b1"), F.greatest("own", partner).alias("b2"),
                 *cols))
         return out
-    low, high = side(1), side(-1)
+    low, high = staged(side(1), "low"), staged(side(-1), "high")  # each is read twice
     keys = ["token", "b1", "b2"]
     meet = (low.select(*keys, "comp").distinct()
             .join(high.select(*keys, F.col("comp").alias("other")).distinct(), keys)
