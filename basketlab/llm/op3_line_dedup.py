@@ -8,8 +8,10 @@ or 8 equal stretches of tokens in longer lines) is an instance of it, so that th
 that differ are variable fields too; any other line is a template of its own.
 
 A template that recurs in at least ``min_docs`` documents of different text is dropped
-from all of them but its first place (smallest id, then text hash, then line), so exact
-copies of one document count once here and are left to document deduplication.
+from all of them but its first place (smallest id, then text hash, then line); a template
+of more than ``long_words`` tokens goes from its second document on (``LONG_DOCS``), as a
+passage of that length doesn't recur by chance. Both numbers hold at every size. Exact
+copies of one document count once here and are left to document deduplication (README).
 
 Everything is DataFrame operations. Only hashes of lines are shuffled and counted, per
 template after partial aggregation (a line that stands in a third of all documents is one
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from basketlab.llm.common import read_columns, staged
 
 STRETCHES = 8
+LONG_DOCS = 2
 
 
 def row_key(id_col: str, text_col: str):
@@ -35,8 +38,10 @@ def row_key(id_col: str, text_col: str):
                     F.xxhash64(F.col(text_col)).alias("hash"))
 
 
-def line_rows(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
-    """(at, line, leaf, sig, places) of each line that isn't blank."""
+def line_rows(docs: DataFrame, id_col: str, text_col: str, depth: int, min_docs: int,
+              long_words: int) -> DataFrame:
+    """(at, line, leaf, need, sig, places) of each line that isn't blank; need: in how many
+    documents a template of its length recurs when it is dropped."""
     lines = docs.select(row_key(id_col, text_col).alias("at"),
                         F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "raw"))
     blank = F.translate("raw", "\t\r", "  ")
@@ -50,43 +55,45 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFr
         "int(i * size(t) div least(size(t), {0})) + 1, "
         "int((i + 1) * size(t) div least(size(t), {0})) - int(i * size(t) div least(size(t), {0})))))"
         .format(STRETCHES))
+    need = F.when(n > long_words, min(LONG_DOCS, min_docs)).otherwise(min_docs)
     return lines.select("at", "line", F.xxhash64(n, F.slice("t", 1, depth)).alias("leaf"),
+                        need.alias("need"),
                         F.xxhash64("t").alias("sig"), places.alias("places"))
 
 
-def dropped_lines(lines: DataFrame, similarity: float, min_docs: int) -> DataFrame:
+def dropped_lines(lines: DataFrame, similarity: float) -> DataFrame:
     """(at, lines): the line numbers to drop, one row per document that loses any."""
-    kinds = lines.groupBy("leaf", "sig").agg(F.count(F.lit(1)).alias("n"),
+    kinds = lines.groupBy("leaf", "need", "sig").agg(F.count(F.lit(1)).alias("n"),
                                              F.min("places").alias("places"))
-    heads = kinds.groupBy("leaf").agg(
+    heads = kinds.groupBy("leaf", "need").agg(
         F.sum("n").alias("all"), F.max(F.struct("n", "sig", "places")).alias("head"))
-    heads = heads.where(F.col("all") >= min_docs).select(
+    heads = heads.where(F.col("all") >= F.col("need")).select(
         "leaf", F.col("head.sig").alias("head_sig"), F.col("head.places").alias("head_places"))
     alike = F.size(F.filter(F.zip_with("places", "head_places", lambda a, b: a == b), lambda x: x))
     kinds = staged(kinds.join(heads, "leaf").select(
         "leaf", "sig",
         F.when(alike >= similarity * F.size("places"), F.col("head_sig"))
         .otherwise(F.col("sig")).alias("template")), "line-kinds")
-    placed = staged(lines.select("at", "line", "leaf", "sig").join(kinds, ["leaf", "sig"]).select(
-        "at", "line", F.xxhash64("leaf", "template").alias("template")), "template-lines")
-    by_text = placed.groupBy("template", F.col("at.hash").alias("hash")).agg(
+    placed = staged(lines.select("at", "line", "leaf", "need", "sig").join(kinds, ["leaf", "sig"]).select(
+        "at", "line", "need", F.xxhash64("leaf", "template").alias("template")), "template-lines")
+    by_text = placed.groupBy("template", "need", F.col("at.hash").alias("hash")).agg(
         F.min(F.struct("at", "line")).alias("first"))
     # written out, so that the join below has plain sides and may split a hot template
-    recurring = staged(by_text.groupBy("template").agg(
+    recurring = staged(by_text.groupBy("template", "need").agg(
         F.count(F.lit(1)).alias("docs"), F.min("first").alias("first")).where(
-        F.col("docs") >= min_docs).select("template", "first"), "recurring")
+        F.col("docs") >= F.col("need")).select("template", "first"), "recurring")
     return (placed.join(recurring, "template")
             .where(F.struct("at", "line") != F.col("first"))
             .groupBy("at").agg(F.collect_set("line").alias("lines")))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3,
-               similarity: float = 0.8, min_docs: int = 5) -> DataFrame:
+               similarity: float = 0.8, min_docs: int = 5, long_words: int = 50) -> DataFrame:
     """The frame with the text deduplicated and n_lines, n_dropped added (columns of
     these names are replaced)."""
     docs = docs.drop("n_lines", "n_dropped")
-    lines = staged(line_rows(docs, id_col, text_col, depth), "lines")
-    drops = dropped_lines(lines, similarity, min_docs)
+    lines = staged(line_rows(docs, id_col, text_col, depth, min_docs, long_words), "lines")
+    drops = dropped_lines(lines, similarity)
     whole = docs.select(row_key(id_col, text_col).alias("at"), F.struct(*docs.columns).alias("row"))
     joined = whole.join(drops, "at", "left")
     old = F.col("row")[text_col]

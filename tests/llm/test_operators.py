@@ -111,6 +111,17 @@ def test_line_dedup_keeps_lines_outside_recurring_leaves(spark):
                 assert raw in left
 
 
+def test_long_lines_go_from_their_second_document_on(spark):
+    long, short = (" ".join(f"{w}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n))
+                   for w, n in (("pass", 51), ("tail", 50)))
+    rows = [(1, f"one own\n{long}\n{short}"), (2, f"two other\n{short}\n{long}"), (3, f"{long}\nthree")]
+    out = {r.doc_id: r for r in op3_line_dedup.line_dedup(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1].text == rows[0][1]
+    assert (out[2].text, out[2].n_dropped) == (f"two other\n{short}", 1)
+    assert (out[3].text, out[3].n_dropped) == ("three", 1)
+
+
 def test_exact_dedup_in_several_batches(spark, odd, tmp_path):
     path = f"{tmp_path}/documents.parquet"
     spark.read.parquet(f"{odd}/documents.parquet").repartition(6).write.parquet(path)
