@@ -3,9 +3,10 @@
 A line's tokens are its blank-separated words, those with a digit being variable
 (``<*>``). The tree's levels are the number of tokens and the leading ``depth`` tokens;
 a leaf holds the lines that share them. Within a leaf the most frequent line is the
-template, and a line that agrees with it in at least ``similarity`` of its places (tokens,
-or 8 equal stretches of tokens in longer lines) is an instance of it, so that the places
-that differ are variable fields too; any other line is a template of its own.
+template, and a line that agrees with it in at least ``similarity`` of its tokens (compared
+one by one, as 32-bit hashes) is an instance of it, so that the tokens that differ are
+variable fields too; any other line is a template of its own. Only the distinct lines of
+leaves that hold several are compared.
 
 A template that recurs in at least ``min_docs`` documents of different text is dropped
 from all of them but its first place (smallest id, then text hash, then line); a template
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 
 from basketlab.llm.common import read_columns, staged
 
-STRETCHES = 8
 LONG_DOCS = 2
 
 
@@ -40,8 +40,8 @@ def row_key(id_col: str, text_col: str):
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str, depth: int, min_docs: int,
               long_words: int) -> DataFrame:
-    """(at, line, leaf, need, sig, places) of each line that isn't blank; need: in how many
-    documents a template of its length recurs when it is dropped."""
+    """(at, line, leaf, need, sig, tokens) of each line that isn't blank; need: in how many
+    documents a template of its length recurs when it is dropped; tokens: their hashes."""
     lines = docs.select(row_key(id_col, text_col).alias("at"),
                         F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "raw"))
     blank = F.translate("raw", "\t\r", "  ")
@@ -50,30 +50,42 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, depth: int, min_docs:
     lines = lines.select("at", "line", F.filter(F.split(masked, " "), lambda t: t != "").alias("t")
                          ).where("size(t) > 0")
     n = F.size("t")
-    places = F.expr(
-        "transform(sequence(0, least(size(t), {0}) - 1), i -> hash(slice(t, "
-        "int(i * size(t) div least(size(t), {0})) + 1, "
-        "int((i + 1) * size(t) div least(size(t), {0})) - int(i * size(t) div least(size(t), {0})))))"
-        .format(STRETCHES))
     need = F.when(n > long_words, min(LONG_DOCS, min_docs)).otherwise(min_docs)
     return lines.select("at", "line", F.xxhash64(n, F.slice("t", 1, depth)).alias("leaf"),
                         need.alias("need"),
-                        F.xxhash64("t").alias("sig"), places.alias("places"))
+                        F.xxhash64("t").alias("sig"), F.transform("t", lambda x: F.hash(x)).alias("tokens"))
+
+
+def alike(a, b, similarity: float):
+    """Whether two lines of one leaf agree in enough of their tokens."""
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
+    return same >= similarity * F.size(a)
+
+
+def templates(lines: DataFrame, similarity: float) -> DataFrame:
+    """(leaf, sig, template) of the distinct lines of leaves with enough lines."""
+    place = F.xxhash64("at", "line")
+    kinds = lines.groupBy("leaf", "need", "sig").agg(F.count(F.lit(1)).alias("n"),
+                                                     F.min(place).alias("place"))
+    leaves = kinds.groupBy("leaf", "need").agg(F.sum("n").alias("all"),
+                                               F.count(F.lit(1)).alias("kinds"))
+    leaves = leaves.where(F.col("all") >= F.col("need")).select("leaf", "kinds")
+    kinds = staged(kinds.join(leaves, "leaf"), "line-kinds")
+    # one line of each kind brings its tokens; the place spreads a hot line over the tasks
+    several = kinds.where("kinds > 1").select("leaf", "need", "sig", "place", "n")
+    several = staged(lines.select("leaf", "sig", "tokens", place.alias("place")).join(
+        several, ["leaf", "sig", "place"]).dropDuplicates(["leaf", "sig"]).drop("place"), "several")
+    heads = several.groupBy("leaf").agg(F.max(F.struct("n", "sig", "tokens")).alias("head"))
+    matched = several.join(heads, "leaf").select(
+        "leaf", "sig", F.when(alike("tokens", F.col("head.tokens"), similarity), F.col("head.sig"))
+        .otherwise(F.col("sig")).alias("template"))
+    alone = kinds.where("kinds = 1").select("leaf", "sig", F.col("sig").alias("template"))
+    return staged(alone.unionByName(matched), "line-templates")
 
 
 def dropped_lines(lines: DataFrame, similarity: float) -> DataFrame:
     """(at, lines): the line numbers to drop, one row per document that loses any."""
-    kinds = lines.groupBy("leaf", "need", "sig").agg(F.count(F.lit(1)).alias("n"),
-                                             F.min("places").alias("places"))
-    heads = kinds.groupBy("leaf", "need").agg(
-        F.sum("n").alias("all"), F.max(F.struct("n", "sig", "places")).alias("head"))
-    heads = heads.where(F.col("all") >= F.col("need")).select(
-        "leaf", F.col("head.sig").alias("head_sig"), F.col("head.places").alias("head_places"))
-    alike = F.size(F.filter(F.zip_with("places", "head_places", lambda a, b: a == b), lambda x: x))
-    kinds = staged(kinds.join(heads, "leaf").select(
-        "leaf", "sig",
-        F.when(alike >= similarity * F.size("places"), F.col("head_sig"))
-        .otherwise(F.col("sig")).alias("template")), "line-kinds")
+    kinds = templates(lines, similarity)
     placed = staged(lines.select("at", "line", "leaf", "need", "sig").join(kinds, ["leaf", "sig"]).select(
         "at", "line", "need", F.xxhash64("leaf", "template").alias("template")), "template-lines")
     by_text = placed.groupBy("template", "need", F.col("at.hash").alias("hash")).agg(

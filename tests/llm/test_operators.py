@@ -122,6 +122,20 @@ def test_long_lines_go_from_their_second_document_on(spark):
     assert (out[3].text, out[3].n_dropped) == ("three", 1)
 
 
+def test_long_lines_are_compared_token_by_token(spark):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)]
+    rows = []
+    for i in range(6):  # 98 of 100 tokens agree, the others far apart
+        line = list(words)
+        line[10], line[90] = "first" + "x" * i, "second" + "y" * i
+        rows.append((i, " ".join(line)))
+    far = [w if j < 79 else w + "far" for j, w in enumerate(words)]
+    rows.append((6, " ".join(far)))
+    out = {r.doc_id: r.n_dropped for r in op3_line_dedup.line_dedup(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 0}
+
+
 def test_exact_dedup_in_several_batches(spark, odd, tmp_path):
     path = f"{tmp_path}/documents.parquet"
     spark.read.parquet(f"{odd}/documents.parquet").repartition(6).write.parquet(path)
