@@ -2,11 +2,14 @@
 
 A line's tokens are its blank-separated words, those with a digit being variable
 (``<*>``). The tree's levels are the number of tokens and the leading ``depth`` tokens;
-a leaf holds the lines that share them. Within a leaf the most frequent line is the
+a leaf holds the lines that share them. Within a leaf the most frequent line is a
 template, and a line that agrees with it in at least ``similarity`` of its tokens (compared
 one by one, as 32-bit hashes) is an instance of it, so that the tokens that differ are
-variable fields too; any other line is a template of its own. Only the distinct lines of
-leaves that hold several are compared.
+variable fields too; the most frequent of the other lines is the next template, and so on
+(equal counts: larger hash first). Only the distinct lines of leaves that hold several are
+compared, in rounds that find up to ``HEADS`` templates a leaf each, until no leaf is left
+whose unmatched lines could still make a template that recurs often enough. The number of
+rounds follows the leaf with the most unlike lines.
 
 A template that recurs in at least ``min_docs`` documents of different text is dropped
 from all of them but its first place (smallest id, then text hash, then line); a template
@@ -24,12 +27,13 @@ in id and text get the same result; a null id sorts last; empty tables give no r
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketlab.llm.common import read_columns, staged
 
 LONG_DOCS = 2
+HEADS = 16
 
 
 def row_key(id_col: str, text_col: str):
@@ -62,6 +66,40 @@ def alike(a, b, similarity: float):
     return same >= similarity * F.size(a)
 
 
+def leaf_heads(kinds: DataFrame, similarity: float, most: int) -> DataFrame:
+    """(leaf, heads): of each leaf's ``most`` most frequent kinds those that agree with no
+    more frequent one, in order."""
+    rank = F.row_number().over(Window.partitionBy("leaf").orderBy(F.desc("n"), F.desc("sig")))
+    top = kinds.select("leaf", F.struct("n", "sig", "tokens").alias("kind"), rank.alias("rank")).where(
+        F.col("rank") <= most).groupBy("leaf").agg(F.collect_list("kind").alias("top"))
+    top = top.withColumn("top", F.reverse(F.array_sort("top")))
+    none = F.slice("top", 1, 0)
+    return top.select("leaf", F.aggregate("top", none, lambda heads, x: F.when(
+        F.exists(heads, lambda h: alike(h["tokens"], x["tokens"], similarity)), heads)
+        .otherwise(F.concat(heads, F.array(x)))).alias("heads"))
+
+
+def matched_kinds(kinds: DataFrame, similarity: float, most: int = HEADS) -> list[DataFrame]:
+    """(leaf, sig, template) of all kinds, in parts: each round the kinds that agree with one
+    of the leaf's next templates (the first such) leave."""
+    done = []
+    while True:
+        heads = leaf_heads(kinds, similarity, most)
+        first = F.aggregate("heads", F.lit(None).cast("long"), lambda found, h: F.coalesce(
+            found, F.when(alike(h["tokens"], F.col("tokens"), similarity), h["sig"])))
+        tried = staged(kinds.join(heads, "leaf").select(*kinds.columns, first.alias("template")), "tried")
+        done.append(tried.where("template IS NOT NULL").select("leaf", "sig", "template"))
+        rest = tried.where("template IS NULL").drop("template")
+        # one kind, or fewer lines than documents needed: nothing to find any more
+        open_ = rest.groupBy("leaf", "need").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
+        open_ = open_.where("kinds > 1 AND all >= need").select("leaf", F.lit(True).alias("more"))
+        rest = staged(rest.join(open_, "leaf", "left"), "unmatched")
+        done.append(rest.where("more IS NULL").select("leaf", "sig", F.col("sig").alias("template")))
+        kinds = rest.where("more").drop("more")
+        if kinds.isEmpty():
+            return done
+
+
 def templates(lines: DataFrame, similarity: float) -> DataFrame:
     """(leaf, sig, template) of the distinct lines of leaves with enough lines."""
     place = F.xxhash64("at", "line")
@@ -75,12 +113,11 @@ def templates(lines: DataFrame, similarity: float) -> DataFrame:
     several = kinds.where("kinds > 1").select("leaf", "need", "sig", "place", "n")
     several = staged(lines.select("leaf", "sig", "tokens", place.alias("place")).join(
         several, ["leaf", "sig", "place"]).dropDuplicates(["leaf", "sig"]).drop("place"), "several")
-    heads = several.groupBy("leaf").agg(F.max(F.struct("n", "sig", "tokens")).alias("head"))
-    matched = several.join(heads, "leaf").select(
-        "leaf", "sig", F.when(alike("tokens", F.col("head.tokens"), similarity), F.col("head.sig"))
-        .otherwise(F.col("sig")).alias("template"))
+    matched = matched_kinds(several, similarity)
     alone = kinds.where("kinds = 1").select("leaf", "sig", F.col("sig").alias("template"))
-    return staged(alone.unionByName(matched), "line-templates")
+    for part in matched:
+        alone = alone.unionByName(part)
+    return staged(alone, "line-templates")
 
 
 def dropped_lines(lines: DataFrame, similarity: float) -> DataFrame:

@@ -136,6 +136,20 @@ def test_long_lines_are_compared_token_by_token(spark):
     assert out == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 0}
 
 
+def test_second_template_of_a_leaf_is_found(spark):
+    """A fixed line is the head; another template of the leaf differs in a name each time,
+    and more unlike lines than one round has heads come before it."""
+    names = "abcdefgh"
+    rows = [(i, f"{names[i] * 4} own\nthis is the fixed foot of every page here now") for i in range(8)]
+    rows += [(20 + i, f"{names[i] * 5} own\nthis is the page of user {names[i] * 3} in our shop") for i in range(8)]
+    for i in range(20):
+        unlike = " ".join(f"{chr(97 + i)}{c}" for c in "tuvwxyz")
+        rows += [(100 + 2 * i + j, f"{chr(97 + i) * (6 + j)} own\nthis is the {unlike}") for j in range(2)]
+    out = {r.doc_id: r.n_dropped for r in op3_line_dedup.line_dedup(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {k: int(0 < k < 8 or 20 < k < 28) for k, _ in rows}
+
+
 def test_exact_dedup_in_several_batches(spark, odd, tmp_path):
     path = f"{tmp_path}/documents.parquet"
     spark.read.parquet(f"{odd}/documents.parquet").repartition(6).write.parquet(path)
