@@ -6,7 +6,7 @@ one of the notice's k + 1 pieces unchanged, so the exact pieces (seeds, found by
 Aho-Corasick automaton over all notices) are the only places to look at. Around each
 seed the regex library matches the notice with its error bound and so verifies the
 edits; the best match (fewest edits, then leftmost) of each region is reported with its
-span in the text. Text is compared with A-Z lower-cased and white space runs as one
+span in the text, then the best ones of what is left before and after it, and so on. Text is compared with A-Z lower-cased and white space runs as one
 blank; spans are mapped back.
 
 Base places are kept apart: a phrase's words standing consecutively among the words
@@ -99,10 +99,22 @@ class Finder:
                 else:
                     regions.append([a, b])
             for a, b in regions:
-                for m in self.patterns[i].finditer(flat[a:b]):
-                    out.append((a + m.start(), a + m.end(), i, sum(m.fuzzy_counts)))
+                out.extend((x, y, i, e) for x, y, e in self.matches(i, flat, a, min(b, len(flat))))
         return sorted(out)
 
+    def matches(self, i: int, flat: str, a: int, b: int):
+        """(start, end, edits) of the best match in flat[a:b], then of the parts beside it."""
+        text, _, k = self.notices[i]
+        parts = [(a, b)]
+        while parts:
+            a, b = parts.pop()
+            if b - a < max(len(text) - k, 1):  # shorter than any match
+                continue
+            m = self.patterns[i].search(flat, a, b)
+            if m and m.end() > m.start():
+                yield m.start(), m.end(), sum(m.fuzzy_counts)
+                parts += [(a, m.start()), (m.end(), b)]
+
 
 def flatten(low: str) -> tuple[str, list[tuple[int, int]]]:
     """Text with white space runs as one blank, and (place, characters lost up to it)."""

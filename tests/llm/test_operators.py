@@ -246,6 +246,11 @@ def test_license_phrases(spark):
     assert (out[3].n_words, out[3].first_word, out[3].labels, out[3].score) == (0, None, "", 0.0)
 
 
+def test_worse_notice_before_a_better_one_is_found():
+    found = op7_licenses.Finder(op7_licenses.NOTICES).find("mozilla publik license mozilla public license")
+    assert [(a, b, e) for a, b, i, e in found if op7_licenses.NOTICES[i][1] == "mpl"] == [(0, 22, 1), (23, 45, 0)]
+
+
 def test_quality_on_held_out_rows(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{MIDDLE}/labels.parquet").collect()}
     rows = llm.queries()["op2_quality"](spark, MIDDLE).collect()
