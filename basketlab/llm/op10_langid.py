@@ -7,9 +7,11 @@ runs count as one blank, other non-letters are left out), hashed into ``BUCKETS`
 weights are ``1 + log(count)`` times the inverse document frequency, scaled to length 1.
 Document frequencies are counted over all learnable documents (language given, id
 outside the held-out fold); the counts have a fixed size whatever the input. The weights
-are fitted on a bounded sample, both bounds parameters: the ``sample_rows`` learnable rows
-with the smallest id hash (a tenth of them is left for the temperature), and
-``sample_features`` distinct features over them.
+are fitted on a bounded sample, both bounds parameters: ``sample_rows`` learnable ids, split
+over the languages (a language with fewer ids leaves its part to the others; one id each at
+least), of each language those with the smallest id hash; and ``sample_features`` distinct
+features over them, the languages taking turns. Of each language's rows the second and every
+tenth after it are left for the temperature.
 
 Odd cases: a null text, or one without a letter, is ``und`` with score 0; without any learnable row all
 are ``und``; with one language all others get it with score 1; rows with equal ids are
@@ -20,7 +22,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketlab.llm.common import (histogram_rows, learnable, mix, random_words, read_columns,
@@ -125,6 +127,30 @@ def temperature(scores: np.ndarray, classes: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
+def shares(counts: dict[str, int], total: int) -> dict[str, int]:
+    """total split evenly over the languages, what one can't use going to the others; at
+    least one each."""
+    out, left = {}, total
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = max(min(n, left // (len(counts) - i)), 1)
+        left = max(left - out[lang], 0)
+    return out
+
+
+def sampled_ids(known: DataFrame, sample_rows: int) -> tuple[list[str], DataFrame]:
+    """The languages, and (lang, k, rank) of each language's sampled ids."""
+    ids = known.select("lang", "k").distinct()
+    counts = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # hashes are uniform: a bound a little above the share keeps all rows it needs and few more
+    rows = [(lang, n, int(min(-2**63 + 2**64 * (n + 8 * n ** 0.5 + 50) / counts[lang], 2**63 - 1024)))
+            for lang, n in shares(counts, sample_rows).items()]
+    most = known.sparkSession.createDataFrame(rows, "lang string, share long, bound long")
+    h = F.xxhash64("k")
+    few = ids.join(F.broadcast(most), "lang").where((F.col("bound") >= 2**63 - 1024) | (h <= F.col("bound")))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(h, "k"))
+    return sorted(counts), few.withColumn("rank", rank).where("rank <= share").select("lang", "k", "rank")
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         folds: int = 4, held: int = 2, sample_rows: int = 5000,
         sample_features: int = 8_000_000) -> dict | None:
@@ -132,40 +158,41 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     known = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()
                        & learnable(id_col, folds, held)).select(
         F.col(id_col).alias("k"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    langs = sorted(r[0] for r in known.select("lang").distinct().collect())
     freq, total = document_frequencies(known)
     if not total:
         return None
     idf = np.log((1 + total) / (1 + freq)) + 1
 
-    chosen = known.select("k").distinct().orderBy(F.xxhash64("k"), "k").limit(sample_rows)
+    langs, chosen = sampled_ids(known, sample_rows)
 
     def count(batches):
         import pyarrow as pa
         for batch in batches:
             rows = []
-            for k, text, lang in zip(*(c.to_pylist() for c in batch.columns)):
+            for rank, k, text, lang in zip(*(c.to_pylist() for c in batch.columns)):
                 if has_letter(text):
                     ids, n = gram_counts(text)
-                    rows.append({"k": str(k), "lang": lang, "ids": ids.astype("<i4").tobytes(),
+                    rows.append({"rank": rank, "k": str(k), "lang": lang, "ids": ids.astype("<i4").tobytes(),
                                  "n": n.astype("<i4").tobytes()})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([
-                ("k", pa.string()), ("lang", pa.string()), ("ids", pa.binary()), ("n", pa.binary())]))
+                ("rank", pa.int32()), ("k", pa.string()), ("lang", pa.string()), ("ids", pa.binary()), ("n", pa.binary())]))
 
-    sample = (known.join(F.broadcast(chosen), "k").select("k", "text", "lang")
-              .mapInArrow(count, "k string, lang string, ids binary, n binary")
-              .orderBy(F.xxhash64("k"), "k", "lang", "ids", "n"))
+    sample = (known.join(F.broadcast(chosen), ["lang", "k"]).select("rank", "k", "text", "lang")
+              .mapInArrow(count, "rank int, k string, lang string, ids binary, n binary")
+              .orderBy("rank", "lang", "k", "ids", "n"))
     place = {lang: i for i, lang in enumerate(langs)}
-    rows, size = [], 0
+    kept, left, seen, size = [], [], [0] * len(langs), 0
     for r in sample.toLocalIterator():
         ids = np.frombuffer(r["ids"], "<i4")
         size += len(ids)
-        if rows and size > sample_features:
+        if kept and size > sample_features:
             break
         x = weighted(ids, np.frombuffer(r["n"], "<i4"), idf)
-        rows.append((np.append(ids, np.int32(BUCKETS)), np.append(x, 1.0), place[r["lang"]]))
-    kept, left = [r for i, r in enumerate(rows) if i % 10], rows[::10]
-    weights = ftrl(kept or left, len(langs))
+        y = place[r["lang"]]
+        (left if seen[y] % 10 == 1 else kept).append(
+            (np.append(ids, np.int32(BUCKETS)), np.append(x, 1.0), y))
+        seen[y] += 1
+    weights = ftrl(kept, len(langs))
     scores = np.array([x @ weights[ids] for ids, x, _ in left])
     return {"langs": langs, "idf": idf, "weights": weights,
             "temperature": temperature(scores, np.array([y for *_, y in left]))}

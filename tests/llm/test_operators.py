@@ -7,7 +7,7 @@ from llm_helpers import BASE, NEAR, SMALL, rows_of, write_tables
 
 import corpus_pipeline
 from basketlab.llm import common, op1_decontaminate, op3_line_dedup, op4_mixing, op5_exact_dedup
-from basketlab.llm import op6_suffix_dedup, op7_licenses, op8_jaccard
+from basketlab.llm import op10_langid, op6_suffix_dedup, op7_licenses, op8_jaccard
 from basketlab.llm import queries as llm
 
 MIDDLE = "/root/testdata/sf0.01"
@@ -269,6 +269,22 @@ def test_language_on_held_out_rows(spark):
     assert sum(r.lang_pred == langs[r.doc_id] for r in held) / len(held) >= 0.97
 
 
+def test_rare_language_is_learned(spark):
+    """Three ids of a rare language among 600 others, with a sample of 40 rows."""
+    rows = [(i, f"the quick brown fox number {'abcdefghij'[i % 10] * 3} jumps", "en") for i in range(600)]
+    rare = [i for i in range(1000, 1020) if zlib.crc32(str(i).encode()) % 4 != 2][:3]
+    rows += [(i, "žluťoučký kůň úpěl ďábelské ódy", "cs") for i in rare]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = docs.selectExpr("doc_id AS k", "text", "lang")
+    langs, ids = op10_langid.sampled_ids(known, 40)
+    picked = [(r.lang, r.k) for r in ids.collect()]
+    assert langs == ["cs", "en"] and len(picked) == 40
+    assert {k for lang, k in picked if lang == "cs"} == set(rare)
+    model = op10_langid.fit(docs, sample_rows=40)
+    out = {r.doc_id: r.lang_pred for r in op10_langid.predict(docs, model).collect()}
+    assert all(out[k] == lang for k, _, lang in rows)
+
+
 def test_pipeline_stages_keep_columns_and_clean_documents(spark, odd):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     before = docs
