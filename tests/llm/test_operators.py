@@ -3,7 +3,7 @@ import hashlib
 import zlib
 
 import pytest
-from llm_helpers import BASE, NEAR, SMALL, rows_of, write_tables
+from llm_helpers import BASE, NEAR, SMALL, oracle_rows, rows_of, write_tables
 
 import corpus_pipeline
 from basketlab.llm import common, op1_decontaminate, op3_line_dedup, op4_mixing, op5_exact_dedup
@@ -111,6 +111,100 @@ def test_line_dedup_keeps_lines_outside_recurring_leaves(spark):
                 assert raw in left
 
 
+def all_lines(spark, rows, similarity=0.8, min_docs=5, long_words=50):
+    """Line dedup in plain Python with all its rules: {id: (text, n_lines, n_dropped)}. Only
+    the order of equally frequent lines (by Spark's hash of the tokens) is taken from Spark."""
+    leaves = brute_lines(rows)
+    kinds = [list(t) for leaf in leaves.values() for t in leaf]
+    sig = {tuple(r.t): r.sig for r in spark.createDataFrame([(k,) for k in kinds], "t array<string>")
+           .selectExpr("t", "xxhash64(t) AS sig").collect()}
+    gone = set()
+    for (n, *_), leaf in leaves.items():
+        need, groups = 2 if n > long_words else min_docs, []
+        for t in sorted(leaf, key=lambda t: (len(leaf[t]), sig[t]), reverse=True):
+            for head, places in groups:
+                if sum(a == b for a, b in zip(t, head)) >= similarity * n:
+                    places += leaf[t]
+                    break
+            else:
+                groups.append((t, list(leaf[t])))
+        for _, places in groups:
+            if len({text for _, text, _ in places}) >= need:
+                first = min((k, i) for k, _, i in places)
+                gone |= {(k, i) for k, _, i in places} - {first}
+    out = {}
+    for k, t in rows:
+        parts = t.split("\n") if t is not None else []
+        kept = [x for i, x in enumerate(parts) if (k, i) not in gone]
+        out[k] = ("\n".join(kept) if t is not None else None, len(parts), len(parts) - len(kept))
+    return out
+
+
+def test_line_dedup_equals_plain_python(spark):
+    rows = texts(spark, SMALL)
+    # more of a leaf: templates with a variable name, of one frequency and of several
+    rows += [(10**6 + i, f"{'abcdefghij'[i % 10] * (3 + i // 10)} own\nwe are the {kind} of {'klmnopqrst'[i % 10] * 2} here "
+              "for all of you now") for i, kind in enumerate(["page"] * 12 + ["house"] * 12 + ["two words"] * 4)]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in op3_line_dedup.line_dedup(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = all_lines(spark, rows)
+    assert got == want and sum(w[2] for w in want.values()) > 20
+
+
+def test_license_base_columns_on_a_whole_table(spark):
+    import re
+    rows = texts(spark, SMALL)
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels)
+           for r in llm.queries()["op7_licenses"](spark, SMALL).collect()}
+    for k, t in rows:
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+",
+                       "".join(c.lower() if c.isascii() else c for c in t or ""))
+        at = [(i, label) for phrase, label in op7_licenses.PHRASES.items() for i in range(len(w))
+              if w[i:i + len(phrase.split())] == phrase.split()]
+        places = [i for i, _ in at]
+        assert got[k] == (len(w), len(at), min(places, default=None), max(places, default=None),
+                          ",".join(sorted({label for _, label in at})))
+    assert sum(g[1] for g in got.values()) > 0
+
+
+def test_pipeline_stages_decide_as_plain_python(spark):
+    """Lines, near copies and contamination on the given table; the mix against its SQL."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows, stages = texts(spark, SMALL), dict(corpus_pipeline.STAGES)
+    kept = {name: stages[name](spark, docs, SMALL).collect() for name in list(stages)[1:]}
+
+    want = all_lines(spark, rows)
+    assert {r.doc_id: r.text for r in kept["line_dedup"]} == {k: w[0] for k, w in want.items()}
+
+    sets, comp = {k: shingle_set(t) for k, t in rows}, {k: k for k, _ in rows}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            n = len(sets[a] & sets[b]) if a < b else 0
+            if n and 100 * n >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((comp[a], comp[b]))
+                comp = {k: x if c == y else c for k, c in comp.items()}
+    assert sorted(r.doc_id for r in kept["near_copies"]) == sorted(k for k in comp if comp[k] == k)
+
+    patterns = set()
+    for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect():
+        w = op1_decontaminate.WORD.findall("".join(c.lower() if c.isascii() else c for c in r.text or ""))
+        n = min(13, len(w))
+        patterns |= {tuple(w[i:i + n]) for i in range(len(w) - n + 1) if n}
+    clean = []
+    for k, t in rows:
+        w = op1_decontaminate.WORD.findall("".join(c.lower() if c.isascii() else c for c in t or ""))
+        hit = {j for n in {len(p) for p in patterns} for i in range(len(w) - n + 1)
+               if tuple(w[i:i + n]) in patterns for j in range(i, i + n)}
+        if not hit or 20 * len(hit) < len(w):
+            clean.append(k)
+    assert sorted(r.doc_id for r in kept["benchmark_decontamination"]) == sorted(clean)
+    assert len(clean) < len(rows)
+
+    mixed = oracle_rows(op4_mixing.ORACLE, SMALL)  # doc_id, size, source_size, taken, target
+    assert {r.doc_id: r.repeats for r in kept["mix_sources"]} == {
+        k: taken // size for k, size, _, taken, _ in mixed if taken}
+
+
 def test_long_lines_go_from_their_second_document_on(spark):
     long, short = (" ".join(f"{w}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n))
                    for w, n in (("pass", 51), ("tail", 50)))
