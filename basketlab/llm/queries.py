@@ -3,11 +3,13 @@ from __future__ import annotations
 
 from basketlab.llm import (op1_decontaminate, op2_quality, op3_line_dedup, op4_mixing,
                            op5_exact_dedup, op6_suffix_dedup, op7_licenses, op8_jaccard,
-                           op9_warc, op10_langid)
+                           op9_warc, op10_langid, op11_vector_codes, op12_chat_format,
+                           op13_fill_in_middle)
 from basketlab.session import apply_job_conf
 
 MODULES = [op1_decontaminate, op2_quality, op3_line_dedup, op4_mixing, op5_exact_dedup,
-           op6_suffix_dedup, op7_licenses, op8_jaccard, op9_warc, op10_langid]
+           op6_suffix_dedup, op7_licenses, op8_jaccard, op9_warc, op10_langid, op11_vector_codes,
+           op12_chat_format, op13_fill_in_middle]
 
 
 def _query(fn):
