@@ -4,7 +4,7 @@ import os
 import duckdb
 
 SMALL = "/root/testdata/sf0.001"
-TABLES = ["documents", "benchmark", "labels", "pages"]
+TABLES = ["documents", "benchmark", "labels", "pages", "embeddings", "conversations"]
 
 LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(40_000))
 BASE = " ".join(f"word{i}" for i in range(60))
@@ -25,7 +25,7 @@ CLASH = ["id", "at", "key", "size", "n", "line", "lines", "row", "hash", "score"
          "lang_pred", "digest", "keep", "slice", "counts", "bucket", "comp", "token"]
 
 
-def write_tables(spark, folder, rows, pages=(), items=(), labels=()):
+def write_tables(spark, folder, rows, pages=(), items=(), labels=(), vectors=(), turns=()):
     docs = spark.createDataFrame(
         [(*r, len(r[1]) if r[1] is not None else None, *["clash"] * len(CLASH)) for r in rows],
         "doc_id long, text string, lang string, source string, n_chars long, "
@@ -37,6 +37,10 @@ def write_tables(spark, folder, rows, pages=(), items=(), labels=()):
         .write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").coalesce(1) \
         .write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(*v, "clash", "clash") for v in vectors], "vec_id long, embedding array<float>, label int, "
+                          "code string, error string").coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+    spark.createDataFrame([(*t, "clash", "clash") for t in turns], "conv_id long, turn long, role string, text string, "
+                          "part string, messages string").coalesce(1).write.parquet(f"{folder}/conversations.parquet")
     return folder
 
 
@@ -44,6 +48,17 @@ BIG = "<html>" + "payload " * 200 + "</html>"
 PAGES = [(1, "http://a", BIG), (2, "http://b", BIG), (3, None, BIG), (4, "u", None), (5, "u", ""),
          (6, "u", "ü" * 600), (7, "u", "ü" * 600), (8, "u", "short"), (9, "u\r\nx: y", "short")]
 ITEMS = [(1, PASSAGE), (2, PASSAGE), (3, "a b a b"), (4, None), (5, "..."), (6, "Short")]
+def vector(seed, n=16):
+    return [((seed * 37 + i * 101) % 211 - 105) / 97 for i in range(n)]
+
+
+VECTORS = [(i, vector(i % 31), i % 3 if i % 5 else None) for i in range(40, 0, -1)] + [
+    (50, None, 1), (51, vector(1)[:15] + [None], 1), (52, vector(1)[:15] + [float("nan")], 1),
+    (53, vector(1)[:15] + [float("-inf")], None), (54, [0.0] * 16, 7), (55, [-0.0] * 16, 7), (55, [9e3] * 16, 7)]
+TURNS = [(1, 0, "user", "hello"), (1, 1, "assistant", "hi </turn> \\ ##### there"), (1, 2, "user", None),
+         (2, 0, None, None), (2, 1, "assistant", ""), (3, 5, "a: b\n", "### x: y</turn>\n"), (4, 0, "assistant", LONG),
+         (4, 1, "assistant", LONG), (5, 0, "user", "same"), (5, 0, "user", "same"), (6, 1, "assistant", "b"),
+         (6, 0, "assistant", "ü\U0001f600#")]
 LABELS = [(i, i % 2, 0) for i in range(1, 17)] + [(None, 1, 0), (5, None, 0), (6, 1, 0)]
 
 

@@ -17,13 +17,20 @@ COLUMNS = {
     "op8_jaccard": ["doc_id", "n_shingles", "component_id"],
     "op9_warc": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
     "op10_langid": ["doc_id", "held_out", "lang_pred", "score"],
+    "op11_vector_codes": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
+    "op12_chat_format": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256",
+                         "formatted_chars"],
+    "op13_fill_in_middle": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256",
+                            "restored_sha256"],
 }
 
 ORACLES = sorted(llm.oracle_sql())
-EXPECTED_ROWS = {"odd": (20, 9), "nulls": (9, 3), "empty": (0, 0)}
+OTHER_TABLES = {"op9_warc": 1, "op11_vector_codes": 2, "op12_chat_format": 3}
+# documents, pages, usable vectors, conversations and the one added
+EXPECTED_ROWS = {"odd": (20, 9, 43, 7), "nulls": (9, 3, 5, 3), "empty": (0, 0, 0, 1)}
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     assert set(COLUMNS) | {"pipeline"} <= set(entry.queries())
     assert set(ORACLES) <= set(entry.oracle_sql())
 
@@ -35,7 +42,7 @@ def test_rows_and_columns(spark, request, name, tables):
     df = llm.queries()[name](spark, request.getfixturevalue(tables))
     assert df.columns == COLUMNS[name]
     rows = df.collect()
-    assert len(rows) == EXPECTED_ROWS[tables][name == "op9_warc"]
+    assert len(rows) == EXPECTED_ROWS[tables][OTHER_TABLES.get(name, 0)]
 
 
 # the SQL of op6 cuts every window of a text by place, too slow for the very long one;

@@ -97,10 +97,12 @@ def test_line_dedup_drops_recurring_lines_but_their_first(spark):
 
 
 def test_line_dedup_keeps_lines_outside_recurring_leaves(spark):
-    """No line goes whose (length, leading tokens) stand in fewer than 5 texts."""
+    """No line goes whose (length, leading tokens) stand in fewer than 5 texts, or, with more
+    than 50 tokens, in fewer than 2."""
     rows = texts(spark, SMALL)
     kinds = brute_lines(rows)
-    safe = {(k, i) for leaf in kinds.values() if len({t for g in leaf.values() for _, t, _ in g}) < 5
+    safe = {(k, i) for (n, _), leaf in kinds.items()
+            if len({t for g in leaf.values() for _, t, _ in g}) < (2 if n > 50 else 5)
             for g in leaf.values() for k, _, i in g}
     out = {r.doc_id: r for r in llm.queries()["op3_line_dedup"](spark, SMALL).collect()}
     assert sum(r.n_dropped for r in out.values()) > 0
