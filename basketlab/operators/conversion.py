@@ -1,23 +1,28 @@
 """Session conversion model: split, weights, pipelines, evaluation, ablation,
 importances and batch (or streaming) scoring.
 
-Training uses ``pyspark.ml`` (tree building and L-BFGS run on executors); the
-metrics that SQL can express (split sizes, class weights, confusion counts) are
-plain aggregates. Nothing is fitted on the driver.
+The baseline is a ``pyspark.ml`` pipeline; the forest and the boosted trees are grown by
+``forest`` and ``boosting`` from binned rows. Metrics (split sizes, class weights,
+confusion counts, exact AUC, ROC) are plain aggregates. Nothing is fitted on the driver,
+and a trained run is an artifact that other sessions load (``sources.artifacts``).
 """
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketlab.functions.scalars import flag, to_number
+from basketlab.operators.binning import fit_space
+from basketlab.operators.boosting import BoostedModel, Settings, fit_boosted
+from basketlab.operators.forest import ForestModel, fit_forest
 from basketlab.operators.joins import materialize
+from basketlab.sources.artifacts import ArtifactStore
 
 # Model inputs.
 NUMERIC = ["n_interactions", "n_products", "n_view", "n_click", "n_add_to_cart",
@@ -142,36 +147,29 @@ def conversion_pipeline(numeric, categorical, estimator) -> Pipeline:
     return Pipeline(stages=[*idx, ohe, num, scaler, feats, estimator])
 
 
-# The forest's depth is unlimited in principle; 30 is the most that Spark grows.
-MAX_DEPTH = 30
-
 # Contender and ablation names.
 BASELINE, FOREST, BOOSTED = ("LogisticRegression (baseline)", "RandomForest",
                              "GradientBoostedTrees")
 ABLATION = "RandomForest (no cart features)"
 
 
-def forest(trees: int, max_depth: int, seed: int) -> RandomForestClassifier:
-    return RandomForestClassifier(numTrees=trees, minInstancesPerNode=5, maxDepth=max_depth,
-                                  maxMemoryInMB=1024, weightCol="weight", seed=seed)
+def baseline(n_train: int) -> LogisticRegression:
+    """The same penalty as a unit C over n rows."""
+    return LogisticRegression(maxIter=2000, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
+                              standardization=False, weightCol="weight")
 
 
-def contenders(n_train: int, trees: int = 300, max_depth: int = MAX_DEPTH,
-               seed: int = 42) -> list:
-    return [
-        (BASELINE,
-         LogisticRegression(maxIter=2000, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
-                            standardization=False, weightCol="weight")),
-        (FOREST, forest(trees, max_depth, seed)),
-        (BOOSTED, GBTClassifier(maxIter=trees, stepSize=0.05, weightCol="weight", seed=seed)),
-    ]
+# H8 --------------------------------------------------------------------------
+def with_probability(model, df: DataFrame, out: str = "p") -> DataFrame:
+    """df with the model's probability of a conversion."""
+    if isinstance(model, PipelineModel):
+        cols = [F.col(c) for c in df.columns]
+        return model.transform(df).select(*cols, vector_to_array("probability").getItem(1).alias(out))
+    return model.with_probability(df, out)
 
 
-# H8 --------------------------------------------------------------------------
-def scored(model: PipelineModel, df: DataFrame) -> DataFrame:
-    out = model.transform(df)
-    p = vector_to_array("probability").getItem(1)
-    return out.withColumn("p", p).withColumn("pred", (F.col("p") >= THRESHOLD).cast("double"))
+def scored(model, df: DataFrame) -> DataFrame:
+    return with_probability(model, df).withColumn("pred", (F.col("p") >= THRESHOLD).cast("double"))
 
 
 def confusion(scored_df: DataFrame) -> DataFrame:
@@ -194,14 +192,12 @@ def metrics_from_confusion(cm: DataFrame) -> DataFrame:
                 F.col("precision") + F.col("recall")), F.lit(0.0))))
 
 
-def evaluate(model: PipelineModel, test: DataFrame, name: str) -> DataFrame:
+def evaluate(model, test: DataFrame, name: str) -> DataFrame:
     """AUC + precision/recall/F1 at 0.5 + confusion counts, one row."""
-    s = materialize(scored(model, test).select("probability", "p", "pred", "label"), "scored")
-    auc = BinaryClassificationEvaluator(rawPredictionCol="probability", labelCol="label",
-                                        metricName="areaUnderROC", numBins=0).evaluate(s)
-    m = metrics_from_confusion(confusion(s))
-    return m.select(F.lit(name).alias("name"), F.lit(float(auc)).alias("roc_auc"),
-                    "precision", "recall", "f1", "tn", "fp", "fn", "tp")
+    s = materialize(scored(model, test).select("p", "pred", "label"), "scored")
+    m = metrics_from_confusion(confusion(s)).crossJoin(F.broadcast(roc_auc(s)))
+    return m.select(F.lit(name).alias("name"), "roc_auc", "precision", "recall", "f1",
+                    "tn", "fp", "fn", "tp")
 
 
 def classification_report(cm: DataFrame) -> DataFrame:
@@ -229,43 +225,67 @@ def classification_report(cm: DataFrame) -> DataFrame:
     return per.unionByName(macro).unionByName(wavg)
 
 
-# H9 --------------------------------------------------------------------------
-def roc_points(scored_df: DataFrame, step: int = 5, ranges: int = 4096) -> DataFrame:
-    """ROC points at every distinct score, without the collinear ones, every
-    ``step``-th kept, after the origin: (i, fpr, tpr).
-
-    Running totals over all thresholds are made in two levels, so that no task holds
-    them all: inside each of ``ranges`` ranges of the score, and over the ranges'
-    totals (one row for each range)."""
-    per_t = scored_df.groupBy(F.col("p").alias("t")).agg(
-        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    per_t = materialize(per_t.withColumn(
-        "r", F.least(F.floor(F.col("t") * ranges), F.lit(ranges - 1))), "thresholds")
-    down = Window.orderBy(F.col("r").desc())
+# H8 / H9 ---------------------------------------------------------------------
+THRESHOLDS_PER_RANGE = 100_000
+
+
+def running_totals(scored_df: DataFrame, per_range: int = THRESHOLDS_PER_RANGE) -> DataFrame:
+    """Per distinct score, from the highest: (r, t, pos, neg, tp, fp, P, N, next, is_first),
+    where tp and fp count the rows at or above it, and next are the counts of the score
+    below it.
+
+    Totals are made in two levels, so that no task holds all thresholds: inside ranges of
+    equally many distinct scores (rows of one score meet before), and over the ranges'
+    totals, one row for each. Crowded scores make more ranges there, not larger ones."""
+    per_t = materialize(scored_df.groupBy(F.col("p").alias("t")).agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")),
+        "thresholds")
+    ranges = 1 + per_t.count() // per_range
+    dealt = materialize(per_t.repartitionByRange(ranges, F.col("t").desc()).withColumn(
+        "r", F.spark_partition_id()), "ranges")
+    down = Window.orderBy("r")
     inside = Window.partitionBy("r").orderBy(F.col("t").desc())
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     above = down.rowsBetween(Window.unboundedPreceding, -1)
-
-    heads = per_t.groupBy("r").agg(
+    heads = dealt.groupBy("r").agg(
         F.sum("pos").alias("rp"), F.sum("neg").alias("rn"),
         F.max_by(F.struct("pos", "neg"), "t").alias("first"))
     heads = heads.select(
         "r", F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("p0"),
         F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("n0"),
         F.lead("first").over(down).alias("after"), F.row_number().over(down).alias("nth"))
-    tot = per_t.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    c = per_t.join(F.broadcast(heads), "r").join(F.broadcast(tot), how="inner", on=F.lit(True))
-    c = c.select(
+    tot = dealt.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    c = dealt.join(F.broadcast(heads), "r").join(F.broadcast(tot), how="inner", on=F.lit(True))
+    return c.select(
         "r", "t", "P", "N", (F.col("p0") + F.sum("pos").over(upto)).alias("tp"),
         (F.col("n0") + F.sum("neg").over(upto)).alias("fp"), "pos", "neg",
         F.coalesce(F.lead(F.struct("pos", "neg")).over(inside), F.col("after")).alias("next"),
         ((F.col("nth") == 1) & (F.row_number().over(inside) == 1)).alias("is_first"))
+
+
+def roc_auc(scored_df: DataFrame, per_range: int = THRESHOLDS_PER_RANGE) -> DataFrame:
+    """One row: the exact area under the ROC curve, ties counting half (0 without both
+    classes). Of each positive, the negatives below it are counted twice and those level
+    with it once, in whole numbers."""
+    c = running_totals(scored_df, per_range)
+    wide = lambda x: F.col(x).cast("decimal(18,0)")
+    pairs = F.sum(wide("pos") * (2 * (wide("N") - wide("fp")) + wide("neg")))
+    area = F.try_divide(pairs.cast("double"), 2.0 * F.first("P").cast("double") * F.first("N").cast("double"))
+    return c.agg(F.coalesce(area, F.lit(0.0)).alias("roc_auc"))
+
+
+def roc_points(scored_df: DataFrame, step: int = 5, per_range: int = THRESHOLDS_PER_RANGE) -> DataFrame:
+    """ROC points at every distinct score, without the collinear ones, every
+    ``step``-th kept, after the origin: (i, fpr, tpr)."""
+    c = running_totals(scored_df, per_range)
     # a point lies on the line through its neighbours if both steps are the same
     bend = (F.col("is_first") | F.col("next").isNull() | (F.col("pos") != F.col("next.pos"))
             | (F.col("neg") != F.col("next.neg")))
     kept = materialize(c.where(bend).select("r", "t", "tp", "fp", "P", "N"), "roc")
+    above = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     before = kept.groupBy("r").agg(F.count(F.lit(1)).alias("k")).select(
         "r", F.coalesce(F.sum("k").over(above), F.lit(0)).alias("k0"))
+    inside = Window.partitionBy("r").orderBy(F.col("t").desc())
     pts = kept.join(F.broadcast(before), "r").select(
         (F.col("k0") + F.row_number().over(inside)).cast("bigint").alias("i"),
         F.coalesce(F.try_divide(F.col("fp"), F.col("N")), F.lit(0.0)).alias("fpr"),
@@ -291,17 +311,15 @@ def feature_names(model: PipelineModel, df: DataFrame) -> list[str]:
     return names
 
 
-def importances(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """(rank, feature, importance): tree importances, or |coefficients| for a
-    linear model, sorted descending. The vector has one entry per model input
-    (dozens), so it is turned into rows directly."""
-    clf = model.stages[-1]
-    vec = (clf.featureImportances.toArray() if hasattr(clf, "featureImportances")
-           else abs(clf.coefficients.toArray()))
-    names = feature_names(model, df)
-    spark = df.sparkSession
-    rows = [(n, float(v)) for n, v in zip(names, vec)]
-    imp = spark.createDataFrame(rows, "feature string, importance double")
+def importances(model, df: DataFrame) -> DataFrame:
+    """(rank, feature, importance): a forest's share of impurity removed, the number of
+    splits of boosted trees, or |coefficients| of a linear model, sorted descending. There
+    is one entry per model input (dozens), so they are turned into rows directly."""
+    if isinstance(model, PipelineModel):
+        rows = [(n, float(v)) for n, v in zip(feature_names(model, df), abs(model.stages[-1].coefficients.toArray()))]
+    else:
+        rows = model.feature_importance()
+    imp = df.sparkSession.createDataFrame(rows, "feature string, importance double")
     w = Window.orderBy(F.col("importance").desc(), F.col("feature"))
     return imp.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
@@ -344,14 +362,14 @@ def repair_features(rows: DataFrame) -> DataFrame:
 
 
 # H13 / H14 ----------------------------------------------------------------------
-def score_sessions(rows: DataFrame, model: PipelineModel, base_rate: float,
+def score_sessions(rows: DataFrame, model, base_rate: float,
                    model_name: str) -> DataFrame:
     """Probability, label at 0.5, lift vs the base rate. Stateless, so it runs
     unchanged on a streaming DataFrame."""
     x = rows.select("session_id", *[F.col(c).cast("double").alias(c) for c in NUMERIC],
                     *[F.col(c).cast("string").alias(c) for c in CATEGORICAL])
-    out = model.transform(x)
-    p = vector_to_array("probability").getItem(1)
+    out = with_probability(model, x)
+    p = F.col("p")
     return out.select(
         "session_id", F.round(p, 4).alias("conversion_probability"),
         (p >= THRESHOLD).cast("int").alias("predicted_label"),
@@ -382,49 +400,125 @@ def top_factors(rows: DataFrame, imp: DataFrame, pool: int = 8, n: int = 5) -> D
 
 
 # The training job ----------------------------------------------------
+# Part of an artifact's address; to be raised when training gives other models.
+VERSION = 1
+MODEL_KEYS = {BASELINE: "baseline", FOREST: "forest", BOOSTED: "boosted", ABLATION: "ablation"}
+
+
+class Parameters:
+    """What a training run is made with."""
+
+    def __init__(self, trees: int = 300, min_leaf: int = 5, rounds: int = 300, leaves: int = 31,
+                 rate: float = 0.05, seed: int = 42):
+        self.trees, self.min_leaf, self.rounds, self.leaves = trees, min_leaf, rounds, leaves
+        self.rate, self.seed = rate, seed
+
+
+def save_model(model, path: str) -> None:
+    if isinstance(model, PipelineModel):
+        model.write().overwrite().save(path)
+    elif isinstance(model, ForestModel):
+        model.save(path)
+    else:
+        model.save(SparkSession.getActiveSession(), path)
+
+
+def load_model(spark: SparkSession, name: str, path: str):
+    kind = {BASELINE: PipelineModel, BOOSTED: BoostedModel}.get(name, ForestModel)
+    return PipelineModel.load(path) if kind is PipelineModel else kind.load(spark, path)
+
+
 class ConversionRun:
-    """Everything one training run produces (models stay executor-trained)."""
+    """A trained run, read from its artifact: measures at once, models when asked for."""
 
-    def __init__(self, data, train, test, results, best, ablation, base_rate):
-        self.data, self.train, self.test = data, train, test
-        self.results, self.best, self.ablation = results, best, ablation
-        self.base_rate = base_rate
+    def __init__(self, features: DataFrame, path: str):
+        self.spark, self.path = features.sparkSession, path
+        self.facts = json.loads(self.spark.read.text(f"{path}/facts").first()["value"])
+        self.data = split(model_input(features))
+        self.train = self.data.where(~F.col("is_test"))
+        self.test = self.data.where(F.col("is_test"))
+        self._models: dict = {}
 
     @property
-    def best_model(self) -> PipelineModel:
-        return self.best[1]
+    def results(self) -> list[dict]:
+        return self.facts["contenders"]
+
+    @property
+    def ablation(self) -> dict:
+        return self.facts["ablation"]
+
+    @property
+    def base_rate(self) -> float:
+        return self.facts["base_rate"]
 
     @property
     def best_name(self) -> str:
-        return self.best[0]
+        return self.facts["best"]
+
+    def model(self, name: str):
+        if name not in self._models:
+            self._models[name] = load_model(self.spark, name, f"{self.path}/{MODEL_KEYS[name]}")
+        return self._models[name]
+
+    @property
+    def best_model(self):
+        return self.model(self.best_name)
 
 
-def train_conversion(features: DataFrame, trees: int = 300, max_depth: int = MAX_DEPTH,
-                     seed: int = 42) -> ConversionRun:
-    """Fit every contender on the hash split, keep the best AUC, and fit the
-    ablation (forest without the cart features) on the same split."""
+def train_conversion(features: DataFrame, path: str, progress: str, p: Parameters) -> None:
+    """Fit every contender on the split's training rows, measure each on its test rows, fit
+    the ablation (a forest without the cart features), and write models and measures to
+    path; the best contender is that with the largest AUC."""
+    spark = features.sparkSession
     data = materialize(split(model_input(features)), "conversion")
     train = materialize(with_weights(data.where(~F.col("is_test"))), "train")
     test = data.where(F.col("is_test"))
+    per_class = {r["label"]: r["weight"] for r in class_weights(train).collect()}  # two rows
+    weights = (per_class.get(0.0, 1.0), per_class.get(1.0, 1.0))
     n_train = train.count()
-    results = []
-    for name, est in contenders(n_train, trees, max_depth, seed):
-        m = conversion_pipeline(NUMERIC, CATEGORICAL, est).fit(train)
-        results.append((name, m, evaluate(m, test, name).first().asDict()))
-    best = max(results, key=lambda r: r[2]["roc_auc"])
-    num_abl = [c for c in NUMERIC if c not in CART_FEATURES]
-    abl_model = conversion_pipeline(num_abl, CATEGORICAL, forest(trees, max_depth, seed)).fit(train)
-    abl = (ABLATION, abl_model, evaluate(abl_model, test, ABLATION).first().asDict())
-    base_rate = data.agg(F.avg("label")).first()[0] or 0.0
-    return ConversionRun(data, train, test, results, best, abl, float(base_rate))
+    space = fit_space(train, NUMERIC, CATEGORICAL)
+    without = fit_space(train, [c for c in NUMERIC if c not in CART_FEATURES], CATEGORICAL)
+    fits = {
+        BASELINE: lambda: conversion_pipeline(NUMERIC, CATEGORICAL, baseline(n_train)).fit(train),
+        FOREST: lambda: fit_forest(train, space, weights, trees=p.trees, min_leaf=p.min_leaf, seed=p.seed),
+        BOOSTED: lambda: fit_boosted(train, space, weights, Settings(p.rounds, p.leaves, p.rate), progress),
+        ABLATION: lambda: fit_forest(train, without, weights, trees=p.trees, min_leaf=p.min_leaf, seed=p.seed),
+    }
+    measured = {}
+    for name, fit in fits.items():
+        model = fit()
+        measured[name] = evaluate(model, test, name).first().asDict()
+        save_model(model, f"{path}/{MODEL_KEYS[name]}")
+    contenders = [measured[n] for n in (BASELINE, FOREST, BOOSTED)]
+    facts = {"contenders": contenders, "ablation": measured[ABLATION],
+             "best": max(contenders, key=lambda m: m["roc_auc"])["name"],
+             "base_rate": float(data.agg(F.avg("label")).first()[0] or 0.0)}
+    spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode(
+        "overwrite").text(f"{path}/facts")
+
+
+def trained_run(features: DataFrame, files, p: Parameters | None = None,
+                store: ArtifactStore | None = None) -> ConversionRun:
+    """The run of these features, from the artifact store or trained now. ``files`` names
+    the input that the features follow from (path, size and time of each file)."""
+    p = p or Parameters()
+    store = store or ArtifactStore(features.sparkSession)
+    address = store.digest(version=VERSION, files=files, numeric=NUMERIC, categorical=CATEGORICAL,
+                           target=TARGET, parameters=vars(p))
+    path = store.find("conversion", address)
+    if path is None:
+        path = store.publish("conversion", address, lambda folder: train_conversion(
+            features, folder, store.progress("conversion", address), p))
+        store.drop_progress("conversion", address)
+    return ConversionRun(features, path)
 
 
 def metrics_table(run: ConversionRun) -> DataFrame:
     """One row per contender plus the ablation, with the chosen flag."""
     spark = run.data.sparkSession
     rows = []
-    for role, (name, _m, ev) in ([("contender", r) for r in run.results]
-                                 + [("ablation", run.ablation)]):
+    for role, ev in [("contender", r) for r in run.results] + [("ablation", run.ablation)]:
+        name = ev["name"]
         rows.append((role, name, ev["roc_auc"], ev["precision"], ev["recall"], ev["f1"],
                      ev["tn"], ev["fp"], ev["fn"], ev["tp"],
                      role == "contender" and name == run.best_name))
@@ -438,7 +532,7 @@ def metrics_document(run: ConversionRun) -> DataFrame:
     base rate, metrics, 2x2 matrix, per-class report, importances, contenders, ablation
     and inputs. Every list has a fixed number of entries."""
     spark = run.data.sparkSession
-    best = next(ev for name, _, ev in run.results if name == run.best_name)
+    best = next(ev for ev in run.results if ev["name"] == run.best_name)
     sizes = run.data.agg(F.count_if(~F.col("is_test")).alias("n_train"),
                          F.count_if(F.col("is_test")).alias("n_test"))
     report = classification_report(confusion(scored(run.best_model, run.test))).agg(
@@ -451,8 +545,8 @@ def metrics_document(run: ConversionRun) -> DataFrame:
     fixed = spark.createDataFrame([(
         run.best_name, run.base_rate, *[best[c] for c in names[1:]],
         [[best["tn"], best["fp"]], [best["fn"], best["tp"]]],
-        [tuple(ev[c] for c in names) for _, _, ev in run.results],
-        tuple(run.ablation[2][c] for c in names), list(NUMERIC), list(CATEGORICAL))],
+        [tuple(ev[c] for c in names) for ev in run.results],
+        tuple(run.ablation[c] for c in names), list(NUMERIC), list(CATEGORICAL))],
         "best_model string, base_rate double, roc_auc double, precision double, recall double, "
         f"f1 double, confusion_matrix array<array<bigint>>, contenders array<{entry}>, "
         f"ablation {entry}, numeric_features array<string>, categorical_features array<string>")

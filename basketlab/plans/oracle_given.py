@@ -52,6 +52,10 @@ UNION ALL
 SELECT 'weighted avg', round(sum(precision * support) / sum(support), 9),
        round(sum(recall * support) / sum(support), 9), sum(support),
        round(sum(f1 * support) / sum(support), 9) FROM perf""", GIVEN),
+    "auc_on_given_scores": with_fixtures("""
+SELECT round(sum(pos * (2.0 * ((SELECT sum(neg) FROM steps) - fp) + neg))
+             / (2.0 * (SELECT sum(pos) FROM steps) * (SELECT sum(neg) FROM steps)), 9) AS roc_auc
+FROM curve""", GIVEN),
     "roc_on_given_scores": with_fixtures("""
 SELECT CAST(0 AS BIGINT) AS i, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr
 UNION ALL

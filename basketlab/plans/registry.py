@@ -488,8 +488,8 @@ def _(s):
 # --- conversion model -----------------------------------------------------------
 from basketlab.operators import conversion as conv  # noqa: E402
 
-# One fitted run is reused by every model query of the same input files ("load
-# artifacts once").
+# A run is trained once per input files and parameters, whichever session asks first
+# (``sources.artifacts``); a session opens it once.
 _RUNS: dict = {}
 
 
@@ -501,7 +501,7 @@ def session_features_of(s):
 def conversion_run(s) -> conv.ConversionRun:
     key = _cache_key(s)
     if key not in _RUNS:
-        _RUNS[key] = conv.train_conversion(session_features_of(s))
+        _RUNS[key] = conv.trained_run(session_features_of(s), s.files)
     return _RUNS[key]
 
 
@@ -750,13 +750,13 @@ def _(s):
 
 @register("persisted_model_scores")
 def _(s):
-    """A5 + A6: save the chosen pipeline and the metrics document, reload the
-    pipeline, and score every session with the reloaded model."""
+    """A5 + A6: save the chosen model and the metrics document, reload the model, and
+    score every session with the reloaded one."""
     r = conversion_run(s)
     base = sinks.scratch_table_dir(s.spark, "models")
-    sinks.save_pipeline(r.best_model, f"{base}/conversion")
+    conv.save_model(r.best_model, f"{base}/conversion")
     sinks.write_metrics(conv.metrics_table(r), f"{base}/conversion_metrics")
-    model = sinks.load_pipeline(f"{base}/conversion")
+    model = conv.load_model(s.spark, r.best_name, f"{base}/conversion")
     valid, _ = conv.validate_sessions(request_rows(s))
     return conv.score_sessions(conv.repair_features(valid), model, r.base_rate, r.best_name)
 
@@ -833,6 +833,12 @@ def _(s):
     return rep.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
 
 
+@register("auc_on_given_scores")
+def _(s):
+    """H8: exact area under the ROC curve of the given scores (many ties)."""
+    return conv.roc_auc(given_scores(s)).select(F.round("roc_auc", 9).alias("roc_auc"))
+
+
 @register("roc_on_given_scores")
 def _(s):
     """H9: ROC points of the given scores."""

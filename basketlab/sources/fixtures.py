@@ -186,6 +186,11 @@ class Shop:
         self.spark, self.sf_dir = spark, sf_dir
         self._key: tuple | None = None
 
+    @property
+    def files(self) -> list:
+        """(path, size, time) of each input file: the same in every session."""
+        return [list(f) for f in self.key[2]]
+
     @property
     def key(self) -> tuple:
         if self._key is None:
