@@ -13,7 +13,8 @@ hits so far being written to the shared folder in between.
 
 Odd cases: null text has no words; empty texts and empty tables give rows without hits
 (or no rows); rows with equal ids are judged row by row; items with the same text are
-separate items; a null item id is left out.
+separate items; an item without an id
+hits, but no list names it.
 """
 from __future__ import annotations
 
@@ -54,7 +55,7 @@ def patterns(benchmark: DataFrame, item_col: str, text_col: str, window: int) ->
                 rows, pa.schema([("pattern", pa.string()), ("item", pa.string())]))
 
     cuts = (benchmark.select(F.col(item_col).cast("string").alias("item"),
-                             F.col(text_col).alias("text")).where("item is not null")
+                             F.col(text_col).alias("text"))
             .mapInArrow(cut, "pattern string, item string"))
     return cuts.groupBy("pattern").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
@@ -169,7 +170,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH az AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
 iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), u, l),
-              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark, az WHERE item_id IS NOT NULL),
+              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark, az),
 ip AS (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i
        FROM iw WHERE len(w) > 0),
 pat AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS pattern FROM ip),
@@ -182,7 +183,7 @@ hit AS (SELECT dp.rid, dp.i, dp.n, pat.item_id
 words AS (SELECT rid, count(DISTINCT k) AS n_hit
           FROM (SELECT DISTINCT rid, unnest(range(i, i + n)) AS k FROM hit) GROUP BY rid),
 items AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
-          FROM (SELECT DISTINCT rid, item_id::VARCHAR AS id FROM hit) GROUP BY rid)
+          FROM (SELECT DISTINCT rid, item_id::VARCHAR AS id FROM hit WHERE item_id IS NOT NULL) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated

@@ -111,14 +111,14 @@ def min_cost_flow(patterns: list[tuple[tuple, int]], quotas: dict, max_repeats:
 
 
 def mix(docs: DataFrame, id_col: str, text_col: str, members, seed: int = 7,
-        max_repeats: int = 3) -> tuple[DataFrame, DataFrame]:
+        max_repeats: int = 3, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """members: a Column, array of the sources a row belongs to. Returns one row per
-    document (id, members, size, repeats, taken) and one per source (source,
-    source_size, target)."""
+    document (id, members, size, repeats, taken, and the columns to carry) and one per
+    source (source, source_size, target)."""
     spark = docs.sparkSession
     base = staged(docs.select(
         F.col(id_col).alias("id"), size_of(F.col(text_col)).alias("size"),
-        F.array_sort(F.array_distinct(members)).alias("members")), "mix-sizes")
+        F.array_sort(F.array_distinct(members)).alias("members"), *carry), "mix-sizes")
     # seeded order: equal ids get equal places, and then go by size
     base = base.withColumn("place", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))))
 
@@ -185,12 +185,12 @@ def mix(docs: DataFrame, id_col: str, text_col: str, members, seed: int = 7,
                                T.StructField("target", T.DoubleType())])
     stats = spark.createDataFrame([(s, sizes[s], t) for s, t in targets.items()], stats_type)
     picked = out.select("id", "members", "size", repeats.alias("repeats"),
-                        (F.col("size") * repeats).alias("taken"))
+                        (F.col("size") * repeats).alias("taken"), *carry)
     return picked, stats
 
 
-def by_source(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return mix(docs, "doc_id", "text", F.array(F.col("source")))
+def by_source(docs: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    return mix(docs, "doc_id", "text", F.array(F.col("source")), carry=carry)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

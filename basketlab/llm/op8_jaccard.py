@@ -23,7 +23,8 @@ A document's set is its distinct 5-word shingles (64-bit hashes; A-Z lower-cased
 
 Verification counts the two whole sets. Odd cases: null text and texts without words
 have no shingles and link with nothing; texts of 1 to 4 words have one shingle, the whole
-sequence; rows with the same id are one document, of whose texts one is verified; a null
+sequence; rows with the same id are one document that links through each of its texts (if
+an id has several, rows are joined as documents of their own first, and ids after); a null
 id links with nothing and has no component; empty tables give no rows.
 """
 from __future__ import annotations
@@ -336,10 +337,32 @@ def pairs_across(held: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, n_shingles, component_id."""
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     made = staged(profile(docs, "bigint"), "profile")
     rows = made.where("slice is null").select("id", "n", "s1", "s2")
+    sets = rows.where("id is not null").groupBy("id").agg(
+        F.min(F.struct("s1", "s2")).alias("first"), F.max(F.struct("s1", "s2")).alias("last"))
+    if sets.where("first != last").isEmpty():
+        return _components_of(docs, made, rows)
+    # ids with several texts: every row is a document of its own first
+    own = staged(docs.withColumn("row", F.when(F.col("id").isNotNull(), F.monotonically_increasing_id())), "rows")
+    own_docs = own.select(F.col("row").alias("id"), "text")
+    made = staged(profile(own_docs, "bigint"), "profile")
+    found = staged(_components_of(own_docs, made, made.where("slice is null").select("id", "n", "s1", "s2")),
+                   "row-components").withColumnRenamed("id", "row")
+    ids = own.where("row is not null").select("row", "id")
+    of_rows = staged(found.join(ids, "row").select("id", "n_shingles", "component_id").join(
+        ids.select(F.col("row").alias("component_id"), F.col("id").alias("other")), "component_id"), "by-id")
+    comp = components(of_rows.select(F.col("id").alias("a"), F.col("other").alias("b")))
+    nameless = found.where("row is null").select(
+        F.lit(None).cast("long").alias("id"), "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    return of_rows.join(comp, "id", "left").select(
+        "id", "n_shingles", F.coalesce("comp", "id").alias("component_id")).unionByName(nameless)
+
+
+def _components_of(docs: DataFrame, made: DataFrame, rows: DataFrame) -> DataFrame:
+    """The components where all rows of an id have one set; made is the documents' profile."""
+    spark = docs.sparkSession
     counts = summed_histogram(made.where("slice is not null").select("slice", "counts"), CELLS)
 
     total = int(counts.sum()) // 4

@@ -327,6 +327,38 @@ def test_links_of_many_near_copies(spark):
     assert got == {k: root(k) for k in keys}
 
 
+def test_every_text_of_a_repeated_id_links(spark):
+    a, b = (" ".join(f"{c}{j}" for j in range(60)) for c in "ab")
+    rows = [(1, a), (2, f"{a} more"), (3, f"{b} more"), (2, b), (4, "alone it is"), (None, a), (4, None), (2, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.id or 0, r.n_shingles, r.component_id) for r in op8_jaccard.jaccard_components(docs).collect())
+    assert got == sorted([(1, 56, 1), (2, 57, 1), (3, 57, 1), (2, 56, 1), (2, 56, 1), (4, 1, 4), (4, 0, 4), (0, 56, None)])
+
+
+def test_items_without_an_id_hit(spark):
+    docs = spark.createDataFrame([(1, "A b c d zz"), (2, "x y")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "a b c d"), (7, "x y"), (None, "x y")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in op1_decontaminate.decontaminate(docs, items).collect()}
+    assert got == {1: (4, []), 2: (2, ["7"])}
+
+
+@pytest.mark.parametrize("from_files", [True, False])
+def test_rows_that_agree_keep_their_own_count_in_the_mix(spark, tmp_path, from_files):
+    """Ten rows of one id and size, of which the mix takes some once more than others."""
+    rows = [(1, f"w{i} x", "a") for i in range(10)] + [(2, "y " * 13, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    if from_files:
+        docs.write.parquet(str(tmp_path / "d"))
+        docs = spark.read.parquet(str(tmp_path / "d"))
+    kept = dict(corpus_pipeline.STAGES)["mix_sources"](spark, docs, SMALL).collect()
+    picked, stats = op4_mixing.by_source(docs)
+    want = picked.where("id = 1").agg({"taken": "sum"}).first()[0]
+    got = sum(2 * r.repeats for r in kept if r.doc_id == 1)
+    target = next(r.target for r in stats.collect() if r.source == "a")
+    assert got == want and abs(got - target) <= 2 and len({r.text for r in kept if r.doc_id == 1}) == sum(
+        r.doc_id == 1 for r in kept)
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     edges = spark.createDataFrame([((i * 7) % n, (i * 7 + 7) % n) for i in range(n - 1)], "a long, b long")
