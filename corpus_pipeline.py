@@ -8,6 +8,7 @@ rows to the shared folder and reads them again for the next one.
 """
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,11 +54,16 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents taken at least once, with how often."""
     docs = docs.drop("repeats")
-    picked, _ = mixing.by_source(docs)
-    taken = picked.where("repeats > 0").groupBy("id", "size").agg(F.max("repeats").alias("repeats"))
-    same = docs["doc_id"].eqNullSafe(taken["id"]) & (
-        mixing.size_of(docs["text"]) == taken["size"])
-    return docs.join(taken, same).select(*[docs[c] for c in docs.columns], "repeats")
+    # a row is known by its place in the stage's input, so rows that agree keep their own count
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("mix_file"),
+                             F.col("_metadata.row_index").alias("mix_row"))
+    except AnalysisException:  # not read from files
+        placed = staged(docs.select("*", F.lit("").alias("mix_file"),
+                                    F.monotonically_increasing_id().alias("mix_row")), "mix-input")
+    picked, _ = mixing.by_source(placed, carry=("mix_file", "mix_row"))
+    taken = picked.where("repeats > 0").select("mix_file", "mix_row", "repeats")
+    return placed.join(taken, ["mix_file", "mix_row"]).select(*docs.columns, "repeats")
 
 
 STAGES = [
