@@ -4,8 +4,8 @@
   ``groupBy(user_id)`` over them (one shuffle of the facts, map-side combined)
   instead of six aggregates and six joins; the users table is joined once.
 * Scaling uses population statistics from one global aggregate.
-* k-means is ``pyspark.ml.clustering.KMeans``; restarts are separate seeded fits
-  keeping the least training cost.
+* k-means runs all (k, restart) center sets of a sweep in the same passes (``kmeans``),
+  keeping the least inertia of each k.
 * The Euclidean silhouette is exact on a seeded sample whose size is a parameter
   (5,000 by default, as in the reference): the sample is broadcast once (its size
   is bounded by construction) and every task scores its share of sample points
@@ -15,12 +15,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlab.operators.joins import materialize
+from basketlab.operators.kmeans import CentersModel, batched_kmeans
 
 # The twelve segmentation inputs, in order.
 FEATURES = ["n_views", "n_clicks", "n_cart_adds", "n_wishlist_adds", "n_purchases",
@@ -121,7 +122,6 @@ def silhouette(points: DataFrame, label: str = "cluster", features: str = "featu
                key: str = "user_id", max_points: int = SILHOUETTE_SAMPLE) -> DataFrame:
     """Mean Euclidean silhouette of ``points`` (a bounded sample). Singletons
     score 0. Returns one row (silhouette, n)."""
-    from pyspark.ml.functions import vector_to_array
     pts = points.select(key, F.col(label).cast("bigint").alias("_l"),
                         vector_to_array(features).alias("_x"))
     spark = points.sparkSession
@@ -167,37 +167,20 @@ def silhouette(points: DataFrame, label: str = "cluster", features: str = "featu
 
 
 # H16 / H18 / H19 ---------------------------------------------------------------
-def fit_best_of(data: DataFrame, k: int, restarts: int = 10, seed: int = 42,
-                max_iter: int = 100, parallel: int = 4):
-    """Best (least training cost) of ``restarts`` seeded k-means fits. Fits are
-    independent Spark jobs, submitted from a small thread pool so they share the
-    cluster; each fit is itself distributed."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    def fit(r):
-        m = KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="features",
-                   predictionCol="cluster").fit(data)
-        return m, m.summary.trainingCost
-
-    with ThreadPoolExecutor(max_workers=max(1, min(parallel, restarts))) as pool:
-        fits = list(pool.map(fit, range(restarts)))
-    return min(fits, key=lambda mc: mc[1])
-
-
 def k_sweep(scaled: DataFrame, ks=K_RANGE, restarts: int = 10, seed: int = 42,
             sample_size: int = SILHOUETTE_SAMPLE):
-    """Fit every k (best of ``restarts`` seeds), inertia + silhouette on the seeded
-    sample. Returns (sweep DataFrame, {k: model})."""
+    """Fit every k (best of ``restarts`` seeded starts, all in the same passes), inertia +
+    silhouette on the seeded sample. Returns (sweep DataFrame, {k: model})."""
     spark = scaled.sparkSession
-    data = scaled.select("user_id", "features").persist()  # each fit iterates over it
-    sample = materialize(seeded_sample(data, size=sample_size), "sample")
+    points = materialize(scaled.select(F.xxhash64("user_id").alias("key"),
+                                       vector_to_array("features").alias("x")), "points")
+    best, _ = batched_kmeans(points, list(ks), restarts, seed)
+    sample = materialize(seeded_sample(scaled.select("user_id", "features"), size=sample_size), "sample")
     rows, models = [], {}
     for k in ks:
-        model, cost = fit_best_of(data, k, restarts, seed)
-        models[k] = model
-        sil = silhouette(model.transform(sample), max_points=sample_size).first()
-        rows.append((k, float(cost), sil["silhouette"]))
-    data.unpersist()
+        models[k] = CentersModel(best[k].centers)
+        sil = silhouette(models[k].transform(sample), max_points=sample_size).first()
+        rows.append((k, float(best[k].cost), sil["silhouette"]))
     sweep = spark.createDataFrame(rows, "k int, inertia double, silhouette double")
     return sweep, models
 

@@ -908,8 +908,8 @@ def _(s):
     """A5: save the chosen k-means model, load it again, and assign every user."""
     r = segmentation_run(s)
     base = sinks.scratch_table_dir(s.spark, "segments")
-    r.models[r.choice["k"]].write().overwrite().save(base)
-    return sinks.load_kmeans(base).transform(r.scaled).select("user_id", "cluster")
+    r.models[r.choice["k"]].save(s.spark, base)
+    return seg.CentersModel.load(s.spark, base).transform(r.scaled).select("user_id", "cluster")
 
 
 @register("conversion_document")

@@ -117,19 +117,6 @@ def test_conversion_by_grouping_sets(spark):
     assert len(got) == 4
 
 
-def test_kmeans_restarts_keep_least_cost(spark):
-    from pyspark.ml.linalg import Vectors
-    rng = np.random.default_rng(0)
-    pts = np.vstack([rng.normal(0, 0.1, (10, 2)), rng.normal(5, 0.1, (10, 2))])
-    from pyspark.ml.linalg import VectorUDT
-    from pyspark.sql import types as T
-    schema = T.StructType([T.StructField("user_id", T.LongType()),
-                           T.StructField("features", VectorUDT())])
-    df = spark.createDataFrame([(i, Vectors.dense(p)) for i, p in enumerate(pts)], schema)
-    model, cost = seg.fit_best_of(df, 2, restarts=3)
-    assert cost < 1.0
-
-
 def test_prior_sessions_two_level_rank_matches_plain_rank(spark):
     import datetime as dt
     from basketlab.operators.aggregates import with_prior_sessions
