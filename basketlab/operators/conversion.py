@@ -108,12 +108,50 @@ def model_input(features: DataFrame) -> DataFrame:
         F.col(TARGET).cast("double").alias("label"))
 
 
-def split(df: DataFrame, key: str = "session_id", test_share_hex: int = 4) -> DataFrame:
-    """Deterministic ~25% test split on the key hash: test when the first hex digit
-    of md5(key) is below ``test_share_hex`` (of 16). Proportional per class in
-    expectation; reproducible in any engine."""
-    first = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 1), 16, 10).cast("int")
-    return df.withColumn("is_test", first < test_share_hex)
+def split_cuts(df: DataFrame, key: str = "session_id", share: float = 0.25, label: str = "label",
+               digits: int = 4) -> dict:
+    """class -> the largest md5(key) of its test rows, so that each class (rows without a
+    label being one) has exactly round(share * n) of them: its smallest hashes.
+
+    No class is sorted: rows are counted by class and the hash's leading digits, then, in
+    the one cell that the quota ends in, by the next digits, until it ends with a cell.
+    A pass returns at most 16^digits counts a class; two or three passes find the cut. (Rows
+    of equal keys fall on one side, so a repeated key may leave the quota short of them.)"""
+    h = F.md5(F.col(key).cast("string"))
+    rows = df.where(F.col(key).isNotNull()).select(F.col(label).alias("c"), h.alias("h"))
+    left = {r["c"]: int(share * r["n"] + 0.5) for r in rows.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cuts = {c: "" for c, n in left.items() if n == 0}
+    prefix = {c: "" for c in left if c not in cuts}
+    for at in range(1, 33, digits):
+        if not prefix:
+            break
+        inside = F.lit(False)
+        for c, p in prefix.items():
+            inside = inside | (F.col("c").eqNullSafe(F.lit(c)) & F.col("h").startswith(p))
+        cells = rows.where(inside).groupBy("c", F.substring("h", at, digits).alias("d")).agg(
+            F.count(F.lit(1)).alias("n")).collect()
+        for c in list(prefix):
+            for d, n in sorted((r["d"], r["n"]) for r in cells if r["c"] == c):
+                if n < left[c]:
+                    left[c] -= n
+                    cuts[c] = (prefix[c] + d).ljust(32, "f")
+                    continue
+                if n == left[c]:
+                    cuts[c] = (prefix.pop(c) + d).ljust(32, "f")
+                else:
+                    prefix[c] += d
+                break
+    return cuts
+
+
+def split(df: DataFrame, key: str = "session_id", label: str = "label", cuts: dict | None = None) -> DataFrame:
+    """is_test: a quarter of each class, chosen by the key's hash, reproducible in any
+    engine; rows without a key are training rows."""
+    cuts = split_cuts(df, key, label=label) if cuts is None else cuts
+    h, test = F.md5(F.col(key).cast("string")), F.lit(False)
+    for c, cut in cuts.items():
+        test = test | (F.col(label).eqNullSafe(F.lit(c)) & (h <= F.lit(cut)))
+    return df.withColumn("is_test", F.coalesce(test, F.lit(False)))
 
 
 def class_weights(train: DataFrame, label: str = "label") -> DataFrame:
@@ -401,7 +439,7 @@ def top_factors(rows: DataFrame, imp: DataFrame, pool: int = 8, n: int = 5) -> D
 
 # The training job ----------------------------------------------------
 # Part of an artifact's address; to be raised when training gives other models.
-VERSION = 1
+VERSION = 2
 MODEL_KEYS = {BASELINE: "baseline", FOREST: "forest", BOOSTED: "boosted", ABLATION: "ablation"}
 
 
@@ -434,7 +472,8 @@ class ConversionRun:
     def __init__(self, features: DataFrame, path: str):
         self.spark, self.path = features.sparkSession, path
         self.facts = json.loads(self.spark.read.text(f"{path}/facts").first()["value"])
-        self.data = split(model_input(features))
+        cuts = {None if c is None else float(c): cut for c, cut in self.facts["cuts"]}
+        self.data = split(model_input(features), cuts=cuts)
         self.train = self.data.where(~F.col("is_test"))
         self.test = self.data.where(F.col("is_test"))
         self._models: dict = {}
@@ -470,7 +509,9 @@ def train_conversion(features: DataFrame, path: str, progress: str, p: Parameter
     the ablation (a forest without the cart features), and write models and measures to
     path; the best contender is that with the largest AUC."""
     spark = features.sparkSession
-    data = materialize(split(model_input(features)), "conversion")
+    inputs = materialize(model_input(features), "model-input")
+    cuts = split_cuts(inputs)
+    data = split(inputs, cuts=cuts)
     train = materialize(with_weights(data.where(~F.col("is_test"))), "train")
     test = data.where(F.col("is_test"))
     per_class = {r["label"]: r["weight"] for r in class_weights(train).collect()}  # two rows
@@ -492,6 +533,7 @@ def train_conversion(features: DataFrame, path: str, progress: str, p: Parameter
     contenders = [measured[n] for n in (BASELINE, FOREST, BOOSTED)]
     facts = {"contenders": contenders, "ablation": measured[ABLATION],
              "best": max(contenders, key=lambda m: m["roc_auc"])["name"],
+             "cuts": list(cuts.items()),
              "base_rate": float(data.agg(F.avg("label")).first()[0] or 0.0)}
     spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode(
         "overwrite").text(f"{path}/facts")

@@ -78,7 +78,8 @@ REQUEST_FIELDS = ["n_view", "n_click", "n_add_to_cart", "n_remove_from_cart",
 
 SPLIT = """
 , mi AS (SELECT session_id, CAST(is_converted AS DOUBLE) AS label,
-                substr(md5(session_id), 1, 1) IN ('0', '1', '2', '3') AS is_test
+                row_number() OVER (PARTITION BY is_converted ORDER BY md5(session_id))
+                  <= round(count(*) OVER (PARTITION BY is_converted) * 0.25) AS is_test
          FROM session_features)"""
 
 

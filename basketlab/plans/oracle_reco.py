@@ -40,7 +40,7 @@ RECO_CTES = {
          row_number() OVER (ORDER BY n_purchases DESC, n_view DESC, product_id) AS rank
   FROM product_stats ORDER BY n_purchases DESC, n_view DESC, product_id LIMIT 50""",
     "scored": """
-  SELECT ui.user_id, n.neighbor AS rec_id, sum(CAST(ui.w * n.sim AS DECIMAL(38,18))) AS score,
+  SELECT ui.user_id, n.neighbor AS rec_id, CAST(sum(CAST(floor(ui.w * n.sim * 1099511627776.0::DOUBLE) AS BIGINT)) AS DOUBLE) / 1099511627776.0::DOUBLE AS score,
          first(ui.product_id ORDER BY ui.w * n.sim DESC, ui.product_id) AS seed_id
   FROM ui JOIN nbrs n ON n.item = ui.product_id GROUP BY 1, 2""",
     "cand": """
