@@ -51,12 +51,12 @@ FIXTURE_CTES = {
          CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_orderkey END AS purchase_id,
          CAST(1 + CAST(l_quantity AS BIGINT) % 5 AS BIGINT) AS rating,
          date_trunc('second', l_shipdate) AS review_date
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE l_partkey % 2 = 0""",
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "fx_products": """
   SELECT p_partkey AS product_id, p_name AS product_name, trim(p_type) AS category,
-         trim(p_brand) AS brand, p_retailprice AS price, r.rating_avg,
-         CAST(coalesce(r.review_count, 0) AS BIGINT) AS review_count,
+         trim(p_brand) AS brand, p_retailprice AS price,
+         CASE WHEN p_partkey % 2 = 0 THEN r.rating_avg END AS rating_avg,
+         CAST(CASE WHEN p_partkey % 2 = 0 THEN coalesce(r.review_count, 0) ELSE 0 END AS BIGINT) AS review_count,
          CAST(p_size AS BIGINT) AS stock_quantity
   FROM part LEFT JOIN (SELECT product_id, avg(rating) AS rating_avg,
                               count(*) AS review_count

@@ -9,7 +9,8 @@ DATE_OF = {"users": "signup_date", "sessions": "start_time", "interactions": "ti
 ORACLE = {
     "csv_roundtrip": with_fixtures("\nUNION ALL ".join(
         f"SELECT '{t}' AS \"table\", count(*) AS \"rows\", min(\"{c}\") AS first_ts, "
-        f"max(\"{c}\") AS last_ts FROM fx_{t}" for t, c in DATE_OF.items())),
+        f"max(\"{c}\") AS last_ts FROM fx_{t}" for t, c in DATE_OF.items())
+        + "\nUNION ALL SELECT 'products', count(*), NULL, NULL FROM fx_products"),
     "text_functions": with_fixtures("""
 SELECT product_id, substring(split_part(product_name, chr(10), 1), 1, 180) AS blurb,
        substring(product_name, 1, 6) AS name_6, substring(product_name, 1, 22) AS name_22,

@@ -716,18 +716,19 @@ DATE_OF = {"users": "signup_date", "sessions": "start_time", "interactions": "ti
 
 @register("csv_roundtrip")
 def _(s):
-    """A1 (+ B1): export the tables as CSV with timestamps as text, read them back
-    with explicit schemas, clean, and report rows and time span per table."""
+    """A1 (+ B1): export the six tables as CSV with timestamps as text, read them back
+    with explicit schemas, clean, and report rows and time span (products: none) per table."""
     folder = sinks.scratch_table_dir(s.spark, "csv")
-    tables = {n: df for n, df in s.all().items() if n in DATE_OF}
+    tables = s.all()
     text = {n: df.withColumn(DATE_OF[n], F.date_format(DATE_OF[n], "yyyy-MM-dd HH:mm:ss.SSSSSS"))
-            for n, df in tables.items()}
+            if n in DATE_OF else df for n, df in tables.items()}
     raw_src.write_csv(text, folder)
-    schemas = {n: [(f.name, StringType() if f.name == DATE_OF[n] else f.dataType)
+    schemas = {n: [(f.name, StringType() if f.name == DATE_OF.get(n) else f.dataType)
                    for f in df.schema.fields] for n, df in tables.items()}
     back = raw_src.clean_tables(raw_src.read_raw(s.spark, folder, schemas))
-    parts = [df.agg(F.count(F.lit(1)).alias("rows"), F.min(DATE_OF[n]).alias("first_ts"),
-                    F.max(DATE_OF[n]).alias("last_ts")).select(F.lit(n).alias("table"), "*")
+    at = {n: F.col(DATE_OF[n]) if n in DATE_OF else F.lit(None).cast("timestamp") for n in back}
+    parts = [df.agg(F.count(F.lit(1)).alias("rows"), F.min(at[n]).alias("first_ts"),
+                    F.max(at[n]).alias("last_ts")).select(F.lit(n).alias("table"), "*")
              for n, df in back.items()]
     return audit.union_all(parts)
 

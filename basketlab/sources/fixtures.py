@@ -124,7 +124,7 @@ def sessions(spark, sf_dir) -> DataFrame:
 
 
 def reviews(spark, sf_dir) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem").where(F.col("l_partkey") % 2 == 0)
+    li = read_table(spark, sf_dir, "lineitem")
     o = read_table(spark, sf_dir, "orders")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     return j.select(
@@ -143,14 +143,16 @@ def products(spark, sf_dir) -> DataFrame:
     r = reviews(spark, sf_dir).groupBy("product_id").agg(
         F.avg("rating").alias("rating_avg"), F.count(F.lit(1)).alias("review_count"))
     j = p.join(r, p.p_partkey == r.product_id, "left")
+    rated = F.col("p_partkey") % 2 == 0
     out = j.select(
         F.col("p_partkey").alias("product_id"),
         F.col("p_name").alias("product_name"),
         F.col("p_type").alias("category"),
         F.col("p_brand").alias("brand"),
         F.col("p_retailprice").alias("price"),
-        F.col("rating_avg"),
-        F.coalesce(F.col("review_count"), F.lit(0)).cast("bigint").alias("review_count"),
+        # the catalog shows ratings of every second product, so that some are unrated
+        F.when(rated, F.col("rating_avg")).alias("rating_avg"),
+        F.coalesce(F.when(rated, F.col("review_count")), F.lit(0)).cast("bigint").alias("review_count"),
         F.col("p_size").cast("bigint").alias("stock_quantity"),
     )
     return trim_cols(out, ["category", "brand"])
