@@ -4,12 +4,18 @@ A line's tokens are its blank-separated words, those with a digit being variable
 (``<*>``). The tree's levels are the number of tokens and the leading ``depth`` tokens;
 a leaf holds the lines that share them. Within a leaf the most frequent line is a
 template, and a line that agrees with it in at least ``similarity`` of its tokens (compared
-one by one, as 32-bit hashes) is an instance of it, so that the tokens that differ are
-variable fields too; the most frequent of the other lines is the next template, and so on
-(equal counts: larger hash first). Only the distinct lines of leaves that hold several are
-compared, in rounds that find up to ``HEADS`` templates a leaf each, until no leaf is left
-whose unmatched lines could still make a template that recurs often enough. The number of
-rounds follows the leaf with the most unlike lines.
+one by one) is an instance of it, so that the tokens that differ are variable fields too;
+the most frequent of the other lines is the next template, and so on (equal counts: larger
+hash first).
+
+Only the distinct lines of leaves that hold several are compared, and of these only lines
+that can agree with another: where m tokens may differ, those past the leading ones are
+dealt into m + 1 bands, and two lines that agree have a band in common. A line with no band
+that another one of its leaf has (and any line so short that no token may differ) is a
+template of its own at once. The others are compared in rounds that find up to ``HEADS``
+templates a leaf each, until no leaf is left whose unmatched lines could still make a
+template that recurs often enough. So the number of rounds follows the most unlike lines of
+a leaf that share a band with another, however many lines there are besides.
 
 A template that recurs in at least ``min_docs`` documents of different text is dropped
 from all of them but its first place (smallest id, then text hash, then line); a template
@@ -44,20 +50,44 @@ def row_key(id_col: str, text_col: str):
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str, depth: int, min_docs: int,
               long_words: int) -> DataFrame:
-    """(at, line, leaf, need, sig, tokens) of each line that isn't blank; need: in how many
-    documents a template of its length recurs when it is dropped; tokens: their hashes."""
+    """(at, line, leaf, need, sig, words) of each line that isn't blank; need: in how many
+    documents a template of its length recurs when it is dropped; words: the tokens in one
+    string, blanks between them."""
     lines = docs.select(row_key(id_col, text_col).alias("at"),
                         F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "raw"))
     blank = F.translate("raw", "\t\r", "  ")
     masked = F.when(F.col("raw").rlike("[0-9]"),
                     F.regexp_replace(blank, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(blank)
-    lines = lines.select("at", "line", F.filter(F.split(masked, " "), lambda t: t != "").alias("t")
-                         ).where("size(t) > 0")
+    lines = lines.select("at", "line", masked.alias("words")).select(
+        "*", tokens_of("words").alias("t")).where("size(t) > 0")
     n = F.size("t")
     need = F.when(n > long_words, min(LONG_DOCS, min_docs)).otherwise(min_docs)
     return lines.select("at", "line", F.xxhash64(n, F.slice("t", 1, depth)).alias("leaf"),
                         need.alias("need"),
-                        F.xxhash64("t").alias("sig"), F.transform("t", lambda x: F.hash(x)).alias("tokens"))
+                        F.xxhash64("t").alias("sig"), "words")
+
+
+def tokens_of(words):
+    return F.array_remove(F.split(words, " "), "")
+
+
+def lonely(kinds: DataFrame, similarity: float, depth: int) -> DataFrame:
+    """(leaf, sig) of the kinds that agree with no other kind of their leaf for sure."""
+    n = F.size("tokens")
+    may = n - F.ceil(F.lit(similarity) * n - F.lit(1e-9)).cast("int")  # tokens that may differ
+    shown = kinds.select("leaf", "sig", "tokens", n.alias("n"), may.alias("may"))
+    rest, lead = F.col("n") - F.least(F.lit(depth), F.col("n")), F.least(F.lit(depth), F.col("n"))
+    # without a token to spare past the leading ones, the whole leaf is one band
+    bands = F.when(F.col("may") >= rest, 1).otherwise(F.col("may") + 1)
+    cut = lambda i: lead + F.floor(i * rest / bands).cast("int")
+    band = shown.where("may > 0").select("leaf", "sig", "tokens", "n", "may", F.explode(
+        F.sequence(F.lit(0), bands - 1)).alias("i")).select(
+        "leaf", "sig", F.when(F.col("may") >= rest, F.xxhash64("leaf")).otherwise(F.xxhash64(
+            "i", F.slice("tokens", cut(F.col("i")) + 1, cut(F.col("i") + 1) - cut(F.col("i"))))).alias("band"))
+    band = staged(band, "bands")
+    met = band.groupBy("leaf", "band").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo != hi")
+    known = band.join(met.select("leaf", "band"), ["leaf", "band"], "left_semi").select("leaf", "sig").distinct()
+    return kinds.select("leaf", "sig").join(known, ["leaf", "sig"], "left_anti")
 
 
 def alike(a, b, similarity: float):
@@ -100,7 +130,7 @@ def matched_kinds(kinds: DataFrame, similarity: float, most: int = HEADS) -> lis
             return done
 
 
-def templates(lines: DataFrame, similarity: float) -> DataFrame:
+def templates(lines: DataFrame, similarity: float, depth: int) -> DataFrame:
     """(leaf, sig, template) of the distinct lines of leaves with enough lines."""
     place = F.xxhash64("at", "line")
     kinds = lines.groupBy("leaf", "need", "sig").agg(F.count(F.lit(1)).alias("n"),
@@ -111,18 +141,21 @@ def templates(lines: DataFrame, similarity: float) -> DataFrame:
     kinds = staged(kinds.join(leaves, "leaf"), "line-kinds")
     # one line of each kind brings its tokens; the place spreads a hot line over the tasks
     several = kinds.where("kinds > 1").select("leaf", "need", "sig", "place", "n")
-    several = staged(lines.select("leaf", "sig", "tokens", place.alias("place")).join(
-        several, ["leaf", "sig", "place"]).dropDuplicates(["leaf", "sig"]).drop("place"), "several")
-    matched = matched_kinds(several, similarity)
-    alone = kinds.where("kinds = 1").select("leaf", "sig", F.col("sig").alias("template"))
+    several = staged(lines.select("leaf", "sig", "words", place.alias("place")).join(
+        several, ["leaf", "sig", "place"]).dropDuplicates(["leaf", "sig"]).select(
+        "leaf", "need", "sig", "n", tokens_of("words").alias("tokens")), "several")
+    apart = staged(lonely(several, similarity, depth), "lonely")
+    matched = matched_kinds(staged(several.join(apart, ["leaf", "sig"], "left_anti"), "comparable"), similarity)
+    alone = kinds.where("kinds = 1").select("leaf", "sig").unionByName(apart).select(
+        "leaf", "sig", F.col("sig").alias("template"))
     for part in matched:
         alone = alone.unionByName(part)
     return staged(alone, "line-templates")
 
 
-def dropped_lines(lines: DataFrame, similarity: float) -> DataFrame:
+def dropped_lines(lines: DataFrame, similarity: float, depth: int) -> DataFrame:
     """(at, lines): the line numbers to drop, one row per document that loses any."""
-    kinds = templates(lines, similarity)
+    kinds = templates(lines, similarity, depth)
     placed = staged(lines.select("at", "line", "leaf", "need", "sig").join(kinds, ["leaf", "sig"]).select(
         "at", "line", "need", F.xxhash64("leaf", "template").alias("template")), "template-lines")
     by_text = placed.groupBy("template", "need", F.col("at.hash").alias("hash")).agg(
@@ -142,7 +175,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     these names are replaced)."""
     docs = docs.drop("n_lines", "n_dropped")
     lines = staged(line_rows(docs, id_col, text_col, depth, min_docs, long_words), "lines")
-    drops = dropped_lines(lines, similarity)
+    drops = dropped_lines(lines, similarity, depth)
     whole = docs.select(row_key(id_col, text_col).alias("at"), F.struct(*docs.columns).alias("row"))
     joined = whole.join(drops, "at", "left")
     old = F.col("row")[text_col]

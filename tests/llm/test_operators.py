@@ -246,6 +246,35 @@ def test_second_template_of_a_leaf_is_found(spark):
     assert out == {k: int(0 < k < 8 or 20 < k < 28) for k, _ in rows}
 
 
+def test_thousands_of_unlike_lines_in_a_leaf_need_no_more_rounds(spark, monkeypatch):
+    """3,000 lines of one leaf that agree with none, short ones and long ones, and a template
+    among them: few rounds, and the plain-Python result."""
+    import random
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = [(i, f"Posted by user {word()}\nit was said {' '.join(word() for _ in range(9))}") for i in range(3000)]
+    kept = "it was said once more that all of it holds {} so"
+    rows += [(5000 + i, f"own {word()}\n{kept.format(word())}") for i in range(7)]
+    rounds = []
+    real = op3_line_dedup.leaf_heads
+    monkeypatch.setattr(op3_line_dedup, "leaf_heads", lambda *a: rounds.append(1) or real(*a))
+    out = {r.doc_id: r for r in op3_line_dedup.line_dedup(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(rounds) <= 2
+    assert sum(r.n_dropped for r in out.values()) == 6 and all(out[i].n_dropped == 0 for i in range(3000))
+
+
+def test_bands_lose_no_line_that_agrees(spark):
+    """Lines with as many different tokens as may differ, at every place past the leading ones."""
+    import itertools
+    base = [f"t{chr(97 + i)}" for i in range(11)]
+    lines = [" ".join(base)] + [" ".join("x" * (j + 1) if j in at else t for j, t in enumerate(base))
+                                for at in itertools.combinations(range(3, 11), 2)]
+    rows = [(i, t) for i, t in enumerate(lines)] + [(1000 + i, " ".join(base) + f"\nown {'y' * i}") for i in range(9)]
+    out = op3_line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in out if r.n_dropped == 0) == [0]
+
+
 def test_exact_dedup_in_several_batches(spark, odd, tmp_path):
     path = f"{tmp_path}/documents.parquet"
     spark.read.parquet(f"{odd}/documents.parquet").repartition(6).write.parquet(path)
