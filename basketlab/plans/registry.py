@@ -300,7 +300,8 @@ def _(s):
 def _(s):
     """A3 + A4: write the six tables, read them back, compare row counts."""
     src = s.all()
-    dst = sinks.land_tables(src, sinks.scratch_table_dir(s.spark, "shop"))
+    shop = sinks.TableSet(s.spark, sinks.scratch_table_dir(s.spark, "shop"))
+    dst = shop.read(shop.publish(src))
     return audit.assert_reconciled(audit.reconcile_counts(src, dst))
 
 
