@@ -1,14 +1,14 @@
 """Supervised subword embeddings as a quality classifier.
 
 A document is the average of learned vectors, one for each of its hashed word n-grams
-(1 and 2 words, and whether a bigram repeats its word) and character n-grams (3 and 4
-bytes); a softmax layer on the average
+(1 and 2 words) and character n-grams (3 and 4 bytes); a softmax layer on the average
 gives the class probabilities. The vectors and the layer are trained by numpy stochastic
 gradient descent on a bounded sample of labelled rows.
 
-Bounds of the training sample, both parameters: ``sample_rows`` labelled ids with the
-smallest id hash, and ``sample_features`` distinct features over them, in that order.
-Labels serve only where crc32 of the id's text modulo ``folds`` is not 0. Scoring reads
+Bounds of the training sample, both parameters: ``sample_rows`` labelled ids, split over
+the labels (a label with fewer leaves its part to the other; of each those with the smallest
+id hash), and ``sample_features`` distinct features over them, in the order of that hash. The
+score is then moved to the labels' shares among all learnable ids. Labels serve only where crc32 of the id's text modulo ``folds`` is not 0. Scoring reads
 every whole text: as the layer is linear in the average, each feature's score is folded
 into one number beforehand, which changes nothing in the result.
 
@@ -24,8 +24,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlab.llm.common import (NOT_SPACE, learnable, mix, random_words, read_columns,
+from basketlab.llm.common import (NOT_SPACE, learnable, mix, random_words, read_columns, staged,
                                   text_slices, word_bounds, word_hashes)
+from basketlab.llm.op10_langid import sampled_ids
 
 BUCKETS = 1 << 17
 PIECE = 1 << 20
@@ -49,8 +50,6 @@ def feature_ids(data: np.ndarray) -> np.ndarray:
     salt = random_words(5, 4)
     words = word_hashes(data, *word_bounds(data, NOT_SPACE))
     out = [words ^ salt[0], mix(words[:-1] * salt[1] + words[1:])] if len(words) else []
-    if len(words) > 1:  # the shape of each word bigram: the same word again, or another
-        out.append(salt[3] + (words[:-1] == words[1:]).astype(np.uint64))
     wide = data.astype(np.uint64)
     for n in (3, 4):
         if len(data) >= n:
@@ -74,10 +73,14 @@ def feature_counts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
                   folds: int, sample_rows: int, sample_features: int):
-    """[(ids, counts, label)] of the bounded sample, in a fixed order."""
-    chosen = (labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y"))
-              .where(F.col("k").isNotNull() & F.col("y").isNotNull() & learnable("k", folds, 0))
-              .groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample_rows))
+    """[(ids, counts, label)] of the bounded sample, in a fixed order; and the number of
+    learnable ids of each label."""
+    known = staged(labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y"))
+                   .where(F.col("k").isNotNull() & F.col("y").isNotNull() & learnable("k", folds, 0))
+                   .groupBy("k").agg(F.max("y").alias("y")), "labels")
+    all_of = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    _, chosen = sampled_ids(known.select(F.col("y").cast("string").alias("lang"), "k"), sample_rows)
+    chosen = chosen.select("k", F.col("lang").cast("int").alias("y"))
 
     def count(batches):
         import pyarrow as pa
@@ -105,7 +108,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
         ends.append(len(ids) // 4)
         labels_of.append(r["y"])
     ids, counts = np.frombuffer(ids, "<i4"), np.frombuffer(counts, "<i4")
-    return [(ids[a:b], counts[a:b], y) for a, b, y in zip(ends, ends[1:], labels_of)]
+    return [(ids[a:b], counts[a:b], y) for a, b, y in zip(ends, ends[1:], labels_of)], all_of
 
 
 def train(rows, classes: int = 2, dim: int = 12, epochs: int = 6, rate: float = 4.0,
@@ -139,13 +142,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         label_col: str = "quality", folds: int = 5, sample_rows: int = 4000,
         sample_features: int = 12_000_000) -> tuple[np.ndarray, float]:
     """(score of each bucket, bias) of the two-class model: label 1 against label 0."""
-    rows = training_rows(docs, labels, id_col, text_col, label_col, folds, sample_rows, sample_features)
+    rows, all_of = training_rows(docs, labels, id_col, text_col, label_col, folds, sample_rows, sample_features)
     rows = [(ids, counts, int(y == 1)) for ids, counts, y in rows]
     ones = sum(y for *_, y in rows)
     if ones in (0, len(rows)):
         return np.zeros(BUCKETS, np.float32), float(np.log((ones + 1) / (len(rows) - ones + 1)))
     vectors, layer, bias = train(rows)
-    return vectors @ (layer[1] - layer[0]), float(bias[1] - bias[0])
+    # the sample has the labels in other shares than all learnable rows
+    all_ones = all_of[1]
+    shift = np.log(all_ones / (sum(all_of.values()) - all_ones)) - np.log(ones / (len(rows) - ones))
+    return vectors @ (layer[1] - layer[0]), float(bias[1] - bias[0] + shift)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text",

@@ -5,21 +5,24 @@ substitutions). By the pigeonhole principle a text with at most k edits holds at
 one of the notice's k + 1 pieces unchanged, so the exact pieces (seeds, found by one
 Aho-Corasick automaton over all notices) are the only places to look at. Around each
 seed the regex library matches the notice with its error bound and so verifies the
-edits; the best match (fewest edits, then leftmost) of each region is reported with its
-span in the text, then the best ones of what is left before and after it, and so on. Text is compared with A-Z lower-cased and white space runs as one
-blank; spans are mapped back.
+edits; the best match (fewest edits, then leftmost) is reported with its span in the text,
+then the best ones of what is left before and after it, and so on. Text is compared with
+A-Z lower-cased and white space runs as one blank; spans are mapped back.
 
 Base places are kept apart: a phrase's words standing consecutively among the words
 ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
 
 The score is the largest ``1 - edits / length`` of the notices found, 1 where a base
 phrase stands, and 0 without any. Odd cases: null text is empty; empty texts get zero counts, null
-places, empty labels; regions that touch are searched together, so long repetitions of
-a notice cost one search each; rows with equal ids are judged each.
+places, empty labels; each seed costs searches of about a notice's length, so the time
+follows the number of seeds, also in a text that repeats a notice; rows with equal ids are
+judged each.
 """
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,38 +85,48 @@ class Finder:
 
     def find(self, flat: str) -> list[tuple[int, int, int, int]]:
         """(start, end, notice, edits) of the verified places in blank-normalised text."""
-        spans: dict[int, list[list[int]]] = {}
+        windows: dict[int, dict] = {}
         for end, (n, where) in self.automaton.iter(flat):
             for i, at in where:
                 text, _, k = self.notices[i]
                 a = end + 1 - n - at - k
-                b = a + len(text) + 2 * k
-                mine = spans.setdefault(i, [])
-                mine.append([max(a, 0), b])
-        out = []
-        for i, mine in spans.items():
-            regions: list[list[int]] = []
-            for a, b in sorted(mine):
-                if regions and a <= regions[-1][1]:
-                    regions[-1][1] = max(b, regions[-1][1])
-                else:
-                    regions.append([a, b])
-            for a, b in regions:
-                out.extend((x, y, i, e) for x, y, e in self.matches(i, flat, a, min(b, len(flat))))
-        return sorted(out)
-
-    def matches(self, i: int, flat: str, a: int, b: int):
-        """(start, end, edits) of the best match in flat[a:b], then of the parts beside it."""
+                windows.setdefault(i, {})[max(a, 0), min(a + len(text) + 2 * k, len(flat))] = True
+        return sorted((x, y, i, e) for i, mine in windows.items() for x, y, e in self.matches(i, flat, mine))
+
+    def matches(self, i: int, flat: str, windows):
+        """(start, end, edits) of disjoint matches in the windows: the best one (fewest edits,
+        then leftmost) first, then the best in what it leaves free, and so on. A window is
+        a notice and its edits long, so each search is short and the time is linear in the
+        number of windows, however often a text repeats the notice."""
         text, _, k = self.notices[i]
-        parts = [(a, b)]
-        while parts:
-            a, b = parts.pop()
-            if b - a < max(len(text) - k, 1):  # shorter than any match
-                continue
-            m = self.patterns[i].search(flat, a, b)
+        least, found, starts = max(len(text) - k, 1), [], []
+
+        def search(a, b):
+            m = self.patterns[i].search(flat, a, b) if b - a >= least else None
             if m and m.end() > m.start():
-                yield m.start(), m.end(), sum(m.fuzzy_counts)
-                parts += [(a, m.start()), (m.end(), b)]
+                heappush(heap, (sum(m.fuzzy_counts), m.start(), m.end(), a, b))
+
+        heap: list[tuple] = []
+        for a, b in windows:
+            search(a, b)
+        while heap:
+            edits, x, y, a, b = heappop(heap)
+            j = bisect_left(starts, y)  # matches from here on start at its end or later
+            if not j or found[j - 1][1] <= x:
+                starts.insert(j, x)
+                found.insert(j, (x, y, edits))
+                # what is left of the window may hold another
+                search(a, x)
+                search(y, b)
+                continue
+            lo = j - 1
+            while lo and found[lo - 1][1] > a:
+                lo -= 1
+            hi = bisect_left(starts, b)
+            edges = [a, *(e for x2, y2, _ in found[lo:hi] for e in (x2, y2)), b]
+            for free, to in zip(edges[::2], edges[1::2]):
+                search(max(free, a), min(to, b))
+        return found
 
 
 def flatten(low: str) -> tuple[str, list[tuple[int, int]]]:
@@ -127,7 +140,6 @@ def flatten(low: str) -> tuple[str, list[tuple[int, int]]]:
 
 
 def original(at: int, lost: list[tuple[int, int]]) -> int:
-    from bisect import bisect_right
     i = bisect_right(lost, (at, 1 << 62))
     return at + (lost[i - 1][1] if i else 0)
 

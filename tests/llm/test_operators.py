@@ -7,7 +7,7 @@ from llm_helpers import BASE, NEAR, SMALL, oracle_rows, rows_of, write_tables
 
 import corpus_pipeline
 from basketlab.llm import common, op1_decontaminate, op3_line_dedup, op4_mixing, op5_exact_dedup
-from basketlab.llm import op10_langid, op6_suffix_dedup, op7_licenses, op8_jaccard
+from basketlab.llm import op10_langid, op2_quality, op6_suffix_dedup, op7_licenses, op8_jaccard
 from basketlab.llm import queries as llm
 
 MIDDLE = "/root/testdata/sf0.01"
@@ -408,6 +408,127 @@ def test_worse_notice_before_a_better_one_is_found():
     assert [(a, b, e) for a, b, i, e in found if op7_licenses.NOTICES[i][1] == "mpl"] == [(0, 22, 1), (23, 45, 0)]
 
 
+def brute_notices(finder, flat):
+    """All notices of a text without seeds: the best match of the whole text, then of the
+    parts beside it, and so on."""
+    out = []
+    for i, pattern in enumerate(finder.patterns):
+        parts = [(0, len(flat))]
+        while parts:
+            a, b = parts.pop()
+            m = pattern.search(flat, a, b) if a < b else None
+            if m and m.end() > m.start():
+                out.append((m.start(), m.end(), i, sum(m.fuzzy_counts)))
+                parts += [(a, m.start()), (m.end(), b)]
+    return sorted(out)
+
+
+def test_notices_equal_a_search_without_seeds(spark):
+    """Spans, labels and scores over a whole table, and on texts full of notices with edits."""
+    import random
+    finder, rng = op7_licenses.Finder(op7_licenses.NOTICES), random.Random(3)
+    made = []
+    for _ in range(40):
+        words = []
+        for _ in range(rng.randint(1, 6)):
+            t = list(rng.choice(op7_licenses.NOTICES)[0])
+            for _ in range(rng.randint(0, 4)):
+                t[rng.randrange(len(t))] = rng.choice(["", "x", "e", "ab"])
+            words.append("".join(t))
+        made.append(rng.choice([" ", " and ", ""]).join(words))
+    for text in made:
+        assert finder.find(text) == brute_notices(finder, text), text
+    rows = texts(spark, SMALL)
+    got = {r.id: r for r in op7_licenses.scan(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()}
+    some = 0
+    for k, t in rows:
+        flat, lost = op7_licenses.flatten(op7_licenses.lowered(t))
+        want = brute_notices(finder, flat) if len(flat) < 6000 else finder.find(flat)
+        some += bool(want)
+        places = [(f.start, f.end) for f in got[k].found]
+        assert sorted(places) == sorted((op7_licenses.original(a, lost), op7_licenses.original(b - 1, lost) + 1)
+                                        for a, b, _, _ in want)
+        labels = set(filter(None, got[k].base_labels.split(","))) | {op7_licenses.NOTICES[i][1] for _, _, i, _ in want}
+        assert got[k].labels == ",".join(sorted(labels))
+        best = max([1 - e / len(op7_licenses.NOTICES[i][0]) for _, _, i, e in want], default=0.0)
+        assert got[k].score == pytest.approx(1.0 if got[k].n_base else best)
+    assert some > 3
+
+
+def test_repeated_notices_take_linear_time():
+    import time
+    finder = op7_licenses.Finder(op7_licenses.NOTICES)
+    times = []
+    for n in (400, 1600, 6400):
+        text = "all rihgts reserved " * n
+        t0 = time.perf_counter()
+        found = finder.find(text)
+        times.append(time.perf_counter() - t0)
+        assert len(found) == n
+    assert times[1] < 0.5 and times[2] < 12 * max(times[1], 0.05)
+
+
+def test_rare_label_is_learned(spark):
+    """One label in two thousand: the sample holds its rows, and scores tell them apart."""
+    rows = [(i, f"{'zq jxk vvq' if i % 2000 == 7 else 'the and of to in'} w{i % 31} w{i % 17} x{i % 7}") for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2000 = 7) AS quality")
+    out = op2_quality.score(docs, op2_quality.fit(docs, labels, sample_rows=600)).collect()
+    bad = [r.score for r in out if r.doc_id % 2000 == 7]
+    good = sorted(r.score for r in out if r.doc_id % 2000 != 7)
+    assert len(bad) == 10 and min(bad) > good[-20] and good[-1000] < 0.01
+
+
+def plain_features(text):
+    """Buckets of a short text, gram by gram."""
+    import numpy as np
+    from basketlab.llm.common import NOT_SPACE, mix, random_words, word_bounds, word_hashes
+    data, salt, out = np.frombuffer((text or "").encode(), np.uint8), random_words(5, 4), []
+    words = word_hashes(data, *word_bounds(data, NOT_SPACE))
+    out += [int(w ^ salt[0]) for w in words]
+    out += [int(mix(np.array([a * salt[1] + b]))[0]) for a, b in zip(words, words[1:])]
+    for n in (3, 4):
+        for at in range(len(data) - n + 1):
+            gram = np.uint64(sum(int(data[at + j]) << (8 * j) for j in range(n)))
+            out.append(int(mix(np.array([gram * salt[2] + np.uint64(n)]))[0]))
+    return [x % op2_quality.BUCKETS for x in out]
+
+
+def test_scores_equal_a_plain_forward_pass(spark):
+    """The fitted model's scores over a whole table, and the pipeline stage's decisions."""
+    import math
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    weights, bias = op2_quality.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    want = {}
+    for k, t in texts(spark, SMALL):
+        ids = plain_features(t)
+        z = bias + (sum(float(weights[i]) for i in ids) / len(ids) if ids else 0.0)
+        want[k] = 1 / (1 + math.exp(-z))
+    got = {r.doc_id: r.score for r in llm.queries()["op2_quality"](spark, SMALL).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in got)
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["quality_classifier"](spark, docs, SMALL).collect()}
+    assert kept == {k for k, p in got.items() if p >= 0.3} and 0 < len(kept) < len(got)
+
+
+def test_languages_equal_a_plain_forward_pass(spark):
+    import math
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    m = op10_langid.fit(docs)
+    got = {r.doc_id: r for r in op10_langid.predict(docs, m).collect()}
+    for k, t in texts(spark, SMALL):
+        if not op10_langid.has_letter(t):
+            assert (got[k].lang_pred, got[k].score) == ("und", 0.0)
+            continue
+        ids, n = op10_langid.gram_counts(t)
+        x = [(1 + math.log(c)) * float(m["idf"][i]) for i, c in zip(ids, n)]
+        norm = math.sqrt(sum(v * v for v in x))
+        z = [(sum(v / norm * float(m["weights"][i][c]) for v, i in zip(x, ids)) + float(m["weights"][-1][c]))
+             / m["temperature"] for c in range(len(m["langs"]))]
+        p = [math.exp(v - max(z)) for v in z]
+        best = max(range(len(z)), key=lambda c: z[c])
+        assert got[k].lang_pred == m["langs"][best] and abs(got[k].score - p[best] / sum(p)) < 1e-9
+
+
 def test_quality_on_held_out_rows(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{MIDDLE}/labels.parquet").collect()}
     rows = llm.queries()["op2_quality"](spark, MIDDLE).collect()
