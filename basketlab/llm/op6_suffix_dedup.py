@@ -2,24 +2,27 @@
 
 Byte strings of ``depth`` bytes that also start in a document with a smaller id are
 removed wherever they stand. The suffixes' first ``depth`` bytes are sorted by
-most-significant-digit passes; a suffix whose group has shrunk to one document leaves
-the sort, and groups still equal at full depth are exactly the repeated windows.
-
-Windows are handled in runs. Each window of ``depth`` bytes contains one anchor, its
-least-hashed 16-byte string (leftmost of equals), which depends on the window's bytes
-alone; equal windows therefore have equal anchors, and neighbouring windows mostly share
-theirs. The passes are:
-
-1. the whole run (all bytes that the windows of one anchor cover): of equal runs the smallest
-   id stays in the sort, and the others are covered by it as a whole;
-2. the anchor's 16 bytes with the 17 to its right, or to its left: runs that share neither
-   with another document end here, as equal windows share one of the two;
-3. the windows of the runs left, by two digits of half a window each.
-
-What removes bytes is compared as two hashes: a run by its anchor (40 bits and the bucket)
-and all its bytes (64 bits), a window by its two halves (64 bits each). Records are packed by numpy per task and bucket and combined before they move:
-of equal records of a task only the smallest id travels. Results of each step go to the
-shared folder; nothing unbounded passes the driver.
+most-significant-digit passes over their own bytes, eight a digit: each pass orders the
+groups of the one before by the next digit, and a group that has shrunk to one document
+leaves the sort. Groups left after the last digit are equal byte by byte, exactly the
+repeated windows; all but those of its smallest id are removed.
+
+Two filters in front keep most suffixes out of the sort. Windows are handled in runs: each
+window of ``depth`` bytes contains one anchor, its least-hashed 16-byte string (leftmost of
+equals), which depends on the window's bytes alone; equal windows therefore have equal
+anchors, and neighbouring windows mostly share theirs.
+
+1. Of equal runs (all bytes that the windows of one anchor cover) the smallest id stays, and
+   the others are covered by it as a whole.
+2. Runs that share neither the anchor's 16 bytes with the 17 to its right, nor those with
+   the 17 to its left, with another document end here, as equal windows share one of the two.
+
+The runs left are dealt by anchor with their bytes (a stretch of about 66 bytes for 17
+windows), and each bucket's windows are sorted as above. In the first filter equal runs are
+told by the anchor (40 bits and the bucket) and a hash of all bytes (64 bits); the sort
+compares bytes. Run records are packed by numpy per task and bucket and combined before they
+move: of equal records of a task only the smallest id travels. Results of each step go to
+the shared folder; nothing unbounded passes the driver.
 
 Odd cases: null text is empty; a text shorter than ``depth`` loses nothing; rows with the
 same id never remove from each other; a null id counts as larger than any id; rows that
@@ -49,7 +52,8 @@ RUN = [("anchor", "<u8"), ("run", "<u8"), ("right", "<u2"), ("left", "<u2"), ("d
 # Of a window's bytes beside its anchor, half stand on one side at least: so equal windows
 # share the anchor and SIDE bytes to its right, or to its left.
 SIDE = (DEPTH - ANCHOR) // 2
-WINDOW = [("anchor", "<u8"), ("run", "<u8"), ("doc", "<u4"), ("lo", "<u4")]
+# Where the digits of a window start: eight bytes each, the last one overlapping.
+DIGITS = [*range(0, DEPTH - 7, 8), *([DEPTH - 8] if DEPTH % 8 else [])]
 OWNER = np.dtype([("id", "<i8"), ("hash", "<i4")])
 
 
@@ -128,24 +132,6 @@ def text_runs(data: np.ndarray, powers: Powers) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, RUN)
 
 
-def window_records(data: np.ndarray, runs: np.ndarray, powers: Powers) -> np.ndarray:
-    """All windows of the runs (lo, hi inclusive) as WINDOW records."""
-    out = []
-    for at in range(0, len(data) - DEPTH + 1, STRETCH):
-        mine = runs[(runs["lo"] >= at) & (runs["lo"] < at + STRETCH)]
-        if len(mine):
-            sums = sums_of(data[at:at + STRETCH + DEPTH - 1], powers)
-            count = (mine["hi"] - mine["lo"] + 1).astype(np.int64)
-            p = (np.repeat(mine["lo"] - at - (np.cumsum(count) - count), count)
-                 + np.arange(count.sum())).astype(np.int64)
-            rec = np.zeros(len(p), WINDOW)
-            rec["anchor"] = hash_of(sums, p, p + DEPTH // 2, powers)
-            rec["run"] = hash_of(sums, p + DEPTH // 2, p + DEPTH, powers)
-            rec["lo"] = p + at
-            out.append(rec)
-    return np.concatenate(out) if out else np.empty(0, WINDOW)
-
-
 def smallest_first(rec: np.ndarray, ids: np.ndarray):
     """Order by (anchor, run, id); group starts, and each record's smallest id in its group."""
     order = np.lexsort((ids, rec["run"], rec["anchor"]))
@@ -168,8 +154,9 @@ def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 SPANS = "id long, hash int, kind int, spans binary"
 
 
-def span_rows(kind: int, ids, hashes, a, b):
-    """Per document one SPANS row with its [a, b) pairs."""
+def span_rows(kind: int, ids, hashes, a, b, bucket: int = 0):
+    """Per document one SPANS row: its [a, b) pairs of kind 0, merged; of kind 1 its runs'
+    first and last windows, and the bucket."""
     order = np.lexsort((a, hashes, ids))
     ids, hashes, a, b = ids[order], hashes[order], a[order], b[order]
     edge = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1]))) \
@@ -178,7 +165,8 @@ def span_rows(kind: int, ids, hashes, a, b):
         x, y = a[i:j], b[i:j]
         if kind == 0:
             x, y = merged(x, y)
-        yield int(ids[i]), int(hashes[i]), kind, np.concatenate((x, y)).astype("<u4").tobytes()
+        parts = (x, y) if kind == 0 else (x, y, np.full(len(x), bucket))
+        yield int(ids[i]), int(hashes[i]), kind, np.concatenate(parts).astype("<u4").tobytes()
 
 
 def span_batch(rows):
@@ -188,20 +176,20 @@ def span_batch(rows):
             "kind": pa.array(cols[2], pa.int32()), "spans": pa.array(cols[3], pa.binary())}
 
 
-def unpacked(blobs) -> tuple[np.ndarray, np.ndarray]:
-    parts = [np.frombuffer(x, "<u4").reshape(2, -1) for x in blobs]
-    both = np.concatenate(parts, axis=1) if parts else np.empty((2, 0), np.uint32)
-    return both[0].astype(np.int64), both[1].astype(np.int64)
+def unpacked(blobs, columns: int = 2) -> tuple[np.ndarray, ...]:
+    parts = [np.frombuffer(x, "<u4").reshape(columns, -1) for x in blobs]
+    both = np.concatenate(parts, axis=1) if parts else np.empty((columns, 0), np.uint32)
+    return tuple(x.astype(np.int64) for x in both)
 
 
 PACKED = "bucket int, n int, records binary, owners binary"
 
 
 class Packer:
-    """Collects records of many documents, combines equal ones and packs them by bucket."""
+    """Collects run records of many documents, combines equal ones and packs them by bucket."""
 
-    def __init__(self, dtype, buckets: int, flush: int):
-        self.dtype, self.buckets, self.flush = np.dtype(dtype), buckets, flush
+    def __init__(self, buckets: int, flush: int):
+        self.buckets, self.flush = buckets, flush
         self.held, self.owners, self.size = [], [], 0
 
     def add(self, key, hashed, rec) -> bool:
@@ -213,7 +201,6 @@ class Packer:
         return self.size >= self.flush
 
     def rows(self):
-        import pyarrow as pa
         import zstandard
         out = {"bucket": [], "n": [], "records": [], "owners": []}
         if self.held:
@@ -222,9 +209,8 @@ class Packer:
             over = ids > least  # covered by another document of this task
             gone = rec[over]
             who = own[gone["doc"]]
-            wide = gone["hi"] if "hi" in self.dtype.names else gone["lo"]
             for i, row in enumerate(span_rows(0, who["id"], who["hash"], gone["lo"].astype(np.int64),
-                                              wide.astype(np.int64) + DEPTH)):
+                                              gone["hi"].astype(np.int64) + DEPTH)):
                 # covered stretches travel along, to any bucket
                 out["bucket"].append(i % self.buckets)
                 out["n"].append(-1)
@@ -240,46 +226,102 @@ class Packer:
                 mine = rec[i:j]
                 who, local = np.unique(mine["doc"], return_inverse=True)
                 # field by field and byte by byte: places and documents shrink to little
-                runs = "hi" in rec.dtype.names
-                head = mine["anchor"].copy().view(np.uint8).reshape(-1, 8)[:, :5 if runs else 8]
-                planes = [head.tobytes(), mine["run"].tobytes()]
-                if runs:
-                    planes += [mine["right"].tobytes(), mine["left"].tobytes()]
-                for x in (local, mine["lo"], *([mine["hi"] - mine["lo"]] if runs else [])):
-                    flat = x.astype("<u4").view(np.uint8).reshape(-1, 4).T
-                    planes.append(press.compress(flat.tobytes()))
+                head = mine["anchor"].copy().view(np.uint8).reshape(-1, 8)[:, :5]
+                planes = [head.tobytes(), mine["run"].tobytes(), mine["right"].tobytes(), mine["left"].tobytes()]
+                planes += [press.compress(plane(x)) for x in (local, mine["lo"], mine["hi"] - mine["lo"])]
                 out["bucket"].append(int(bucket[i]))
                 out["n"].append(len(mine))
-                out["records"].append(b"".join(len(x).to_bytes(4, "little") + x for x in planes))
+                out["records"].append(joined(planes))
                 out["owners"].append(own[who].tobytes())
         self.held, self.owners, self.size = [], [], 0
-        return pa.RecordBatch.from_pydict(out, pa.schema([
-            ("bucket", pa.int32()), ("n", pa.int32()), ("records", pa.binary()), ("owners", pa.binary())]))
+        return packed_batch(out)
 
 
-def unpack(records: bytes, owners: bytes, n: int, dtype) -> tuple[np.ndarray, np.ndarray]:
-    import zstandard
-    rec, own = np.empty(n, dtype), np.frombuffer(owners, OWNER)
+def packed_batch(out: dict):
+    import pyarrow as pa
+    return pa.RecordBatch.from_pydict(out, pa.schema([
+        ("bucket", pa.int32()), ("n", pa.int32()), ("records", pa.binary()), ("owners", pa.binary())]))
+
+
+def plane(x: np.ndarray) -> bytes:
+    """32-bit numbers, byte by byte."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_plane(blob: bytes, n: int) -> np.ndarray:
+    flat = np.frombuffer(blob, np.uint8).reshape(4, n)
+    return np.ascontiguousarray(flat.T).view("<u4")[:, 0]
+
+
+def joined(parts: list[bytes]) -> bytes:
+    return b"".join(len(x).to_bytes(4, "little") + x for x in parts)
+
+
+def parted(blob: bytes) -> list[bytes]:
     parts, at = [], 0
-    while at < len(records):
-        size = int.from_bytes(records[at:at + 4], "little")
-        parts.append(records[at + 4:at + 4 + size])
+    while at < len(blob):
+        size = int.from_bytes(blob[at:at + 4], "little")
+        parts.append(blob[at + 4:at + 4 + size])
         at += 4 + size
+    return parts
+
+
+def unpack(records: bytes, owners: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+    rec, own, parts = np.empty(n, RUN), np.frombuffer(owners, OWNER), parted(records)
     head = np.zeros((n, 8), np.uint8)
-    head[:, :len(parts[0]) // n] = np.frombuffer(parts[0], np.uint8).reshape(n, -1)
+    head[:, :5] = np.frombuffer(parts[0], np.uint8).reshape(n, -1)
     rec["anchor"], rec["run"] = head.view("<u8")[:, 0], np.frombuffer(parts[1], "<u8")
-    runs = "hi" in rec.dtype.names
-    if runs:
-        rec["right"], rec["left"] = np.frombuffer(parts[2], "<u2"), np.frombuffer(parts[3], "<u2")
+    rec["right"], rec["left"] = np.frombuffer(parts[2], "<u2"), np.frombuffer(parts[3], "<u2")
     press = zstandard.ZstdDecompressor()
-    for name, part in zip(("doc", "lo", "hi"), parts[4 if runs else 2:]):
-        flat = np.frombuffer(press.decompress(part), np.uint8).reshape(4, n)
-        rec[name] = np.ascontiguousarray(flat.T).view("<u4")[:, 0]
-    if runs:
-        rec["hi"] += rec["lo"]
+    for name, part in zip(("doc", "lo", "hi"), parts[4:]):
+        rec[name] = from_plane(press.decompress(part), n)
+    rec["hi"] += rec["lo"]
     return rec, own
 
 
+class Stretches:
+    """Collects the bytes of runs that stay in the sort, and packs them by bucket."""
+
+    def __init__(self, flush: int):
+        self.flush = flush
+        self.runs, self.bytes, self.owners, self.size = [], [], [], 0
+
+    def add(self, key, hashed, data, lo, hi, bucket) -> bool:
+        size = hi - lo + DEPTH
+        for at in range(0, len(lo), 4096):
+            n = size[at:at + 4096]
+            first = np.cumsum(n) - n
+            self.bytes.append(data[np.arange(n.sum()) + np.repeat(lo[at:at + 4096] - first, n)])
+        self.runs.append(np.stack([bucket, np.full(len(lo), len(self.owners)), lo, size]))
+        self.owners.append((key, hashed))
+        self.size += int(size.sum())
+        return self.size >= self.flush
+
+    def rows(self):
+        import zstandard
+        out = {"bucket": [], "n": [], "records": [], "owners": []}
+        if self.runs:
+            bucket, doc, lo, size = np.concatenate(self.runs, axis=1)
+            text, own = np.concatenate(self.bytes), np.array(self.owners, OWNER)
+            start = np.cumsum(size) - size
+            order = np.argsort(bucket, kind="stable")
+            edges = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
+            press = zstandard.ZstdCompressor(level=1)
+            for i, j in zip(edges, edges[1:]):
+                mine = order[i:j]
+                who, local = np.unique(doc[mine], return_inverse=True)
+                n = size[mine]
+                mine_text = text[np.arange(n.sum()) + np.repeat(start[mine] - (np.cumsum(n) - n), n)]
+                planes = [press.compress(x) for x in (plane(local), plane(lo[mine]), plane(n), mine_text.tobytes())]
+                out["bucket"].append(int(bucket[mine[0]]))
+                out["n"].append(len(mine))
+                out["records"].append(joined(planes))
+                out["owners"].append(own[who].tobytes())
+        self.runs, self.bytes, self.owners, self.size = [], [], [], 0
+        return packed_batch(out)
+
+
 def shared(rec: np.ndarray, ids: np.ndarray, side: str) -> np.ndarray:
     """Which records have another document's record with the same anchor and side."""
     out = np.zeros(len(rec), bool)
@@ -293,9 +335,9 @@ def shared(rec: np.ndarray, ids: np.ndarray, side: str) -> np.ndarray:
     return out
 
 
-def digit_pass(packed: DataFrame, dtype, last: bool) -> DataFrame:
-    """Sort each bucket: SPANS rows of kind 0 (covered) and, before the last pass, of
-    kind 1 (runs that stay in the sort)."""
+def equal_runs(packed: DataFrame) -> DataFrame:
+    """The filters in front, by bucket: SPANS rows of kind 0 (covered) and of kind 1 (runs
+    whose windows are sorted)."""
     def run(key, table):
         import pyarrow as pa
         rows, recs, ids, hashes = [], [], [], []
@@ -304,7 +346,7 @@ def digit_pass(packed: DataFrame, dtype, last: bool) -> DataFrame:
                 own = np.frombuffer(o, OWNER)[0]
                 rows.append((int(own["id"]), int(own["hash"]), 0, r))
                 continue
-            rec, own = unpack(r, o, n, dtype)
+            rec, own = unpack(r, o, n)
             recs.append(rec)
             ids.append(own["id"][rec["doc"]])
             hashes.append(own["hash"][rec["doc"]])
@@ -314,22 +356,73 @@ def digit_pass(packed: DataFrame, dtype, last: bool) -> DataFrame:
             rec, ids, least = smallest_first(rec, ids)
             hashes = hashes[rec["doc"]]
             over = ids > least
-            end = (rec["lo"] if last else rec["hi"]).astype(np.int64) + DEPTH
-            rows += span_rows(0, ids[over], hashes[over], rec["lo"][over].astype(np.int64), end[over])
-            if not last:
-                rec, ids, hashes = rec[~over], ids[~over], hashes[~over]
-                stay = shared(rec, ids, "right") | shared(rec, ids, "left")
-                rows += span_rows(1, ids[stay], hashes[stay], rec["lo"][stay].astype(np.int64),
-                                  rec["hi"][stay].astype(np.int64))
+            lo, hi = rec["lo"].astype(np.int64), rec["hi"].astype(np.int64)
+            rows += span_rows(0, ids[over], hashes[over], lo[over], hi[over] + DEPTH)
+            rec, ids, hashes, lo, hi = rec[~over], ids[~over], hashes[~over], lo[~over], hi[~over]
+            stay = shared(rec, ids, "right") | shared(rec, ids, "left")
+            rows += span_rows(1, ids[stay], hashes[stay], lo[stay], hi[stay], key[0].as_py())
         return pa.table(span_batch(rows))
 
     return packed.groupBy("bucket").applyInArrow(run, SPANS)
 
 
+def radix_sort(text: np.ndarray, place: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of each suffix (its place in the text, its document's id): whether its first DEPTH
+    bytes are those of a suffix with a smaller id. Passes over the digits, most significant
+    first, each on the groups that still hold two documents."""
+    over = np.zeros(len(place), bool)
+    if not len(place):
+        return over
+    words = np.ndarray((len(text) - 7,), "<u8", np.ascontiguousarray(text), 0, (1,))
+    live, group = np.arange(len(place)), np.zeros(len(place), np.int64)
+    for at in DIGITS:
+        digit = words[place[live] + at]
+        order = np.lexsort((digit, group)) if at else np.argsort(digit, kind="stable")
+        live, digit, group = live[order], digit[order], group[order]
+        new = np.ones(len(live), bool)
+        new[1:] = (digit[1:] != digit[:-1]) | (group[1:] != group[:-1])
+        start, group = np.flatnonzero(new), np.cumsum(new) - 1
+        mine = ids[live]
+        least = np.minimum.reduceat(mine, start)
+        two = (least != np.maximum.reduceat(mine, start))[group]
+        live, group = live[two], group[two]
+        if not len(live):
+            return over
+    over[live] = ids[live] > least[group]
+    return over
+
+
+def sorted_windows(packed: DataFrame) -> DataFrame:
+    """The sort of each bucket's windows: SPANS rows of kind 0."""
+    def run(key, table):
+        import pyarrow as pa
+        import zstandard
+        press, texts, cols = zstandard.ZstdDecompressor(), [], []
+        for n, r, o in zip(*(table.column(c).to_pylist() for c in ("n", "records", "owners"))):
+            parts = [press.decompress(x) for x in parted(r)]
+            doc, lo, size = (from_plane(x, n).astype(np.int64) for x in parts[:3])
+            own = np.frombuffer(o, OWNER)[doc]
+            texts.append(np.frombuffer(parts[3], np.uint8))
+            cols.append((own["id"], own["hash"], lo, size))
+        if not texts:
+            return pa.table(span_batch([]))
+        text = np.concatenate(texts)
+        ids, hashes, lo, size = (np.concatenate(c) for c in zip(*cols))
+        count = size - DEPTH + 1  # a run's windows, one place after the other
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        over = np.flatnonzero(radix_sort(text, np.repeat(np.cumsum(size) - size, count) + step,
+                                         np.repeat(ids, count)))
+        of = np.repeat(np.arange(len(lo)), count)[over]
+        at = lo[of] + step[over]
+        return pa.table(span_batch(list(span_rows(0, ids[of], hashes[of], at, at + DEPTH))))
+
+    return packed.groupBy("bucket").applyInArrow(run, SPANS)
+
+
 def removed_spans(docs: DataFrame, buckets: int, flush: int = 1_000_000) -> DataFrame:
     """(id, hash, spans): covered stretches of every document, in several pieces."""
     def pack_runs(batches):
-        powers, packer = Powers(), Packer(RUN, buckets, flush)
+        powers, packer = Powers(), Packer(buckets, flush)
         for batch in batches:
             for key, hashed, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                                          text_slices(batch.column(2))):
@@ -337,24 +430,21 @@ def removed_spans(docs: DataFrame, buckets: int, flush: int = 1_000_000) -> Data
                     yield packer.rows()
         yield packer.rows()
 
-    def pack_windows(batches):
-        powers, packer = Powers(), Packer(WINDOW, buckets, flush)
+    def pack_stretches(batches):
+        packer = Stretches(8 * flush)
         for batch in batches:
             for key, hashed, data, spans in zip(
                     batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                     text_slices(batch.column(2)), batch.column(3).to_pylist()):
-                runs = np.zeros(sum(len(x) for x in spans) // 8, [("lo", np.int64), ("hi", np.int64)])
-                runs["lo"], runs["hi"] = unpacked(spans)
-                runs.sort(order="lo")
-                if packer.add(key, hashed, window_records(data, runs, powers)):
+                if packer.add(key, hashed, data, *unpacked(spans, 3)):
                     yield packer.rows()
         yield packer.rows()
 
-    found = staged(digit_pass(docs.mapInArrow(pack_runs, PACKED), RUN, False), "runs")
+    found = staged(equal_runs(docs.mapInArrow(pack_runs, PACKED)), "runs")
     stay = found.where("kind = 1").groupBy("id", "hash").agg(F.collect_list("spans").alias("spans"))
     again = (docs.withColumn("id", F.coalesce("id", F.lit(NO_ID))).join(stay, ["id", "hash"])
              .select("id", "hash", "text", "spans"))
-    more = staged(digit_pass(again.mapInArrow(pack_windows, PACKED), WINDOW, True), "windows")
+    more = staged(sorted_windows(again.mapInArrow(pack_stretches, PACKED)), "windows")
     return found.where("kind = 0").unionByName(more).select("id", "hash", "spans")
 
 

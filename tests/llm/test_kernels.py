@@ -54,13 +54,49 @@ def test_equal_windows_have_equal_anchors():
     assert key[0] == key[1]
 
 
-def test_window_records_are_hashes_of_the_bytes():
-    text = data("abcdefghij" * 12)  # period 10
-    runs = np.array([(0, len(text) - op6.DEPTH)], [("lo", np.int64), ("hi", np.int64)])
-    rec = op6.window_records(text, runs, op6.Powers())
-    for i in range(len(rec) - 10):
-        assert rec["anchor"][i] == rec["anchor"][i + 10] and rec["run"][i] == rec["run"][i + 10]
-    assert len(set(rec["anchor"].tolist())) == 10
+@pytest.mark.parametrize("differ_at", [0, 7, 8, 31, 41, 42, 47, 48, 49])
+def test_digits_cover_every_byte(differ_at):
+    """Two suffixes are equal to depth only if all 50 bytes are."""
+    text = np.concatenate([data("k" * 60), data("k" * 60)])
+    place, ids = np.array([0, 60]), np.array([4, 9])
+    assert op6.radix_sort(text, place, ids).tolist() == [False, True]
+    text[60 + differ_at] = ord("j")
+    assert not op6.radix_sort(text, place, ids).any()
+
+
+def test_radix_sort_equals_comparing_all_suffixes():
+    rng = np.random.default_rng(6)
+    parts = [rng.integers(97, 99, 12) for _ in range(4)]
+    text = np.concatenate([parts[i] for i in rng.integers(0, 4, 120)]).astype(np.uint8)
+    place = np.arange(len(text) - op6.DEPTH + 1)
+    ids = rng.integers(0, 40, len(place))
+    first = {}
+    for p, i in zip(place, ids):
+        w = text[p:p + op6.DEPTH].tobytes()
+        first[w] = min(first.get(w, i), i)
+    want = [bool(first[text[p:p + op6.DEPTH].tobytes()] < i) for p, i in zip(place, ids)]
+    assert op6.radix_sort(text, place, ids).tolist() == want and any(want) and not all(want)
+
+
+def test_stretches_are_unpacked_as_they_were():
+    import zstandard
+    rng, held, want = random.Random(3), op6.Stretches(1 << 30), {}
+    for doc in range(5):
+        text = data("".join(rng.choice("abc") for _ in range(400)))
+        lo = np.array(sorted(rng.sample(range(300), 6)))
+        hi, bucket = lo + np.array([rng.randint(0, 30) for _ in lo]), np.array([rng.randint(0, 2) for _ in lo])
+        held.add(doc, doc * 7, text, lo, hi, bucket)
+        for x, y, b in zip(lo, hi, bucket):
+            want.setdefault(int(b), []).append((doc, doc * 7, int(x), text[x:y + op6.DEPTH].tobytes()))
+    got = {}
+    for r in held.rows().to_pylist():
+        parts = [zstandard.ZstdDecompressor().decompress(x) for x in op6.parted(r["records"])]
+        doc, lo, size = (op6.from_plane(x, r["n"]) for x in parts[:3])
+        own, at = np.frombuffer(r["owners"], op6.OWNER), 0
+        for d, x, n in zip(doc, lo, size):
+            got.setdefault(r["bucket"], []).append((int(own["id"][d]), int(own["hash"][d]), int(x), parts[3][at:at + n]))
+            at += int(n)
+    assert {b: sorted(v) for b, v in got.items()} == {b: sorted(v) for b, v in want.items()}
 
 
 def test_merged_spans():
