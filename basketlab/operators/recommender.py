@@ -189,10 +189,6 @@ def bestsellers(pstats: DataFrame, n: int = BESTSELLERS_N) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
-# Scores are summed in whole numbers of 2^-40 (about 10^-12).
-SCORE_BITS = 40
-
-
 # C10 / C11 ------------------------------------------------------------------
 def _neighbor_side(neighbors: DataFrame) -> DataFrame:
     return neighbors.select(F.col("item").alias("product_id"),
@@ -205,13 +201,18 @@ def score_candidates(ui: DataFrame, neighbors: DataFrame, nb_side: DataFrame | N
     neighbour list holds j; items the user already engaged with are excluded.
     Fan-out is at most k rows per (user, item); the sum is a hash aggregate with
     map-side combine, keyed by (user, candidate) so a hot user spreads over
-    candidates. Parts are whole numbers of 2^-SCORE_BITS, so the order of rows can't swap
-    close candidates; a sum has room for a user's total weight of 2^(63 - SCORE_BITS), and
-    an overflow is an error, never a wrong score."""
+    candidates. Parts are summed as two whole numbers, billionths and billionths of
+    these, so the order of rows can't swap close candidates, and the score is exact to 18
+    places (decimal). The sums have room for a total weight and a number of parts of nine
+    billion each; an overflow is an error, never a wrong score."""
     nb = nb_side if nb_side is not None else _neighbor_side(neighbors)
-    part = F.floor(F.col("w") * F.col("sim") * F.lit(float(1 << SCORE_BITS)))
-    scored = ui.join(nb, "product_id").groupBy("user_id", "rec_id").agg(F.sum(part).alias("score"))
-    scored = scored.withColumn("score", F.col("score") / F.lit(float(1 << SCORE_BITS)))
+    part = F.col("w") * F.col("sim") * F.lit(1e9)
+    scored = ui.join(nb, "product_id").groupBy("user_id", "rec_id").agg(
+        F.sum(F.floor(part)).alias("high"),
+        F.sum(F.floor((part - F.floor(part)) * F.lit(1e9) + F.lit(0.5))).alias("low"))
+    scored = scored.select("user_id", "rec_id", F.expr(
+        "CAST(CAST(high + low DIV 1000000000L AS DECIMAL(19,0)) * 0.000000001BD AS DECIMAL(37,18))"
+        " + CAST(low % 1000000000L AS DECIMAL(9,0)) * 0.000000000000000001BD").alias("score"))
     seen = ui.select("user_id", F.col("product_id").alias("rec_id"))
     return (scored.join(seen, ["user_id", "rec_id"], "left_anti")
             .where(F.col("score") > 0))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from basketlab.operators.joins import materialize
 from basketlab.operators.kmeans import CentersModel, batched_kmeans
+from basketlab.sources.artifacts import ArtifactStore
 
 # The twelve segmentation inputs, in order.
 FEATURES = ["n_views", "n_clicks", "n_cart_adds", "n_wishlist_adds", "n_purchases",
@@ -185,6 +186,30 @@ def k_sweep(scaled: DataFrame, ks=K_RANGE, restarts: int = 10, seed: int = 42,
     return sweep, models
 
 
+# Part of a sweep's address; to be raised when fitting gives other centers.
+VERSION = 1
+
+
+def trained_sweep(scaled: DataFrame, files, store: ArtifactStore | None = None, ks=K_RANGE,
+                  restarts: int = 10, seed: int = 42):
+    """The sweep of these inputs and its models, from the artifact store or fitted now
+    (A5). ``files`` names the input that the features follow from."""
+    spark = scaled.sparkSession
+    store = store or ArtifactStore(spark)
+    address = store.digest(version=VERSION, files=files, features=FEATURES, ks=list(ks),
+                           restarts=restarts, seed=seed, sample=SILHOUETTE_SAMPLE)
+
+    def fit(path: str) -> None:
+        sweep, models = k_sweep(scaled, ks, restarts, seed)
+        sweep.coalesce(1).write.mode("overwrite").parquet(f"{path}/sweep")
+        for k, model in models.items():
+            model.save(spark, f"{path}/centers-{k}")
+
+    path = store.get("segments", address, fit)
+    return (spark.read.parquet(f"{path}/sweep"),
+            {k: CentersModel.load(spark, f"{path}/centers-{k}") for k in ks})
+
+
 def choose_k(sweep: DataFrame, min_k: int = 3) -> DataFrame:
     """Best silhouette among k >= min_k; the global best is reported alongside and
     flagged rejected when it is below min_k."""

@@ -40,7 +40,8 @@ RECO_CTES = {
          row_number() OVER (ORDER BY n_purchases DESC, n_view DESC, product_id) AS rank
   FROM product_stats ORDER BY n_purchases DESC, n_view DESC, product_id LIMIT 50""",
     "scored": """
-  SELECT ui.user_id, n.neighbor AS rec_id, CAST(sum(CAST(floor(ui.w * n.sim * 1099511627776.0::DOUBLE) AS BIGINT)) AS DOUBLE) / 1099511627776.0::DOUBLE AS score,
+  SELECT ui.user_id, n.neighbor AS rec_id, sum(CAST(floor(ui.w * n.sim * 1e9) AS HUGEINT) * 1000000000
+             + CAST(floor((ui.w * n.sim * 1e9 - floor(ui.w * n.sim * 1e9)) * 1e9 + 0.5) AS HUGEINT)) AS score,
          first(ui.product_id ORDER BY ui.w * n.sim DESC, ui.product_id) AS seed_id
   FROM ui JOIN nbrs n ON n.item = ui.product_id GROUP BY 1, 2""",
     "cand": """
@@ -68,7 +69,7 @@ def reco_sql(n: int, users_sql: str) -> dict[str, str]:
   SELECT r.user_id, r.rank, r.product_id, r.score, r.cold_start, r.strategy, r.reason,
          r.seed_id, p.product_name, p.category, p.brand, p.price
   FROM (SELECT cf.user_id, cf.rank, cf.rec_id AS product_id,
-               round(CAST(cf.score AS DOUBLE), 9) AS score,
+               round(CAST(cf.score AS DOUBLE) / 1e18, 9) AS score,
                false AS cold_start, 'item_based_cf' AS strategy, {REASON_CF} AS reason,
                cf.seed_id
         FROM cf LEFT JOIN fx_products sp ON sp.product_id = cf.seed_id
@@ -98,7 +99,7 @@ ORACLE = {
     "item_similarity": q("SELECT * FROM sims"),
     "top_neighbors": q("SELECT item, neighbor, sim, rank FROM nbrs"),
     "bestsellers": q("SELECT * FROM best"),
-    "score_candidates": q("SELECT user_id, rec_id, round(CAST(score AS DOUBLE), 9) AS score FROM cand"),
+    "score_candidates": q("SELECT user_id, rec_id, round(CAST(score AS DOUBLE) / 1e18, 9) AS score FROM cand"),
     "recommendations": q("SELECT * FROM recs",
                          reco_sql(5, "SELECT user_id FROM fx_users")),
     "user_history": q("""

@@ -625,7 +625,7 @@ class SegmentationRun:
     def __init__(self, s: Shop):
         self.features = user_features_of(s)
         self.scaled = materialize(seg.standardize(self.features), "scaled")
-        self.sweep, self.models = seg.k_sweep(self.scaled)
+        self.sweep, self.models = seg.trained_sweep(self.scaled, s.files)
         self.choice = seg.choose_k(self.sweep).first()
         model = self.models[self.choice["k"]]
         self.assign = materialize(model.transform(self.scaled).select("user_id", "cluster"),

@@ -13,7 +13,8 @@ APPLICATION = """
 import sys
 sys.path.insert(0, {repo!r})
 from basketlab.operators import conversion as conv
-from basketlab.plans.registry import session_features_of
+from basketlab.operators import segmentation as seg
+from basketlab.plans.registry import session_features_of, user_features_of
 from basketlab.session import build_session
 from basketlab.sources.fixtures import Shop
 spark = build_session("local[2]", shuffle_partitions=4, extra={{
@@ -21,12 +22,14 @@ spark = build_session("local[2]", shuffle_partitions=4, extra={{
 if {forbidden}:
     def no(*a, **k):
         raise AssertionError("trained again")
-    conv.train_conversion = no
+    conv.train_conversion = seg.k_sweep = no
 s = Shop(spark, {sf_dir!r})
 run = conv.trained_run(session_features_of(s), s.files, conv.Parameters(trees=3, rounds=3))
 rows = sorted(tuple(r) for r in conv.metrics_table(run).collect())
 top = conv.with_probability(run.best_model, run.test).agg({{"p": "sum"}}).first()[0]
-print("RESULT", run.path.rpartition("-")[2], rows, round(top, 9))
+sweep, models = seg.trained_sweep(seg.standardize(user_features_of(s)), s.files, ks=[2, 3], restarts=2)
+found = [tuple(r) for r in sweep.orderBy("k").collect()], [models[k].centers.round(9).tolist() for k in (2, 3)]
+print("RESULT", run.path.rpartition("-")[2], rows, round(top, 9), found)
 """
 
 
