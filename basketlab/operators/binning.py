@@ -35,6 +35,11 @@ class FeatureSpace:
     def names(self) -> list[str]:
         return list(self.numeric) + [f"{c}_{v}" for c, values in self.categorical for v in values]
 
+    def without(self, left_out) -> FeatureSpace:
+        """The same space without some numeric features."""
+        kept = [i for i, c in enumerate(self.numeric) if c not in left_out]
+        return FeatureSpace([self.numeric[i] for i in kept], [self.cuts[i] for i in kept], self.categorical)
+
     @property
     def widths(self) -> np.ndarray:
         """Number of bins of each feature."""

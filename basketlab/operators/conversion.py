@@ -9,6 +9,7 @@ and a trained run is an artifact that other sessions load (``sources.artifacts``
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -452,13 +453,11 @@ class Parameters:
         self.rate, self.seed = rate, seed
 
 
-def save_model(model, path: str) -> None:
+def save_model(spark: SparkSession, model, path: str) -> None:
     if isinstance(model, PipelineModel):
         model.write().overwrite().save(path)
-    elif isinstance(model, ForestModel):
-        model.save(path)
     else:
-        model.save(SparkSession.getActiveSession(), path)
+        model.save(spark, path)
 
 
 def load_model(spark: SparkSession, name: str, path: str):
@@ -518,18 +517,22 @@ def train_conversion(features: DataFrame, path: str, progress: str, p: Parameter
     weights = (per_class.get(0.0, 1.0), per_class.get(1.0, 1.0))
     n_train = train.count()
     space = fit_space(train, NUMERIC, CATEGORICAL)
-    without = fit_space(train, [c for c in NUMERIC if c not in CART_FEATURES], CATEGORICAL)
+    without = space.without(CART_FEATURES)
     fits = {
         BASELINE: lambda: conversion_pipeline(NUMERIC, CATEGORICAL, baseline(n_train)).fit(train),
         FOREST: lambda: fit_forest(train, space, weights, trees=p.trees, min_leaf=p.min_leaf, seed=p.seed),
         BOOSTED: lambda: fit_boosted(train, space, weights, Settings(p.rounds, p.leaves, p.rate), progress),
         ABLATION: lambda: fit_forest(train, without, weights, trees=p.trees, min_leaf=p.min_leaf, seed=p.seed),
     }
-    measured = {}
-    for name, fit in fits.items():
-        model = fit()
-        measured[name] = evaluate(model, test, name).first().asDict()
-        save_model(model, f"{path}/{MODEL_KEYS[name]}")
+
+    def one(name: str) -> dict:
+        model = fits[name]()
+        save_model(spark, model, f"{path}/{MODEL_KEYS[name]}")
+        return evaluate(model, test, name).first().asDict()
+
+    # their jobs are independent of each other and fill one another's gaps
+    with ThreadPoolExecutor(len(fits)) as pool:
+        measured = dict(zip(fits, pool.map(one, fits)))
     contenders = [measured[n] for n in (BASELINE, FOREST, BOOSTED)]
     facts = {"contenders": contenders, "ablation": measured[ABLATION],
              "best": max(contenders, key=lambda m: m["roc_auc"])["name"],

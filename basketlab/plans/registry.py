@@ -756,7 +756,7 @@ def _(s):
     score every session with the reloaded one."""
     r = conversion_run(s)
     base = sinks.scratch_table_dir(s.spark, "models")
-    conv.save_model(r.best_model, f"{base}/conversion")
+    conv.save_model(s.spark, r.best_model, f"{base}/conversion")
     sinks.write_metrics(conv.metrics_table(r), f"{base}/conversion_metrics")
     model = conv.load_model(s.spark, r.best_name, f"{base}/conversion")
     valid, _ = conv.validate_sessions(request_rows(s))
