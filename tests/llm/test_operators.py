@@ -60,6 +60,23 @@ def test_suffix_dedup_is_exact(spark, request, where):
     assert got == want and sum(r[3] for r in want) > 0
 
 
+def test_one_passage_in_all_documents(spark):
+    """Every document holds one anchor and most hold near-equal stretches: one bucket sorts
+    windows that differ in a single byte, at any of its places."""
+    import random
+    rng = random.Random(8)
+    passage = "the same passage stands in all of the documents, every one: "
+    rows = []
+    for i in range(150):
+        at = rng.randrange(len(passage))
+        changed = passage[:at] + chr(65 + i % 20) + passage[at + 1:] if i % 3 == 0 else passage
+        rows.append((i // 2 if i % 10 == 0 else i, f"{i * i} own {'x' * (i % 7)} {changed * (1 + i % 3)}tail {i % 5}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(((r.id, hashlib.sha256(r.kept).hexdigest(), r.n_bytes, r.n_removed, len(r.spans))
+                  for r in op6_suffix_dedup.suffix_dedup(docs).collect()), key=repr)
+    assert got == brute_suffix(rows) and sum(r[3] for r in got) > 5000
+
+
 def test_suffix_dedup_across_small_flushes(spark):
     docs = common.read_columns(spark, SMALL, "documents", "doc_id", "text").selectExpr(
         "doc_id as id", "hash(text) as hash", "text").repartition(5)
