@@ -61,11 +61,12 @@ class ArtifactStore:
         return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()[:32]
 
     def find(self, kind: str, digest: str) -> str | None:
-        """The artifact's folder, or None if it was never published."""
+        """The artifact's folder, or None if it was never published or its data is gone."""
         manifest = f"{self.root}/{kind}-{digest}.json"
         if not self._fs.exists(self._path(manifest)):
             return None
-        return f"{self.root}/data/{json.loads(self._read(manifest))['folder']}"
+        path = f"{self.root}/data/{json.loads(self._read(manifest))['folder']}"
+        return path if self._fs.exists(self._path(path)) else None
 
     def publish(self, kind: str, digest: str, write: Callable[[str], None]) -> str:
         """``write`` fills a new folder, which then becomes the artifact at once."""
