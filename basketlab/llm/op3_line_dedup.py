@@ -55,7 +55,9 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, depth: int, min_docs:
     string, blanks between them."""
     lines = docs.select(row_key(id_col, text_col).alias("at"),
                         F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "raw"))
-    blank = F.translate("raw", "\t\r", "  ")
+    # translate goes character by character, so only lines that need it pay for it
+    blank = F.when(F.col("raw").contains("\t") | F.col("raw").contains("\r"),
+                   F.translate("raw", "\t\r", "  ")).otherwise(F.col("raw"))
     masked = F.when(F.col("raw").rlike("[0-9]"),
                     F.regexp_replace(blank, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(blank)
     lines = lines.select("at", "line", masked.alias("words")).select(
