@@ -146,6 +146,14 @@ def test_both_ways_of_scoring_agree(spark, train, space, monkeypatch, tmp_path):
     assert max(model.feature_importance(), key=lambda x: x[1])[0] in ("a", "b")
 
 
+def test_dealt_rows_never_go_to_the_driver(spark, train, space, monkeypatch):
+    # a row is dealt once a tree: the input's size, small here, must not make it a broadcast
+    model = forest.fit_forest(train, space, (1.0, 1.0), trees=3)
+    monkeypatch.setattr(forest, "BROADCAST_BYTES", -1)
+    plan = model.with_probability(train)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+
+
 def test_large_nodes_that_nothing_splits_stay_leaves(spark):
     rows = [(f"k{i}", float(i % 2), 1.0 if i < 400 else 2.0) for i in range(800)]
     df = spark.createDataFrame(rows, "session_id string, label double, v double")
