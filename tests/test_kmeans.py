@@ -87,3 +87,34 @@ def test_model_round_trip(spark, cloud, tmp_path):
     got = {r.id: r.cluster for r in again.transform(points, features="x").collect()}
     want = ((x[:, None, :] - model.centers[None]) ** 2).sum(-1).argmin(1)
     assert all(got[i] == w for i, w in enumerate(want))
+
+
+def test_nearest_center_is_the_lower_number_on_ties():
+    d = np.array([[3.0, 1.0, 2.0, 0.0], [2.0, 1.0, 2.0, 5.0], [2.0, 0.5, 2.0, 0.0]])
+    at, near = kmeans.nearest(d)
+    assert at.tolist() == d.argmin(axis=0).tolist() == [1, 2, 0, 0] and near.tolist() == d.min(axis=0).tolist()
+
+
+def test_sums_of_one_pass_are_exact_over_several_chunks(cloud, monkeypatch):
+    points, x = cloud
+    sets = [kmeans.CenterSet(2, 0), kmeans.CenterSet(3, 0)]
+    sets[0].centers, sets[1].centers = x[[0, 200]], x[[0, 200, 400]]
+    monkeypatch.setattr(kmeans, "ROWS", 7)
+    found = kmeans.pass_sums(points.select("key", "x"), sets, 3)
+    for i, s in enumerate(sets):
+        d = ((x[:, None, :] - s.centers[None]) ** 2).sum(-1)
+        for r in found[i]:
+            mine = x[d.argmin(1) == r["c"]]
+            assert r["n"] == len(mine) and r["s"] == np.rint(mine * kmeans.FIXED).astype(np.int64).sum(0).tolist()
+        assert sum(r["n"] for r in found[i]) == len(x)
+
+
+def test_a_sweep_reads_its_points_with_all_cores(spark, monkeypatch):
+    from basketlab.operators import segmentation as seg
+    from pyspark.ml.functions import array_to_vector
+    df = spark.range(60).select(F.col("id").alias("user_id"), array_to_vector(F.array(
+        (F.col("id") % 7).cast("double"), (F.col("id") % 2).cast("double"))).alias("features")).coalesce(1)
+    files, real = [], seg.batched_kmeans
+    monkeypatch.setattr(seg, "batched_kmeans", lambda points, *a: files.append(len(points.inputFiles())) or real(points, *a))
+    seg.k_sweep(df, ks=[2, 3], restarts=2, sample_size=20)
+    assert files[0] >= spark.sparkContext.defaultParallelism
