@@ -91,8 +91,9 @@ def test_model_round_trip(spark, cloud, tmp_path):
 
 def test_nearest_center_is_the_lower_number_on_ties():
     d = np.array([[3.0, 1.0, 2.0, 0.0], [2.0, 1.0, 2.0, 5.0], [2.0, 0.5, 2.0, 0.0]])
-    at, near = kmeans.nearest(d)
-    assert at.tolist() == d.argmin(axis=0).tolist() == [1, 2, 0, 0] and near.tolist() == d.min(axis=0).tolist()
+    hot, near = kmeans.nearest(d)
+    assert hot.argmax(axis=0).tolist() == d.argmin(axis=0).tolist() == [1, 2, 0, 0]
+    assert hot.sum(axis=0).tolist() == [1, 1, 1, 1] and near.tolist() == d.min(axis=0).tolist()
 
 
 def test_sums_of_one_pass_are_exact_over_several_chunks(cloud, monkeypatch):
