@@ -61,3 +61,23 @@ def test_segmentation_invariants(spark, q):
     assert q["user_segments"](spark, SMALL).count() == users
     radar = q["segment_radar"](spark, SMALL).collect()
     assert all(0.0 <= v <= 1.0 for r in radar for v in r[2:])
+
+
+def test_split_is_exact_from_few_counts(spark, monkeypatch):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from basketlab.operators.conversion import split, split_cuts
+    df = spark.range(24_000).select(F.concat(F.lit("s"), F.col("id")).alias("session_id"),
+                                    (F.col("id") % 3 == 0).cast("double").alias("label"))
+    seen, collect = [], type(df).collect
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "collect", lambda self: seen.append(collect(self)) or seen[-1])
+        cuts = split_cuts(df)
+    assert max(map(len, seen)) <= 2 * 4096
+    test = {r.session_id for r in split(df, cuts=cuts).where("is_test").collect()}
+    for one in (True, False):
+        keys = [f"s{i}" for i in range(24_000) if (i % 3 == 0) == one]
+        keys.sort(key=lambda k: hashlib.md5(k.encode()).hexdigest())
+        assert test & set(keys) == set(keys[:len(keys) // 4])

@@ -24,6 +24,11 @@ def space(train):
     return binning.fit_space(train, ["a", "b", "c"], ["d"])
 
 
+def tree_table(spark, trees):
+    from basketlab.operators.joins import materialize
+    return materialize(spark.createDataFrame(trees, "tree int, slot int, nodes binary"), "trees")
+
+
 def python_rows(train, space):
     import pyspark.sql.functions as F
     rows = train.select(F.xxhash64("session_id").alias("key"), "label", "a", "b", "c", "d").collect()
@@ -154,6 +159,33 @@ def test_dealt_rows_never_go_to_the_driver(spark, train, space, monkeypatch):
     assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
 
 
+def test_trees_of_some_megabytes_never_go_to_the_driver(spark, monkeypatch):
+    # 60 trees of 9 MB in all; a tree's root is a leaf here, what follows it is never reached
+    from pyspark.sql import functions as F
+    values = np.random.default_rng(3).random(60)
+    nodes = np.zeros(10_000, forest.NODE)
+    nodes["feature"] = -1
+    trees = []
+    for t, v in enumerate(values):
+        nodes["value"][0] = v
+        trees.append((t, 0, bytearray(nodes.tobytes())))
+    subtrees = tree_table(spark, trees)
+    upper = {t: nodes[:1].copy() for t in range(60)}
+    model = forest.ForestModel(binning.FeatureSpace(["v"], [np.array([0.5])], []), subtrees, upper, np.ones(1))
+    rows = spark.range(300).select(F.col("id"), (F.col("id") % 2).alias("v"))
+
+    collect = type(rows).collect
+
+    def watched(self):
+        assert "nodes" not in self.columns, "trees were collected"
+        return collect(self)
+    with monkeypatch.context() as m:
+        m.setattr(type(rows), "collect", watched)
+        scored = [model.with_probability(rows.repartition(n)) for n in (2, 7)]
+    found = {r.p for df in scored for r in df.select("p").collect()}
+    assert len(found) == 1 and abs(found.pop() - values.mean()) < 1e-12
+
+
 def test_large_nodes_that_nothing_splits_stay_leaves(spark):
     rows = [(f"k{i}", float(i % 2), 1.0 if i < 400 else 2.0) for i in range(800)]
     df = spark.createDataFrame(rows, "session_id string, label double, v double")
