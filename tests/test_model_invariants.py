@@ -81,3 +81,14 @@ def test_split_is_exact_from_few_counts(spark, monkeypatch):
         keys = [f"s{i}" for i in range(24_000) if (i % 3 == 0) == one]
         keys.sort(key=lambda k: hashlib.md5(k.encode()).hexdigest())
         assert test & set(keys) == set(keys[:len(keys) // 4])
+
+
+def test_report_holds_its_scoring_once(spark):
+    from pyspark.sql import functions as F
+
+    from basketlab.operators.conversion import classification_report, confusion
+    rows = spark.range(40).select((F.col("id") % 2).alias("label"), (F.col("id") % 3 % 2).alias("pred"))
+    rep = classification_report(confusion(rows))
+    plan = rep._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in plan
+    assert {r["class"]: r.support for r in rep.collect()}["macro avg"] == 40
