@@ -319,3 +319,43 @@ def test_auc_and_roc_over_many_ranges(spark, kind):
         from basketlab.operators.conversion import running_totals
         sizes = [r["count"] for r in running_totals(df, 20).groupBy("r").count().collect()]
         assert len(sizes) > 15 and max(sizes) < 80
+
+
+def test_models_are_measured_together_as_one_by_one(spark):
+    from basketlab.operators.conversion import evaluate, running_totals
+    rng = np.random.default_rng(4)
+    rows = [(n, float(p), float(p >= 0.5), float(y)) for n, digits in [("a", 1), ("b", 3), ("one class", 2)]
+            for p, y in zip(rng.random(300).round(digits), rng.random(300) < (0.4 if len(n) == 1 else 0.0))]
+    df = spark.createDataFrame(rows, "name string, p double, pred double, label double")
+    found = {r["name"]: r for r in evaluate(df).collect()}
+    for name in ("a", "b", "one class"):
+        mine = df.where(df.name == name)
+        p, y = (np.array([r[i] for r in rows if r[0] == name]) for i in (1, 3))
+        pos, neg = p[y == 1], p[y == 0]
+        want = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg)) if len(pos) else 0.0
+        assert abs(found[name]["roc_auc"] - want) < 1e-12
+        assert found[name]["tp"] == ((p >= 0.5) & (y == 1)).sum() and found[name]["fp"] == ((p >= 0.5) & (y == 0)).sum()
+        # few scores a range: ranges may hold the end of one name and the start of the next
+        each = sorted(tuple(r) for r in running_totals(mine, 20).drop("r", "next").collect())
+        both = running_totals(df, 20, ["name"])
+        assert each == sorted(tuple(r) for r in both.where(both.name == name).drop("name", "r", "next").collect())
+
+
+def test_training_measures_all_models_by_one_set_of_jobs(spark, tmp_path, monkeypatch):
+    """One set a model filled the driver with plans and compiled code."""
+    from basketlab.operators import conversion as conv
+    rng = np.random.default_rng(5)
+    rows = [(str(i), *rng.integers(0, 9, len(conv.NUMERIC)).tolist(), *rng.choice(["x", "y"], len(conv.CATEGORICAL)).tolist(),
+             int(rng.random() < 0.4)) for i in range(240)]
+    features = spark.createDataFrame(rows, "session_id string, " + ", ".join(
+        [f"{c} long" for c in conv.NUMERIC] + [f"{c} string" for c in conv.CATEGORICAL]) + f", {conv.TARGET} long")
+    calls, real = [], conv.running_totals
+    monkeypatch.setattr(conv, "running_totals", lambda *a, **k: calls.append(1) or real(*a, **k))
+    conv.train_conversion(features, str(tmp_path / "run"), str(tmp_path / "progress"), conv.Parameters(trees=3, rounds=3))
+    assert len(calls) == 1
+    run = conv.ConversionRun(features, str(tmp_path / "run"))
+    monkeypatch.undo()
+    for m in [*run.results, run.ablation]:
+        s = conv.scored(run.model(m["name"]), run.test)
+        assert abs(roc_auc(s).first()[0] - m["roc_auc"]) < 1e-12
+        assert conv.confusion(s).first().asDict() == {c: m[c] for c in ("tn", "fp", "fn", "tp")}
