@@ -119,3 +119,39 @@ def test_a_sweep_reads_its_points_with_all_cores(spark, monkeypatch):
     monkeypatch.setattr(seg, "batched_kmeans", lambda points, *a: files.append(len(points.inputFiles())) or real(points, *a))
     seg.k_sweep(df, ks=[2, 3], restarts=2, sample_size=20)
     assert files[0] >= spark.sparkContext.defaultParallelism
+
+
+def test_a_sweep_scores_all_its_silhouettes_in_one_job(spark, monkeypatch):
+    """The driver keeps the plan and code of each job, so they must not follow the ks."""
+    from basketlab.operators import segmentation as seg
+    from pyspark.ml.functions import array_to_vector
+    df = spark.range(90).select(F.col("id").alias("user_id"), array_to_vector(F.array(
+        (F.col("id") % 7).cast("double"), (F.col("id") % 4).cast("double"))).alias("features"))
+    calls, real = [], seg.silhouettes
+    monkeypatch.setattr(seg, "silhouettes", lambda *a, **b: calls.append(1) or real(*a, **b))
+    sweep, models = seg.k_sweep(df, ks=[2, 3, 4], restarts=2, sample_size=60)
+    assert len(calls) == 1
+    sample = seg.seeded_sample(df, size=60)
+    want = {k: seg.silhouette(m.transform(sample), max_points=60).first().silhouette for k, m in models.items()}
+    assert {r.k: r.silhouette for r in sweep.collect()} == want and all(0 < v < 1 for v in want.values())
+
+
+def test_silhouettes_with_missing_labels_and_without_points(spark):
+    from basketlab.operators import segmentation as seg
+    df = spark.createDataFrame([(1, 0, 0.0), (2, 0, 1.0), (3, 1, 9.0), (4, 1, 8.0)], "user_id long, a int, x double")
+    from pyspark.ml.functions import array_to_vector
+    df = df.select("user_id", "a", F.when(F.col("a") == 1, 1).alias("b"), array_to_vector(F.array("x")).alias("features"))
+    got = {r.label: r for r in seg.silhouettes(df, ["a", "b"]).collect()}
+    assert got["a"].n == got["b"].n == 4 and got["a"].silhouette > 0.8 and got["b"].silhouette == 0
+    none = seg.silhouette(df.where("user_id > 9"), "a").first()
+    assert none.silhouette is None and none.n == 0
+
+
+def test_the_driver_lets_go_of_finished_passes(cloud, monkeypatch):
+    points, _ = cloud
+    freed = []
+    monkeypatch.setattr(kmeans, "RELEASE_EVERY", 2)
+    monkeypatch.setattr(kmeans, "release", freed.append)
+    _, passes = kmeans.batched_kmeans(points.select("key", "x"), [5], restarts=3)
+    # 5 draws, then moves, and a last pass for the costs
+    assert len(freed) >= (passes - 7) // 2 > 0
