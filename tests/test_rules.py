@@ -145,3 +145,26 @@ def test_median_of_skewed_values(spark):
     assert audit.median_of(df, "price", "m").first()["m"] == statistics.median(
         v for v in values if v is not None)
     assert audit.median_of(df.where("price > 1e12"), "price", "m").first()["m"] is None
+
+
+def test_model_report_covers_all_users(spark, monkeypatch):
+    # 700 users, each with an item and one neighbour of its own: 700 of 1,400 items are reached
+    from types import SimpleNamespace
+
+    from basketlab.plans import registry
+    users = range(700)
+    ui = spark.createDataFrame([(u, u, 1.0) for u in users], "user_id long, product_id long, w double")
+    nb = spark.createDataFrame([(u, 1000 + u, 0.5) for u in users], "item long, neighbor long, sim double")
+    best = spark.createDataFrame([], "rank long, product_id long")
+    prods = spark.createDataFrame([(i, "p", "c", "b", 1.0) for u in users for i in (u, 1000 + u)],
+                                  "product_id long, product_name string, category string, brand string, price double")
+    monkeypatch.setattr(registry, "RecoModel", lambda s: SimpleNamespace(ui=ui, neighbors=nb, best=best))
+    monkeypatch.setattr(registry.Shop, "__getattr__", lambda s, name: prods)
+    monkeypatch.setattr(registry, "conversion_run", lambda s: SimpleNamespace(best_model=None, train=None, test=None))
+    monkeypatch.setattr(registry, "overview_of", lambda s: None)
+    for name in ("metrics_table", "importances", "scored", "confusion", "classification_report"):
+        monkeypatch.setattr(registry.conv, name, lambda *a: spark.range(1))
+    monkeypatch.setattr(registry.conv, "feature_label", lambda c: F.lit("x"))
+    monkeypatch.setattr(registry.res, "model_report", lambda *a: a[4])
+    got = registry.QUERIES["model_report"](spark, "/nowhere").first()
+    assert (got.sample_size, got.catalog_reachable, got.catalog_share) == (700, 700, 0.5)
