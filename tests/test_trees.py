@@ -125,6 +125,28 @@ def test_every_split_equals_plain_python(train, space, rows_per_task):
         assert sum(len(u) for u in model.upper.values()) > 40
 
 
+def test_a_table_that_fits_a_task_is_not_dealt_by_tree(train, space, monkeypatch):
+    def dealt(*_):
+        raise AssertionError("rows were dealt once a tree")
+    with monkeypatch.context() as m:
+        m.setattr(forest, "deal", dealt)
+        whole = forest.fit_forest(train, space, (0.8, 1.3), trees=5)
+    monkeypatch.setattr(forest, "WHOLE", 0)
+    assert trees_of(whole) == trees_of(forest.fit_forest(train, space, (0.8, 1.3), trees=5))
+
+
+def test_large_levels_are_split_some_nodes_at_a_time(monkeypatch):
+    rng = np.random.default_rng(8)
+    bins, label = rng.integers(0, [256, 2, 9, 40, 1], (3000, 5)).astype(np.uint8), rng.integers(0, 2, 3000)
+    times, spec = 1 + rng.poisson(1, 3000), forest.Spec(5, (0.7, 1.4))
+    want, removed = forest.grow(bins, label, times, np.uint64(3), spec)
+    for rows in (1, 50, 700):
+        monkeypatch.setattr(forest, "GROUP_ROWS", rows)
+        nodes, also = forest.grow(bins, label, times, np.uint64(3), spec)
+        assert (nodes == want).all() and (also == removed).all()
+    assert nested(want) == slow_tree(bins, label.tolist(), times.tolist(), np.uint64(3), spec)
+
+
 def test_no_leaf_is_small_and_depth_has_no_limit(spark):
     # one value after the other splits off: a tree as deep as it gets with five rows a leaf
     rows = [(f"k{i}", float(i // 5 % 2), float(i)) for i in range(1000)]
@@ -151,6 +173,31 @@ def test_both_ways_of_scoring_agree(spark, train, space, monkeypatch, tmp_path):
     assert max(model.feature_importance(), key=lambda x: x[1])[0] in ("a", "b")
 
 
+@pytest.mark.parametrize("rows_per_task", [100_000, 80])
+def test_rows_are_dealt_once_a_pack_of_subtrees(spark, train, space, monkeypatch, rows_per_task):
+    model = forest.fit_forest(train, space, (1.0, 1.0), trees=12, rows_per_task=rows_per_task)
+    one = {r.session_id: r.p for r in model.with_probability(train).collect()}
+    monkeypatch.setattr(forest, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(forest, "PACK_ROWS", 200)
+    size = model.subtrees.selectExpr("sum(length(nodes))").first()[0]
+    monkeypatch.setattr(forest, "PACK_BYTES", size // 3)
+    two = {r.session_id: r.p for r in model.with_probability(train).collect()}
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-12 for k in one)
+
+
+def test_walks_end_at_leaves_of_any_depth():
+    # a chain: bin b of the only feature leaves it at depth b + 1
+    nodes = np.zeros(2 * 100 + 1, forest.NODE)
+    nodes["feature"] = -1
+    for i in range(100):
+        at = 0 if i == 0 else 2 * i
+        nodes["feature"][at], nodes["cut"][at], nodes["left"][at] = 0, i, 2 * i + 1
+    bins = np.arange(256, dtype=np.uint8)[:, None]
+    want = [2 * b + 1 if b < 100 else 200 for b in range(256)]
+    assert forest.walk(nodes, bins).tolist() == want
+    assert forest.walk(nodes[-1:], np.zeros((3, 0), np.uint8)).tolist() == [0, 0, 0]
+
+
 def test_dealt_rows_never_go_to_the_driver(spark, train, space, monkeypatch):
     # a row is dealt once a tree: the input's size, small here, must not make it a broadcast
     model = forest.fit_forest(train, space, (1.0, 1.0), trees=3)
@@ -256,6 +303,27 @@ def shape(nodes):
     return [(int(f), int(c), int(left)) if f >= 0 else None for f, c, left, _ in nodes.tolist()]
 
 
+@pytest.mark.parametrize("weight", [1.0, 1e7])
+def test_features_are_counted_together(weight, monkeypatch):
+    """Histograms from a few codes a row, with curvatures that share a number with the rows or not."""
+    rng = np.random.default_rng(2)
+    widths = [2] * 18 + [256, 7, 1, 30]
+    bins = rng.integers(0, widths, (5000, 22)).astype(np.uint8)
+    g = rng.integers(-boosting.FIXED, boosting.FIXED, 5000) * weight // 1
+    h = rng.integers(0, boosting.FIXED, 5000) * weight // 1
+    cells = boosting.Cells(widths)
+    assert len(cells.groups) == 4 and sum(cells.groups, []) == list(range(22))
+    monkeypatch.setattr(boosting.Cells, "CHUNK", 999)
+    codes = cells.codes(bins)
+    for rows in (None, np.flatnonzero(rng.random(5000) < 0.3), np.zeros(0, np.int64)):
+        some = slice(None) if rows is None else rows
+        want = np.zeros((cells.total, 3), np.int64)
+        for f in range(22):
+            for j, v in enumerate((g, h, np.ones(5000))):
+                np.add.at(want[:, j], cells.first[f] + bins[some, f], v[some].astype(np.int64))
+        assert (cells.count(codes, g, h, rows) == want).all()
+
+
 @pytest.mark.parametrize("rows_per_task", [100_000, 100])
 def test_leafwise_trees_equal_plain_python(train, space, tmp_path, rows_per_task):
     """All rounds in one task, and by passes over the table."""
