@@ -1,5 +1,6 @@
 """Forest and boosted trees against plain Python, and restarts."""
 import math
+import os
 
 import numpy as np
 import pytest
@@ -334,6 +335,20 @@ def test_leafwise_trees_equal_plain_python(train, space, tmp_path, rows_per_task
     assert [shape(t) for t in model.trees] == slow_boost(bins, label.tolist(), (0.9, 1.2), s)
 
 
+def test_passes_walk_few_trees_again_and_leave_one_table(train, space, tmp_path, monkeypatch):
+    """Between two writings of the scores a pass sends rows down less than SCORE_EVERY trees."""
+    s, again, written = boosting.Settings(rounds=9, leaves=4, save_every=25), [], []
+    passes, scores = boosting.pass_histograms, boosting.with_scores
+    monkeypatch.setattr(boosting, "pass_histograms", lambda *a: again.append(len(a[3])) or passes(*a))
+    monkeypatch.setattr(boosting, "with_scores", lambda *a: written.append(a[-1]) or scores(*a))
+    many = boosting.fit_boosted(train, space, (1.0, 1.0), s, str(tmp_path / "a"), rows_per_task=100)
+    assert len(many.trees) == 9 and max(again) < 5 and len(written) == 2
+    left = [os.path.exists(p.removeprefix("file:")) for p in written]
+    assert left == [False, True]
+    one = boosting.fit_boosted(train, space, (1.0, 1.0), s, str(tmp_path / "b"))
+    assert all((x == y).all() for x, y in zip(one.trees, many.trees))
+
+
 def test_both_ways_make_the_same_trees(spark, train, space, tmp_path):
     s = boosting.Settings(rounds=6, leaves=9, save_every=4)
     one = boosting.fit_boosted(train, space, (0.9, 1.2), s, str(tmp_path / "a"))
